@@ -7,11 +7,30 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated_documents
+from .line_dedup import drop_frequent_lines
 from .near_dedup import near_duplicates
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_frequent_lines(table(spark, sf_dir, "documents"), min_documents=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, i, ls[i] AS line,
+             translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+g AS (SELECT r, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.k) AS BIGINT) AS n_dropped,
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+      FROM l LEFT JOIN f ON f.k = l.k GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN g ON d.r = g.r
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -37,6 +56,6 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_decontaminate, op8_minhash_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
