@@ -88,9 +88,9 @@ ALNUM = byte_table([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 class Packed:
     """Several texts in one byte buffer, a new line around each."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = True):
-        joined = b"\n".join([b"", *[t or b"" for t in texts], b""])
-        self.bytes = (joined.translate(LOWER) if lower else joined) + b"\n" * 8
+    def __init__(self, texts: list[bytes | None], translation: bytes | None = LOWER):
+        joined = b"\n".join([b"", *[t or b"" for t in texts], b""]) + b"\n" * 8
+        self.bytes = joined.translate(translation) if translation else joined
         self.buf = np.frombuffer(self.bytes, dtype=np.uint8)
         lens = np.fromiter((len(t or b"") for t in texts), dtype=np.int64, count=len(texts))
         self.first = np.concatenate([[0], np.cumsum(lens + 1)]) + 1  # where each text begins, and the end

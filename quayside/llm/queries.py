@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import contaminated_documents
 from .line_dedup import drop_frequent_lines
 from .near_dedup import near_duplicates
+from .quality import quality_scores
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -52,10 +53,14 @@ FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_decontaminate, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
