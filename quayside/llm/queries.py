@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated_documents
+from .language_id import predict_languages
 from .line_dedup import drop_frequent_lines
 from .near_dedup import near_duplicates
 from .quality import quality_scores
@@ -61,6 +62,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
