@@ -119,7 +119,15 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, m: int = 10, rows: int = 3) -> DataFrame:
+def collection_size(percent: int, rows: int, miss: float = 2e-4) -> int:
+    """The fewest partial keys in a collection with which two documents at the threshold miss all tables this rarely."""
+    m = 1
+    while 1 - (1 - (1 - (percent / 100) ** rows) ** m) ** 2 > miss:
+        m += 1
+    return m
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles
@@ -132,12 +140,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, m: int =
        such clusters are compared exhaustively, in blocks of bounded size, sizes too unlike skipped; each
        block pair returns at most one link for every two components it joins.
 
-    With percent 85, m 10 and rows 3, two documents at the threshold meet in a bucket with probability 0.9998.
+    Two documents at the threshold meet in a bucket with a probability of 0.9998 at least: 10 partial keys in each
+    collection at 85 percent, 13 at 80.
     Null or empty texts have no shingles and stay alone. Repeated doc_ids share one component and each keeps
     its row. A null doc_id is its own row with null component_id and kept true. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
+    m = collection_size(percent, rows)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.write(source.mapInArrow(_signatures(pa.int64(), width, m, rows), "doc_id long, n_shingles long, set_sum long, set_xor long, first_keys array<long>, second_keys array<long>"), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
@@ -196,7 +206,19 @@ def _contested_links(tested: DataFrame, sets: DataFrame, percent: int, scratch:
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The documents with one of each near-duplicate group, the smallest doc_id, in their own columns."""
-    kept = near_duplicates(docs, percent, width).where("kept").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null"))
+    """The documents with one of each near-duplicate group, the smallest doc_id, in their own columns.
+
+    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "kept"), "found")
+    # Usually far fewer than the documents, so that texts need not move.
+    out = scratch.write(found.where("not kept").select(F.col("doc_id").alias("out_id")).distinct(), "out")
+    left = docs.join(sized_broadcast(out, out.count(), 16), F.col("doc_id") == F.col("out_id"), "left_anti")
+    again = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
+    n = again.count()
+    if not n:
+        return left
+    again = sized_broadcast(again, n, 16)
+    same = F.col("doc_id") == F.col("again_id")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contaminated_documents
 from .language_id import predict_languages
 from .line_dedup import drop_frequent_lines
+from .mixing import Targets, mix
 from .near_dedup import near_duplicates
 from .quality import quality_scores
 from .token_counts import line_sections, section_tokens
@@ -18,6 +19,14 @@ from .token_files import token_output
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Equal shares for all sources; named shares for languages and, among topics, for tables and licensed texts.
+MIX_TARGETS = Targets(source=None, lang={"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, topic={"table": 0.03, "licensed": 0.05})
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_TARGETS, budget=0.5)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), rule="most", sectioner=line_sections)
 
@@ -77,6 +86,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
