@@ -12,6 +12,7 @@ from .language_id import predict_languages
 from .line_dedup import drop_frequent_lines
 from .mixing import Targets, mix
 from .near_dedup import near_duplicates
+from .nearest import nearest
 from .quality import quality_scores
 from .token_counts import line_sections, section_tokens
 from .token_files import token_output
@@ -74,6 +75,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
@@ -86,6 +91,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op5_decontaminate, op6_quality, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op5_decontaminate, op6_quality, op7_nearest, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
