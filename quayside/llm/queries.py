@@ -14,6 +14,7 @@ from .mixing import Targets, mix
 from .near_dedup import near_duplicates
 from .nearest import nearest
 from .quality import quality_scores
+from .span_dedup import drop_repeated_spans
 from .token_counts import line_sections, section_tokens
 from .token_files import token_output
 
@@ -50,6 +51,11 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN g ON d.r = g.r
 """
 
 
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -91,6 +97,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op5_decontaminate, op6_quality, op7_nearest, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_span_dedup, op5_decontaminate, op6_quality, op7_nearest, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
