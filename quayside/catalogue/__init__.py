@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quayside.catalogue import profiling
+from quayside.catalogue import converting, profiling
 
-MODULES = (profiling,)
+MODULES = (profiling, converting)
 
 
 def queries() -> dict:
