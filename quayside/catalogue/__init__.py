@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quayside.catalogue import converting, profiling
+from quayside.catalogue import converting, profiling, records
 
-MODULES = (profiling, converting)
+MODULES = (profiling, converting, records)
 
 
 def queries() -> dict:

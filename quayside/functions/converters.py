@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import cells
@@ -316,3 +316,25 @@ def apply_chain(v: Column, names: list[str] | tuple[str, ...], ctx: Context) ->
         kinds.append(step.error_type)
         errors.append(step.error)
     return Result(v, F.nullif(F.concat_ws("; ", *notes), F.lit("")), F.coalesce(*kinds, _NONE), F.coalesce(*errors, _NONE))
+
+
+def stage_chains(df: DataFrame, jobs: dict[str, tuple[str, tuple[str, ...], Context]]) -> DataFrame:
+    """Adds a struct (value, note, error_type, error) for each job: name -> (source column, chain, context).
+
+    Every step of all chains is one projection over plain columns of the step before, so that no step's expression is
+    copied into the next and generated code stays small.
+    """
+    df = df.withColumns({f"{n}_v0": F.col(source).cast("string") for n, (source, _, _) in jobs.items()})
+    for k in range(max((len(chain) for _, chain, _ in jobs.values()), default=0)):
+        step = {}
+        for n, (_, chain, ctx) in jobs.items():
+            if k < len(chain):
+                r = REGISTRY[chain[k]](F.col(f"{n}_v{k}"), ctx)
+                step |= {f"{n}_v{k + 1}": r.value, f"{n}_n{k}": r.note, f"{n}_t{k}": r.error_type, f"{n}_e{k}": r.error}
+        df = df.withColumns(step)
+    out = {}
+    for n, (_, chain, _) in jobs.items():
+        each = lambda kind, n=n, chain=chain: [F.col(f"{n}_{kind}{k}") for k in range(len(chain))]
+        out[n] = F.struct(F.col(f"{n}_v{len(chain)}").alias("value"), F.nullif(F.concat_ws("; ", *each("n")), F.lit("")).alias("note"), F.coalesce(*each("t")).alias("error_type"), F.coalesce(*each("e")).alias("error"))
+    steps = [f"{n}_{kind}{k}" for n, (_, chain, _) in jobs.items() for k in range(len(chain) + 1) for kind in "vnte"]
+    return df.withColumns(out).drop(*steps)
