@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quayside.catalogue import converting, profiling, records
+from quayside.catalogue import converting, outcomes, profiling, records
 
-MODULES = (profiling, converting, records)
+MODULES = (profiling, converting, records, outcomes)
 
 
 def queries() -> dict:
