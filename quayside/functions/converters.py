@@ -47,7 +47,11 @@ class Context:
 
 Converter = Callable[[Column, Context], Result]
 REGISTRY: dict[str, Converter] = {}
-_NONE = F.lit(None).cast("string")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
 
 
 def converter(name: str) -> Callable[[Converter], Converter]:
@@ -61,7 +65,7 @@ def converter(name: str) -> Callable[[Converter], Converter]:
 
 
 def _result(value: Column, note: Column | None = None, error_type: Column | None = None, error: Column | None = None) -> Result:
-    return Result(value, *(_NONE if c is None else c for c in (note, error_type, error)))
+    return Result(value, *(_none() if c is None else c for c in (note, error_type, error)))
 
 
 def _filled(v: Column) -> Column:
@@ -80,7 +84,7 @@ def lookup_key(v: Column) -> Column:
 
 def _mapped(key: Column, words: dict[str, str] | None) -> Column:
     if not words:
-        return _NONE
+        return _none()
     return F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), key)
 
 
@@ -315,7 +319,7 @@ def apply_chain(v: Column, names: list[str] | tuple[str, ...], ctx: Context) ->
         notes.append(step.note)
         kinds.append(step.error_type)
         errors.append(step.error)
-    return Result(v, F.nullif(F.concat_ws("; ", *notes), F.lit("")), F.coalesce(*kinds, _NONE), F.coalesce(*errors, _NONE))
+    return Result(v, F.nullif(F.concat_ws("; ", *notes), F.lit("")), F.coalesce(*kinds, _none()), F.coalesce(*errors, _none()))
 
 
 def stage_chains(df: DataFrame, jobs: dict[str, tuple[str, tuple[str, ...], Context]]) -> DataFrame:
