@@ -15,6 +15,8 @@ from .common import SPACED, Packed, Scratch, batch_of, mix, pieces
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BROADCAST_BYTES = 32 << 20
+#: A sentence is cut after so many words, so that a long one is several and repeats of it are found.
+LONGEST = 25
 OUT = "doc_id long, text string, n_sentences long, n_removed long"
 
 
@@ -30,6 +32,8 @@ class Runs:
         if n > 1:
             newlines = np.concatenate([[0], np.cumsum(packed.buf == 10)])
             begins[1:] |= np.isin(packed.buf[ends[:-1] - 1], [ord(c) for c in ".!?"]) | (newlines[starts[1:]] > newlines[ends[:-1]])
+        own = np.flatnonzero(begins)
+        begins |= (np.arange(n) - np.repeat(own, np.diff(np.append(own, n)))) % LONGEST == 0
         words = np.append(np.flatnonzero(begins), n)  # the first word of each sentence, and the end
         self.first = np.searchsorted(words[:-1], first_word)  # the first sentence of each text, and the count
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -109,7 +113,7 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     """Per document: doc_id, text without repeated spans, n_sentences, n_removed.
 
     A sentence ends at a word's final . ! or ? before white space, at a new line, or with the text; it takes along the
-    white space after it. Runs are compared by their words, A-Z lower-cased. The first occurrence of a run is the one in
+    white space after it. Longer sentences are cut after every 25 words. Runs are compared by their words, A-Z lower-cased. The first occurrence of a run is the one in
     the smallest doc_id, and there the foremost. Sentences in any run that occurs before go; others stay byte for byte.
     Null texts count as empty. Rows of one doc_id are one document: they lose what repeats inside each of them, not what
     they share. A row with a null doc_id loses what repeats inside it only. Other columns are not read.

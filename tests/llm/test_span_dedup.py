@@ -13,7 +13,7 @@ def sentences(text):
     """(text with white space after it, words) of each sentence."""
     out, parts = [], re.findall(rf"[^{WS}]+[{WS}]*", text)
     for p in parts:
-        if out and not (out[-1][0].rstrip(WS)[-1] in ".!?" or "\n" in out[-1][0][len(out[-1][0].rstrip(WS)) :]):
+        if out and len(out[-1][1]) < 25 and not (out[-1][0].rstrip(WS)[-1] in ".!?" or "\n" in out[-1][0][len(out[-1][0].rstrip(WS)) :]):
             out[-1][0] += p
             out[-1][1].append(p.rstrip(WS))
         else:
@@ -62,9 +62,15 @@ def test_random(spark):
     assert got(drop_repeated_spans(df, 2, 6)) == brute(rows, 2, 6)
 
 
+def test_one_long_sentence(spark):
+    passage = " ".join(f"w{i}" for i in range(55))
+    df = spark.createDataFrame([(1, f"First. {passage}."), (2, f"Other here.\n{passage}.\nTail.")], "doc_id long, text string")
+    assert got(drop_repeated_spans(df))[2][0] == "Other here.\nTail."
+
+
 def test_edges(spark):
     passage = "One two three four five six. Seven eight nine ten eleven. Twelve thirteen fourteen fifteen sixteen seventeen. Eighteen nineteen twenty. "
-    rows = [(1, "Own words here. " + passage + "And more."), (2, None), (3, ""), (4, "  lead.\n" + passage.upper() + "tail stays"), (5, passage * 2), (6, "x " * 200000 + ". " + passage), (7, "short. short. short. short.")]
+    rows = [(1, "Own words here. " + passage + "And more."), (2, None), (3, ""), (4, "  lead.\n" + passage.upper() + "tail stays"), (5, passage * 2), (6, " ".join(f"x{i}" for i in range(100000)) + ". " + passage), (7, "short. short. short. short.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = got(drop_repeated_spans(df))
     assert out[1][0] == rows[0][1] and out[2][0] == "" and out[7][2] == 0
