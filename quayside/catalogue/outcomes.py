@@ -104,6 +104,10 @@ def _classes(s: SparkSession) -> DataFrame:
     return compare.classify(compare.candidates(s, _FIELDS), _frame(s, _FIELDS, "dataset, source_field"))
 
 
+_PAIRS = [("acct_num", "account_number"), ("contact_mail", "email"), ("start_dt", "start_date"), ("name", "first_name"), ("foo", "email")]
+Q["m01_name_score"] = lambda s, d: s.createDataFrame([(a, b, compare.name_score(compare.tokens(a), compare.tokens(b))) for a, b in _PAIRS], "a string, b string, score double")
+#: By hand: equal sets, mean of 1/2 and 1, equal sets, generic words alone, nothing in common.
+SQL["m01_name_score"] = "SELECT a, b, CAST(score AS DOUBLE) AS score FROM (VALUES ('acct_num', 'account_number', 1.0), ('contact_mail', 'email', 0.75), ('start_dt', 'start_date', 1.0), ('name', 'first_name', 0.5), ('foo', 'email', 0.0)) AS t(a, b, score)"
 Q["m02_candidates"] = lambda s, d: compare.candidates(s, _FIELDS)
 Q["m03_classify"] = lambda s, d: _classes(s)
 Q["m04_coverage"] = lambda s, d: compare.coverage(_classes(s), catalog(s))
