@@ -127,7 +127,7 @@ def collection_size(percent: int, rows: int, miss: float = 2e-4) -> int:
     return m
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles
@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: in
        such clusters are compared exhaustively, in blocks of bounded size, sizes too unlike skipped; each
        block pair returns at most one link for every two components it joins.
 
-    Two documents at the threshold meet in a bucket with a probability of 0.9998 at least: 10 partial keys in each
-    collection at 85 percent, 13 at 80.
+    Two documents at the threshold meet in a bucket with a probability of 0.9998 at least: 8 partial keys in each
+    collection at 85 percent, 10 at 80.
     Null or empty texts have no shingles and stay alone. Repeated doc_ids share one component and each keeps
     its row. A null doc_id is its own row with null component_id and kept true. Other columns are ignored.
     """
