@@ -52,7 +52,7 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN g ON d.r = g.r
 
 
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_spans(table(spark, sf_dir, "documents"))
+    kept = drop_repeated_spans(table(spark, sf_dir, "documents"), whole=True)
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
 
 

@@ -1,6 +1,7 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every sentence begins a run: the shortest run of `min_sentences` sentences or more that has `min_words` words. Runs are
+Every sentence begins a run, the shortest one of `min_sentences` sentences or more that has `min_words` words, and ends
+another by the same minimums. Any longer run is the union of such runs inside it, so they stand for all runs. They are
 hashed and joined over all documents; the sentences of each repeated run go wherever it is not its first occurrence.
 """
 
@@ -21,9 +22,9 @@ OUT = "doc_id long, text string, n_sentences long, n_removed long"
 
 
 class Runs:
-    """Sentences and runs of several texts; a run is known by its first sentence."""
+    """Sentences and runs of several texts; a run has a first sentence and an end. Not `whole`: no runs by their end."""
 
-    def __init__(self, texts: list[bytes | None], min_sentences: int, min_words: int):
+    def __init__(self, texts: list[bytes | None], min_sentences: int, min_words: int, whole: bool):
         packed = Packed(texts)
         starts, ends, first_word = packed.words(SPACED)
         n = len(starts)
@@ -39,10 +40,16 @@ class Runs:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.begin = starts[words[:-1]] - packed.first[:-1][self.doc] if n else np.empty(0, dtype=np.int64)  # bytes into the text
         at = np.arange(len(words) - 1)
-        self.end = np.maximum(at + min_sentences, np.searchsorted(words, words[:-1] + min_words))
-        self.runs = np.flatnonzero(self.end <= self.first[1:][self.doc])
+        end = np.maximum(at + min_sentences, np.searchsorted(words, words[:-1] + min_words))
+        self.runs = np.flatnonzero(end <= self.first[1:][self.doc])
+        self.end = end[self.runs]
+        if whole:
+            begin = np.minimum(at + 1 - min_sentences, np.searchsorted(words, words[1:] - min_words, side="right") - 1)
+            last = np.flatnonzero(begin >= self.first[:-1][self.doc])
+            last = last[end[begin[last]] != last + 1]  # else the run that begins there is the same
+            self.runs, self.end = np.append(self.runs, begin[last]), np.append(self.end, last + 1)
         h = packed.hashes(starts, ends)
-        a, b = words[self.runs], words[np.minimum(self.end, len(words) - 1)[self.runs]]
+        a, b = words[self.runs], words[self.end]
         self.h1, self.h2 = (self._spans(mix(h + np.uint64(k)), base, a, b) for k, base in enumerate(_BASES))
 
     @staticmethod
@@ -68,28 +75,28 @@ class Runs:
         """Sentences that lie in any of the runs marked."""
         turn = np.zeros(len(self.doc) + 1, dtype=np.int64)
         np.add.at(turn, self.runs[drop], 1)
-        np.add.at(turn, self.end[self.runs[drop]], -1)
+        np.add.at(turn, self.end[drop], -1)
         return np.cumsum(turn)[:-1] > 0
 
 
-def _spans(min_sentences: int, min_words: int):
+def _spans(min_sentences: int, min_words: int, whole: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches):
         for batch, texts in pieces(batches, "text"):
-            runs = Runs(texts, min_sentences, min_words)
+            runs = Runs(texts, min_sentences, min_words, whole)
             own = np.flatnonzero(~runs.repeated_inside())
             yield batch_of(schema, batch.column(0).take(pa.array(runs.doc[runs.runs[own]])), runs.h1[own].view(np.int64), runs.h2[own].view(np.int64))
 
     return run
 
 
-def _rewrite(min_sentences: int, min_words: int):
+def _rewrite(min_sentences: int, min_words: int, whole: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
 
     def run(batches):
         for batch, texts in pieces(batches, "text"):
-            runs = Runs(texts, min_sentences, min_words)
+            runs = Runs(texts, min_sentences, min_words, whole)
             flagged = batch.column(2)
             n = np.array([len(x) if x.is_valid else 0 for x in flagged], dtype=np.int64)
             theirs = flagged.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -109,7 +116,7 @@ def _rewrite(min_sentences: int, min_words: int):
     return run
 
 
-def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 20) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int = 20, whole: bool = False) -> DataFrame:
     """Per document: doc_id, text without repeated spans, n_sentences, n_removed.
 
     A sentence ends at a word's final . ! or ? before white space, at a new line, or with the text; it takes along the
@@ -117,10 +124,13 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     the smallest doc_id, and there the foremost. Sentences in any run that occurs before go; others stay byte for byte.
     Null texts count as empty. Rows of one doc_id are one document: they lose what repeats inside each of them, not what
     they share. A row with a null doc_id loses what repeats inside it only. Other columns are not read.
+
+    `whole` is the rule of the query: all runs of at least the minimums count. Without it only the shortest run from
+    each sentence does, and the last sentences of a repeated passage may stay.
     """
     scratch = Scratch(docs.sparkSession, "span-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = source.mapInArrow(_spans(min_sentences, min_words), "doc_id long, h1 long, h2 long").where("doc_id is not null")
+    spans = source.mapInArrow(_spans(min_sentences, min_words, whole), "doc_id long, h1 long, h2 long").where("doc_id is not null")
     repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     repeated = scratch.write(repeated.select("h1", "h2", "first_doc"), "repeated")
     small = repeated.count() * 24 <= BROADCAST_BYTES
@@ -128,4 +138,4 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     flagged = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("h1").alias("flagged")), "flagged")
     size = flagged.agg(F.sum(F.size("flagged") * 8 + 32)).first()[0] or 0
     flagged = F.broadcast(flagged) if size <= BROADCAST_BYTES else flagged
-    return source.join(flagged, "doc_id", "left").select("doc_id", "text", "flagged").mapInArrow(_rewrite(min_sentences, min_words), OUT)
+    return source.join(flagged, "doc_id", "left").select("doc_id", "text", "flagged").mapInArrow(_rewrite(min_sentences, min_words, whole), OUT)

@@ -1,0 +1,42 @@
+"""Runs of all lengths, against a brute force that tries each of them."""
+
+import random
+
+from quayside.llm.span_dedup import drop_repeated_spans
+
+from .test_span_dedup import got, sentences
+
+
+def brute(rows, least, words):
+    """(n_sentences, n_removed) by doc_id, from every run of at least the minimums."""
+    low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        own, gone, here = [x for _, x in sentences(text)], set(), set()
+        for s in range(len(own)):
+            for e in range(s + least, len(own) + 1):
+                key = tuple(low(w) for x in own[s:e] for w in x)
+                if len(key) >= words:
+                    if key in here or seen.get(key, doc_id) < doc_id:
+                        gone |= set(range(s, e))
+                    here.add(key)
+                    seen.setdefault(key, doc_id)
+        out[doc_id] = (len(own), len(gone))
+    return out
+
+
+def test_all_runs(spark):
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choices(["a b c. ", "A B c.\n", "d e. ", "f. ", "\n", "g! h? ", "i.j k. ", " "], k=rnd.randrange(25)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, words in ((2, 6), (3, 4)):
+        want = brute(rows, least, words)
+        assert {k: x[1:] for k, x in got(drop_repeated_spans(df, least, words, whole=True)).items()} == want
+        assert {k: x[1:] for k, x in got(drop_repeated_spans(df, least, words)).items()} != want
+
+
+def test_short_last_sentences(spark):
+    passage = " ".join(f"w{i}" for i in range(18)) + ". " + " ".join(f"v{i}" for i in range(15)) + ". Short one. And another. "
+    df = spark.createDataFrame([(1, passage + "Own end of the first."), (2, "Lead of the second. " + passage + "Its end."), (3, passage)], "doc_id long, text string")
+    out = got(drop_repeated_spans(df, whole=True))
+    assert out[1][2] == 0 and out[2][0] == "Lead of the second. Its end." and out[3][0] == ""
