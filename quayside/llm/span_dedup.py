@@ -3,6 +3,7 @@
 Every sentence begins a run, the shortest one of `min_sentences` sentences or more that has `min_words` words, and ends
 another by the same minimums. Any longer run is the union of such runs inside it, so they stand for all runs. They are
 hashed and joined over all documents; the sentences of each repeated run go wherever it is not its first occurrence.
+Words themselves cut sentences further, so that a passage is cut alike wherever in a sentence it begins and ends.
 """
 
 from __future__ import annotations
@@ -16,40 +17,93 @@ from .common import SPACED, Packed, Scratch, batch_of, mix, pieces
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BROADCAST_BYTES = 32 << 20
-#: A sentence is cut after so many words, so that a long one is several and repeats of it are found.
+#: More words than this count as several sentences, with or without an end among them. Not `whole`: cuts after so many.
 LONGEST = 25
+#: One pair of neighbouring words in so many, by its hash, is cut between.
+CUT_EVERY = 8
+#: Where no cut is so near on either side, the least hash within this distance cuts: text that repeats one phrase.
+CUT_REACH = 12
 OUT = "doc_id long, text string, n_sentences long, n_removed long"
 
 
+def _word_cuts(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """True for words that begin a piece: those in begins, and others by hashes of words near them alone."""
+    n = len(h)
+    pair = np.zeros(n, dtype=np.uint64)
+    pair[1:] = mix(h[:-1] * np.uint64(_BASES[0]) + h[1:])
+    out = begins | (pair % np.uint64(CUT_EVERY) == 0)
+    near = np.concatenate([[0], np.cumsum(out)])
+    at = np.arange(CUT_REACH, n - CUT_REACH)
+    at = at[near[at + CUT_REACH + 1] == near[at - CUT_REACH]]
+    least = np.ones(len(at), dtype=bool)
+    for d in range(-CUT_REACH, CUT_REACH + 1):
+        least &= pair[at] <= pair[at + d]
+    out[at[least]] = True
+    return out
+
+
+def _minimal(words: np.ndarray, first_word: np.ndarray, sentence: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the shortest runs from and to each piece, of min_words words and min_sentences sentences.
+
+    words holds each piece's first word, and the end; sentence numbers each piece's sentence. A run has words of so many
+    sentences, or more words than so many of the longest but one have.
+    """
+    n, more = len(words) - 1, min_sentences - 1
+    doc = np.searchsorted(first_word, words[:-1], side="right") - 1
+    bounds = np.searchsorted(words, first_word)
+    enough = np.maximum(np.searchsorted(words, words[:-1] + min_words), np.searchsorted(sentence, sentence + more) + 1)
+    end = np.minimum(enough, np.searchsorted(words, words[:-1] + max(min_words, LONGEST * more + 1)))
+    enough = np.minimum(np.searchsorted(words, words[1:] - min_words, side="right"), np.searchsorted(sentence, sentence - more, side="right")) - 1
+    begin = np.maximum(enough, np.searchsorted(words, words[1:] - max(min_words, LONGEST * more + 1), side="right") - 1)
+    a = np.flatnonzero(end <= bounds[1:][doc])
+    b = np.flatnonzero(begin >= bounds[:-1][doc])
+    b = b[end[begin[b]] != b + 1]  # else the run that begins there is the same
+    return words[np.append(a, begin[b])], words[np.append(end[a], b + 1)]
+
+
 class Runs:
-    """Sentences and runs of several texts; a run has a first sentence and an end. Not `whole`: no runs by their end."""
+    """Sentences and runs of several texts; a run has a first sentence and an end.
+
+    Not `whole`: sentences are cut after every LONGEST words, and runs are those from each sentence only.
+    """
 
     def __init__(self, texts: list[bytes | None], min_sentences: int, min_words: int, whole: bool):
         packed = Packed(texts)
         starts, ends, first_word = packed.words(SPACED)
         n = len(starts)
-        begins = np.zeros(n, dtype=bool)
-        begins[first_word[:-1][first_word[:-1] < first_word[1:]]] = True
+        h = packed.hashes(starts, ends)
+        leads = np.zeros(n, dtype=bool)
+        leads[first_word[:-1][first_word[:-1] < first_word[1:]]] = True
+        marked, broken = leads.copy(), np.zeros(n, dtype=bool)
         if n > 1:
             newlines = np.concatenate([[0], np.cumsum(packed.buf == 10)])
-            begins[1:] |= np.isin(packed.buf[ends[:-1] - 1], [ord(c) for c in ".!?"]) | (newlines[starts[1:]] > newlines[ends[:-1]])
-        own = np.flatnonzero(begins)
-        begins |= (np.arange(n) - np.repeat(own, np.diff(np.append(own, n)))) % LONGEST == 0
+            marked[1:] |= np.isin(packed.buf[ends[:-1] - 1], [ord(c) for c in ".!?"])
+            broken[1:] = newlines[starts[1:]] > newlines[ends[:-1]]
+        begins = marked | broken
+        if whole:
+            cut = _word_cuts(h, marked)
+            # Once with new lines and once without, as a copy may be wrapped elsewhere.
+            found = []
+            for pieces_at, own in ((cut | broken, begins), (cut, marked)):
+                at = np.flatnonzero(pieces_at)
+                x, y = _minimal(np.append(at, n), first_word, np.cumsum(own)[at], min_sentences, min_words)
+                found.append(x * (n + 1) + y)
+            a, b = np.divmod(np.unique(np.concatenate(found)), n + 1)
+            begins = cut | broken
+        else:
+            own = np.flatnonzero(begins)
+            begins |= (np.arange(n) - np.repeat(own, np.diff(np.append(own, n)))) % LONGEST == 0
         words = np.append(np.flatnonzero(begins), n)  # the first word of each sentence, and the end
         self.first = np.searchsorted(words[:-1], first_word)  # the first sentence of each text, and the count
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.begin = starts[words[:-1]] - packed.first[:-1][self.doc] if n else np.empty(0, dtype=np.int64)  # bytes into the text
-        at = np.arange(len(words) - 1)
-        end = np.maximum(at + min_sentences, np.searchsorted(words, words[:-1] + min_words))
-        self.runs = np.flatnonzero(end <= self.first[1:][self.doc])
-        self.end = end[self.runs]
         if whole:
-            begin = np.minimum(at + 1 - min_sentences, np.searchsorted(words, words[1:] - min_words, side="right") - 1)
-            last = np.flatnonzero(begin >= self.first[:-1][self.doc])
-            last = last[end[begin[last]] != last + 1]  # else the run that begins there is the same
-            self.runs, self.end = np.append(self.runs, begin[last]), np.append(self.end, last + 1)
-        h = packed.hashes(starts, ends)
-        a, b = words[self.runs], words[self.end]
+            self.runs, self.end = np.searchsorted(words, a), np.searchsorted(words, b)
+        else:
+            end = np.maximum(np.arange(len(words) - 1) + min_sentences, np.searchsorted(words, words[:-1] + min_words))
+            self.runs = np.flatnonzero(end <= self.first[1:][self.doc])
+            self.end = end[self.runs]
+            a, b = words[self.runs], words[self.end]
         self.h1, self.h2 = (self._spans(mix(h + np.uint64(k)), base, a, b) for k, base in enumerate(_BASES))
 
     @staticmethod
@@ -125,8 +179,10 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     Null texts count as empty. Rows of one doc_id are one document: they lose what repeats inside each of them, not what
     they share. A row with a null doc_id loses what repeats inside it only. Other columns are not read.
 
-    `whole` is the rule of the query: all runs of at least the minimums count. Without it only the shortest run from
-    each sentence does, and the last sentences of a repeated passage may stay.
+    `whole` is the rule of the query: all runs of at least the minimums count, and sentences of any length are cut
+    between words by the words' hashes, so that n_sentences and n_removed count pieces. A run then has words of
+    `min_sentences` sentences, or more than 25 words for each but one of them. Without it only the shortest run from each
+    sentence counts, the last sentences of a repeated passage may stay, and passages inside long sentences are missed.
     """
     scratch = Scratch(docs.sparkSession, "span-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

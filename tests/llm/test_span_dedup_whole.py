@@ -1,22 +1,38 @@
-"""Runs of all lengths, against a brute force that tries each of them."""
+"""Runs of all lengths, against a brute force that tries each of them, and passages at any place in a sentence."""
 
 import random
+from functools import cache
 
-from quayside.llm.span_dedup import drop_repeated_spans
+import numpy as np
+
+from quayside.llm.common import SPACED, Packed, mix
+from quayside.llm.span_dedup import _BASES, CUT_EVERY, drop_repeated_spans
 
 from .test_span_dedup import got, sentences
 
 
+@cache
+def cut(a, b):
+    packed = Packed([f"{a} {b}".encode()])
+    h = packed.hashes(*packed.words(SPACED)[:2])
+    return int(mix(h[:1] * np.uint64(_BASES[0]) + h[1:])[0]) % CUT_EVERY == 0
+
+
 def brute(rows, least, words):
-    """(n_sentences, n_removed) by doc_id, from every run of at least the minimums."""
+    """(pieces, removed) by doc_id, from every run of at least the minimums."""
     low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
     seen, out = {}, {}
     for doc_id, text in sorted(rows):
-        own, gone, here = [x for _, x in sentences(text)], set(), set()
+        own, gone, here = [], set(), set()
+        for k, (_, x) in enumerate(sentences(text)):
+            for i, w in enumerate(map(low, x)):
+                if i == 0 or cut(own[-1][1][-1], w):
+                    own.append((k, []))
+                own[-1][1].append(w)
         for s in range(len(own)):
-            for e in range(s + least, len(own) + 1):
-                key = tuple(low(w) for x in own[s:e] for w in x)
-                if len(key) >= words:
+            for e in range(s + 1, len(own) + 1):
+                key = tuple(w for _, x in own[s:e] for w in x)
+                if len(key) >= words and (own[e - 1][0] - own[s][0] >= least - 1 or len(key) > 25 * (least - 1)):
                     if key in here or seen.get(key, doc_id) < doc_id:
                         gone |= set(range(s, e))
                     here.add(key)
@@ -27,12 +43,12 @@ def brute(rows, least, words):
 
 def test_all_runs(spark):
     rnd = random.Random(8)
-    rows = [(i, "".join(rnd.choices(["a b c. ", "A B c.\n", "d e. ", "f. ", "\n", "g! h? ", "i.j k. ", " "], k=rnd.randrange(25)))) for i in range(150)]
+    rows = [(i, "".join(rnd.choices(["a b c. ", "A B c.\n", "d e. ", "f. ", "\n", "g! h? ", "i.j k. ", "l m n o p q. ", " "], k=rnd.randrange(25)))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for least, words in ((2, 6), (3, 4)):
         want = brute(rows, least, words)
         assert {k: x[1:] for k, x in got(drop_repeated_spans(df, least, words, whole=True)).items()} == want
-        assert {k: x[1:] for k, x in got(drop_repeated_spans(df, least, words)).items()} != want
+        assert {k: x[2] for k, x in got(drop_repeated_spans(df, least, words)).items()} != {k: x[1] for k, x in want.items()}
 
 
 def test_short_last_sentences(spark):
@@ -40,3 +56,27 @@ def test_short_last_sentences(spark):
     df = spark.createDataFrame([(1, passage + "Own end of the first."), (2, "Lead of the second. " + passage + "Its end."), (3, passage)], "doc_id long, text string")
     out = got(drop_repeated_spans(df, whole=True))
     assert out[1][2] == 0 and out[2][0] == "Lead of the second. Its end." and out[3][0] == ""
+
+
+def test_unequal_lead_ins(spark):
+    passage = " ".join(f"w{i}" for i in range(300))
+    phrase = "0 1 " * 150
+    rows = [(1, f"{passage} and on."), (2, f"As X said {passage} x y z."), (3, f"One. Or {passage}"), (4, " ".join(f"l{i}" for i in range(40)) + f" {passage} " + " ".join(f"t{i}" for i in range(40)))]
+    rows += [(11, f"a {phrase} b"), (12, f"c d e f g {phrase} h i.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = got(drop_repeated_spans(df, whole=True))
+    own = set(passage.split())
+    assert out[1][2] == 0
+    for k in (2, 3, 4):
+        words = out[k][0].split()
+        assert len([w for w in words if w in own]) < 40
+        assert [w for w in words if w not in own] == [w for w in rows[k - 1][1].split() if w not in own]
+    assert len(out[12][0].split()) < 50 and out[12][0].startswith("c d e f g ") and out[12][0].endswith(" h i.")
+
+
+def test_lines_broken_elsewhere(spark):
+    words = [f"w{i}" + "." * (i % 12 == 11) for i in range(120)]
+    rows = [(k, f"Start{k}.\n" + "".join(w + ("\n" if i % n == n - 1 else " ") for i, w in enumerate(words)) + f"End{k}.") for k, n in ((1, 7), (2, 9), (3, 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = got(drop_repeated_spans(df, whole=True))
+    assert out[1][2] == 0 and out[2][0] == "Start2.\nEnd2." and out[3][0] == "Start3.\nEnd3."
