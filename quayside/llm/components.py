@@ -1,32 +1,53 @@
-"""Connected components by smallest reachable label, as joins and partial aggregates."""
+"""Connected components by contraction, as joins and partial aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized_broadcast
+
+
+def _order(k: int, column: str) -> Column:
+    """Vertices are ranked by id in even rounds, where stars fall together, and by a new hash in odd ones, where chains do."""
+    return F.xxhash64(F.lit(k), F.col(column)) if k % 2 else F.col(column)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) for every id with an edge in (a, b); component is the smallest id reachable.
 
-    Each round takes the least label of the neighbours and then the label's own label, so chains shorten
-    by half. Labels only fall; it ends when none falls. Null ends are ignored; an empty input gives no rows.
+    In each round a vertex gives way to the least of itself and its neighbours, and edges are drawn anew between those
+    that are left, each once. So edges and vertices shrink by a share of what is left, and all rounds together move
+    about as many rows as the first few. The steps are then put together from the last to the first. Null ends and
+    loops are ignored; an empty input gives no rows.
     """
-    e = edges.select("a", "b").where("a <> b")
-    e = scratch.write(e.union(e.select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
-    labels = scratch.write(e.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{name}-0")
+    # With one end null, least and greatest are the other end, so the edge counts as a loop.
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    left = scratch.write(pairs.distinct(), f"{name}-edges-0")
+    steps: list[tuple[DataFrame, int]] = []
     k = 0
-    while True:
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a")).toDF("id", "near")
+        best = both.groupBy("id").agg(F.min_by("near", _order(k, "near")).alias("near"))
+        to = F.when(_order(k, "near") < _order(k, "id"), F.col("near")).otherwise(F.col("id"))
+        step = scratch.write(best.select("id", to.alias("to")), f"{name}-step-{k}")
+        n = step.count()
+        steps.append((step, n))
+        small = sized_broadcast(step, n, 16)
+        ends = left.join(small.toDF("a", "to_a"), "a").join(small.toDF("b", "to_b"), "b")
+        ends = ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct()
+        left = scratch.write(ends, f"{name}-edges-{k + 1}")
+        scratch.drop(f"{name}-edges-{k}")
         k += 1
-        near = e.join(labels, e.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        own = labels.select(F.col("id").alias("via"), F.col("component").alias("jump"))
-        step = step.join(own, step.now == own.via).select("id", F.least("now", "jump").alias("component"), (F.least("now", "jump") < F.col("was")).alias("fell"))
-        step = scratch.write(step, f"{name}-{k}")
-        labels = step.select("id", "component")
-        scratch.drop(f"{name}-{k - 1}")
-        if step.where("fell").isEmpty():
-            scratch.drop(f"{name}-edges")
-            return labels
+    if not steps:
+        return left.toDF("id", "component")
+    found = steps[-1][0].toDF("id", "root")
+    for i in range(len(steps) - 2, -1, -1):
+        later = sized_broadcast(found, steps[i + 1][1], 16).toDF("to", "root")
+        found = steps[i][0].join(later, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+        found = scratch.write(found, f"{name}-roots-{i}")
+    least = scratch.write(found.groupBy("root").agg(F.min("id").alias("component")), f"{name}-least")
+    found = found.join(sized_broadcast(least, least.count(), 16), "root").select("id", "component")
+    found = scratch.write(found, name)
+    scratch.drop(*[f"{name}-step-{i}" for i in range(k)], *[f"{name}-roots-{i}" for i in range(k - 1)], f"{name}-edges-{k}", f"{name}-least")
+    return found

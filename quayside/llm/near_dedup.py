@@ -16,7 +16,9 @@ from .common import SPACED, Packed, Scratch, batch_of, int_lists, mix, pieces, s
 from .components import components
 
 #: Shingles that a block of contested documents holds, about.
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 500_000
+#: Table keys that a task forms at a time, about.
+KEYS_A_TASK = 1_000_000
 
 
 def document_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +45,15 @@ def _minhashes(flat: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
 
 
 def _signatures(id_type: pa.DataType, width: int, m: int, rows: int):
-    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_sum", pa.int64()), ("set_xor", pa.int64()), ("first_keys", pa.list_(pa.int64())), ("second_keys", pa.list_(pa.int64()))])
+    """Partial keys have 63 bits of hash; the lowest bit says which collection they belong to."""
+    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_sum", pa.int64()), ("set_xor", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch, texts in pieces(batches, "text"):
             flat, bounds = document_sets(texts, width)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
-            keys = np.zeros((2 * m, len(n)), dtype=np.uint64)
+            parts = np.zeros((2 * m, len(n)), dtype=np.uint64)
             sums, xors = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
             if len(full):
                 at = bounds[:-1][full]
@@ -61,9 +64,9 @@ def _signatures(id_type: pa.DataType, width: int, m: int, rows: int):
                     h = np.full(len(full), np.uint64(t + 1), dtype=np.uint64)
                     for r in range(rows):
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ hashes[t * rows + r])
-                    keys[t, full] = h
-            per = np.arange(len(n) + 1) * m
-            yield batch_of(schema, batch.column(0), n, sums.view(np.int64), xors.view(np.int64), int_lists(np.ascontiguousarray(keys[:m].T).ravel(), per), int_lists(np.ascontiguousarray(keys[m:].T).ravel(), per))
+                    parts[t, full] = h >> np.uint64(1) << np.uint64(1) | np.uint64(t >= m)
+            per = np.arange(len(n) + 1) * 2 * m
+            yield batch_of(schema, batch.column(0), n, sums.view(np.int64), xors.view(np.int64), int_lists(np.ascontiguousarray(parts.T).ravel(), per))
 
     return run
 
@@ -80,41 +83,55 @@ def _sets(id_type: pa.DataType, width: int):
 
 
 def _block_links(percent: int):
-    """Links between different components of two blocks; with a link found, the two count as one."""
+    """Links between components of two blocks, one for every two that they join."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def of(members: list[dict]):
-        n = np.array([len(x["shingle_set"]) for x in members])
-        return np.array([x["doc_id"] for x in members]), [x["component"] for x in members], n, np.concatenate([np.asarray(x["shingle_set"], dtype=np.int64) for x in members])
-
-    def run(batches):
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                ids_l, comp_l, n_l, flat_l = of(left.as_py())
-                ids_r, comp_r, n_r, flat_r = of(right.as_py())
-                root: dict[int, int] = {}
-
-                def top(x: int, root=root) -> int:
-                    while root.get(x, x) != x:
-                        x = root[x]
-                    return x
-
-                values, inverse = np.unique(np.concatenate([flat_l, flat_r]), return_inverse=True)
-                in_l, in_r = inverse[: len(flat_l)], inverse[len(flat_l) :]
-                at_r, at_l = np.concatenate([[0], np.cumsum(n_r)[:-1]]), np.concatenate([[0], np.cumsum(n_l)])
-                held = np.zeros(len(values), dtype=bool)
-                found_a, found_b = [], []
-                for i, x in enumerate(ids_l):
-                    held[in_l[at_l[i] : at_l[i + 1]]] = True
-                    both = np.add.reduceat(held[in_r].astype(np.int64), at_r)
-                    held[in_l[at_l[i] : at_l[i + 1]]] = False
-                    for j in np.flatnonzero(100 * both >= percent * (n_l[i] + n_r - both)):
-                        p, q = top(comp_l[i]), top(comp_r[j])
-                        if p != q:
-                            root[max(p, q)] = min(p, q)
-                            found_a.append(x)
-                            found_b.append(ids_r[j])
-                yield batch_of(schema, found_a, found_b)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, right = table.column("label").to_numpy(), table.column("right").to_numpy(zero_copy_only=False).astype(bool)
+        lists = table.column("shingle_set").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        values, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        held = np.zeros(len(values), dtype=bool)
+        sides = [np.flatnonzero(~right), np.flatnonzero(right)]
+        if table.column("pair").chunk(0)[0].as_py()["within"]:
+            sides[1] = sides[0]
+        # The commonest component needs no probes of its own: what differs from it probes both sides.
+        names, counts = np.unique(label, return_counts=True)
+        main = names[counts.argmax()]
+        for one, two in (sides, sides[::-1]) if sides[0] is not sides[1] else (sides,):
+            if not len(two):
+                continue
+            two = two[np.argsort(n[two], kind="stable")]
+            ends = np.cumsum(n[two])
+            begins = np.append(0, ends[:-1])
+            row = np.repeat(begin[two] - begins, n[two]) + np.arange(ends[-1])
+            other, sizes = flat[row], n[two]
+            present = np.zeros(len(values), dtype=bool)
+            present[other] = True
+            for i in one[label[one] != main]:
+                own = flat[begin[i] : begin[i + 1]]
+                # |A & B| is at most what A shares with the whole block, and links need percent / (100 + percent) * (|A| + |B|).
+                most = int(present[own].sum())
+                lo, hi = np.searchsorted(sizes, -(-percent * n[i] // 100)), np.searchsorted(sizes, min(100 * n[i] // percent, (100 + percent) * most // percent - n[i]), side="right")
+                if most * 100 < percent * n[i] or lo >= hi:
+                    continue
+                held[own] = True
+                both = np.add.reduceat(held[other[begins[lo] : ends[hi - 1]]].astype(np.int64), begins[lo:hi] - begins[lo])
+                held[own] = False
+                for j in two[lo:hi][100 * both >= percent * (n[i] + sizes[lo:hi] - both)]:
+                    p, q = top(int(label[i])), top(int(label[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+        return pa.table([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], schema=schema)
 
     return run
 
@@ -134,75 +151,162 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: in
     (fewer words: the whole sequence is one). Words are split at ASCII white space, A-Z lower-cased.
 
     1. Equal sets collapse to their smallest doc_id.
-    2. In each tensored table every member is tested against the bucket's smallest doc_id, so a bucket of
-       n documents gives n - 1 candidates.
-    3. Where tests failed, a cluster (documents joined by any candidate) can hold several components. Only
-       such clusters are compared exhaustively, in blocks of bounded size, sizes too unlike skipped; each
-       block pair returns at most one link for every two components it joins.
+    2. Two documents share a table if they share a partial key in both collections; so only partial keys that some
+       other document has as well are combined into table keys.
+    3. A document is tested against the smallest doc_id that it shares a bucket with: one candidate a document.
+    4. A bucket whose documents are still in several components offers one candidate for each of them, against
+       its least component; candidates of the same two components are one. This goes on while it joins components.
+    5. What is in buckets of several components even then is compared exhaustively within each cluster of such
+       components, in blocks of bounded size: only documents outside a cluster's largest component are probes, sizes
+       too unlike are skipped, and a block pair returns at most one link for every two components it joins.
 
     Two documents at the threshold meet in a bucket with a probability of 0.9998 at least: 10 partial keys in each
-    collection at 85 percent, 13 at 80.
-    Null or empty texts have no shingles and stay alone. Repeated doc_ids share one component and each keeps
-    its row. A null doc_id is its own row with null component_id and kept true. Other columns are ignored.
+    collection at 85 percent, 13 at 80. Whatever shares a bucket and is linked ends in one component.
+    Null or empty texts have no shingles and stay alone; texts of any length are one row's work. Repeated doc_ids share
+    one component, whatever their texts, and each keeps its row. A null doc_id is its own row with null component_id
+    and kept true. An empty table gives no rows. Other columns, clashing names included, are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     m = collection_size(percent, rows)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = scratch.write(source.mapInArrow(_signatures(pa.int64(), width, m, rows), "doc_id long, n_shingles long, set_sum long, set_xor long, first_keys array<long>, second_keys array<long>"), "signatures")
+    sig = scratch.write(source.mapInArrow(_signatures(pa.int64(), width, m, rows), "doc_id long, n_shingles long, set_sum long, set_xor long, parts array<long>"), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_sum", "set_xor"]
-    classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes.select(*same, F.col("rep").alias("doc_id")), ["doc_id", *same], "left_semi")
-    keys = reps.select("doc_id", F.explode(F.flatten(F.transform("first_keys", lambda x: F.transform("second_keys", lambda y: F.xxhash64(x, y))))).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("last > pivot").select("key", "pivot")
-    pairs = scratch.write(keys.join(buckets, "key").where("doc_id <> pivot").select("doc_id", "pivot").distinct(), "pairs")
-
-    ids = scratch.write(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), "ids")
-    wanted = sized_broadcast(ids, ids.count(), 16)
-    sets = scratch.write(source.where("text is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(pa.int64(), width), "doc_id long, shingle_set array<long>").dropDuplicates(["doc_id"]), "sets")
-    a = sets.select("doc_id", F.col("shingle_set").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("pivot"), F.col("shingle_set").alias("set_b"))
-    both, na, nb = F.size(F.array_intersect("set_a", "set_b")).cast("long"), F.size("set_a"), F.size("set_b")
-    longest, shortest = F.greatest(na, nb), F.least(na, nb)
-    linked = F.when(100 * shortest < percent * longest, False).otherwise(100 * both >= percent * (na + nb - both))
-    tested = scratch.write(pairs.join(a, "doc_id").join(b, "pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), linked.alias("linked")), "tested")
-    links = tested.where("linked").select("a", "b")
-
-    if not tested.where("not linked").isEmpty():
-        links = scratch.write(links.union(_contested_links(tested, sets, percent, scratch)), "links")
+    copies = scratch.write(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "copies")
+    member = known.join(sized_broadcast(copies, copies.count(), 32), same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+
+    parts = scratch.write(member.where("doc_id = rep").select("doc_id", "parts"), "reps")
+    buckets = scratch.write(_buckets(parts, m, scratch), "buckets")
+    sets = _sets_of(source, buckets.select("doc_id").distinct(), width, scratch)
+    first = buckets.groupBy(F.col("doc_id").alias("a")).agg(F.min("least").alias("b")).where("b < a")
+    links = scratch.write(_linked(first, sets, percent), "links")
     # A doc_id that comes with several texts ties their classes together.
-    member = known.join(classes, same).select("doc_id", "rep")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
-    tied = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(tied), scratch, "links-cc")
+    tied = scratch.write(member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "tied")
+    labels = components(links.union(tied), scratch, "first")
+    labels = _joined_up(buckets.select("key", "doc_id"), labels, sets, percent, scratch)
 
-    member = member.join(found, member.rep == found.id, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    labels = labels.toDF("rep", "component_id")
+    member = member.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     lone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
     out = sig.select("doc_id", "n_shingles").join(member, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", lone).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _contested_links(tested: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between components that share a cluster, found in blocks."""
-    linked = components(tested.where("linked"), scratch, "tested-cc")
-    clusters = components(tested, scratch, "cluster-cc").withColumnRenamed("component", "cluster")
-    members = clusters.join(linked, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
-    contested = members.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster")
+def _buckets(parts: DataFrame, m: int, scratch: Scratch) -> DataFrame:
+    """(key, doc_id, least): tables' buckets of more than one document, and the smallest doc_id in them."""
+    one = parts.select("doc_id", F.explode("parts").alias("part"))
+    live = one.groupBy("part").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("part")
+    held = scratch.write(one.join(live, "part").groupBy("doc_id").agg(F.collect_set("part").alias("parts")), "live")
+    # Rows are short here and become many: m * m keys each, at most.
+    n = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count() * m * m // KEYS_A_TASK)
+    second = lambda x: F.pmod(x, F.lit(2)) == 1
+    both = F.transform(F.filter("parts", lambda x: ~second(x)), lambda x: F.transform(F.filter("parts", second), lambda y: F.xxhash64(x, y)))
+    keys = held.repartition(n).select("doc_id", F.explode(F.flatten(both)).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("key", "least")
+    return keys.join(shared, "key").select("key", "doc_id", "least")
+
+
+def _sets_of(source: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, shingle_set) of the documents named, each different set of a doc_id once."""
+    ids = scratch.write(ids, "ids")
+    wanted = source.where("text is not null").join(sized_broadcast(ids, ids.count(), 16), "doc_id", "left_semi")
+    found = wanted.mapInArrow(_sets(pa.int64(), width), "doc_id long, shingle_set array<long>").where(F.size("shingle_set") > 0)
+    found = scratch.write(found, "all-sets")
+    again = scratch.write(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    n = again.count()
+    if not n:
+        return found
+    again = sized_broadcast(again, n, 16)
+    return scratch.write(found.join(again, "doc_id", "left_anti").union(found.join(again, "doc_id", "left_semi").distinct()), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, ...), those whose full sets are similar enough."""
+    a = sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b"))
+    na, nb = F.size("set_a"), F.size("set_b")
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return pairs.join(a, "a").join(b, "b").where(fits).where(100 * both >= percent * (na + nb - both)).select(*pairs.columns)
+
+
+def _joined_up(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """labels (id, component) with all links found between components that share a bucket."""
+    k = 0
+    while True:
+        small = sized_broadcast(labels, labels.count(), 16).toDF("doc_id", "component")
+        named = buckets.join(small, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        named = scratch.write(named, f"named-{k}")
+        open_ = named.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("last")).where("lead < last").select("key", "lead")
+        open_ = scratch.write(open_, f"open-{k}")
+        n = open_.count()
+        if not n:
+            return labels
+        buckets = scratch.write(named.join(sized_broadcast(open_, n, 16), "key"), f"buckets-{k}")
+        scratch.drop(f"named-{k}", f"open-{k}", f"buckets-{k - 1}")
+        asked, found = _one_round(buckets, sets, percent, scratch, k)
+        joined = found.count()
+        if joined:
+            labels = _renamed(labels, components(found, scratch, f"round-{k}"), scratch, f"labels-{k}")
+        # Once few candidates join anything, the rest is left to the comparison in blocks.
+        if 20 * joined < asked:
+            break
+        buckets = buckets.select("key", "doc_id")
+        k += 1
+    small = sized_broadcast(labels, labels.count(), 16).toDF("doc_id", "component")
+    named = scratch.write(buckets.select("key", "doc_id").join(small, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")), "named")
+    links = scratch.write(_contested_links(named, sets, percent, scratch), "block-links")
+    return _renamed(labels, components(links, scratch, "blocks"), scratch, "labels")
+
+
+def _one_round(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, k: int) -> tuple[int, DataFrame]:
+    """The number of candidates, and the links that they give between components (a, b)."""
+    draw = F.xxhash64(F.lit(k), "doc_id")
+    chosen = buckets.groupBy("key", "label").agg(F.min_by("doc_id", draw).alias("doc_id"), F.min("lead").alias("lead"))
+    leads = chosen.where("label = lead").select("key", F.col("doc_id").alias("b"))
+    met = chosen.where("label <> lead").join(leads, "key").groupBy("label", "lead").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), "b"), F.xxhash64(F.lit(k), "doc_id", "b")).alias("pair"))
+    met = scratch.write(met.select("pair.a", "pair.b", "label", "lead"), f"asked-{k}")
+    found = _linked(met, sets, percent).select(F.col("label").alias("a"), F.col("lead").alias("b")).distinct()
+    return met.count(), scratch.write(found, f"joined-{k}")
+
+
+def _renamed(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """labels with each component replaced by the one that it joined; components that had no row get one."""
+    found = sized_broadcast(found, found.count(), 16)
+    old = labels.join(found.toDF("component", "now"), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    new = found.toDF("id", "component").join(labels.select("id"), "id", "left_anti")
+    return scratch.write(old.unionByName(new), name)
+
+
+def _contested_links(named: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between components that share a bucket, found in blocks."""
+    lead = named.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("last")).where("lead < last").select("key", "lead")
+    open_ = scratch.write(named.join(lead, "key"), "open")
+    clusters = components(open_.groupBy(F.col("label").alias("a"), F.col("lead").alias("b")).agg(F.lit(1)), scratch, "clusters")
+    members = scratch.write(open_.groupBy("doc_id", "label").agg(F.lit(1)).select("doc_id", "label"), "open-members")
+    members = members.join(sized_broadcast(clusters, clusters.count(), 16).toDF("label", "cluster"), "label")
+    members = scratch.write(members, "members")
+    largest = members.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", "count").alias("main"))
+    largest = scratch.write(largest, "largest")
     # Two linked sizes differ by less than a band, so only equal and neighbouring bands are compared.
     band = F.floor(F.log(F.size("shingle_set")) / F.log(F.lit(100.5 / percent))).cast("int")
-    rows = members.join(contested, "cluster", "left_semi").join(sets.withColumnRenamed("doc_id", "id"), "id").select("cluster", F.col("id").alias("doc_id"), "component", "shingle_set", band.alias("band"))
-    rows = scratch.write(rows, "contested")
-    sizes = rows.groupBy("cluster", "band").agg(F.ceil(F.sum(F.size("shingle_set")) / BLOCK_SHINGLES).alias("n_blocks"))
-    rows = rows.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks"))
-    blocks = scratch.write(rows.groupBy("cluster", "band", "block").agg(F.collect_list(F.struct("doc_id", "component", "shingle_set")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")), "blocks")
-    head = blocks.select("cluster", "band", "block", "lo", "hi")
-    other = head.toDF("cluster", "band_r", "block_r", "lo_r", "hi_r")
-    pairs = head.join(other, "cluster").where("(band_r = band and block_r >= block) or band_r = band + 1").where("least(lo, lo_r) < greatest(hi, hi_r)")
-    pairs = pairs.join(blocks.select("cluster", "band", "block", F.col("members").alias("left")), ["cluster", "band", "block"])
-    right = blocks.select("cluster", F.col("band").alias("band_r"), F.col("block").alias("block_r"), F.col("members").alias("right"))
-    pairs = pairs.join(right, ["cluster", "band_r", "block_r"]).select("left", "right")
-    return pairs.mapInArrow(_block_links(percent), "a long, b long")
+    rows = members.join(sized_broadcast(largest, largest.count(), 16), "cluster").join(sets, "doc_id")
+    rows = scratch.write(rows.select("cluster", "doc_id", "label", (F.col("label") == F.col("main")).alias("main"), "shingle_set", band.alias("band")), "contested")
+    place = ["cluster", "band", "main"]
+    sizes = scratch.write(rows.groupBy(*place).agg(F.ceil(F.sum(F.size("shingle_set")) / BLOCK_SHINGLES).alias("n_blocks")), "sizes")
+    rows = scratch.write(rows.join(sized_broadcast(sizes, sizes.count(), 32), place).withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks")), "blocked")
+    blocks = sizes.select(*place, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    other = blocks.toDF("cluster", "band_r", "main_r", "block_r")
+    later = "band_r = band + 1 or (band_r = band and (not main or main_r) and (main <> main_r or block_r >= block))"
+    pairs = blocks.join(other, "cluster").where("not (main and main_r)").where(later)
+    pairs = scratch.write(pairs.withColumn("within", F.expr("band_r = band and main_r = main and block_r = block")), "block-pairs")
+    pair = F.struct("cluster", "band", "main", "block", "band_r", "main_r", "block_r", "within").alias("pair")
+    left = rows.join(pairs, [*place, "block"]).select(pair, "label", "shingle_set", F.lit(False).alias("right"))
+    theirs = rows.select("cluster", F.col("band").alias("band_r"), F.col("main").alias("main_r"), F.col("block").alias("block_r"), "label", "shingle_set")
+    right = theirs.join(pairs.where("not within"), ["cluster", "band_r", "main_r", "block_r"]).select(pair, "label", "shingle_set", F.lit(True).alias("right"))
+    return left.unionByName(right).groupBy("pair").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
