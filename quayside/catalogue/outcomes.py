@@ -11,7 +11,7 @@ from quayside.catalogue import records as rec
 from quayside.catalogue.converting import SQL as CONVERTED
 from quayside.catalogue.views import view
 from quayside.operators import compare, readiness, reconcile, write
-from quayside.plans.contract import catalog
+from quayside.plans.contract import CONTRACT, catalog
 from quayside.sources.synthetic import organizations
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,17 +100,101 @@ def _frame(s: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return s.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split(", ")))
 
 
-def _classes(s: SparkSession) -> DataFrame:
-    return compare.classify(compare.candidates(s, _FIELDS), _frame(s, _FIELDS, "dataset, source_field"))
+#: Names from any system, with what is known of their values; the last two datasets tell of no entity.
+_NAMES = [
+    *_FIELDS, ("accounts.csv", "acctName"), ("accounts.csv", "industries"), ("accounts.csv", "status"), ("people.csv", "contactMail"), ("people.csv", "mobile_no"), ("subs_export.csv", "renewDts"),
+    ("misc.csv", "status"), ("misc.csv", "email"), ("misc.csv", "foo"), ("extra.csv", "billing_country"), ("extra.csv", "seats"),
+]
+_NAMES = list(dict.fromkeys(_NAMES))
+#: inferred_type, malformed, uppercase, date_formats, iso_pct, non_null, max_length, whitespace: by the place of a name.
+_KNOWN = [
+    ("text", 0, 0, 0, 100.0, 90, 40, 3), ("email", 2, 5, 0, 100.0, 80, 30, 0), ("date", 0, 0, 2, 50.0, 70, 10, 0), ("integer", 0, 0, 0, 100.0, 60, 5, 0), ("datetime", 1, 0, 1, 100.0, 55, 20, 0), ("phone", 3, 0, 0, 100.0, 50, 15, 0), ("empty", 0, 0, 0, 100.0, 0, 0, 0), ("text", 0, 0, 0, 100.0, 40, 3000, 0),
+]
+_FACT_NAMES = ["inferred_type", "malformed", "uppercase", "date_formats", "iso_pct", "non_null", "max_length", "whitespace"]
+_FACTS = [(*name, *_KNOWN[i % len(_KNOWN)]) for i, name in enumerate(_NAMES) if i % 5]
+
+
+def _facts(s: SparkSession) -> DataFrame:
+    df = s.createDataFrame(_FACTS, "dataset string, source_field string, inferred_type string, malformed long, uppercase long, date_formats long, iso_pct double, non_null long, max_length long, whitespace long")
+    known = {"inferred_type", *_FACT_NAMES}
+    more = [x.rsplit(" ", 1) if "<" not in x else x.split(" ", 1) for x in compare.FACTS.replace("string, bigint", "string,bigint").split(", ")]
+    return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in more if name not in known])
 
 
-_PAIRS = [("acct_num", "account_number"), ("contact_mail", "email"), ("start_dt", "start_date"), ("name", "first_name"), ("foo", "email")]
-Q["m01_name_score"] = lambda s, d: s.createDataFrame([(a, b, compare.name_score(compare.tokens(a), compare.tokens(b))) for a, b in _PAIRS], "a string, b string, score double")
-#: By hand: equal sets, mean of 1/2 and 1, equal sets, generic words alone, nothing in common.
-SQL["m01_name_score"] = "SELECT a, b, CAST(score AS DOUBLE) AS score FROM (VALUES ('acct_num', 'account_number', 1.0), ('contact_mail', 'email', 0.75), ('start_dt', 'start_date', 1.0), ('name', 'first_name', 0.5), ('foo', 'email', 0.0)) AS t(a, b, score)"
-Q["m02_candidates"] = lambda s, d: compare.candidates(s, _FIELDS)
+def _candidates(s: SparkSession) -> DataFrame:
+    return compare.judged(compare.candidates(_frame(s, _NAMES, "dataset, source_field"), catalog(s)), _facts(s), catalog(s))
+
+
+def _classes(s: SparkSession) -> DataFrame:
+    return compare.classify(_candidates(s), _frame(s, _NAMES, "dataset, source_field"))
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _map(pairs: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+
+
+def _words(name: str) -> str:
+    split = rf"regexp_extract_all(lower(regexp_replace({name}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+')"
+    one = "CASE WHEN w LIKE '%ies' AND len(w) > 4 THEN left(w, len(w) - 3) || 'y' WHEN w LIKE '%s' AND len(w) > 3 AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, len(w) - 1) ELSE w END"
+    synonyms = f"lambda w: coalesce({_map(compare.SYNONYMS)}[w], w)"
+    return f"list_transform(list_transform(list_transform({split}, lambda w: {one}), {synonyms}), {synonyms})"
+
+
+def _bare(tokens: str, entity: str) -> str:
+    own = " OR ".join(f"({entity} = '{k}' AND {tokens}[1] IN ({', '.join(f"'{w}'" for w in v)}))" for k, v in compare.PREFIXES.items())
+    return f"CASE WHEN len({tokens}) > 1 AND ({own}) THEN {tokens}[2:] ELSE {tokens} END"
+
+
+def _score(a: str, b: str) -> str:
+    generic = _list(compare.GENERIC)
+    weight = lambda x: f"list_sum(list_transform({x}, lambda w: CASE WHEN list_contains({generic}, w) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END))"
+    a, b = f"list_distinct({a})", f"list_distinct({b})"
+    both, either = f"list_intersect({a}, {b})", f"list_distinct(list_concat({a}, {b}))"
+    jaccard = f"{weight(both)} / {weight(either)}"
+    mean = f"CASE WHEN len(list_filter({both}, lambda w: NOT list_contains({generic}, w))) > 0 THEN ({jaccard} + {weight(both)} / least({weight(a)}, {weight(b)})) / 2 ELSE {jaccard} END"
+    return f"CASE WHEN len({both}) = 0 THEN 0.0::DOUBLE WHEN len({both}) = len({a}) AND len({both}) = len({b}) THEN 1.0::DOUBLE ELSE round_even(({mean}) * 100, 0) / 100 END"
+
+
+_PAIRS = [("acct_num", "account_number"), ("contact_mail", "email"), ("start_dt", "start_date"), ("name", "first_name"), ("foo", "email"), ("", "email"), ("hqState", "billing_region"), ("companies", "organization"), ("status", "bus status")]
+Q["m01_name_score"] = lambda s, d: _frame(s, _PAIRS, "a, b").select("a", "b", compare.name_score(compare.words(F.col("a")), compare.words(F.col("b"))).alias("score"))
+SQL["m01_name_score"] = f"SELECT a, b, {_score('x', 'y')} AS score FROM (SELECT a, b, {_words('a')} AS x, {_words('b')} AS y FROM {_values(_PAIRS, 'a, b')})"
+_CATALOG = _values([(k, *k.split(".", 1), f.kind, "yes" if f.required else "no", f.pattern, None if f.max_length is None else str(f.max_length)) for k, f in CONTRACT.items()], "target, entity, field, kind, required, pattern, longest")
+_ENTITY = lambda name: f"list_filter(list_transform({_words(rf"regexp_replace({name}, '\.[^.]*$', '')")}, lambda w: {_map(compare.ENTITY_WORDS)}[w]), lambda w: w IS NOT NULL)[1]"
+_PARTS = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+_CANDIDATES = f"""SELECT *, row_number() OVER (PARTITION BY dataset, source_field ORDER BY in_entity DESC, score DESC, target) AS place FROM
+(SELECT dataset, source_field, own_entity, target, entity, field, own_entity IS NULL OR own_entity = entity AS in_entity, greatest({_score('mine', 'bare_b')}, {_score('mine', 'b')}) AS score FROM
+(SELECT *, {_bare('a', 'own_entity')} AS mine, {_bare('b', 'entity')} AS bare_b FROM
+(SELECT dataset, source_field, {_ENTITY('dataset')} AS own_entity, {_words('source_field')} AS a FROM {_values(_NAMES, 'dataset, source_field')}) AS f,
+(SELECT target, entity, field, {_words('field')} AS b FROM {_CATALOG}) AS t WHERE len(list_intersect(a, b)) > 0)) WHERE score >= CASE WHEN in_entity THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END"""
+_FACT_SQL = _values([tuple(None if v is None else str(v) for v in r) for r in _FACTS], ", ".join(["dataset", "source_field", *_FACT_NAMES]))
+_FIT = """CASE WHEN inferred_type IS NULL THEN 'ok' WHEN inferred_type = 'empty' OR kind = 'enum' THEN 'incompatible'
+WHEN kind IN ('date', 'datetime') THEN CASE WHEN inferred_type NOT IN ('date', 'datetime') THEN 'incompatible' WHEN CAST(date_formats AS INT) > 1 OR CAST(iso_pct AS DOUBLE) < 100 OR CAST(malformed AS INT) > 0 OR inferred_type <> kind THEN 'transform' ELSE 'ok' END
+WHEN kind IN ('integer', 'decimal') THEN CASE WHEN inferred_type NOT IN ('integer', 'decimal') THEN 'incompatible' WHEN inferred_type = 'decimal' AND kind = 'integer' THEN 'transform' ELSE 'ok' END
+WHEN kind = 'boolean' THEN 'incompatible' WHEN kind = 'url' THEN 'incompatible' WHEN kind = 'list' THEN 'transform'
+WHEN kind = 'email' THEN CASE WHEN inferred_type <> 'email' THEN 'incompatible' WHEN CAST(malformed AS INT) + CAST(uppercase AS INT) > 0 THEN 'transform' ELSE 'ok' END
+WHEN inferred_type = 'phone' THEN CASE WHEN CAST(non_null AS INT) > 0 OR CAST(malformed AS INT) > 0 THEN 'transform' ELSE 'ok' END
+WHEN CAST(max_length AS INT) > CAST(longest AS INT) THEN 'transform' ELSE 'ok' END"""
+_JUDGED = f"SELECT c.*, {_FIT} AS fit FROM ({_CANDIDATES}) AS c JOIN (SELECT target, kind, longest FROM {_CATALOG}) AS k USING (target) LEFT JOIN {_FACT_SQL} AS f ON f.dataset = c.dataset AND f.source_field = c.source_field"
+_CLASSES = f"""SELECT dataset, source_field, CASE WHEN settled THEN CASE fit WHEN 'incompatible' THEN 'incompatible' WHEN 'transform' THEN 'transformation_required' ELSE 'matched' END WHEN n > 0 THEN 'ambiguous' ELSE 'unmapped' END AS class, CASE WHEN settled THEN best_target END AS target FROM
+(SELECT *, coalesce(best >= 0.7::DOUBLE AND (second < 0.7::DOUBLE OR best - second >= 0.25::DOUBLE) AND (own_entity IS NOT NULL OR strong = 1), false) AS settled FROM {_values(_NAMES, 'dataset, source_field')} AS f LEFT JOIN
+(SELECT dataset, source_field, count(*) AS n, max(own_entity) AS own_entity, max(target) FILTER (WHERE in_entity AND place = 1) AS best_target, max(score) FILTER (WHERE in_entity AND place = 1) AS best, max(fit) FILTER (WHERE in_entity AND place = 1) AS fit,
+coalesce(max(score) FILTER (WHERE in_entity AND place = 2), 0) AS second, count(DISTINCT entity) FILTER (WHERE in_entity AND score >= 0.7::DOUBLE) AS strong FROM ({_JUDGED}) GROUP BY dataset, source_field) AS b USING (dataset, source_field))"""
+Q["m02_candidates"] = lambda s, d: _candidates(s).select("dataset", "source_field", "own_entity", "target", "in_entity", "score", "match", "place", "compatibility")
+SQL["m02_candidates"] = f"SELECT dataset, source_field, own_entity, target, in_entity, score, CASE WHEN score < 1 THEN 'partial' WHEN {_PARTS('source_field')} = {_PARTS('field')} THEN 'exact' ELSE 'synonym' END AS match, place, fit AS compatibility FROM ({_JUDGED})"
 Q["m03_classify"] = lambda s, d: _classes(s)
-Q["m04_coverage"] = lambda s, d: compare.coverage(_classes(s), catalog(s))
+SQL["m03_classify"] = _CLASSES
+Q["m04_coverage"] = lambda s, d: compare.coverage(_classes(s), _candidates(s), catalog(s))
+_LISTED = lambda k: f"coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE held = {k}), '')"
+SQL["m04_coverage"] = f"""WITH c AS MATERIALIZED ({_CLASSES}), j AS ({_CANDIDATES}),
+h AS (SELECT target, max(held) AS held FROM (SELECT target, 2 AS held FROM c WHERE class IN ('matched', 'transformation_required') UNION ALL SELECT j.target, 1 FROM j JOIN c ON c.dataset = j.dataset AND c.source_field = j.source_field WHERE c.class = 'ambiguous' AND in_entity AND place <= 5) GROUP BY target)
+SELECT entity, count(*) AS required, {_N("held = 2")} AS covered, {_LISTED(1)} AS candidate_only, {_LISTED(0)} AS missing FROM
+(SELECT k.entity, field, coalesce(held, 0) AS held FROM {_CATALOG} AS k LEFT JOIN h ON h.target = k.target WHERE required = 'yes' AND k.entity IN (SELECT {_ENTITY('dataset')} FROM c)) GROUP BY entity"""
+Q["m07_class_counts"] = lambda s, d: compare.class_counts(_classes(s))
+SQL["m07_class_counts"] = f"SELECT class, count(*) AS n FROM ({_CLASSES}) GROUP BY class"
 Q["m05_check_proposal"] = lambda s, d: compare.check_proposal(_frame(s, _PROPOSED, "source_field, target"), _frame(s, [(n,) for n, _ in _GOLDEN], "source_field"), catalog(s))
 _P, _G = _values(_PROPOSED, "source_field, target"), _values(_GOLDEN, "source_field, expected")
 SQL["m05_check_proposal"] = f"""SELECT 'missing_field' AS problem, source_field AS name FROM {_G} WHERE source_field NOT IN (SELECT source_field FROM {_P})

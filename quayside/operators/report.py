@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def table(df: DataFrame, limit: int = 200) -> str:
-    """The first rows of a small frame; the caller orders it."""
+def table(df: DataFrame, limit: int | None = None) -> str:
+    """All rows of a frame that is one row per group, in the caller's order; with a limit, a last line says how many of them."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = df.limit(limit).collect()
+    rows = df.collect() if limit is None else df.limit(limit).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])
+    shown = [] if limit is None or len(rows) < limit else [f"\n{len(rows)} of {df.count()} rows"]
+    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows], *shown])
 
 
 def render(title: str, gates: DataFrame, coverage: DataFrame, work: DataFrame, checks: DataFrame, notes: DataFrame) -> str:

@@ -19,8 +19,8 @@ class Field:
     pattern: str | None = None
 
 
-def _enum(words: str, required: bool = True, default: str | None = None) -> Field:
-    return Field("enum", required and default is None, tuple(words.split()), default)
+def _enum(*words: str, required: bool = True, default: str | None = None) -> Field:
+    return Field("enum", required and default is None, words, default)
 
 
 _ID = Field("identifier", True, max_length=64, min_length=1, pattern=r"^[A-Za-z0-9][A-Za-z0-9_.-]*$")
@@ -30,9 +30,9 @@ _NAME = Field("string", True, max_length=100, min_length=1)
 CONTRACT: dict[str, Field] = {
     "organization.organization_id": _ID,
     "organization.name": Field("string", True, max_length=200, min_length=1),
-    "organization.lifecycle_status": _enum("prospect active inactive churned"),
-    "organization.industry": _enum("manufacturing construction energy logistics healthcare technology professional_services other", default="other"),
-    "organization.account_priority": _enum("standard priority strategic", default="standard"),
+    "organization.lifecycle_status": _enum("prospect", "active", "inactive", "churned"),
+    "organization.industry": _enum("manufacturing", "construction", "energy", "logistics", "healthcare", "technology", "professional_services", "other", default="other"),
+    "organization.account_priority": _enum("standard", "priority", "strategic", default="standard"),
     "organization.billing_country": Field("string", True, pattern=r"^[A-Z]{2}$"),
     "organization.billing_region": Field("string", max_length=10),
     "organization.website": Field("url"),
@@ -46,20 +46,20 @@ CONTRACT: dict[str, Field] = {
     "contact.first_name": _NAME,
     "contact.last_name": _NAME,
     "contact.phone": Field("string", pattern=r"^\+[1-9]\d{6,14}$"),
-    "contact.role": _enum("primary billing technical executive other", default="other"),
+    "contact.role": _enum("primary", "billing", "technical", "executive", "other", default="other"),
     "contact.is_primary": Field("boolean", default="false"),
     "subscription.subscription_id": _ID,
     "subscription.organization_id": _ID,
-    "subscription.plan": _enum("starter professional enterprise"),
-    "subscription.billing_cycle": _enum("monthly annual"),
-    "subscription.status": _enum("trial active past_due cancelled"),
+    "subscription.plan": _enum("starter", "professional", "enterprise"),
+    "subscription.billing_cycle": _enum("monthly", "annual"),
+    "subscription.status": _enum("trial", "active", "past_due", "cancelled"),
     "subscription.seats": Field("integer", True, minimum=1),
     "subscription.start_date": Field("date", True),
     "subscription.renewal_date": Field("date", True),
     "subscription.mrr_usd": Field("decimal", True, minimum=0),
     "activity.activity_id": _ID,
     "activity.organization_id": _ID,
-    "activity.kind": _enum("invoice payment support_ticket login note"),
+    "activity.kind": _enum("invoice", "payment", "support_ticket", "login", "note"),
     "activity.occurred_at": Field("datetime", True),
     "activity.amount_usd": Field("decimal", minimum=0),
     "activity.description": Field("string", max_length=1000),
@@ -77,6 +77,6 @@ def entity_fields(entity: str) -> dict[str, Field]:
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """(target, entity, field, kind, required, position): one row per field; its size is that of the contract."""
-    rows = [(k, *k.split(".", 1), f.kind, f.required, i) for i, (k, f) in enumerate(CONTRACT.items())]
-    return spark.createDataFrame(rows, "target string, entity string, field string, kind string, required boolean, position int")
+    """One row per field with its limits; the frame's size is that of the contract."""
+    rows = [(k, *k.split(".", 1), f.kind, f.required, i, list(f.enum), f.pattern, None if f.minimum is None else float(f.minimum), f.max_length) for i, (k, f) in enumerate(CONTRACT.items())]
+    return spark.createDataFrame(rows, "target string, entity string, field string, kind string, required boolean, position int, enum array<string>, pattern string, minimum double, max_length int")

@@ -7,12 +7,14 @@ from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.functions import cells
 from quayside.functions.converters import Context, apply_chain
 from quayside.operators import compare, readiness, reconcile, write
 from quayside.operators.profile import quality_issues
 from quayside.plans.config import ValueMap, config_from
+from quayside.plans.contract import catalog
 from quayside.plans.drafts import UndecidedFields, build_plan
 from quayside.plans.example_config import EXAMPLE
 from quayside.sources import files, paged
@@ -69,10 +71,32 @@ def test_config_is_closed():
     assert build_plan("d", [("a", "contact.email", "approved"), ("b", None, "ignored")]).emits() == ()
 
 
-def test_names():
-    assert compare.tokens("acct_num") == ["organization", "number"] and compare.tokens("contactMail") == ["contact", "email"]
-    assert compare.infer_entity("activity.csv") == "activity" and compare.infer_entity("misc.csv") is None
-    assert compare.name_score(["email"], ["email"]) == 1.0 and compare.name_score(["name"], ["first", "name"]) == 0.5 and compare.name_score([], ["a"]) == 0.0
+def test_names(spark):
+    names = ["acct_num", "contactMail", "companies", "bus_status", ""]
+    assert column(spark, names, compare.words) == [["organization", "number"], ["contact", "email"], ["organization"], ["bus", "status"], []]
+    assert column(spark, ["activity.csv", "misc.csv", "customer.people.v2"], compare.entity_of) == ["activity", None, "organization"]
+    df = spark.createDataFrame([(["email"], ["email"]), (["name"], ["first", "name"]), ([], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(compare.name_score(F.col("a"), F.col("b"))).collect()] == [1.0, 0.5, 0.0]
+
+
+def test_classes_of_fields(spark):
+    """A strong name in two entities is no match where the entity is unknown; values decide the rest."""
+    names = [("contacts.csv", "email"), ("contacts.csv", "phone"), ("misc.csv", "status"), ("misc.csv", "email"), ("organizations.csv", "industry"), ("organizations.csv", "zzz"), ("organizations.csv", "customer_since")]
+    fields = spark.createDataFrame(names, "dataset string, source_field string")
+    given = {
+        ("contacts.csv", "email"): {"inferred_type": "email"}, ("contacts.csv", "phone"): {"inferred_type": "phone", "e164": 3, "non_null": 5}, ("misc.csv", "email"): {"inferred_type": "text"},
+        ("organizations.csv", "industry"): {"inferred_type": "category", "value_counts": {"Energy ": 3, "energy": 1}}, ("organizations.csv", "customer_since"): {"inferred_type": "date", "date_formats": 2, "iso_pct": 50.0},
+    }
+    schema = T._parse_datatype_string(f"dataset string, source_field string, {compare.FACTS}")
+    facts = spark.createDataFrame([tuple({"dataset": k[0], "source_field": k[1], **v}.get(f.name) for f in schema) for k, v in given.items()], schema)
+    found = compare.judged(compare.candidates(fields, catalog(spark)), facts, catalog(spark))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in compare.classify(found, fields).collect()}
+    assert got == {
+        ("contacts.csv", "email"): ("matched", "contact.email"), ("contacts.csv", "phone"): ("transformation_required", "contact.phone"), ("misc.csv", "status"): ("ambiguous", None), ("misc.csv", "email"): ("incompatible", "contact.email"),
+        ("organizations.csv", "industry"): ("transformation_required", "organization.industry"), ("organizations.csv", "zzz"): ("unmapped", None), ("organizations.csv", "customer_since"): ("transformation_required", "organization.customer_since"),
+    }
+    notes = {r.source_field: r.notes for r in found.where("place = 1").collect()}
+    assert notes["phone"] == ["not E.164"] and notes["industry"] == ["other spellings"] and notes["customer_since"] == ["date formats: 2"]
 
 
 def test_store_is_idempotent(spark, tmp_path):
