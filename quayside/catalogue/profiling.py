@@ -125,7 +125,7 @@ big = lambda e: f"CAST({e} AS BIGINT)"
 n_if = lambda c: f"CAST(coalesce(sum(n) FILTER (WHERE {c}), 0) AS BIGINT)"
 
 add("p01_tag_counts", per_source(p.tag_counts, "customer", "pages", "events", "messy_contacts"), f"WITH {values_sql('customer', 'pages', 'events', 'messy_contacts')} SELECT src, col, tag, {big('sum(n)')} AS n FROM vals GROUP BY ALL")
-add("p02_null_blank_placeholder", per_source(p.null_facts, "messy_organizations"), f"""WITH {values_sql("messy_organizations")}
+add("p02_null_blank_placeholder", per_source(lambda v: p.null_facts(v).drop("pos"), "messy_organizations"), f"""WITH {values_sql("messy_organizations")}
 SELECT src, col, {big("sum(n)")} AS n_rows, {n_if("tag NOT IN ('blank', 'placeholder')")} AS non_null, {n_if("tag = 'blank'")} AS blank, {n_if("tag = 'placeholder'")} AS placeholder,
 {n_if("tag NOT IN ('blank', 'placeholder') AND (raw <> v OR contains(raw, '  '))")} AS whitespace, {big("coalesce(max(length(v)) FILTER (WHERE tag NOT IN ('blank', 'placeholder')), 0)")} AS max_length FROM vals GROUP BY src, col""")
 add("p03_distinct_unique", per_source(p.distinct_facts, "customer", "messy_organizations"), f"WITH {values_sql('customer', 'messy_organizations')} SELECT src, col, {big('count(*)')} AS distinct_count, round_even(100.0 * count(*) / CAST(sum(n) AS DOUBLE), 1) AS unique_pct FROM said GROUP BY src, col")
@@ -165,7 +165,7 @@ SELECT src, col, {big("count(*)")} AS spellings, {n_if("NOT canon")} AS variants
 _NORM = r"trim(regexp_replace(lower(v), '\s+', ' ', 'g'), ' .,;')"
 add("p15_normalized_duplicates", per_source(p.normalized_duplicates, "messy_organizations", "messy_contacts"), f"WITH {values_sql('messy_organizations', 'messy_contacts')} SELECT src, col, {big(f'sum(n) - count(DISTINCT {_NORM})')} AS duplicates FROM said GROUP BY src, col")
 add("p16_exact_duplicates", lambda spark, d: p.exact_duplicates(view(spark, d, "documents"), "doc_id"), "SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang, source, n_chars)")
-add("p17_key_facts", lambda spark, d: view(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_keys"), F.sum(F.col("c") - 1).alias("duplicates")),
+add("p17b_key_counts", lambda spark, d: view(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_keys"), F.sum(F.col("c") - 1).alias("duplicates")),
     "SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_keys, CAST(sum(c - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 
 
@@ -189,6 +189,14 @@ types AS (SELECT DISTINCT vals.src, vals.col, vals.pos, coalesce(kind, 'empty')
 add("p18_type_decision", per_source(p.column_types, "customer", "orders", "pages", "messy_organizations", "messy_contacts", "messy_subscriptions", "messy_activity"), f"WITH {types_sql('customer', 'orders', 'pages', 'messy_organizations', 'messy_contacts', 'messy_subscriptions', 'messy_activity')} SELECT src, col, pos, inferred_type FROM types")
 
 
+_KEYED = ["messy_organizations", "messy_contacts", "messy_subscriptions", "messy_activity"]
+add("p17_key_facts", per_source(p.key_facts, *_KEYED), f"""WITH {types_sql(*_KEYED)},
+a AS (SELECT src, col, sum(n) AS n_rows, coalesce(sum(n) FILTER (WHERE tag NOT IN ('blank', 'placeholder')), 0) AS filled FROM vals GROUP BY src, col),
+f AS (SELECT src, col, pos, inferred_type, n_rows, filled, coalesce(d, 0) AS d, CASE WHEN coalesce(d, 0) = 0 THEN 0.0 ELSE round_even(100.0 * d / CAST(filled AS DOUBLE), 1) END AS u FROM types JOIN a USING (src, col) LEFT JOIN (SELECT src, col, count(*) AS d FROM said GROUP BY src, col) USING (src, col)),
+g AS (SELECT *, {sql_re("col", cells.KEY_HINT)} AND inferred_type IN ('identifier', 'integer', 'code', 'text') AND u >= 90 AND round_even(100.0 * (n_rows - filled) / CAST(n_rows AS DOUBLE), 1) <= 20 AS fits FROM f)
+SELECT src, col, {big("n_rows - filled")} AS missing, {big("filled - d")} AS duplicates, fits AND row_number() OVER (PARTITION BY src ORDER BY fits DESC, u DESC, pos) = 1 AS is_key FROM g""")
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     orders = view(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), F.col("o_custkey").alias("k"))
     customer = view(spark, d, "customer").select(F.col("c_custkey").alias("k"))

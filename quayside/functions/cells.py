@@ -98,12 +98,13 @@ def parse_as(v: Column, fmt: str) -> Column:
 
 
 def first_format(v: Column, formats: list[str]) -> tuple[Column, Column]:
-    """(time, format) of the first format that reads v."""
+    """(time, format) of the first format that reads v. One pattern for all of them keeps other texts from being tried."""
+    likely = v.rlike("|".join(format_pattern(f) for f in formats))
     each = [parse_as(v, f) for f in formats]
     label = F.lit(None).cast("string")
     for f, ts in reversed(list(zip(formats, each, strict=True))):
         label = F.when(ts.isNotNull(), f).otherwise(label)
-    return F.coalesce(*each), label
+    return F.when(likely, F.coalesce(*each)), F.when(likely, label)
 
 
 def zone_offset_minutes(v: Column) -> Column:
@@ -128,7 +129,7 @@ def phone_digits(v: Column) -> Column:
 
 
 def tag(raw: Column) -> Column:
-    """One of sixteen labels; the more specific shapes come first."""
+    """What a cell looks like, one of sixteen labels; a label is tried only on what no label before it takes."""
     v = strip(raw)
     date, _ = first_format(v, DATE_FORMATS)
     time, _ = first_format(v, DATETIME_FORMATS)

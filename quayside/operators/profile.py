@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import cells
+from quayside.plans.drafts import barrier
 
 TAGS = ["blank", "placeholder", "integer", "decimal", "numeric_text", "date", "datetime", "email", "email_malformed", "url", "url_no_scheme", "phone", "phone_short", "identifier", "code", "text"]
 TOP_VALUES, FULL_COUNTS, SAMPLES, TOP_SHAPES, VARIANTS, EXAMPLES = 10, 50, 5, 5, 10, 5
@@ -44,13 +45,36 @@ def null_facts(values: DataFrame) -> DataFrame:
     said = ~F.col("tag").isin("blank", "placeholder")
     stray = said & ((F.col("raw") != F.col("v")) | F.col("raw").contains("  "))
     return values.groupBy("col").agg(
-        F.sum("n").alias("n_rows"), _n(said).alias("non_null"), _n(F.col("tag") == "blank").alias("blank"), _n(F.col("tag") == "placeholder").alias("placeholder"),
+        F.any_value("pos").alias("pos"), F.sum("n").alias("n_rows"), _n(said).alias("non_null"), _n(F.col("tag") == "blank").alias("blank"), _n(F.col("tag") == "placeholder").alias("placeholder"),
         _n(stray).alias("whitespace"), F.coalesce(F.max(F.when(said, F.length("v"))), F.lit(0)).cast("long").alias("max_length"),
     )
 
 
+def value_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
+    """Per column, all that its values tell, in one aggregate; what a caller leaves out is not computed."""
+    truth = F.when(F.lower("v").isin(cells.TRUE_WORDS), True).when(F.lower("v").isin(cells.FALSE_WORDS), False)
+    number = F.when(F.col("tag").isin("integer", "decimal", "numeric_text"), cells.parse_number(F.col("v")))
+    own = with_dates(present(values)).withColumns({"number": number, "digits": cells.phone_digits(F.col("v")), "truth": truth, "folded": F.lower("v")})
+    c, n, is_, numbers = F.col, F.col("n"), lambda *tags: F.col("tag").isin(*tags), F.col("number").isNotNull()
+    short = c("digits").isNull() | (F.length("digits") < 10)
+    commonest = lambda truth: F.coalesce(F.max(F.when(truth, n)), F.lit(0))
+    ever = lambda condition: F.max(F.coalesce(condition, F.lit(False)).cast("int"))
+    return own.groupBy("col").agg(
+        F.sum("n").alias("said"), F.count("*").alias("distinct_count"), cells.percent(F.count("*"), F.sum("n")).alias("unique_pct"),
+        F.min("number").alias("min"), F.max("number").alias("max"), F.bround(F.sum(c("number") * n) / F.sum(F.when(numbers, n)), 2).alias("mean"), _n(numbers).alias("numbers"), _n(~numbers).alias("bad_number"),
+        _n(is_("numeric_text")).alias("numeric_text"), _n(is_("decimal")).alias("decimals"), _n(c("number") != F.floor("number")).alias("fractional"),
+        _n(c("fmt").isNotNull()).alias("dates"), _n(c("fmt").isNull()).alias("bad_date"), F.size(F.collect_set("fmt")).cast("long").alias("n_formats"), _n(c("fmt").isin(cells.ISO_DATE)).alias("iso_dates"), _n(c("fmt").isin(cells.ISO_DATETIME)).alias("iso_datetimes"),
+        _n(c("at").cast("date") > F.lit(as_of).cast("date")).alias("future"), F.min("at").alias("min_at"), F.max("at").alias("max_at"),
+        _n(~is_("email")).alias("bad_email"), _n(is_("email") & (c("v") != c("folded"))).alias("uppercase"), _n(is_("url_no_scheme")).alias("no_scheme"), _n(~is_("url", "url_no_scheme")).alias("bad_url"),
+        _n(short).alias("bad_phone"), _n(~short & c("v").rlike(r"^\+\d+$")).alias("e164"), _n(~is_("identifier", "integer", "code")).alias("bad_identifier"),
+        (F.sum("n") - commonest(c("truth")) - commonest(~c("truth"))).alias("variants"), _n(c("truth").isNull()).alias("not_boolean"),
+        ever(c("truth").isNull()).alias("other_words"), ever(~c("folded").isin("0", "1")).alias("beyond_01"), ever(cells.parse_number(c("v")) != F.floor(cells.parse_number(c("v")))).alias("fractions"),
+        *[_n(is_(t)).alias(f"t_{t}") for t in TAGS[2:]],
+    )
+
+
 def distinct_facts(values: DataFrame) -> DataFrame:
-    return present(values).groupBy("col").agg(F.count("*").alias("distinct_count"), cells.percent(F.count("*"), F.sum("n")).alias("unique_pct"))
+    return value_facts(values).select("col", "distinct_count", "unique_pct")
 
 
 def _ranked(df: DataFrame, keep: int, *order: Column) -> DataFrame:
@@ -86,12 +110,7 @@ def case_variants(values: DataFrame) -> DataFrame:
 
 
 def number_stats(values: DataFrame) -> DataFrame:
-    number = F.when(F.col("tag").isin("integer", "decimal", "numeric_text"), cells.parse_number(F.col("v")))
-    own = present(values).withColumn("number", number)
-    return own.groupBy("col").agg(
-        F.min("number").alias("min"), F.max("number").alias("max"), F.bround(F.sum(F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n"))), 2).alias("mean"),
-        _n(F.col("number").isNotNull()).alias("parsed"), _n(F.col("number").isNull()).alias("malformed"), _n(F.col("tag") == "numeric_text").alias("numeric_text"), _n(F.col("tag") == "decimal").alias("decimals"), _n((F.col("number") != F.floor("number"))).alias("fractional"),
-    )
+    return value_facts(values).select("col", "min", "max", "mean", F.col("numbers").alias("parsed"), F.col("bad_number").alias("malformed"), "numeric_text", "decimals", "fractional")
 
 
 def with_dates(df: DataFrame) -> DataFrame:
@@ -109,36 +128,24 @@ def date_formats(values: DataFrame) -> DataFrame:
 
 
 def date_stats(values: DataFrame, as_of: str) -> DataFrame:
-    own = with_dates(present(values))
-    iso = lambda formats: _n(F.col("fmt").isin(formats))
-    return own.groupBy("col").agg(
-        _n(F.col("fmt").isNotNull()).alias("parsed"), _n(F.col("fmt").isNull()).alias("malformed"), F.countDistinct("fmt").alias("n_formats"),
-        iso(cells.ISO_DATE).alias("iso_dates"), iso(cells.ISO_DATETIME).alias("iso_datetimes"),
-        _n(F.col("at").cast("date") > F.lit(as_of).cast("date")).alias("future"), F.min("at").alias("min_at"), F.max("at").alias("max_at"),
-    )
+    return value_facts(values, as_of).select("col", F.col("dates").alias("parsed"), F.col("bad_date").alias("malformed"), "n_formats", "iso_dates", "iso_datetimes", "future", "min_at", "max_at")
 
 
 def email_stats(values: DataFrame) -> DataFrame:
-    return present(values).groupBy("col").agg(_n(F.col("tag") != "email").alias("malformed"), _n((F.col("tag") == "email") & (F.col("v") != F.lower("v"))).alias("uppercase"))
+    return value_facts(values).select("col", F.col("bad_email").alias("malformed"), "uppercase")
 
 
 def url_stats(values: DataFrame) -> DataFrame:
-    return present(values).groupBy("col").agg(_n(F.col("tag") == "url_no_scheme").alias("no_scheme"), _n(~F.col("tag").isin("url", "url_no_scheme")).alias("malformed"))
+    return value_facts(values).select("col", "no_scheme", F.col("bad_url").alias("malformed"))
 
 
 def phone_stats(values: DataFrame) -> DataFrame:
-    digits = cells.phone_digits(F.col("v"))
-    short = digits.isNull() | (F.length(digits) < 10)
-    return present(values).groupBy("col").agg(_n(short).alias("malformed"), _n(~short & F.col("v").rlike(r"^\+\d+$")).alias("e164"))
+    return value_facts(values).select("col", F.col("bad_phone").alias("malformed"), "e164")
 
 
 def boolean_stats(values: DataFrame) -> DataFrame:
     """Spellings, and cells that use neither the commonest spelling of true nor that of false."""
-    truth = F.when(F.lower("v").isin(cells.TRUE_WORDS), "true").when(F.lower("v").isin(cells.FALSE_WORDS), "false")
-    own = present(values).withColumn("truth", truth)
-    first = F.row_number().over(Window.partitionBy("col", "truth").orderBy(F.desc("n"), F.asc("first")))
-    own = own.withColumn("canon", F.col("truth").isNotNull() & (first == 1))
-    return own.groupBy("col").agg(F.count("*").alias("spellings"), _n(~F.col("canon")).alias("variants"), _n(F.col("truth").isNull()).alias("not_boolean"))
+    return value_facts(values).select("col", F.col("distinct_count").alias("spellings"), "variants", "not_boolean")
 
 
 def normalized_duplicates(values: DataFrame) -> DataFrame:
@@ -152,22 +159,14 @@ def exact_duplicates(df: DataFrame, *ignored: str) -> DataFrame:
     return own.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def column_types(values: DataFrame) -> DataFrame:
-    """(col, inferred_type) by the tags that dominate; one row for each column."""
-    lowered = F.lower("v")
-    own = present(values)
-    sums = {t: _n(F.col("tag") == t).alias(f"t_{t}") for t in TAGS[2:]}
-    number = cells.parse_number(F.col("v"))
-    flags = own.groupBy("col").agg(
-        F.sum("n").alias("n"), F.count("*").alias("d"), F.max((~lowered.isin(cells.TRUE_WORDS + cells.FALSE_WORDS)).cast("int")).alias("other_words"),
-        F.max((~lowered.isin("0", "1")).cast("int")).alias("beyond_01"), F.max(F.coalesce((number != F.floor(number)), F.lit(False)).cast("int")).alias("fractions"), *sums.values(),
-    )
-    share = lambda *tags: sum((F.col(f"t_{t}") for t in tags), F.lit(0)) / F.col("n")
+def inferred_type() -> Column:
+    """A column's type by the tags that dominate its value_facts."""
+    share = lambda *tags: sum((F.col(f"t_{t}") for t in tags), F.lit(0)) / F.col("said")
     named = lambda pattern: F.col("col").rlike(pattern)
     numeric = share("integer", "decimal", "numeric_text")
     all_integers = F.col("t_decimal") + F.col("t_numeric_text") == 0
-    kind = (
-        F.when(F.col("n").isNull(), "empty")
+    return (
+        F.when(F.col("said").isNull(), "empty")
         .when((F.col("other_words") == 0) & ((F.col("beyond_01") == 1) | named(cells.BOOLEAN_HINT)), "boolean")
         .when(named(cells.PHONE_HINT) & (share("phone", "phone_short", "integer") >= 0.6), "phone")
         .when(share("identifier") >= 0.6, "identifier")
@@ -177,19 +176,32 @@ def column_types(values: DataFrame) -> DataFrame:
         .when(share("url", "url_no_scheme") >= 0.6, "url")
         .when(share("phone", "phone_short") >= 0.6, "phone")
         .when(share("code") >= 0.6, "code")
-        .when((F.col("d") <= 25) & (F.col("n") >= 20) & (F.col("d") / F.col("n") <= 0.1), "category")
+        .when((F.col("distinct_count") <= 25) & (F.col("said") >= 20) & (F.col("distinct_count") / F.col("said") <= 0.1), "category")
         .otherwise("text")
     )
-    return values.select("col", "pos").distinct().join(flags, "col", "left").select("col", "pos", kind.alias("inferred_type"))
 
 
-def key_facts(values: DataFrame) -> DataFrame:
-    """Per column: missing (null-like) and duplicate values, and whether it is the key of the table."""
-    facts = null_facts(values).join(distinct_facts(values), "col", "left").join(column_types(values), "col").fillna({"distinct_count": 0, "unique_pct": 0.0})
+def column_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
+    """One row per column: null facts, value facts and the inferred type, from two aggregates over one table."""
+    f = null_facts(values).join(value_facts(values, as_of), "col", "left")
+    return f.withColumn("inferred_type", inferred_type()).fillna({"distinct_count": 0, "unique_pct": 0.0})
+
+
+def column_types(values: DataFrame) -> DataFrame:
+    """(col, pos, inferred_type); one row for each column."""
+    return column_facts(values).select("col", "pos", "inferred_type")
+
+
+def with_key(facts: DataFrame) -> DataFrame:
+    """column_facts with missing (null-like) and duplicate values, and whether the column is the key of the table."""
     fits = F.col("col").rlike(cells.KEY_HINT) & F.col("inferred_type").isin("identifier", "integer", "code", "text") & (F.col("unique_pct") >= 90) & (cells.percent(F.col("n_rows") - F.col("non_null"), F.col("n_rows")) <= 20)
     # One row per column of the table meets here.
     best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(fits), F.desc("unique_pct"), "pos"))
-    return facts.withColumn("is_key", fits & (best == 1)).select("col", (F.col("n_rows") - F.col("non_null")).alias("missing"), (F.col("non_null") - F.col("distinct_count")).alias("duplicates"), "is_key")
+    return facts.withColumns({"is_key": fits & (best == 1), "missing": F.col("n_rows") - F.col("non_null"), "key_duplicates": F.col("non_null") - F.col("distinct_count")})
+
+
+def key_facts(values: DataFrame) -> DataFrame:
+    return with_key(column_facts(values)).select("col", "missing", F.col("key_duplicates").alias("duplicates"), "is_key")
 
 
 def key_column(values: DataFrame) -> str | None:
@@ -223,31 +235,19 @@ def infer_references(frames: dict[str, DataFrame], row_idx: str = "row_idx") ->
 
 def profile_table(values: DataFrame) -> DataFrame:
     """One row per column: type, null and distinct facts."""
-    facts = null_facts(values).join(distinct_facts(values), "col", "left").fillna({"distinct_count": 0, "unique_pct": 0.0})
     null_count = F.col("blank") + F.col("placeholder")
-    return facts.join(column_types(values), "col").select("col", F.col("pos").cast("long").alias("pos"), "inferred_type", "non_null", null_count.alias("null_count"), cells.percent(null_count, F.col("n_rows")).alias("null_pct"), "distinct_count", "unique_pct", "whitespace", "max_length")
+    return column_facts(values).select("col", F.col("pos").cast("long").alias("pos"), "inferred_type", "non_null", null_count.alias("null_count"), cells.percent(null_count, F.col("n_rows")).alias("null_pct"), "distinct_count", "unique_pct", "whitespace", "max_length")
 
 
 def quality_issues(df: DataFrame, as_of: str, row_idx: str = "row_idx") -> DataFrame:
     """(column, code, severity, count) for whatever is wrong, errors and large counts first.
 
-    Facts of all columns come from one table of distinct values; each kind of fact is one small join on the column.
+    Distinct values are classified once and written; all facts of all columns are aggregates over that table.
     """
-    values = value_table(df, row_idx)
-    f = null_facts(values).join(distinct_facts(values), "col", "left").join(column_types(values), "col")
-    for own in (
-        number_stats(values).select("col", F.col("malformed").alias("bad_number"), "numeric_text", F.col("decimals").alias("float_text")),
-        date_stats(values, as_of).select("col", F.col("malformed").alias("bad_date"), "parsed", "n_formats", "iso_dates", "iso_datetimes", "future"),
-        email_stats(values).select("col", F.col("malformed").alias("bad_email"), "uppercase"),
-        url_stats(values).select("col", F.col("malformed").alias("bad_url"), "no_scheme"),
-        phone_stats(values).select("col", F.col("malformed").alias("bad_phone"), "e164"),
-        boolean_stats(values).select("col", "spellings", "variants"),
-        normalized_duplicates(values),
-        case_variants(values).groupBy("col").agg(F.count("*").alias("case_groups")),
-        present(values).groupBy("col").agg(_n(~F.col("tag").isin("identifier", "integer", "code")).alias("bad_identifier")),
-        key_facts(values).select("col", "missing", F.col("duplicates").alias("key_duplicates"), "is_key"),
-    ):
-        f = f.join(own, "col", "left")
+    values = barrier(value_table(df, row_idx), "values")
+    variants = case_variants(values).groupBy("col").agg(F.count("*").alias("case_groups"))
+    f = with_key(column_facts(values, as_of)).join(normalized_duplicates(values), "col", "left").join(variants, "col", "left")
+    f = barrier(f, "facts")
     kind, n_rows = F.col("inferred_type"), F.col("n_rows")
     is_ = lambda *kinds: kind.isin(*kinds)
     null_count = F.col("blank") + F.col("placeholder")
@@ -262,14 +262,14 @@ def quality_issues(df: DataFrame, as_of: str, row_idx: str = "row_idx") -> DataF
         ("null_rate_high", "warning", F.when(filled & (cells.percent(null_count, n_rows) >= 20), null_count)),
         ("placeholder_values", "warning", F.when(filled, F.col("placeholder"))),
         (F.concat(F.lit("malformed_"), kind), F.when(is_("email", "identifier"), "error").otherwise("warning"), bad),
-        ("mixed_date_formats", "warning", F.when(dated & (F.col("n_formats") > 1), F.col("parsed") - iso)),
+        ("mixed_date_formats", "warning", F.when(dated & (F.col("n_formats") > 1), F.col("dates") - iso)),
         ("future_dates", "warning", F.when(dated, F.col("future"))),
         ("numeric_text", "warning", F.when(is_("integer", "decimal"), F.col("numeric_text"))),
-        ("float_text", "info", F.when(is_("integer"), F.col("float_text"))),
+        ("float_text", "info", F.when(is_("integer"), F.col("decimals"))),
         ("uppercase_emails", "info", F.when(is_("email"), F.col("uppercase"))),
         ("url_no_scheme", "info", F.when(is_("url"), F.col("no_scheme"))),
         ("phone_not_e164", "info", F.when(is_("phone"), F.col("non_null") - F.col("e164") - F.col("bad_phone"))),
-        ("boolean_spellings", "info", F.when(is_("boolean") & (F.col("spellings") > 2), F.col("variants"))),
+        ("boolean_spellings", "info", F.when(is_("boolean") & (F.col("distinct_count") > 2), F.col("variants"))),
         ("case_variants", "info", F.when(is_("category", "code", "text", "email"), F.col("case_groups"))),
         ("whitespace", "info", F.when(filled, F.col("whitespace"))),
         ("normalized_duplicates", "warning", F.when(named & (F.col("unique_pct") >= 50), F.col("duplicates"))),
