@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOW, LOWER, SPACED, Packed, batch_of, crc_mod, int_lists, pieces
+from .common import _LOW, LOWER, SPACED, Packed, Scratch, batch_of, crc_mod, pieces, sized_broadcast
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 SIZES = (3, 4)
 #: Documents that the model learns from, at most: of each language, and in all; those with the smallest hash of doc_id.
 TRAIN_PER_LANGUAGE, TRAIN_DOCUMENTS = 1_000, 8_000
+#: Distinct buckets of all texts together that it learns from, at most: what the driver holds does not grow with texts.
+TRAIN_BUCKETS = 8_000_000
 EPOCHS, BATCH, RATE = 20, 64, 20.0
 #: Share of the texts kept that may be wrong where the model is sure enough; the rest are marked as rejected.
 ERROR_KEPT = 0.01
@@ -114,13 +116,33 @@ def fit(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray]], y: np.n
 
 
 def _training_rows(batches):
-    schema = pa.schema([("lang", pa.string()), ("buckets", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
     for batch, texts in pieces(batches, "text"):
         flat, bounds = buckets(texts)
         both = [np.unique(flat[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        own = np.concatenate([[0], np.cumsum([len(x) for x, _ in both])])
-        join = lambda k, both=both, flat=flat: np.concatenate([x[k] for x in both]) if both else flat[:0]
-        yield batch_of(schema, batch.column(0), int_lists(join(0), own), int_lists(join(1), own))
+        yield batch_of(schema, batch.column(0), batch.column(1), [len(x) for x, _ in both], [x.astype("<u2").tobytes() for x, _ in both], [n.astype("<f4").tobytes() for _, n in both])
+
+
+def _training_sample(known: DataFrame, per_language: int, documents: int, total: int, scratch: Scratch) -> DataFrame:
+    """(lang, n, size, buckets, counts) of at most `documents` texts and `total` distinct buckets of texts, in hash order.
+
+    Where a language has far more documents than are wanted, a bound on the hash of doc_id leaves about twice as many,
+    so that no task ever holds a language; the rest is exact. Several texts of one doc_id count as their smallest.
+    """
+    sizes = scratch.write(known.groupBy("lang").agg(F.count("*").alias("n_rows")), "languages")
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n_rows"))
+    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) <= share
+    near = known.join(sized_broadcast(sizes, sizes.count(), 64), "lang").where(low)
+    ids = scratch.write(near.groupBy("lang", "doc_id").agg(F.count("*").alias("copies")), "near-ids")
+    # The languages' groups are bounded by the share, whatever their sizes.
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(order).cast("long")).where(F.col("n") <= per_language).orderBy("n", "lang").limit(documents)
+    chosen = known.join(F.broadcast(ids.select("lang", "doc_id", "n")), ["lang", "doc_id"])  # bounded by `documents`
+    texts = chosen.groupBy("lang", "doc_id", "n").agg(F.min("text").alias("text"))
+    rows = scratch.write(texts.select("lang", "n", "text").mapInArrow(_training_rows, "lang string, n long, size long, buckets binary, counts binary"), "rows")
+    held = F.sum("size").over(Window.orderBy("n", "lang").rowsBetween(Window.unboundedPreceding, 0))  # over at most `documents` rows
+    places = rows.select("n", "lang", held.alias("held")).where(F.col("held") <= total).select("n", "lang")
+    return rows.join(F.broadcast(places), ["n", "lang"]).select("lang", "n", "size", "buckets", "counts")
 
 
 def _predictions(shared):
@@ -143,31 +165,32 @@ def _predictions(shared):
     return run
 
 
-def predict_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+def predict_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, documents: int = TRAIN_DOCUMENTS, total: int = TRAIN_BUCKETS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected.
 
     Learned from text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0, at most
-    `per_language` of each language and `documents` in all. score is the calibrated probability of lang_pred.
-    rejected marks texts whose score is under the threshold that keeps errors among the others near 1 %.
-    Null texts and texts without a letter are `und`, score 0 and rejected; with nothing to learn from, all are.
-    Equal probabilities go to the first language by name. Only doc_id, text and lang are read.
+    `per_language` of each language and `documents` in all, as long as their distinct buckets add up to `total` or
+    less. score is the calibrated probability of lang_pred. rejected marks texts whose score is under the threshold
+    that keeps errors among the others near 1 %.
+    Null texts and texts without a letter are `und`, score 0 and rejected; with nothing to learn from, all are; an
+    empty table gives no rows. Texts of any length are read whole. Repeated rows each get a row, all with one result;
+    in learning they count once. Equal probabilities go to the first language by name. Only doc_id, text and lang are
+    read, so other columns may have any name.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    scratch = Scratch(spark, "language-id")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     known = source.where(letters & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id", F.row_number().over(order).alias("n")).where(F.col("n") <= per_language)
-    ids = ids.orderBy("n", "lang").limit(documents).select("lang", "doc_id").distinct()
-    chosen = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")  # bounded by `documents`
-    rows = chosen.select("lang", "text").mapInArrow(_training_rows, "lang string, buckets array<long>, counts array<long>").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], len(r["buckets"]), r["buckets"]))
-    languages = sorted({r["lang"] for r in rows})
+    sample = _training_sample(known, per_language, documents, total, scratch).toArrow()
+    sample = sample.sort_by([("lang", "ascending"), ("n", "ascending")])
+    names = sample.column("lang").to_pylist()
+    languages = sorted(set(names))
     model = LanguageModel([], np.zeros((BUCKETS, 0)), 1.0)
-    if rows:
-        y = np.array([languages.index(r["lang"]) for r in rows])
-        model = fit(languages, [(np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in rows], y)
+    if names:
+        read = lambda name, kind, to: [np.frombuffer(x.as_buffer(), kind).astype(to) for chunk in sample.column(name).chunks for x in chunk]
+        rows = list(zip(read("buckets", "<u2", np.int64), read("counts", "<f4", np.float64), strict=True))
+        model = fit(languages, rows, np.array([languages.index(x) for x in names]))
     out = source.select("doc_id", "text", letters.alias("letters")).mapInArrow(_predictions(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -211,14 +211,28 @@ def _score_rows(shared):
     return run
 
 
+def _training_sample(labelled: DataFrame, train_rows: int, scratch: Scratch) -> DataFrame:
+    """The labelled rows with the smallest hash of doc_id.
+
+    A bound on that hash leaves about twice as many to be sorted, however many rows are labelled. Only if the bound
+    should leave too few, as where one doc_id has most rows, all are sorted.
+    """
+    labelled = scratch.write(labelled, "labelled")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    n = labelled.count()
+    low = labelled.where(place <= min(1.0, 2.0 * train_rows / max(n, 1)))
+    near = low if low.count() >= min(n, train_rows) else labelled
+    return near.orderBy(place, "doc_id", "text_hash").limit(train_rows)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: doc_id, text_hash, held_out, score, predicted.
 
     Fitted on rows of `labels` with quality 0 or 1 whose crc32(doc_id as text) mod 3 is not 1, at most
-    `train_rows` of them, those with the smallest xxhash64 of doc_id; labels that contradict each other count by
-    their majority. held_out marks the remainder 1. Features come from whole texts only; a null text counts as
-    empty. With no labels at all every score is 0.5. Repeated rows get equal scores. A null doc_id is scored,
-    never learned from. Other columns, clashing names included, are not read.
+    `train_rows` of them, those with the smallest hash of doc_id; labels that contradict each other count by
+    their majority. held_out marks the remainder 1. Features come from whole texts of any length; a null text counts
+    as empty. With no labels at all every score is 0.5; without documents there are no rows. Repeated rows get equal
+    scores. A null doc_id is scored, never learned from. Other columns, clashing names included, are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -227,7 +241,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     known = known.where(~held_out).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    train = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(train_rows).select("x", "quality").toPandas()
+    train = _training_sample(rows.join(known, "doc_id"), train_rows, scratch).select("x", "quality").toPandas()
     x = np.stack(train["x"].to_numpy()).astype(np.float32) if len(train) else np.empty((0, len(FEATURES)), dtype=np.float32)
     model = spark.sparkContext.broadcast(fit(x, train["quality"].to_numpy(dtype=np.float64)))
     scored = rows.mapInArrow(_score_rows(model), "doc_id long, text_hash long, score double")
@@ -235,7 +249,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, in their own columns."""
+    """The documents that the model does not reject (score 0.5 or more), in their own columns.
+
+    Rows go by doc_id and text, so rows that repeat stay or go together, and other texts of a doc_id, null ones
+    included, are judged by themselves. Without labels all stay; an empty table stays empty; texts of any length are
+    read whole; columns named like those of the scores stay as they are.
+    """
     scratch = Scratch(docs.sparkSession, "keep-good")
     bad = quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = scratch.write(bad, "bad")
