@@ -4,6 +4,9 @@ Every sentence begins a run, the shortest one of `min_sentences` sentences or mo
 another by the same minimums. Any longer run is the union of such runs inside it, so they stand for all runs. They are
 hashed and joined over all documents; the sentences of each repeated run go wherever it is not its first occurrence.
 Words themselves cut sentences further, so that a passage is cut alike wherever in a sentence it begins and ends.
+
+A run that ends at a sentence holds the one that begins where it does. So the runs that sentences begin are joined
+first, and the others only for documents that share one of those with some other document.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Packed, Scratch, batch_of, mix, pieces
+from .common import SPACED, Packed, Scratch, batch_of, mix, pieces, sized_broadcast
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Ids of documents that share runs are sent to all tasks up to this size.
 BROADCAST_BYTES = 32 << 20
 #: More words than this count as several sentences, with or without an end among them. Not `whole`: cuts after so many.
 LONGEST = 25
@@ -42,8 +46,9 @@ def _word_cuts(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _minimal(words: np.ndarray, first_word: np.ndarray, sentence: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and ends of the shortest runs from and to each piece, of min_words words and min_sentences sentences.
+def _minimal(words: np.ndarray, first_word: np.ndarray, sentence: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First words and ends of the shortest runs from and to each piece, of min_words words and min_sentences sentences,
+    and the number of the former, which come first.
 
     words holds each piece's first word, and the end; sentence numbers each piece's sentence. A run has words of so many
     sentences, or more words than so many of the longest but one have.
@@ -58,7 +63,7 @@ def _minimal(words: np.ndarray, first_word: np.ndarray, sentence: np.ndarray, mi
     a = np.flatnonzero(end <= bounds[1:][doc])
     b = np.flatnonzero(begin >= bounds[:-1][doc])
     b = b[end[begin[b]] != b + 1]  # else the run that begins there is the same
-    return words[np.append(a, begin[b])], words[np.append(end[a], b + 1)]
+    return words[np.append(a, begin[b])], words[np.append(end[a], b + 1)], len(a)
 
 
 class Runs:
@@ -83,12 +88,15 @@ class Runs:
         if whole:
             cut = _word_cuts(h, marked)
             # Once with new lines and once without, as a copy may be wrapped elsewhere.
-            found = []
+            leading, ending = [], []
             for pieces_at, own in ((cut | broken, begins), (cut, marked)):
                 at = np.flatnonzero(pieces_at)
-                x, y = _minimal(np.append(at, n), first_word, np.cumsum(own)[at], min_sentences, min_words)
-                found.append(x * (n + 1) + y)
-            a, b = np.divmod(np.unique(np.concatenate(found)), n + 1)
+                x, y, k = _minimal(np.append(at, n), first_word, np.cumsum(own)[at], min_sentences, min_words)
+                leading.append(x[:k] * (n + 1) + y[:k])
+                ending.append(x[k:] * (n + 1) + y[k:])
+            leading = np.unique(np.concatenate(leading))
+            a, b = np.divmod(np.append(leading, np.setdiff1d(np.concatenate(ending), leading)), n + 1)
+            self.n_leading = len(leading)
             begins = cut | broken
         else:
             own = np.flatnonzero(begins)
@@ -104,6 +112,7 @@ class Runs:
             self.runs = np.flatnonzero(end <= self.first[1:][self.doc])
             self.end = end[self.runs]
             a, b = words[self.runs], words[self.end]
+            self.n_leading = len(self.runs)
         self.h1, self.h2 = (self._spans(mix(h + np.uint64(k)), base, a, b) for k, base in enumerate(_BASES))
 
     @staticmethod
@@ -115,14 +124,15 @@ class Runs:
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
         return mix((sums[b] - sums[a]) * back[a] + mix((b - a).astype(np.uint64)))
 
-    def repeated_inside(self) -> np.ndarray:
-        """Runs that occur earlier in the same text."""
-        doc = self.doc[self.runs]
-        order = np.lexsort((self.runs, self.h2, self.h1, doc))
+    def repeated_inside(self, among: int | None = None) -> np.ndarray:
+        """Of the first runs, or all: those that occur earlier in the same text."""
+        runs, h1, h2 = self.runs[:among], self.h1[:among], self.h2[:among]
+        doc = self.doc[runs]
+        order = np.lexsort((runs, h2, h1, doc))
         again = np.zeros(len(order), dtype=bool)
         if len(order) > 1:
             x, y = order[1:], order[:-1]
-            again[x] = (doc[x] == doc[y]) & (self.h1[x] == self.h1[y]) & (self.h2[x] == self.h2[y])
+            again[x] = (doc[x] == doc[y]) & (h1[x] == h1[y]) & (h2[x] == h2[y])
         return again
 
     def covered(self, drop: np.ndarray) -> np.ndarray:
@@ -133,13 +143,14 @@ class Runs:
         return np.cumsum(turn)[:-1] > 0
 
 
-def _spans(min_sentences: int, min_words: int, whole: bool):
+def _spans(min_sentences: int, min_words: int, whole: bool, all_runs: bool):
+    """Runs once for each document; not `all_runs`: only those that sentences begin."""
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches):
         for batch, texts in pieces(batches, "text"):
             runs = Runs(texts, min_sentences, min_words, whole)
-            own = np.flatnonzero(~runs.repeated_inside())
+            own = np.flatnonzero(~runs.repeated_inside() if all_runs else ~runs.repeated_inside(runs.n_leading))
             yield batch_of(schema, batch.column(0).take(pa.array(runs.doc[runs.runs[own]])), runs.h1[own].view(np.int64), runs.h2[own].view(np.int64))
 
     return run
@@ -174,10 +185,13 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     """Per document: doc_id, text without repeated spans, n_sentences, n_removed.
 
     A sentence ends at a word's final . ! or ? before white space, at a new line, or with the text; it takes along the
-    white space after it. Longer sentences are cut after every 25 words. Runs are compared by their words, A-Z lower-cased. The first occurrence of a run is the one in
-    the smallest doc_id, and there the foremost. Sentences in any run that occurs before go; others stay byte for byte.
+    white space after it. Longer sentences are cut after every 25 words. Runs are compared by their words, A-Z
+    lower-cased. The first occurrence of a run is the one in the smallest doc_id, and there the foremost. Sentences in
+    any run that occurs before go; others stay byte for byte.
     Null texts count as empty. Rows of one doc_id are one document: they lose what repeats inside each of them, not what
-    they share. A row with a null doc_id loses what repeats inside it only. Other columns are not read.
+    they share. A row with a null doc_id loses what repeats inside it only. An empty table gives no rows; a text of any
+    length is one row's work; where rows tie, the smaller doc_id is first. Other columns are not read, so they may have
+    any name.
 
     `whole` is the rule of the query: all runs of at least the minimums count, and sentences of any length are cut
     between words by the words' hashes, so that n_sentences and n_removed count pieces. A run then has words of
@@ -186,12 +200,21 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
     """
     scratch = Scratch(docs.sparkSession, "span-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = source.mapInArrow(_spans(min_sentences, min_words, whole), "doc_id long, h1 long, h2 long").where("doc_id is not null")
-    repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    repeated = scratch.write(repeated.select("h1", "h2", "first_doc"), "repeated")
-    small = repeated.count() * 24 <= BROADCAST_BYTES
-    hits = spans.join(F.broadcast(repeated) if small else repeated, ["h1", "h2"]).where("doc_id > first_doc")
+    runs_of = lambda texts, all_runs: texts.where("doc_id is not null").mapInArrow(_spans(min_sentences, min_words, whole, all_runs), "doc_id long, h1 long, h2 long")
+    hits, firsts = _repeats(runs_of(source, not whole), scratch, "leading")
+    if whole:
+        ids = scratch.write(hits.select("doc_id").union(firsts).distinct(), "sharing")
+        sharing = source.join(sized_broadcast(ids, ids.count(), 16, BROADCAST_BYTES), "doc_id", "left_semi")
+        hits, _ = _repeats(runs_of(sharing, True), scratch, "all")
     flagged = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("h1").alias("flagged")), "flagged")
-    size = flagged.agg(F.sum(F.size("flagged") * 8 + 32)).first()[0] or 0
-    flagged = F.broadcast(flagged) if size <= BROADCAST_BYTES else flagged
     return source.join(flagged, "doc_id", "left").select("doc_id", "text", "flagged").mapInArrow(_rewrite(min_sentences, min_words, whole), OUT)
+
+
+def _repeats(spans: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1) of runs that occur in a document before, and the ids of the first documents of such runs.
+
+    Runs meet their first document in a join whose partitions Spark splits where one run is in very many documents.
+    """
+    repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    repeated = scratch.write(repeated.select("h1", "h2", "first_doc"), f"{name}-repeated")
+    return spans.join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "h1"), repeated.select(F.col("first_doc").alias("doc_id"))
