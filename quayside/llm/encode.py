@@ -1,7 +1,9 @@
 """Whole texts to token ids, each distinct piece of text encoded once by the tokenizers library.
 
 A byte-level BPE never merges across its pre-tokens, so a text's ids are its pre-tokens' ids in order. Pre-tokens are
-cut here with numpy over code points; their ids come from the library and are kept by hash of the piece.
+cut here with numpy over code points; their ids come from the library and are kept by hash of the piece. The bytes of a
+piece are compared with the kept ones; should two pieces have one hash, or should a text have code points on which
+Unicode versions differ, the library encodes whole texts.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ import unicodedata
 
 import numpy as np
 
-from .common import Packed
+from .common import _LOW, Packed
 
 #: Pieces that a worker keeps, at most; then it begins anew.
 KEPT_PIECES = 2_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = range(5)
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
+_doubtful: np.ndarray | None = None
 _encoders: dict[str, Encoder] = {}
 
 
@@ -31,6 +34,40 @@ def _class_table() -> np.ndarray:
     return _classes
 
 
+def _doubtful_table() -> np.ndarray:
+    """Code points that Unicode versions class differently, or may: letters and numbers newer than 3.2, and unassigned ones."""
+    global _doubtful
+    if _doubtful is None:
+        old, now = unicodedata.ucd_3_2_0.category, unicodedata.category
+        named = lambda x: x[0] if x[0] in "LN" else ""
+        _doubtful = np.array([now(c) == "Cn" or named(now(c)) != named(old(c)) for c in map(chr, range(0x110000))], dtype=bool)
+    return _doubtful
+
+
+def is_doubtful(text: bytes) -> bool:
+    """Whether the cuts of a text may depend on the Unicode version; such texts go through the library whole."""
+    if text.isascii():
+        return False
+    return bool(_doubtful_table()[np.frombuffer(text.decode("utf-8").encode("utf-32-le"), dtype="<u4")].any())
+
+
+def _words_at(raw: bytes) -> np.ndarray:
+    """The eight bytes from each byte on; raw ends in eight bytes of filling."""
+    return np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+
+
+def _same_bytes(a: bytes, at_a: np.ndarray, b: bytes, at_b: np.ndarray, n: np.ndarray) -> bool:
+    """Whether all spans of n bytes at at_a in a and at at_b in b are equal."""
+    x, y, left, at = _words_at(a), _words_at(b), np.arange(len(n)), 0
+    while len(left):
+        mask = _LOW[np.minimum(n[left] - at, 8)]
+        if ((x[at_a[left] + at] ^ y[at_b[left] + at]) & mask).any():
+            return False
+        at += 8
+        left = left[n[left] > at]
+    return True
+
+
 def pre_tokens(packed: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end bytes of the pre-tokens, and the number of the first one of each text (and the count).
 
@@ -88,12 +125,13 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
         self.at, self.n, self.flat = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint32)
+        self.raw, self.raw_at, self.raw_n = b"\0" * 8, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _places(self, packed: Packed, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where each piece's ids are kept."""
+    def _places(self, packed: Packed, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Where each piece's ids are kept; None if a piece has the hash of another, which its bytes tell."""
         keys, first, inverse = np.unique(packed.hashes(starts, ends, 3), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > KEPT_PIECES:
             self._clear()
@@ -102,13 +140,21 @@ class Encoder:
         new[~new] = self.keys[at[~new]] != keys[~new]
         if new.any():
             own = first[new]
-            ids = self._direct([packed.bytes[a:b].decode("utf-8") for a, b in zip(starts[own], ends[own], strict=True)])
+            spans = list(zip(starts[own], ends[own], strict=True))
+            ids = self._direct([packed.bytes[a:b].decode("utf-8") for a, b in spans])
             n = np.array([len(x) for x in ids], dtype=np.int64)
             begin = len(self.flat) + np.concatenate([[0], np.cumsum(n)[:-1]])
             self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
-            self.keys, self.at, self.n = (np.insert(old, at[new], more) for old, more in ((self.keys, keys[new]), (self.at, begin), (self.n, n)))
+            size = ends[own] - starts[own]
+            raw_at = len(self.raw) - 8 + np.concatenate([[0], np.cumsum(size)[:-1]])
+            self.raw = b"".join([self.raw[:-8], *[packed.bytes[a:b] for a, b in spans], b"\0" * 8])
+            kept = ((self.keys, keys[new]), (self.at, begin), (self.n, n), (self.raw_at, raw_at), (self.raw_n, size))
+            self.keys, self.at, self.n, self.raw_at, self.raw_n = (np.insert(old, at[new], more) for old, more in kept)
             at = np.searchsorted(self.keys, keys)
-        return at[inverse]
+        where, sizes = at[inverse], ends - starts
+        if (self.raw_n[where] != sizes).any() or not _same_bytes(packed.bytes, starts, self.raw, self.raw_at[where], sizes):
+            return None
+        return where
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and each text's bounds in them. Bytes that are no UTF-8 are replaced."""
@@ -117,11 +163,14 @@ class Encoder:
             b"\n".join(texts).decode("utf-8")
         except UnicodeDecodeError:
             texts = [t.decode("utf-8", "replace").encode() for t in texts]
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.added)]
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or any(x in t for x in self.added) or is_doubtful(t)]
         direct = dict(zip(whole, self._direct([texts[i].decode("utf-8") for i in whole]), strict=True)) if whole else {}
         packed = Packed([b"" if i in direct else t for i, t in enumerate(texts)], None)
         starts, ends, first = pre_tokens(packed)
         where = self._places(packed, starts, ends) if len(starts) else np.empty(0, dtype=np.int64)
+        if where is None:
+            parts = [np.array(x, dtype=np.uint32) for x in self._direct([t.decode("utf-8") for t in texts])]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         n, at = self.n[where], self.at[where]
         begin = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(at - begin[:-1], n) + np.arange(begin[-1])] if len(n) else np.empty(0, dtype=np.uint32)

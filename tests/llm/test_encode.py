@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quayside.llm.encode import Encoder, pre_tokens
+from quayside.llm.encode import Encoder, is_doubtful, pre_tokens
 from quayside.llm.common import Packed
 
 
@@ -37,6 +38,15 @@ def test_documents(pair, spark):
     assert (pair[0].id_bytes[pair[0].encode([t.encode() for t in texts])[0]].sum()) == sum(len(t.encode()) for t in texts)
 
 
+def test_new_letters_and_equal_hashes(pair, monkeypatch):
+    """Letters that not all Unicode versions know go through the library; so does a batch whose pieces clash."""
+    same(pair, ["a\u08b6b 1", "x\U0001e922y", "new \u0378 one", "\U0001f600\U0001f600 ok"])
+    assert is_doubtful("a\u08b6b".encode()) and not is_doubtful("\U0001f600 é 日本".encode())
+    monkeypatch.setattr(Packed, "hashes", lambda self, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    same((own, pair[1]), ["one two six", "ten"])
+
+
 def test_pieces_cover_the_text():
     packed = Packed(["ab  c\n".encode(), b"", "é".encode()], None)
     starts, ends, first = pre_tokens(packed)

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quayside.llm.token_counts import OUTSIDE, RULES, attribute, line_sections, section_tokens, with_spans
-from quayside.llm.token_files import TokenFile, pack, token_output, write_token_files
+from quayside.llm.token_files import TokenFile, TokenReader, pack, read_token_files, token_output, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
@@ -55,6 +55,35 @@ def test_edges(spark, library, tmp_path):
     assert images.count() > 1 and images.agg({"n_documents": "sum"}).first()[0] == len(rows)
 
 
+def test_files_by_offset(spark, library, tmp_path):
+    """Any token of a file by its offset, without reading the file; orphans of lost attempts do not count."""
+    docs = spark.read.parquet(DOCUMENTS)
+    files = write_token_files(docs, str(tmp_path / "files"), PATH, segment_tokens=20_000)
+    rows = files.collect()
+    assert len(rows) > 3 and len(list((tmp_path / "files" / "data").iterdir())) == len(rows)
+    rnd = random.Random(3)
+    for r in rnd.sample(rows, 3):
+        name = r.path.removeprefix("file:")
+        whole, reader = TokenFile(open(name, "rb").read()), TokenReader(r.path)
+        ids = whole.ids()
+        assert len(ids) == r.n_tokens == reader.n_tokens
+        for i in [0, r.n_tokens - 1, *rnd.sample(range(r.n_tokens), 50)]:
+            assert reader.token(i) == ids[i] == whole.token(i)
+        assert reader.document(r.n_documents - 1) == ids[whole.bounds[-2] :].tolist()
+        with pytest.raises(IndexError):
+            reader.token(r.n_tokens)
+        reader.close()
+    (tmp_path / "files" / "data" / "tokens-000000-000000-999.qdac").write_bytes(b"x" * 64)
+    assert read_token_files(files).count() == docs.count()
+
+
+def test_many_rows_of_one_id(spark, library):
+    """Rows of one doc_id are spread by their texts and keep their order."""
+    rows = [(7 if i % 3 else None, f"{chr(97 + i % 26)} text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in token_output(df, PATH).collect()), key=repr) == places(rows, library)
+
+
 def brute(text, spans, rule, library):
     """Byte by byte."""
     own = []
