@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quayside.llm import graph_index
-from quayside.llm.nearest import nearest
+from quayside.llm.nearest import nearest, shard_count
 
 
 def brute(rows, every, k=10):
@@ -81,3 +81,22 @@ def test_clusters():
     d = ((q[:, None, :] - x[None]) ** 2).sum(-1)
     want = np.argsort(d, axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, want)]) > 0.95
+
+
+def test_double_columns_and_several_lengths(spark):
+    """Scores come from the original doubles; lengths that leave shards empty are no matter."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6 if i % 10 else 3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = dict(rows)
+    for size in (12_500, 40):
+        out = nearest(df, every=20, shard_vectors=size).collect()
+        assert {r.query_id for r in out} == {i for i, _ in rows if i % 20 == 0}
+        for r in out:
+            a, b = np.array(exact[r.query_id]), np.array(exact[r.vec_id])
+            assert len(a) == len(b) and r.score == np.sqrt(((a - b) ** 2).sum())
+
+
+def test_shards_grow():
+    n = [shard_count(x) for x in (0, 1, 12_500, 50_000, 5_000_000, 1_000_000_000)]
+    assert n == [1, 1, 1, 2, 20, 4000]
