@@ -21,8 +21,8 @@ from .token_files import token_output
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-#: Equal shares for all sources; named shares for languages and, among topics, for tables and licensed texts.
-MIX_TARGETS = Targets(source=None, lang={"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, topic={"table": 0.03, "licensed": 0.05})
+#: Equal shares for all sources and learned topics, named shares for languages, of the tokens that are written.
+MIX_TARGETS = Targets(source=None, lang={"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, topic=None, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), learned_topics=8)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
