@@ -13,7 +13,8 @@ from quayside.catalogue.views import VIEWS, view
 from quayside.functions.converters import IDENTIFIER
 from quayside.operators import rules, validate
 from quayside.plans.contract import entity_fields
-from quayside.plans.drafts import barrier, build_plan, compile_drafts
+from quayside.plans.drafts import build_plan, compile_drafts
+from quayside.plans.shared import barrier
 from quayside.plans.example_config import EXAMPLE
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import cells
-from quayside.plans.drafts import barrier
+from quayside.plans.shared import barrier
 
 TAGS = ["blank", "placeholder", "integer", "decimal", "numeric_text", "date", "datetime", "email", "email_malformed", "url", "url_no_scheme", "phone", "phone_short", "identifier", "code", "text"]
 TOP_VALUES, FULL_COUNTS, SAMPLES, TOP_SHAPES, VARIANTS, EXAMPLES = 10, 50, 5, 5, 10, 5

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quayside.functions.converters import ADDRESS
 from quayside.plans.contract import ENTITIES, entity_fields, id_field
-from quayside.plans.drafts import barrier, has_errors, issue, live, with_issue
+from quayside.plans.drafts import has_errors, issue, live, with_issue
+from quayside.plans.shared import barrier
 
 
 def _field_issue(name: str, spec) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quayside.plans.drafts import barrier
+from quayside.plans.shared import barrier
 
 LIVE_NAMESPACE = "00000000-0000-0000-0000-000000000000"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,15 +103,3 @@ def compile_drafts(df: DataFrame, plan: DatasetPlan, entity: str, config: Config
     record_id = F.col(f"payload.{id_field(entity)}")
     out = out.withColumn("record_id", record_id).withColumns({"skipped": F.lit(False), "skip_reason": F.lit(None).cast("string"), "skip_rule": F.lit(None).cast("string")})
     return with_issue(out, record_id.isNull(), issue("missing_identifier", "error", id_field(entity), None, f"{id_field(entity)} is empty"))
-
-
-def barrier(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage to the shared folder named in spark.checkpoint.dir and reads it back: lineage ends here."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
