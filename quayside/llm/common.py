@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.plans.shared import shared_folder
+
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -19,13 +22,16 @@ _LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=
 _LONG_WORD = 256
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one is set only where none is named."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """In a task: the store of a qualified path, and the name in it. Schemes are those that Arrow reads: file, hdfs, s3 (also as s3a), gs, abfs."""
+    path = re.sub("^s3[an]:", "s3:", path)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
 
 
 class Scratch:
@@ -33,7 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         # Bounds what one Arrow batch holds, whatever the length of single rows.
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -42,11 +48,24 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def qualified(self, name: str) -> str:
+        return qualified(self.spark, f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
+        """Deletes these tables, or all."""
         for name in names or ("",):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but these, which a result still reads."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if store.exists(root):
+            for x in store.listStatus(root):
+                if x.getPath().getName() not in names:
+                    store.delete(x.getPath(), True)
+
 
 def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Hints a broadcast only where the counted rows stay under the limit; else Spark shuffles."""

@@ -92,11 +92,11 @@ def _counts(widths: list[int], shared):
     return run
 
 
-CANDIDATES = "row long, doc_id long, n_words long, hash long, at long, before long, context string"
+CANDIDATES = "row long, doc_id long, text_hash long, n_words long, hash long, at long, before long, context string"
 
 
 def _candidates(widths: list[int], size: int, shared):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("before", pa.int64()), ("context", pa.string())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("before", pa.int64()), ("context", pa.string())])
 
     def run(batches):
         for batch, texts in pieces(batches, "text"):
@@ -115,19 +115,20 @@ def _candidates(widths: list[int], size: int, shared):
                 context += [b" ".join(packed.bytes[a:b] for a, b in zip(starts[x:y], ends[x:y], strict=True)).decode("utf-8", "replace") for x, y in zip(lo, hi, strict=True)]
             d = np.concatenate(where)
             none = [None] * blank  # a row for each document, whether or not it has candidates
-            yield batch_of(schema, batch.column(0).take(pa.array(d)), batch.column(1).take(pa.array(d)), n[d], none + hashes, none + own, none + before, none + context)
+            yield batch_of(schema, *[batch.column(i).take(pa.array(d)) for i in range(3)], n[d], none + hashes, none + own, none + before, none + context)
 
     return run
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, filter_bits: int = 1 << 24) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (their ids), contaminated.
+    """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (their ids), contaminated.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. Windows are `size`
     consecutive words of an item; a shorter item is one window. Every document word inside any occurrence of
     a window is hit. Null and empty texts have no words; items without words are ignored; equal items are all
-    reported; repeated document rows each get their row; an empty benchmark hits nothing. Only doc_id, text
-    and item_id, text are read, so other columns never clash.
+    reported, those without an id only by their hits; repeated document rows each get their row; a text of any length
+    is one row's work; an empty benchmark hits nothing, an empty table gives no rows. Only doc_id, text and item_id,
+    text are read, so other columns never clash.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -135,7 +136,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10
     own = items.mapInArrow(_windows(size), "item_id string, words string, n_words long, shingle_hashes array<long>")
     windows = scratch.write(own.groupBy("words", "n_words").agg(F.any_value("shingle_hashes").alias("shingle_hashes"), F.collect_set("item_id").alias("item_ids")), "windows")
     widths = sorted({min(WIDTH, r[0]) for r in windows.select("n_words").distinct().collect()})  # at most `size` rows
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
     # Rarity: how often each shingle of the benchmark occurs in all documents. None at all: no occurrence.
     placed = windows.select("words", F.posexplode("shingle_hashes").alias("offset", "hash"))
@@ -155,19 +156,27 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10
     here = F.array_join(F.slice(F.split("context", " "), F.greatest(F.col("before") - F.col("offset"), F.lit(0)).cast("int") + 1, F.col("length").cast("int")), " ")
     hit = F.col("hash").isNotNull() & inside & (here == F.col("words"))
     spans = F.collect_set(F.when(hit, F.struct(begin.alias("begin"), (begin + F.col("length")).alias("end"))))
-    docs_hit = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("item_ids")))))).alias("items"))
+    docs_hit = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"), F.sort_array(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("item_ids")))))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["end"], x["begin"]))).alias("n"), F.greatest(s["end"], x["end"]).alias("end")),
         lambda s: s["n"],
     )
-    return docs_hit.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
+    out = docs_hit.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The documents that hold no window of the benchmark, in their own columns."""
+    """The documents that hold no window of the benchmark, in their own columns.
+
+    A row goes by its doc_id and text, so another text of its doc_id, a null one included, stays; rows that repeat go
+    or stay together. With an empty benchmark all stay; null and empty texts always do; an empty table stays empty;
+    texts of any length are read whole; other columns may have any name.
+    """
     scratch = Scratch(docs.sparkSession, "drop-contaminated")
-    bad = scratch.write(contaminated_documents(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
-    bad = sized_broadcast(bad, bad.count(), 16)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    bad = contaminated_documents(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    bad = scratch.write(bad.distinct(), "bad")
+    bad = sized_broadcast(bad, bad.count(), 24)
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__bad_hash"])
+    return docs.join(bad, same, "left_anti")

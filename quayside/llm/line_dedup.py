@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import perfect_hash
-from .common import Packed, Scratch, batch_of, int_lists, mix, pieces
+from .common import Packed, Scratch, batch_of, file_system, mix, pieces, sized_broadcast
 
 #: Distinct lines in a shard, about; what one task builds at a time.
 SHARD_LINES = 1_000_000
-#: An index up to this size is sent to all tasks; a larger one stays in its shards and probes travel to them.
+#: An index up to this size is read whole by each worker; a larger one stays in its shards and probes travel to them.
 BROADCAST_BYTES = 64 << 20
-#: Copies of each shard among which probes are dealt, so that one very frequent line does not load one task.
-SALTS = 8
+#: Probes of a shard that one task answers, about; a shard with more of them, as of a very frequent line, is copied.
+TASK_PROBES = 2_000_000
 
 INDEX = "shard long, n_lines long, level_sizes array<long>, words binary, ranks binary, fingerprints binary, counts binary, count_bytes int"
 INDEX_ARROW = pa.schema([("shard", pa.int64()), ("n_lines", pa.int64()), ("level_sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("ranks", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary()), ("count_bytes", pa.int32())])
@@ -136,11 +138,25 @@ def _out_schema(id_type):
     return pa.schema([("doc_id", id_type), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
-def _rewrite_here(shards, n_shards: int, min_documents: int):
+_read: dict[str, dict[int, Shard]] = {}
+
+
+def _shards_at(folder: str) -> dict[int, Shard]:
+    """The worker's own copy of an index table in the shared folder; one at a time."""
+    if folder not in _read:
+        _read.clear()
+        store, name = file_system(folder)
+        names = [f.path for f in store.get_file_info(fs.FileSelector(name)) if f.path.endswith(".parquet")]
+        rows = [r for x in sorted(names) for r in pq.read_table(x, filesystem=store).to_pylist()]
+        _read[folder] = {r["shard"]: Shard(r) for r in rows}
+    return _read[folder]
+
+
+def _rewrite_here(folder: str, n_shards: int, min_documents: int):
     schema = _out_schema(pa.int64())
 
     def run(batches):
-        held = {}
+        held = _shards_at(folder)
         for batch, texts in pieces(batches, "text", 4 << 20):
             lines = Lines(texts)
             where = (lines.h1 % np.uint64(n_shards)).astype(np.int64)
@@ -149,9 +165,7 @@ def _rewrite_here(shards, n_shards: int, min_documents: int):
             order = order[np.argsort(where[order], kind="stable")]
             for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                 if len(part):
-                    k = int(where[part[0]])
-                    shard = held.setdefault(k, Shard(shards.value[k])) if k not in held else held[k]
-                    drop[part] = shard.counts(lines.h1[part], lines.h2[part]) >= min_documents
+                    drop[part] = held[int(where[part[0]])].counts(lines.h1[part], lines.h2[part]) >= min_documents
             yield batch_of(schema, batch.column(0), *_rewritten(texts, lines, drop))
 
     return run
@@ -203,40 +217,52 @@ def _rewrite_flagged(batches):
         yield batch_of(schema, batch.column(0), *_rewritten(texts, lines, drop))
 
 
-def line_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The sharded index over all distinct lines of all documents, and its number of shards."""
+def line_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The sharded index over all distinct lines of all documents, the probes that each shard will get, and the number of shards."""
     tally = docs.select("text").mapInArrow(_tally, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     tally = scratch.write(tally, "tally")
     n_shards = max(1, -(-tally.count() // SHARD_LINES))
     # The remainder of the unsigned value, as numpy takes it.
     shard = F.pmod(F.pmod(F.shiftrightunsigned("h1", 1), F.lit(n_shards)) * 2 + F.col("h1").bitwiseAND(F.lit(1)), F.lit(n_shards))
-    rows = tally.select(shard.alias("shard"), "h1", "h2", "n").repartition(n_shards, "shard").sortWithinPartitions("shard")
+    rows = tally.select(shard.alias("shard"), "h1", "h2", "n")
+    probes = scratch.write(rows.groupBy("shard").agg(F.sum("n").alias("probes")), "probes")
+    # A shard's number is its partition, so that each task builds one.
+    rows = rows.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     index = scratch.write(rows.mapInArrow(_shard_rows, INDEX), "index")
     scratch.drop("tally")
-    return index, n_shards
+    return index, probes, n_shards
 
 
 def drop_frequent_lines(docs: DataFrame, min_documents: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, text without the lines found in `min_documents` documents or more, n_lines, n_dropped.
 
-    Texts are split at \\n; a null or empty text is one empty line. A line's key is the line without ASCII white
-    space at its ends, A-Z lower-cased; lines with an empty key stay. Repeats within a document count once, every
-    row is a document, repeated rows too. Kept lines are unchanged, joined by \\n. Only doc_id and text are read.
+    Texts are split at \\n; a null or empty text is one empty line; a text of any length is one row's work. A line's
+    key is the line without ASCII white space at its ends, A-Z lower-cased; lines with an empty key stay. Repeats within
+    a document count once, every row is a document, repeated rows too. Kept lines are unchanged, joined by \\n. Only
+    doc_id and text are read, so other columns may have any name. An empty table gives no rows.
+
+    The index never passes through the driver: workers read a small one from the shared folder; the probes of a larger
+    one go to its shards, as many copies of each as its probes need, so a line of all documents loads no single task.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index, n_shards = line_index(source, scratch)
+    index, sizes, n_shards = line_index(source, scratch)
     size = index.agg(F.sum(F.length("words") + F.length("ranks") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
     out = "doc_id long, text string, n_lines long, n_dropped long"
     if size <= broadcast_bytes:
-        shards = docs.sparkSession.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
-        return source.mapInArrow(_rewrite_here(shards, n_shards, min_documents), out)
-    salts = SALTS
-    probes = source.mapInArrow(_probes(n_shards), "shard long, doc_id long, h1 long, h2 long")
-    probes = probes.withColumn("arrays", F.lit(None).cast(index.schema)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(salts)))
-    copies = index.select("shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.struct(*index.columns).alias("arrays"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    routed = copies.unionByName(probes).repartition(n_shards * salts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("arrays").isNull())
-    hits = routed.select("shard", "doc_id", "h1", "h2", "arrays").mapInArrow(_probe_shards(min_documents), "doc_id long, h1 long")
+        return source.mapInArrow(_rewrite_here(scratch.qualified("index"), n_shards, min_documents), out)
+    copies = F.ceil(F.col("probes") / TASK_PROBES)
+    first = F.coalesce(F.sum(copies).over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
+    places = scratch.write(sizes.select("shard", copies.alias("copies"), first.alias("first")), "places")
+    n_places = places.agg(F.sum("copies")).first()[0] or 1
+    places = sized_broadcast(places, n_shards, 24)
+    probes = source.mapInArrow(_probes(n_shards), "shard long, doc_id long, h1 long, h2 long").join(places, "shard")
+    probes = probes.select((F.col("first") + F.pmod(F.xxhash64("doc_id", "h1"), "copies")).cast("int").alias("place"), "doc_id", "h1", "h2", F.lit(None).cast(index.schema).alias("arrays"))
+    none = F.lit(None).cast("long")
+    held = index.join(places, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("place"), F.struct(*index.columns).alias("arrays"))
+    held = held.select(F.col("place").cast("int").alias("place"), none.alias("doc_id"), none.alias("h1"), none.alias("h2"), "arrays")
+    routed = held.unionByName(probes).repartitionById(n_places, "place").sortWithinPartitions("place", F.col("arrays").isNull())
+    hits = routed.select("place", "doc_id", "h1", "h2", "arrays").mapInArrow(_probe_shards(min_documents), "doc_id long, h1 long")
     flagged = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("h1").alias("flagged")), "flagged")
     joined = source.join(flagged, source["doc_id"].eqNullSafe(flagged["doc_id"]), "left").select(source["doc_id"], "text", "flagged")
     return joined.mapInArrow(_rewrite_flagged, out)

@@ -312,7 +312,8 @@ def _contested_links(named: DataFrame, sets: DataFrame, percent: int, scratch: S
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The documents with one of each near-duplicate group, the smallest doc_id, in their own columns.
 
-    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay.
+    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay, as do null and empty texts. Texts of any
+    length are compared whole; an empty table stays empty; other columns may have any name.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "kept"), "found")

@@ -13,17 +13,15 @@ of whole documents; a table names the files that count, in order:
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, pieces
+from .common import Scratch, batch_of, file_system, pieces, qualified
 from .encode import encoder
 
 MAGIC = b"QDAC0001"
@@ -163,18 +161,6 @@ class TokenReader:
         self.file.close()
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The store and the name in it. Schemes are those that Arrow reads: file, hdfs, s3 (also as s3a), gs, abfs."""
-    path = re.sub("^s3[an]:", "s3:", path)
-    path = re.sub("^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path)
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
 def _segments(path: str, end_id: int, segment_tokens: int, folder: str):
     def run(batches):
         own, context = encoder(path), TaskContext.get()
@@ -221,7 +207,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int = 2,
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     ordered = source.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
-    target = _qualified(spark, target)
+    target = qualified(spark, target)
     files = ordered.mapInArrow(_segments(path, end_id, segment_tokens, f"{target}/data"), FILES)
     files.write.mode("overwrite").parquet(f"{target}/files")
     return spark.read.schema(files.schema).parquet(f"{target}/files")

@@ -56,3 +56,14 @@ def test_edges(spark):
     none = bench.where("false")
     assert {r.n_hit for r in contaminated_documents(df, none).collect()} == {0}
     assert contaminated_documents(df.where("false"), bench).count() == 0
+
+
+def test_other_texts_of_an_id_stay(spark):
+    """Null and repeated ids are judged text by text; an item without an id still hits."""
+    item = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(None, item), (None, "clean words"), (1, item), (1, "clean too"), (1, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert sorted((r.text or "") for r in drop_contaminated(df, bench).collect()) == ["", "clean too", "clean words"]
+    nameless = spark.createDataFrame([(None, item)], "item_id string, text string")
+    hit = {r.text_hash: (r.n_hit, r.n_items, r.contaminated) for r in contaminated_documents(df, nameless).where("n_hit > 0").collect()}
+    assert set(hit.values()) == {(11, 0, True)}
