@@ -2,52 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized_broadcast
 
 
-def _order(k: int, column: str) -> Column:
-    """Vertices are ranked by id in even rounds, where stars fall together, and by a new hash in odd ones, where chains do."""
-    return F.xxhash64(F.lit(k), F.col(column)) if k % 2 else F.col(column)
-
-
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) for every id with an edge in (a, b); component is the smallest id reachable.
 
-    In each round a vertex gives way to the least of itself and its neighbours, and edges are drawn anew between those
-    that are left, each once. So edges and vertices shrink by a share of what is left, and all rounds together move
-    about as many rows as the first few. The steps are then put together from the last to the first. Null ends and
-    loops are ignored; an empty input gives no rows.
+    In each round a vertex points to the least of itself and its neighbours; pointers are followed to their roots, in
+    steps that double; vertices give way to their roots, and edges are drawn anew between those, each once. A star or a
+    chain of falling ids is gone after a round, and of vertices in any order a share stays that falls by a third or
+    more. So all rounds together move about as many rows as the first ones. The rounds are then put together from the
+    last to the first. Null ends and loops are ignored; an empty input gives no rows.
     """
     # With one end null, least and greatest are the other end, so the edge counts as a loop.
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     left = scratch.write(pairs.distinct(), f"{name}-edges-0")
-    steps: list[tuple[DataFrame, int]] = []
+    rounds: list[tuple[DataFrame, int]] = []
     k = 0
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).toDF("id", "near")
-        best = both.groupBy("id").agg(F.min_by("near", _order(k, "near")).alias("near"))
-        to = F.when(_order(k, "near") < _order(k, "id"), F.col("near")).otherwise(F.col("id"))
-        step = scratch.write(best.select("id", to.alias("to")), f"{name}-step-{k}")
-        n = step.count()
-        steps.append((step, n))
-        small = sized_broadcast(step, n, 16)
-        ends = left.join(small.toDF("a", "to_a"), "a").join(small.toDF("b", "to_b"), "b")
-        ends = ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct()
+        roots = scratch.write(both.groupBy("id").agg(F.least("id", F.min("near")).alias("root")), f"{name}-roots-{k}-0")
+        n, jump = roots.count(), 0
+        while True:
+            jump += 1
+            near = sized_broadcast(roots, n, 16).toDF("root", "next")
+            moved = roots.join(near, "root").select("id", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
+            moved = scratch.write(moved, f"{name}-roots-{k}-{jump}")
+            scratch.drop(f"{name}-roots-{k}-{jump - 1}")
+            roots = moved.select("id", "root")
+            if moved.where("moved").isEmpty():
+                break
+        rounds.append((roots, n))
+        small = sized_broadcast(roots, n, 16)
+        ends = left.join(small.toDF("a", "root_a"), "a").join(small.toDF("b", "root_b"), "b")
+        ends = ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b").distinct()
         left = scratch.write(ends, f"{name}-edges-{k + 1}")
-        scratch.drop(f"{name}-edges-{k}")
         k += 1
-    if not steps:
+    if not rounds:
         return left.toDF("id", "component")
-    found = steps[-1][0].toDF("id", "root")
-    for i in range(len(steps) - 2, -1, -1):
-        later = sized_broadcast(found, steps[i + 1][1], 16).toDF("to", "root")
-        found = steps[i][0].join(later, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
-        found = scratch.write(found, f"{name}-roots-{i}")
-    least = scratch.write(found.groupBy("root").agg(F.min("id").alias("component")), f"{name}-least")
-    found = found.join(sized_broadcast(least, least.count(), 16), "root").select("id", "component")
-    found = scratch.write(found, name)
-    scratch.drop(*[f"{name}-step-{i}" for i in range(k)], *[f"{name}-roots-{i}" for i in range(k - 1)], f"{name}-edges-{k}", f"{name}-least")
-    return found
+    found = rounds[-1][0]
+    for i in range(len(rounds) - 2, -1, -1):
+        later = sized_broadcast(found, rounds[i + 1][1], 16).toDF("root", "later")
+        found = scratch.write(rounds[i][0].join(later, "root", "left").select("id", F.coalesce("later", "root").alias("root")), f"{name}-found-{i}")
+    return found.toDF("id", "component")

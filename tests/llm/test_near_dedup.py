@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from quayside.llm import near_dedup
 from quayside.llm.near_dedup import keep_one, near_duplicates
 
 SCHEMA = "doc_id long, text string, kept boolean"
@@ -83,3 +86,48 @@ def test_keep_one(spark):
 def test_one_text_under_many_ids_stays_linear(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words again and again").alias("text"))
     assert near_duplicates(df).agg(F.sum(F.col("kept").cast("int"))).first()[0] == 1
+
+
+def matrix_brute(texts, percent, width):
+    """Components of all pairs: shared shingles counted as a product of matrices."""
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (t.split() for t in texts)]
+    places, n = {}, np.array([len(s) for s in sets])
+    for s in sets:
+        for x in s:
+            places[x] = places.get(x, 0) + 1
+    shared = {x: k for k, x in enumerate(x for x, c in places.items() if c > 1)}
+    m = np.zeros((len(texts), len(shared)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [shared[x] for x in s if x in shared]] = 1
+    both = m @ m.T
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) | np.eye(len(texts), dtype=bool)
+    label = np.arange(len(texts))
+    while True:
+        least = np.where(linked, label[None, :], len(texts)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def test_large_groups_stay_linear(spark, monkeypatch):
+    """5,000 near copies in many components and 5,000 exact ones: what any step hands to components grows with members."""
+    seen = []
+    inner = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges, scratch, name: seen.append((name, edges.count())) or inner(edges, scratch, name))
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(300)}" for _ in range(60)]
+    texts = []
+    for _ in range(5000):
+        own = rnd.choice(texts).split() if texts and rnd.random() < 0.3 else list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 4])):
+            own[rnd.randrange(len(own))] = f"e{rnd.randrange(3000)}"
+        texts.append(" ".join(own))
+    rows = [*enumerate(texts), *((10_000 + i, "one text that very many documents hold word by word") for i in range(5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = matrix_brute(texts, 85, 3)
+    assert 20 < len(set(want)) < 4000
+    found = {r.doc_id: r.component_id for r in near_duplicates(df, 85, 3).collect()}
+    assert [found[i] for i in range(5000)] == want.tolist()
+    assert {found[10_000 + i] for i in range(5000)} == {10_000}
+    assert max(n for _, n in seen) <= 2 * 5000, seen
