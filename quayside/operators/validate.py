@@ -5,7 +5,7 @@ Each check looks at drafts still without an error. Children are joined to one ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.converters import ADDRESS
@@ -64,14 +64,28 @@ def check_contract(drafts: DataFrame, entity: str) -> DataFrame:
     return drafts.withColumn("issues", F.when(F.col("skipped"), F.col("issues")).otherwise(F.concat("issues", more)))
 
 
+def _matched(drafts: DataFrame, among: Column, state: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """drafts with the columns of `state` where `among` holds; the others, null and dead keys with them, never meet in a join.
+
+    state has one row per key, so a key of very many drafts is split wherever Spark has to shuffle.
+    """
+    asked = drafts.where(among).join(state, [key == state[name] for name, key in on.items()], "left").drop(*[state[name] for name in on])
+    return asked.unionByName(drafts.where(~F.coalesce(among, F.lit(False))), allowMissingColumns=True)
+
+
+def _place() -> Column:
+    """Drafts of an entity in the order in which they count."""
+    return F.struct("source_row", "dataset")
+
+
 def check_unique_ids(drafts: DataFrame, entity: str) -> DataFrame:
     """Among live drafts the first of an id stands; later ones name it."""
     alive = live() & F.col("record_id").isNotNull()
-    drafts = drafts.withColumn("_alive", alive)
-    by = Window.partitionBy("record_id", "_alive").orderBy("source_row", "dataset")
-    drafts = drafts.withColumns({"_n": F.row_number().over(by), "_first": F.first(F.struct("dataset", "source_row")).over(by)})
+    firsts = drafts.where(alive).groupBy(F.col("record_id").alias("_id")).agg(F.min(_place()).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = _matched(drafts, alive, firsts, {"_id": F.col("record_id")})
     message = F.concat(F.lit(f"{id_field(entity)} "), F.col("record_id"), F.lit(" already appears in "), F.col("_first.dataset"), F.lit(" row "), F.col("_first.source_row").cast("string"))
-    return with_issue(drafts, F.col("_alive") & (F.col("_n") > 1), issue("duplicate_identifier", "error", id_field(entity), F.col("record_id"), message)).drop("_alive", "_n", "_first")
+    again = F.coalesce(_place() > F.col("_first"), F.lit(False))
+    return with_issue(out, again, issue("duplicate_identifier", "error", id_field(entity), F.col("record_id"), message)).drop("_first")
 
 
 def organization_state(organizations: DataFrame) -> DataFrame:
@@ -86,42 +100,42 @@ def organization_state(organizations: DataFrame) -> DataFrame:
 
 def check_parents(children: DataFrame, state: DataFrame) -> DataFrame:
     """A child whose organization does not migrate is refused: the account is refused, or not there at all."""
-    own = state.select("org", "migrating", "reason")
-    out = children.join(own, F.col("payload.organization_id") == F.col("org"), "left")
-    lost = live() & F.col("payload.organization_id").isNotNull() & (F.coalesce("migrating", F.lit(0)) == 0)
-    held = F.col("org").isNotNull()
+    own = state.select("org", F.lit(True).alias("_held"), "migrating", "reason")
+    asked = live() & F.col("payload.organization_id").isNotNull()
+    out = _matched(children, asked, own, {"org": F.col("payload.organization_id")})
+    lost = asked & (F.coalesce("migrating", F.lit(0)) == 0)
+    held = F.col("_held").isNotNull()
     message = F.when(held, F.concat(F.lit("the organization cannot migrate: "), F.col("reason"))).otherwise(F.lit("the organization is not in the export"))
-    return with_issue(out, lost, issue(F.when(held, "parent_record_rejected").otherwise("missing_relationship"), "error", "organization_id", F.col("payload.organization_id"), message)).drop("org", "migrating", "reason")
+    return with_issue(out, lost, issue(F.when(held, "parent_record_rejected").otherwise("missing_relationship"), "error", "organization_id", F.col("payload.organization_id"), message)).select(children.columns)
 
 
 def check_contacts(contacts: DataFrame) -> DataFrame:
     """One primary contact and one use of an address per organization; a warning on the first contact where none is primary.
 
-    The three windows share the partitioning by organization, so drafts move once.
+    The first contacts of each organization and of each address used twice are aggregates, so an organization with very
+    many contacts is one row in each.
     """
-    org = F.col("payload.organization_id")
-    c = contacts.withColumns({"_alive": live() & org.isNotNull(), "_org": org, "_mail": F.lower("payload.email"), "_primary": F.col("payload.is_primary") == "true"})
-    c = c.withColumn("_primary", F.coalesce("_primary", F.lit(False)))
-    order = ["source_row", "dataset"]
-    by_org = Window.partitionBy("_org", "_alive")
-    c = c.withColumns({
-        "_nth": F.row_number().over(by_org.orderBy(*order)),
-        "_nth_primary": F.row_number().over(Window.partitionBy("_org", "_alive", "_primary").orderBy(*order)),
-        "_any_primary": F.max(F.col("_primary").cast("int")).over(by_org),
-        "_nth_mail": F.row_number().over(Window.partitionBy("_org", "_alive", "_mail").orderBy(*order)),
-    })
-    a = F.col("_alive")
-    c = with_issue(c, a & F.col("_primary") & (F.col("_nth_primary") > 1), issue("duplicate_primary_contact", "error", "is_primary", None, "the organization has a primary contact already", "one primary contact per organization"))
-    c = with_issue(c, a & (F.col("_any_primary") == 0) & (F.col("_nth") == 1), issue("no_primary_contact", "warning", "is_primary", None, "no contact of the organization is primary"))
-    c = with_issue(c, a & F.col("_mail").isNotNull() & (F.col("_mail") != "") & (F.col("_nth_mail") > 1), issue("duplicate_contact_email", "error", "email", F.col("_mail"), "the address is another contact's of the organization"))
+    org, mail = F.col("payload.organization_id"), F.lower("payload.email")
+    primary = F.coalesce(F.col("payload.is_primary") == "true", F.lit(False))
+    alive = live() & org.isNotNull()
+    first = contacts.where(alive).groupBy(org.alias("_org")).agg(F.min(_place()).alias("_first"), F.min(F.when(primary, _place())).alias("_first_primary"))
+    used = contacts.where(alive & mail.isNotNull() & (mail != "")).groupBy(org.alias("_org"), mail.alias("_mail")).agg(F.min(_place()).alias("_first_use"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    c = _matched(_matched(contacts, alive, first, {"_org": org}), alive & mail.isNotNull() & (mail != ""), used, {"_org": org, "_mail": mail})
+    second = F.coalesce(primary & (_place() > F.col("_first_primary")), F.lit(False))
+    none = F.coalesce((_place() == F.col("_first")) & F.col("_first_primary").isNull(), F.lit(False))
+    again = F.coalesce(_place() > F.col("_first_use"), F.lit(False))
+    c = with_issue(c, second, issue("duplicate_primary_contact", "error", "is_primary", None, "the organization has a primary contact already", "one primary contact per organization"))
+    c = with_issue(c, none, issue("no_primary_contact", "warning", "is_primary", None, "no contact of the organization is primary"))
+    c = with_issue(c, again, issue("duplicate_contact_email", "error", "email", mail, "the address is another contact's of the organization"))
     return c.select(contacts.columns)
 
 
 def check_lifecycle(subscriptions: DataFrame, state: DataFrame) -> DataFrame:
     """No live subscription under a dormant account, refused accounts included."""
     own = state.select("org", F.col("status").alias("_status"), "by_rule")
-    out = subscriptions.join(own, F.col("payload.organization_id") == F.col("org"), "left")
-    clash = live() & F.col("_status").isin("inactive", "churned") & F.col("payload.status").isin("trial", "active")
+    asked = live() & F.col("payload.organization_id").isNotNull()
+    out = _matched(subscriptions, asked, own, {"org": F.col("payload.organization_id")})
+    clash = asked & F.col("_status").isin("inactive", "churned") & F.col("payload.status").isin("trial", "active")
     because = F.when(F.col("by_rule"), "by the dormancy rule").otherwise("by its own status")
     message = F.concat(F.lit("the organization is "), F.col("_status"), F.lit(" "), because)
     return with_issue(out, F.coalesce(clash, F.lit(False)), issue("business_rule_violation", "error", "status", F.col("payload.status"), message)).select(subscriptions.columns)
@@ -141,8 +155,9 @@ def check_future_dates(drafts: DataFrame, entity: str, as_of: str) -> DataFrame:
 def check_tier(subscriptions: DataFrame, organizations: DataFrame, column: str = "customer_tier", tier: str = "strategic", plan: str = "enterprise") -> DataFrame:
     """Accounts of a tier should have a plan; others are flagged, not changed."""
     named = organizations.where(~F.col("skipped") & F.col("record_id").isNotNull() & (F.lower(F.trim(F.col(f"raw.{column}"))) == tier)).select(F.col("record_id").alias("org")).distinct().withColumn("_tier", F.lit(True))
-    out = subscriptions.join(named, F.col("payload.organization_id") == F.col("org"), "left")
-    clash = live() & F.col("_tier").isNotNull() & ~F.col("payload.plan").eqNullSafe(F.lit(plan))
+    asked = live() & F.col("payload.organization_id").isNotNull()
+    out = _matched(subscriptions, asked, named, {"org": F.col("payload.organization_id")})
+    clash = asked & F.col("_tier").isNotNull() & ~F.col("payload.plan").eqNullSafe(F.lit(plan))
     return with_issue(out, clash, issue("plan_conflicts_with_tier", "warning", "plan", F.col("payload.plan"), f"{tier} accounts should have {plan}")).select(subscriptions.columns)
 
 
