@@ -120,7 +120,7 @@ def _candidates(widths: list[int], size: int, shared):
     return run
 
 
-def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, filter_bits: int = 1 << 24) -> DataFrame:
+def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, filter_bits: int = 1 << 24, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (their ids), contaminated.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. Windows are `size`
@@ -131,7 +131,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10
     text are read, so other columns never clash.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+    scratch = scratch or Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     own = items.mapInArrow(_windows(size), "item_id string, words string, n_words long, shingle_hashes array<long>")
     windows = scratch.write(own.groupBy("words", "n_words").agg(F.any_value("shingle_hashes").alias("shingle_hashes"), F.collect_set("item_id").alias("item_ids")), "windows")
@@ -147,6 +147,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10
     prefixes = scratch.write(prefixes, "prefixes")
 
     rare = spark.sparkContext.broadcast(_Filter(prefixes.select("hash").distinct(), filter_bits))
+    scratch.drop_but("prefixes")
     rows = source.mapInArrow(_candidates(widths, size, rare), CANDIDATES)
     # Documents without candidates take a key of their own, so that no null key gathers them in one task.
     rows = rows.withColumn("key", F.coalesce("hash", F.xxhash64("row")))
@@ -175,8 +176,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     texts of any length are read whole; other columns may have any name.
     """
     scratch = Scratch(docs.sparkSession, "drop-contaminated")
-    bad = contaminated_documents(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
+    bad = contaminated_documents(docs, benchmark, size, scratch=scratch).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash"))
     bad = scratch.write(bad.distinct(), "bad")
+    scratch.drop_but("bad")
     bad = sized_broadcast(bad, bad.count(), 24)
     same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__bad_hash"])
     return docs.join(bad, same, "left_anti")

@@ -184,6 +184,7 @@ def predict_languages(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, d
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     known = source.where(letters & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     sample = _training_sample(known, per_language, documents, total, scratch).toArrow()
+    scratch.drop()
     sample = sample.sort_by([("lang", "ascending"), ("n", "ascending")])
     names = sample.column("lang").to_pylist()
     languages = sorted(set(names))

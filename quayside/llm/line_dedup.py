@@ -250,6 +250,7 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = 10, broadcast_byte
     size = index.agg(F.sum(F.length("words") + F.length("ranks") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
     out = "doc_id long, text string, n_lines long, n_dropped long"
     if size <= broadcast_bytes:
+        scratch.drop_but("index")
         return source.mapInArrow(_rewrite_here(scratch.qualified("index"), n_shards, min_documents), out)
     copies = F.ceil(F.col("probes") / TASK_PROBES)
     first = F.coalesce(F.sum(copies).over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
@@ -264,5 +265,6 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = 10, broadcast_byte
     routed = held.unionByName(probes).repartitionById(n_places, "place").sortWithinPartitions("place", F.col("arrays").isNull())
     hits = routed.select("place", "doc_id", "h1", "h2", "arrays").mapInArrow(_probe_shards(min_documents), "doc_id long, h1 long")
     flagged = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("h1").alias("flagged")), "flagged")
+    scratch.drop_but("flagged")
     joined = source.join(flagged, source["doc_id"].eqNullSafe(flagged["doc_id"]), "left").select(source["doc_id"], "text", "flagged")
     return joined.mapInArrow(_rewrite_flagged, out)

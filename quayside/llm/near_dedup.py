@@ -144,7 +144,7 @@ def collection_size(percent: int, rows: int, miss: float = 2e-4) -> int:
     return m
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: in
     and kept true. An empty table gives no rows. Other columns, clashing names included, are ignored.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    scratch = scratch or Scratch(spark, "near-dedup")
     m = collection_size(percent, rows)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.write(source.mapInArrow(_signatures(pa.int64(), width, m, rows), "doc_id long, n_shingles long, set_sum long, set_xor long, parts array<long>"), "signatures")
@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, rows: in
     labels = components(links.union(tied), scratch, "first")
     labels = _joined_up(buckets.select("key", "doc_id"), labels, sets, percent, scratch)
 
-    labels = labels.toDF("rep", "component_id")
+    labels = scratch.write(labels.toDF("rep", "component_id"), "final")
+    scratch.drop_but("signatures", "copies", "final")
     member = member.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     lone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
     out = sig.select("doc_id", "n_shingles").join(member, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", lone).alias("component_id"))
@@ -316,11 +317,12 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     length are compared whole; an empty table stays empty; other columns may have any name.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "kept"), "found")
+    found = scratch.write(near_duplicates(docs, percent, width, scratch=scratch).select("doc_id", "kept"), "found")
     # Usually far fewer than the documents, so that texts need not move.
     out = scratch.write(found.where("not kept").select(F.col("doc_id").alias("out_id")).distinct(), "out")
     left = docs.join(sized_broadcast(out, out.count(), 16), F.col("doc_id") == F.col("out_id"), "left_anti")
     again = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
+    scratch.drop_but("out", "again")
     n = again.count()
     if not n:
         return left

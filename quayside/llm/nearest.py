@@ -111,6 +111,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shard_vectors: in
     index = sharded.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("dim", "shard").mapInArrow(_build, INDEX)
     index = scratch.write(index, "index")
 
+    scratch.drop("firsts")
     queries = valid.where(F.col("vec_id") % every == 0).select(F.size("embedding").cast("long").alias("dim"), "vec_id", "embedding")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     blocks = queries.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("number")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("block"))

@@ -225,7 +225,7 @@ def _training_sample(labelled: DataFrame, train_rows: int, scratch: Scratch) ->
     return near.orderBy(place, "doc_id", "text_hash").limit(train_rows)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, text_hash, held_out, score, predicted.
 
     Fitted on rows of `labels` with quality 0 or 1 whose crc32(doc_id as text) mod 3 is not 1, at most
@@ -235,7 +235,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     scores. A null doc_id is scored, never learned from. Other columns, clashing names included, are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
+    scratch = scratch or Scratch(spark, "quality")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     rows = scratch.write(source.mapInArrow(_feature_rows, "doc_id long, text_hash long, x array<float>"), "features")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
@@ -244,6 +244,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     train = _training_sample(rows.join(known, "doc_id"), train_rows, scratch).select("x", "quality").toPandas()
     x = np.stack(train["x"].to_numpy()).astype(np.float32) if len(train) else np.empty((0, len(FEATURES)), dtype=np.float32)
     model = spark.sparkContext.broadcast(fit(x, train["quality"].to_numpy(dtype=np.float64)))
+    scratch.drop_but("features")
     scored = rows.mapInArrow(_score_rows(model), "doc_id long, text_hash long, score double")
     return scored.select("doc_id", "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -256,8 +257,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     read whole; columns named like those of the scores stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "keep-good")
-    bad = quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad = quality_scores(docs, labels, scratch=scratch).where("predicted = 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = scratch.write(bad, "bad")
+    scratch.drop_but("bad")
     bad = sized_broadcast(bad, bad.count(), 24)
     same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"])
     return docs.join(bad, same, "left_anti")

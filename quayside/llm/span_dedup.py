@@ -207,6 +207,7 @@ def drop_repeated_spans(docs: DataFrame, min_sentences: int = 2, min_words: int
         sharing = source.join(sized_broadcast(ids, ids.count(), 16, BROADCAST_BYTES), "doc_id", "left_semi")
         hits, _ = _repeats(runs_of(sharing, True), scratch, "all")
     flagged = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("h1").alias("flagged")), "flagged")
+    scratch.drop_but("flagged")
     return source.join(flagged, "doc_id", "left").select("doc_id", "text", "flagged").mapInArrow(_rewrite(min_sentences, min_words, whole), OUT)
 
 
