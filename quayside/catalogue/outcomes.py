@@ -29,7 +29,14 @@ def _from(table: str, sql: str):
 
 _RECORDS = "SELECT CAST(o_custkey AS STRING) AS id, o_orderstatus AS content_hash, o_orderkey AS ord FROM orders"
 _HELD = "SELECT CAST(c_custkey AS STRING) AS id, 'O' AS content_hash FROM customer WHERE c_custkey % 3 = 0"
-Q["w01_classify_writes"] = lambda s, d: write.classify_writes(_from("orders", _RECORDS)(s, d), _from("customer", _HELD)(s, d)).select("id", "ord", "outcome")
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """The column that tells records apart becomes a payload, and its hash the content."""
+    return df.withColumn("payload", F.struct(F.col("content_hash").alias("status"))).withColumn("content_hash", write.content_hash()).drop("payload")
+
+
+Q["w01_classify_writes"] = lambda s, d: write.classify_writes(_hashed(_from("orders", _RECORDS)(s, d)), _hashed(_from("customer", _HELD)(s, d))).select("id", "ord", "outcome")
 SQL["w01_classify_writes"] = f"""WITH r AS ({_RECORDS}), h AS ({_HELD}),
 j AS (SELECT r.*, h.content_hash AS held, row_number() OVER (PARTITION BY r.id ORDER BY ord) AS n, first_value(r.content_hash) OVER (PARTITION BY r.id ORDER BY ord) AS f FROM r LEFT JOIN h ON h.id = r.id)
 SELECT id, ord, CASE WHEN held IS NULL AND n = 1 THEN 'created' WHEN content_hash = coalesce(held, f) THEN 'unchanged' ELSE 'conflict' END AS outcome FROM j"""
@@ -50,6 +57,53 @@ Q["w05_faults"] = lambda s, d: write.draw_faults(_from("orders", _SENT)(s, d), s
 Q["w06_limit_per_entity"] = lambda s, d: write.limit_per_entity(_from("orders", _ATTEMPTS)(s, d), 100).select("entity", "ord", "not_attempted")
 SQL["w06_limit_per_entity"] = f"SELECT entity, ord, row_number() OVER (PARTITION BY entity ORDER BY ord) > 100 AS not_attempted FROM ({_ATTEMPTS})"
 
+_ORGS = """SELECT CAST(c_custkey - CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS STRING) AS id, c_custkey AS ord, CASE WHEN c_custkey % 100 = 0 THEN 'other' ELSE 'same' END AS content_hash,
+CASE c_custkey % 4 WHEN 0 THEN 'inactive' WHEN 1 THEN 'churned' ELSE 'active' END AS status, c_custkey % 17 = 0 AS fault FROM customer"""
+_CONTACTS = """SELECT CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'same' AS content_hash, CAST(o_custkey AS STRING) AS organization_id, o_orderkey % 5 = 0 AS is_primary,
+CASE o_orderkey % 3 WHEN 0 THEN 'A' ELSE 'a' END || CAST(o_orderkey % 7 AS STRING) || '@x.com' AS email, o_orderkey % 41 = 0 AS fault FROM orders WHERE o_orderkey % 2 = 0"""
+_SUBS = """SELECT CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'same' AS content_hash, CAST(o_custkey AS STRING) AS organization_id,
+CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'cancelled' ELSE 'trial' END AS status, false AS fault FROM orders WHERE o_orderkey % 2 = 1"""
+
+
+def _sent(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"organization": _from("customer", _ORGS)(s, d), "contact": _from("orders", _CONTACTS)(s, d), "subscription": _from("orders", _SUBS)(s, d)}
+
+
+#: The target's rules one after the other: organizations, then contacts in their order, then subscriptions.
+_WRITTEN = f"""o AS (SELECT *, CASE WHEN NOT fault THEN row_number() OVER (PARTITION BY id, fault ORDER BY ord) END AS n, first_value(content_hash) OVER (PARTITION BY id, fault ORDER BY ord) AS f, min(ord) OVER (PARTITION BY id, fault) AS f_ord FROM ({_ORGS})),
+oo AS (SELECT 'organization' AS entity, 0 AS rank, id, ord, CASE WHEN fault THEN 'failed' WHEN n = 1 THEN 'created' WHEN content_hash = f THEN 'unchanged' ELSE 'rejected' END AS outcome, status FROM o),
+acc AS (SELECT id, arg_min(status, ord) AS status FROM oo WHERE outcome IN ('created', 'unchanged') GROUP BY id),
+c AS (SELECT k.*, lower(email) AS mail, organization_id IN (SELECT id FROM acc) AS held FROM ({_CONTACTS}) AS k),
+np AS (SELECT organization_id, mail, min(ord) AS np FROM c WHERE held AND NOT fault AND NOT is_primary GROUP BY ALL),
+cn AS (SELECT c.*, np FROM c LEFT JOIN np USING (organization_id, mail)),
+ld AS (SELECT organization_id, min(ord) AS lead, arg_min(mail, ord) AS lead_mail FROM cn WHERE held AND NOT fault AND is_primary AND (np IS NULL OR ord < np) GROUP BY organization_id),
+cc AS (SELECT id, ord, CASE WHEN NOT held THEN 'parent_not_in_target' WHEN fault THEN 'target_unavailable' WHEN is_primary AND ord > lead THEN 'duplicate_primary_contact' WHEN is_primary AND (lead IS NULL OR ord < lead) THEN 'duplicate_contact_email'
+  WHEN NOT is_primary AND (ord <> np OR (lead_mail = mail AND lead < ord)) THEN 'duplicate_contact_email' END AS err FROM cn LEFT JOIN ld USING (organization_id)),
+s AS (SELECT k.id, k.ord, CASE WHEN acc.id IS NULL THEN 'parent_not_in_target' WHEN acc.status IN ('inactive', 'churned') AND k.status IN ('trial', 'active') THEN 'business_rule_violation' END AS err FROM ({_SUBS}) AS k LEFT JOIN acc ON acc.id = k.organization_id),
+w AS (SELECT entity, rank, id, ord, outcome, CASE outcome WHEN 'failed' THEN 'target_unavailable' WHEN 'rejected' THEN 'duplicate_identifier' END AS error_type FROM oo
+UNION ALL SELECT 'contact', 1, id, ord, CASE err WHEN 'parent_not_in_target' THEN 'blocked' WHEN 'target_unavailable' THEN 'failed' ELSE CASE WHEN err IS NULL THEN 'created' ELSE 'rejected' END END, err FROM cc
+UNION ALL SELECT 'subscription', 2, id, ord, CASE WHEN err = 'parent_not_in_target' THEN 'blocked' WHEN err IS NULL THEN 'created' ELSE 'rejected' END, err FROM s)"""
+Q["w07_dry_run"] = lambda s, d: write.dry_run(_sent(s, d), threshold=1_000_000)
+SQL["w07_dry_run"] = f"WITH {_WRITTEN} SELECT entity, id, ord, outcome, error_type FROM w"
+#: Refusals of an entity after which it stops.
+_STOP = 20
+Q["w08_dry_run_stops"] = lambda s, d: write.dry_run({"organization": _from("customer", _ORGS)(s, d)}, limit=1_000, stop_after=_STOP, threshold=10)
+SQL["w08_dry_run_stops"] = f"""WITH {_WRITTEN}, q AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM w WHERE entity = 'organization'),
+r AS (SELECT *, coalesce(sum(CASE WHEN n <= 1000 AND outcome IN ('failed', 'rejected') THEN 1 ELSE 0 END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM q)
+SELECT entity, id, ord, CASE WHEN n > 1000 OR bad >= {_STOP} THEN 'not_attempted' ELSE outcome END AS outcome, CASE WHEN NOT (n > 1000 OR bad >= {_STOP}) THEN error_type END AS error_type FROM r"""
+_STORED = "SELECT CAST(c_custkey AS STRING) AS id, c_mktsegment AS segment, CAST(c_nationkey AS STRING) AS nation, c_name AS name FROM customer"
+_RESENT = "SELECT CAST(c_custkey AS STRING) AS id, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS STRING) END AS nation, c_name AS name FROM customer"
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    new, old = _from("customer", _RESENT)(s, d), _from("customer", _STORED)(s, d)
+    return write.changed_fields(new.select("id", "ord", F.struct("segment", "nation", "name").alias("payload")), old.select("id", F.struct("segment", "nation", "name").alias("payload")))
+
+
+Q["w09_changed_fields"] = _changed
+SQL["w09_changed_fields"] = f"""SELECT id, ord, concat_ws(',', CASE WHEN n.nation IS DISTINCT FROM o.nation THEN 'nation' END, CASE WHEN n.segment <> o.segment THEN 'segment' END) AS changed
+FROM ({_RESENT}) AS n JOIN ({_STORED}) AS o USING (id) WHERE n.nation IS DISTINCT FROM o.nation OR n.segment <> o.segment"""
+
 _RUN = """SELECT o_orderpriority AS entity, CAST(o_orderkey AS STRING) AS id, o_orderkey % 19 = 0 AS skipped, CASE WHEN o_orderkey % 7 = 0 THEN 'missing_required' END AS first_error,
 CASE WHEN o_orderkey % 19 = 0 OR o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'blocked' WHEN o_orderkey % 13 = 0 THEN 'rejected' WHEN o_orderkey % 17 = 0 THEN 'failed' WHEN o_orderkey % 23 = 0 THEN 'not_attempted' ELSE 'accepted' END AS outcome FROM orders"""
 _N = lambda c: f"count(*) FILTER (WHERE {c})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quayside.plans.contract import ENTITIES
 from quayside.plans.shared import barrier
 
 LIVE_NAMESPACE = "00000000-0000-0000-0000-000000000000"
@@ -18,15 +19,25 @@ def content_hash(payload: str = "payload") -> Column:
 def classify_writes(records: DataFrame, existing: DataFrame) -> DataFrame:
     """records (id, content_hash, ord) against existing (id, content_hash): created, unchanged or conflict.
 
-    Within a batch the first of an id is written and later ones are compared with what then stands.
+    Within a batch the first of an id is written and later ones are compared with what then stands. Only ids that
+    repeat have a first to look up, one row each.
     """
     held = existing.select("id", F.col("content_hash").alias("held_hash"))
-    joined = records.join(held, "id", "left")
-    first = F.first("content_hash").over(Window.partitionBy("id").orderBy("ord"))
-    stands = F.coalesce("held_hash", first)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    outcome = F.when(F.col("held_hash").isNull() & (nth == 1), "created").when(F.col("content_hash") == stands, "unchanged").otherwise("conflict")
-    return joined.withColumn("outcome", outcome).drop("held_hash")
+    firsts = records.groupBy("id").agg(F.min_by("content_hash", "ord").alias("first_hash"), F.min("ord").alias("first_ord"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    joined = records.join(held, "id", "left").join(firsts, "id", "left")
+    stands = F.coalesce("held_hash", "first_hash", "content_hash")
+    is_first = F.coalesce(F.col("ord") == F.col("first_ord"), F.lit(True))
+    outcome = F.when(F.col("held_hash").isNull() & is_first, "created").when(F.col("content_hash") == stands, "unchanged").otherwise("conflict")
+    return joined.withColumn("outcome", outcome).drop("held_hash", "first_hash", "first_ord")
+
+
+def changed_fields(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, ord, changed) for records (id, ord, payload struct) whose stored payload differs: the names of the fields, sorted."""
+    names = sorted(f.name for f in records.schema["payload"].dataType.fields)
+    j = records.select("id", "ord", "payload").join(existing.select("id", F.col("payload").alias("stored")), "id")
+    text = lambda side, n: F.coalesce(F.col(f"{side}.{n}").cast("string"), F.lit("\0"))  # noqa: E731  null is a value here
+    changed = F.array_compact(F.array(*[F.when(text("payload", n) != text("stored", n), F.lit(n)) for n in names]))
+    return j.select("id", "ord", F.array_join(changed, ",").alias("changed")).where("changed <> ''")
 
 
 def blocked_children(children: DataFrame, accepted: DataFrame, key: str = "organization_id") -> DataFrame:
@@ -34,34 +45,155 @@ def blocked_children(children: DataFrame, accepted: DataFrame, key: str = "organ
     return children.where(F.col(key).isNotNull()).join(accepted.select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
 
+def _cut(rows: DataFrame, limit: int) -> DataFrame:
+    """(entity, cut): the place of the `limit`-th row of each entity that has so many. Each task sends `limit` rows of an entity at most."""
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy("ord"))
+    first = rows.select("entity", "ord").withColumn("nth", nth).where(F.col("nth") <= limit)
+    return first.groupBy("entity").agg(F.max("ord").alias("cut"), F.count("*").alias("n")).where(F.col("n") == limit).drop("n")
+
+
 def limit_per_entity(records: DataFrame, limit: int) -> DataFrame:
     """Adds not_attempted: beyond the first `limit` of each entity."""
-    nth = F.row_number().over(Window.partitionBy("entity").orderBy("ord"))
-    return records.withColumn("not_attempted", nth > limit)
+    out = records.join(_cut(records, limit), "entity", "left")
+    return out.withColumn("not_attempted", F.coalesce(F.col("ord") > F.col("cut"), F.lit(False))).drop("cut")
 
 
 def stop_after_failures(attempts: DataFrame, limit: int) -> DataFrame:
-    """Adds not_attempted: after the `limit`-th rejected or failed record of the entity, nothing more is sent.
+    """Adds not_attempted: after the `limit`-th rejected or failed record of the entity, nothing more is sent."""
+    out = attempts.join(_cut(attempts.where(F.col("outcome").isin("rejected", "failed")), limit), "entity", "left")
+    return out.withColumn("not_attempted", F.coalesce(F.col("ord") > F.col("cut"), F.lit(False))).drop("cut")
 
-    The order of writes is one sequence for each entity, so the count runs over the entity's attempts.
+
+#: Attempts in a stretch of the sequence that one task walks, about.
+STRETCH = 1_000_000
+
+
+def with_runs(attempts: DataFrame) -> DataFrame:
+    """Adds position in the order (entity_rank, ord) and run: failures in a row up to here, across entities.
+
+    A failure's run is its distance to the last attempt that did not fail. The order is cut into stretches by a range
+    shuffle; each is numbered by itself, and one row per stretch carries its length and its last good place on.
     """
-    before = F.sum(F.col("outcome").isin("rejected", "failed").cast("int")).over(Window.partitionBy("entity").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    return attempts.withColumn("not_attempted", F.coalesce(before, F.lit(0)) >= limit)
+    spark = attempts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-attempts.count() // STRETCH))
+    a = barrier(attempts.repartitionByRange(n, "entity_rank", "ord").withColumn("_stretch", F.spark_partition_id()), "stretches")
+    inside = Window.partitionBy("_stretch").orderBy("entity_rank", "ord")
+    a = a.withColumn("_at", F.row_number().over(inside))
+    fine = F.when(F.col("outcome") != "failed", F.col("_at"))
+    a = a.withColumn("_fine", F.max(fine).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # One row per stretch meets here.
+    before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = a.groupBy("_stretch").agg(F.max("_at").alias("n"), F.max("_fine").alias("last"))
+    ends = ends.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = ends.withColumn("carried", F.coalesce(F.max(F.col("base") + F.col("last")).over(before), F.lit(0))).drop("n", "last")
+    a = a.join(ends, "_stretch").withColumn("position", F.col("base") + F.col("_at"))
+    run = F.col("position") - F.coalesce(F.col("base") + F.col("_fine"), F.col("carried"))
+    return a.withColumn("run", run).drop("_stretch", "_at", "_fine", "base", "carried")
 
 
 def breaker(attempts: DataFrame, threshold: int) -> DataFrame:
-    """Adds run (failures in a row up to here, across entities) and not_attempted after the first run of `threshold`.
-
-    A failure's run is its distance to the last attempt that did not fail. The rows that decide are the answers in
-    order; the prefix is a running maximum over (entity, ord).
+    """Adds run and not_attempted: after the first run of `threshold` failures nothing more is sent."""
+    a = barrier(with_runs(attempts), "runs")
+    tripped = a.where(F.col("run") >= threshold).agg(F.min("position")).first()[0]
+    return a.withColumn("not_attempted", F.lit(False) if tripped is None else F.col("position") > tripped)
+
+
+# Fixed values.
+DORMANT, STARTED = ("inactive", "churned"), ("trial", "active")
+
+
+def _judged(rows: DataFrame, entity: str, stored: DataFrame) -> DataFrame:
+    """rows with outcome and error_type, if of these rows just `stored` were there: each looks at what stands before it."""
+    before = lambda c: F.coalesce(F.col(c) < F.col("ord"), F.lit(False))
+    by_id = stored.groupBy("id").agg(F.min("ord").alias("_id_at"), F.min_by("content_hash", "ord").alias("_id_hash"))
+    out = rows.join(by_id, "id", "left")
+    held = F.coalesce("_held_hash", F.when(before("_id_at"), F.col("_id_hash")))
+    error = F.col("_own_error")
+    if entity == "contact":
+        primary = stored.where("is_primary").groupBy("organization_id").agg(F.min("ord").alias("_primary_at"))
+        mail = stored.where("email is not null").groupBy("organization_id", F.lower("email").alias("_mail")).agg(F.min("ord").alias("_mail_at"))
+        out = out.join(primary, "organization_id", "left").withColumn("_mail", F.lower("email")).join(mail, ["organization_id", "_mail"], "left")
+        two = F.coalesce("is_primary", F.lit(False)) & before("_primary_at")
+        error = F.coalesce(error, F.when(two, "duplicate_primary_contact"), F.when(before("_mail_at"), "duplicate_contact_email"))
+    error = F.when(held.isNull(), error).when(held != F.col("content_hash"), "duplicate_identifier")
+    out = out.withColumns({"error_type": error, "_there": held.isNotNull()})
+    outcome = F.when(F.col("error_type").isNotNull(), "rejected").when(F.col("_there"), "unchanged").otherwise("created")
+    return out.select(*rows.columns, "error_type", outcome.alias("outcome"))
+
+
+def answers(attempts: DataFrame, entity: str, organizations: DataFrame | None, existing: DataFrame) -> DataFrame:
+    """attempts with outcome (created, unchanged, rejected or failed) and error_type, as the target gives them one by one.
+
+    attempts: id, ord, content_hash, fault (whether the target fails), and what the entity's rules read: organization_id;
+    is_primary, email; status. organizations: accepted ones (id, status); existing: (id, content_hash) held before.
+
+    What a record finds there depends on which of the earlier ones were let in. So all are judged against a guess of
+    what is stored, and again against the outcome, until nothing changes; each round settles the records that hang on
+    settled ones. Drafts that are valid need one round; what each record looks up are aggregates of one row per key.
+    """
+    fault = F.coalesce("fault", F.lit(False))
+    down = attempts.where(fault).withColumns({"error_type": F.lit("target_unavailable"), "outcome": F.lit("failed")})
+    rows = attempts.where(~fault).join(existing.select("id", F.col("content_hash").alias("_held_hash")), "id", "left")
+    own = F.lit(None).cast("string")
+    if organizations is not None:
+        held = organizations.select(F.col("id").alias("organization_id"), F.col("status").alias("_held"), F.lit(True).alias("_known"))
+        rows = rows.join(held, "organization_id", "left")
+        own = F.when(F.col("_known").isNull(), "missing_relationship")
+        if entity == "subscription":
+            own = F.coalesce(own, F.when(F.col("_held").isin(*DORMANT) & F.col("status").isin(*STARTED), "business_rule_violation"))
+    rows = barrier(rows.withColumn("_own_error", own).drop("_held", "_known"), f"attempts-{entity}")
+    told = barrier(_judged(rows, entity, rows.where("_own_error is null and _held_hash is null")), f"told-{entity}")
+    while entity == "contact":
+        again = barrier(_judged(rows, entity, told.where("outcome = 'created'")), f"told-{entity}")
+        same = again.select("ord", "outcome", "error_type").exceptAll(told.select("ord", "outcome", "error_type")).isEmpty()
+        told = again
+        if same:
+            break
+    return told.drop("_held_hash", "_own_error").unionByName(down)
+
+
+def dry_run(records: dict[str, DataFrame], limit: int | None = None, stop_after: int | None = None, threshold: int = 10, existing: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per record: entity, id, ord, outcome, error_type; a rehearsal of all writes in the entities' order.
+
+    outcome: created, unchanged, rejected, failed, blocked (its organization was not accepted) or not_attempted: beyond
+    `limit` records of an entity, after `stop_after` refusals of it, or after `threshold` failures in a row across
+    entities. records: by entity, as for `answers`; an entity that is missing writes nothing.
     """
-    order = Window.partitionBy(F.lit(1)).orderBy("entity_rank", "ord")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    a = attempts.withColumn("position", F.row_number().over(order))
-    last_fine = F.coalesce(F.max(F.when(F.col("outcome") != "failed", F.col("position"))).over(upto), F.lit(0))
-    a = a.withColumn("run", F.col("position") - last_fine)
-    tripped = F.min(F.when(F.col("run") >= threshold, F.col("position"))).over(upto)
-    return a.withColumn("not_attempted", F.coalesce(tripped < F.col("position"), F.lit(False)))
+    spark = next(iter(records.values())).sparkSession
+    none = spark.createDataFrame([], "id string, content_hash string")
+    accepted, out = None, None
+    for rank, entity in enumerate(e for e in ENTITIES if e in records):
+        rows = records[entity].withColumns({"entity": F.lit(entity), "entity_rank": F.lit(rank)})
+        rows = limit_per_entity(rows, limit) if limit is not None else rows.withColumn("not_attempted", F.lit(False))
+        sent = rows.where("not not_attempted").drop("not_attempted")
+        late = rows.where("not_attempted").withColumns({"outcome": F.lit("not_attempted"), "error_type": F.lit(None).cast("string")})
+        if entity != "organization" and accepted is not None:
+            there = accepted.select(F.col("id").alias("organization_id")).distinct()
+            blocked = sent.where("organization_id is not null").join(there, "organization_id", "left_anti").withColumns({"outcome": F.lit("blocked"), "error_type": F.lit("parent_not_in_target")})
+            sent = sent.join(there, "organization_id", "left_semi")
+        else:
+            blocked = None
+        told = barrier(answers(sent, entity, None if entity == "organization" else accepted, (existing or {}).get(entity, none)), f"answers-{entity}")
+        names = ["entity", "entity_rank", "id", "ord", "outcome", "error_type"]
+        all_ = told.select(*names).unionByName(late.select(*names))
+        all_ = all_ if blocked is None else all_.unionByName(blocked.select(*names))
+        if stop_after is not None:
+            cut = _cut(told.where(F.col("outcome").isin("rejected", "failed")), stop_after)
+            all_ = all_.join(cut, "entity", "left")
+            past = F.coalesce(F.col("ord") > F.col("cut"), F.lit(False))
+            all_ = all_.withColumns({"outcome": F.when(past, "not_attempted").otherwise(F.col("outcome")), "error_type": F.when(~past, F.col("error_type"))}).drop("cut")
+        all_ = barrier(all_, f"written-{entity}")
+        if entity == "organization":
+            status = records[entity].select("ord", "status")
+            accepted = all_.where("outcome in ('created', 'unchanged')").join(status, "ord").groupBy("id").agg(F.min_by("status", "ord").alias("status"))
+            accepted = barrier(accepted, "accepted")
+        out = all_ if out is None else out.unionByName(all_)
+    tried = barrier(with_runs(out.where("outcome not in ('blocked', 'not_attempted')")), "tried")
+    trip = tried.where(F.col("run") >= threshold).agg(F.min(F.struct("entity_rank", "ord")).alias("t")).select("t.*").first()
+    past = F.lit(False)
+    if trip["ord"] is not None:
+        past = (F.col("entity_rank") > trip["entity_rank"]) | ((F.col("entity_rank") == trip["entity_rank"]) & (F.col("ord") > trip["ord"]))
+    return out.select("entity", "id", "ord", F.when(past, "not_attempted").otherwise(F.col("outcome")).alias("outcome"), F.when(~past, F.col("error_type")).alias("error_type"))
 
 
 def draw_faults(records: DataFrame, seed: int, rate: float, max_attempts: int = 4) -> DataFrame:
@@ -79,7 +211,7 @@ def draw_faults(records: DataFrame, seed: int, rate: float, max_attempts: int =
 
 
 class TargetStore:
-    """Records by entity and namespace as partitioned Parquet, appended and never changed."""
+    """Records by entity and namespace as partitioned Parquet, appended and never changed. A namespace has one writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
