@@ -140,6 +140,34 @@ SQL["k04_totals"] = f"SELECT {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k
 Q["k05_coverage"] = lambda s, d: reconcile.coverage(reconcile.ledger(_run(s, d)))
 SQL["k05_coverage"] = f"SELECT entity, built - skipped AS in_scope, accepted, round_even(accepted / CAST(built - skipped AS DOUBLE), 4) AS coverage FROM ({_LEDGER})"
 
+Q["k06_first_errors"] = lambda s, d: reconcile.first_errors(_run(s, d))
+SQL["k06_first_errors"] = f"SELECT entity, first_error, count(*) AS n FROM ({_RUN}) WHERE NOT skipped AND first_error IS NOT NULL GROUP BY ALL"
+Q["k07_discrepancies"] = lambda s, d: reconcile.discrepancies(Q["k02_checks"](s, d), _difference(s, d))
+SQL["k07_discrepancies"] = f"""WITH d AS ({SQL["k03_id_difference"]}), o AS (SELECT *, row_number() OVER (PARTITION BY entity, kind ORDER BY id) AS n FROM d WHERE kind <> 'refused_but_present')
+SELECT entity, kind, count(*) AS count, string_agg(id, ',' ORDER BY id) FILTER (WHERE n <= 5) AS sample_ids FROM o GROUP BY entity, kind
+UNION ALL SELECT entity, "check", abs(expected - actual), '' FROM ({SQL["k02_checks"]}) WHERE NOT ok AND "check" NOT LIKE 'target_%'"""
+Q["k08_status"] = lambda s, d: reconcile.status(Q["k02_checks"](s, d))
+SQL["k08_status"] = f"SELECT count(*) AS checks, {_N('ok')} AS passed, CASE WHEN bool_and(ok) THEN 'balanced' ELSE 'discrepancies' END AS status FROM ({SQL['k02_checks']})"
+#: A priority that the target would not give back.
+_LOST = "1-URGENT"
+Q["k09_unreadable"] = lambda s, d: reconcile.checks(reconcile.ledger(_run(s, d)), _run(s, d).where(_LANDED), _difference(s, d), (_LOST,))
+SQL["k09_unreadable"] = f"""SELECT * FROM ({SQL["k02_checks"]}) WHERE entity <> '{_LOST}' OR "check" NOT IN ('target_count', 'target_ids')
+UNION ALL SELECT entity, 'target_readable', accepted, 0, false FROM ({_LEDGER}) WHERE entity = '{_LOST}'"""
+#: Later the target holds what it should but for some.
+_LATER = "outcome = 'accepted' AND CAST(id AS INT) % 501 <> 0"
+
+
+def _later(s: SparkSession, d: str) -> DataFrame:
+    r = _run(s, d)
+    off = reconcile.id_difference(r.where("outcome = 'accepted'"), r.where(_LATER), r.where("outcome in ('failed', 'rejected')"))
+    return reconcile.recheck(Q["k02_checks"](s, d), reconcile.checks(reconcile.ledger(r), r.where(_LATER), off))
+
+
+Q["k10_recheck"] = _later
+SQL["k10_recheck"] = f"""WITH n AS (SELECT entity, {_N("outcome = 'accepted'")} AS accepted, {_N(_LATER)} AS held FROM ({_RUN}) GROUP BY entity),
+now AS (SELECT entity, 'target_count' AS "check", held AS actual_now, accepted = held AS ok_now FROM n UNION ALL SELECT entity, 'target_ids', held, accepted = held FROM n)
+SELECT entity, "check", actual AS actual_then, actual_now, ok AS ok_then, ok_now FROM ({SQL["k02_checks"]}) JOIN now USING (entity, "check") WHERE actual <> actual_now OR ok <> ok_now"""
+
 _FIELDS = [(src, col) for src, pairs, _ in rec.DATASETS.values() for col, _ in pairs]
 _GOLDEN = [(f"{src}.{col}", t) for src, pairs, _ in rec.DATASETS.values() for col, t in pairs]
 _PROPOSED = [*[(n, t if i % 5 else None if i % 2 else "organization.name") for i, (n, t) in enumerate(_GOLDEN) if i % 9], ("stray", "contact.email"), ("stray", "contact.nowhere")]
@@ -276,4 +304,28 @@ SQL["g03_work_items"] = f"""SELECT entity, error_type, CASE error_type WHEN 'unm
 severity = 'error' AS blocking, records FROM ({_GROUPS})"""
 Q["g04_normalization_counts"] = lambda s, d: readiness.normalization_counts(rec.c.Q["c16_country_code"](s, d).select(F.array_compact(F.array("note")).alias("notes")))
 SQL["g04_normalization_counts"] = f"SELECT regexp_replace(note, '''[^'']*''', '''...''', 'g') AS note, count(*) AS n FROM ({CONVERTED['c16_country_code']}) WHERE note IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 25"
+Q["g05_issue_counts"] = lambda s, d: readiness.issue_counts(_issues(s, d))
+SQL["g05_issue_counts"] = f"SELECT severity, error_type, count(*) AS n FROM ({_ISSUES}) GROUP BY severity, error_type UNION ALL SELECT severity, NULL, count(*) FROM ({_ISSUES}) GROUP BY severity"
+Q["g06_issue_breakdown"] = lambda s, d: readiness.issue_breakdown(_issues(s, d))
+SQL["g06_issue_breakdown"] = f"""WITH i AS ({_ISSUES}), p AS (SELECT *, row_number() OVER (PARTITION BY entity, error_type, field ORDER BY source_row, dataset) AS n FROM (SELECT DISTINCT entity, error_type, field, source_row, dataset FROM i))
+SELECT * FROM (SELECT entity, error_type, field, count(*) AS issues, count(DISTINCT (dataset, source_row)) AS records FROM i GROUP BY ALL)
+JOIN (SELECT entity, error_type, field, string_agg(dataset || ':' || CAST(source_row AS VARCHAR), ',' ORDER BY source_row, dataset) AS examples FROM p WHERE n <= 3 GROUP BY ALL) USING (entity, error_type, field)"""
+Q["g07_issue_page"] = lambda s, d: readiness.issue_page(_issues(s, d), entity="contact", severity="error", limit=50, offset=100)
+SQL["g07_issue_page"] = f"SELECT *, count(*) OVER () AS total FROM ({_ISSUES}) WHERE entity = 'contact' AND severity = 'error' ORDER BY entity, dataset, source_row, error_type, field LIMIT 50 OFFSET 100"
+_DECIDED = "SELECT CAST(p_partkey AS STRING) AS source_field, CASE p_partkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'ignored' ELSE 'approved' END AS status FROM part"
+_OPEN = "SELECT s_suppkey AS question, s_suppkey < 0 AS open FROM supplier"
+_LATEST = f"SELECT false AS partial, 'p1' AS plan, 'c1' AS config, {_N("o_orderkey % 7 = 0")} AS rejected, {_N("o_orderkey < 0")} AS failed FROM orders"
+
+
+def _all_gates(s: SparkSession, d: str) -> DataFrame:
+    decided = readiness.decision_gate(_from("part", _DECIDED)(s, d), _from("supplier", _OPEN)(s, d))
+    rehearsed = readiness.rehearsal_gates(_from("orders", _LATEST)(s, d), "p1", "c2")
+    return readiness.verdict(decided.union(rehearsed).union(Q["g02_gates"](s, d).where("gate <> 'verdict'")))
+
+
+Q["g08_all_gates"] = _all_gates
+SQL["g08_all_gates"] = f"""WITH g AS (SELECT 'mappings_decided' AS gate, CASE WHEN EXISTS (SELECT 1 FROM ({_DECIDED}) WHERE status NOT IN ('approved', 'rejected', 'ignored')) OR EXISTS (SELECT 1 FROM ({_OPEN}) WHERE open) THEN 'BLOCKER' ELSE 'PASS' END AS state
+UNION ALL SELECT 'rehearsal', CASE WHEN partial THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT 'rehearsal_current', CASE WHEN plan = 'p1' AND config = 'c2' THEN 'PASS' ELSE 'BLOCKER' END FROM ({_LATEST})
+UNION ALL SELECT 'target_accepted', CASE WHEN rejected + failed > 0 THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT * FROM ({SQL["g02_gates"]}) WHERE gate <> 'verdict')
+SELECT gate, state FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_or(state = 'BLOCKER') THEN 'BLOCKED' WHEN bool_or(state = 'CONDITION') THEN 'READY WITH CONDITIONS' ELSE 'READY' END FROM g"""
 Q["s04_synthetic"] = lambda s, d: organizations(s, 1000, seed=3)[0]

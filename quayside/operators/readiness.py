@@ -28,9 +28,72 @@ def gates(coverage: DataFrame, checks: DataFrame, warnings: int, floor: float =
     rows = coverage.select(F.concat(F.lit("coverage:"), F.col("entity")).alias("gate"), F.when(F.coalesce("coverage", F.lit(1.0)) < floor, "BLOCKER").when(F.coalesce("coverage", F.lit(1.0)) < 1, "CONDITION").otherwise("PASS").alias("state"))
     balanced = checks.agg(F.coalesce(F.min(F.col("ok").cast("int")), F.lit(1)).alias("ok")).select(F.lit("reconciliation").alias("gate"), F.when(F.col("ok") == 1, "PASS").otherwise("BLOCKER").alias("state"))
     warned = checks.sparkSession.range(1).select(F.lit("warnings").alias("gate"), F.lit("CONDITION" if warnings else "PASS").alias("state"))
-    out = rows.union(balanced).union(warned)
-    verdict = out.agg(F.max(F.when(F.col("state") == "BLOCKER", 2).when(F.col("state") == "CONDITION", 1).otherwise(0)).alias("v"))
-    return out.union(verdict.select(F.lit("verdict").alias("gate"), F.when(F.col("v") == 2, "BLOCKED").when(F.col("v") == 1, "READY WITH CONDITIONS").otherwise("READY").alias("state")))
+    return verdict(rows.union(balanced).union(warned))
+
+
+def _gate(df: DataFrame, name: str, blocked) -> DataFrame:
+    return df.select(F.lit(name).alias("gate"), F.when(blocked, "BLOCKER").otherwise("PASS").alias("state"))
+
+
+def decision_gate(mappings: DataFrame, questions: DataFrame) -> DataFrame:
+    """mappings_decided: every field approved, rejected or ignored, and no question open. questions: one row each, with `open`."""
+    undecided = mappings.agg(F.count_if(~F.coalesce(F.col("status").isin("approved", "rejected", "ignored"), F.lit(False))).alias("undecided"))
+    return _gate(undecided.crossJoin(questions.agg(F.count_if("open").alias("n_open"))), "mappings_decided", (F.col("undecided") > 0) | (F.col("n_open") > 0))
+
+
+def rehearsal_gates(run: DataFrame, plan: str, config: str) -> DataFrame:
+    """rehearsal, rehearsal_current and target_accepted of the latest run (partial, plan, config, rejected, failed).
+
+    No row: not rehearsed, which blocks and leaves nothing else to judge.
+    """
+    none = run.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("rehearsal").alias("gate"), F.lit("BLOCKER").alias("state"))
+    stale = ~(F.col("plan").eqNullSafe(F.lit(plan)) & F.col("config").eqNullSafe(F.lit(config)))
+    refused = F.coalesce("rejected", F.lit(0)) + F.coalesce("failed", F.lit(0)) > 0
+    return none.union(_gate(run, "rehearsal", F.coalesce("partial", F.lit(False)))).union(_gate(run, "rehearsal_current", stale)).union(_gate(run, "target_accepted", refused))
+
+
+def verdict(states: DataFrame) -> DataFrame:
+    """states (gate, state) and the verdict they make: any blocker blocks, any condition is one."""
+    worst = states.agg(F.max(F.when(F.col("state") == "BLOCKER", 2).when(F.col("state") == "CONDITION", 1).otherwise(0)).alias("v"))
+    return states.union(worst.select(F.lit("verdict").alias("gate"), F.when(F.col("v") == 2, "BLOCKED").when(F.col("v") == 1, "READY WITH CONDITIONS").otherwise("READY").alias("state")))
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """(severity, error_type, n), and with a null error_type the sum of a severity."""
+    return issues.rollup("severity", "error_type").agg(F.count("*").alias("n")).where("severity is not null")
+
+
+def issue_breakdown(issues: DataFrame, examples: int = 3) -> DataFrame:
+    """Per (entity, error_type, field): issues, distinct records and the first rows where it occurs."""
+    key = ["entity", "error_type", "field"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("source_row", "dataset"))
+    # Equal places tie by dataset; each task sends `examples` of a group at most.
+    few = issues.select(*key, "source_row", "dataset").distinct().withColumn("nth", nth).where(F.col("nth") <= examples)
+    few = few.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_row", "dataset"))), lambda x: F.concat_ws(":", x["dataset"], x["source_row"].cast("string"))), ",").alias("examples"))
+    n = issues.groupBy(*key).agg(F.count("*").alias("issues"), F.countDistinct("dataset", "source_row").alias("records"))
+    same = [n[k].eqNullSafe(few[k]) for k in key]
+    return n.join(few, same).select(*[n[k] for k in key], "issues", "records", "examples")
+
+
+def issue_page(issues: DataFrame, entity: str | None = None, severity: str | None = None, error_type: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+    """A page of the issues asked for, in order, each with their `total`; a page is what a reader asks for, nothing else is cut."""
+    asked = {"entity": entity, "severity": severity, "error_type": error_type}
+    for name, value in asked.items():
+        issues = issues if value is None else issues.where(F.col(name) == value)
+    total = issues.agg(F.count("*").alias("total"))
+    page = issues.orderBy("entity", "dataset", "source_row", "error_type", "field").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
+def keep_first(rows: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, bool]:
+    """What a run stores of its issues or failures: the first `limit` in order, and whether there are more."""
+    kept = rows.orderBy(*order).limit(limit + 1)
+    return rows.orderBy(*order).limit(limit), kept.count() > limit
+
+
+def rule_counts(drafts: DataFrame) -> DataFrame:
+    """(rule, n): how often each rule was applied; what follows a colon tells of a single draft."""
+    return drafts.select(F.explode("applied_rules").alias("rule")).groupBy(F.split_part("rule", F.lit(":"), F.lit(1)).alias("rule")).agg(F.count("*").alias("n"))
 
 
 def work_items(groups: DataFrame) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class SourceUnavailable(ValueError):
@@ -21,10 +20,17 @@ def resolve(location: str, root: str) -> str:
     return f"{root.rstrip('/')}/{location}"
 
 
+_PLACES = 33  # bits of a row's place in its partition, in monotonically_increasing_id
+
+
 def _numbered(df: DataFrame) -> DataFrame:
-    """row_idx by place in the file. Only per-partition counts pass through the driver."""
-    schema = T.StructType([*df.schema.fields, T.StructField("row_idx", T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """row_idx by place in the source: a row's place in its partition and the sizes of the partitions before, a row for each of them."""
+    at = F.monotonically_increasing_id()
+    placed = df.withColumns({"_part": F.shiftright(at, _PLACES), "_at": at.bitwiseAND(F.lit((1 << _PLACES) - 1))})
+    sizes = placed.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias("row_idx"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +51,26 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.col("row_idx").cast("long").alias("row_idx"), *[F.get_json_object("record", f"$['{k}']").alias(k) for k in names])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 READERS = {"csv": read_csv, "json": read_json}
 
 
 def read(spark: SparkSession, kind: str, location: str, root: str) -> DataFrame:
     if kind not in READERS:
         raise SourceUnavailable(f"unknown kind {kind!r}")
-    return READERS[kind](spark, resolve(location, root))
+    path = resolve(location, root)
+    if not exists(spark, path):
+        raise SourceUnavailable(f"{location} is not there")
+    return READERS[kind](spark, path)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(location, kind, n_bytes) of the files right under the root that a reader knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(x.getPath().getName(), x.getPath().getName().rpartition(".")[2].lower(), x.getLen()) for x in store.listStatus(at) if x.isFile()]
+    return spark.createDataFrame([x for x in found if x[1] in READERS], "location string, kind string, n_bytes long")
