@@ -50,3 +50,27 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(tuple(r) for r in after.collect()) == want
 
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table go through every stage."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"word{i} and some more text." for i in range(40_000))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [(1000, None, None, None, None), (1001, "", "en", "a", 0), (None, good[0].text, "en", "a", 1), (None, None, None, None, None), (1002, long, "en", "a", len(long)), (1002, long, "en", "a", len(long)), (1003, f"{good[1].text} {item} {item}", "en", "a", 1)]
+    names = ["score", "bad_id", "bad_hash", "kept", "component_id", "text_hash", "row", "hash", "weight", "_source", "tokens", "start", "n_tokens"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        assert k == 4 or (after.columns == columns and after.where("kept <> 'x'").isEmpty() and after.count() <= docs.count())
+        if k == 1:
+            assert after.where("doc_id = 1002").count() <= 1 and after.where("doc_id is null").count() == docs.where("doc_id is null").count()
+        if k == 2:
+            assert after.where("doc_id = 1003").isEmpty()
+        docs = docs if k == 0 and after.where("doc_id = 1003").isEmpty() else after
+    assert docs.count() > 0 and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
