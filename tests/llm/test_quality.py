@@ -1,5 +1,9 @@
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from quayside.llm import quality
 from quayside.llm.quality import FEATURES, features, fit, keep_good, quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -48,3 +52,58 @@ def test_edges(spark):
     none = quality_scores(docs, labels.where("false"))
     assert {r.score for r in none.collect()} == {0.5}
     assert keep_good(docs, labels).columns == docs.columns
+
+
+def test_scores_against_loops():
+    """Bin additions of a fitted model, one row and one feature at a time."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 5)).astype(np.float32)
+    model = fit(x[:2500], ((x[:2500, 0] > 0) ^ (x[:2500, 1] > 0)).astype(float))
+    assert model.pairs
+    got = model.score(x[2500:])
+    for row, score in zip(x[2500:], got, strict=True):
+        total = model.base
+        for j in range(5):
+            total += model.tables[j][sum(bool(row[j] >= e) for e in model.edges[j])]
+        for i, j, table in model.pairs:
+            total += table[sum(bool(row[i] >= e) for e in model.coarse[i]), sum(bool(row[j] >= e) for e in model.coarse[j])]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_a_boosting_round_against_all_cuts():
+    """The cuts of a shallow tree gain the most of all cuts, and each leaf is its rows' step."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        n = rng.integers(0, 60, 12).astype(float)
+        h, g = n * 0.25, rng.normal(size=12) * np.sqrt(n + 0.1)
+
+        def gain(a, b, c, g=g, h=h):
+            one = lambda x, y: g[x:y].sum() ** 2 / (h[x:y].sum() + quality.RIDGE)
+            return one(a, b) + one(b, c) - one(a, c)
+
+        def best(a, c, n=n, gain=gain):
+            cuts = [b for b in range(a + 1, c) if n[a:b].sum() >= quality.LEAST and n[b:c].sum() >= quality.LEAST and gain(a, b, c) > 1e-9]
+            return max(cuts, key=lambda b: gain(a, b, c), default=None)
+
+        first = best(0, 12)
+        spans = [(0, 12)] if first is None else [(0, first), (first, 12)]
+        leaves = []
+        for a, c in spans:
+            inner = best(a, c) if first is not None else None
+            leaves += [(a, c)] if inner is None else [(a, inner), (inner, c)]
+        want = np.concatenate([np.full(c - a, quality.RATE * g[a:c].sum() / (h[a:c].sum() + quality.RIDGE)) for a, c in leaves])
+        assert np.allclose(quality._shallow(g, h, n), want)
+
+
+def test_query_against_its_model(spark):
+    """The query's scores are those of a model fitted on all labelled rows that are not held out, in order of their hash."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    place = {r.doc_id: (r.h, r.doc_id) for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.quality in (0, 1) and r.doc_id in texts}
+    order = sorted(known, key=place.get)
+    model = fit(features([texts[d] for d in order]), np.array([known[d] for d in order], dtype=float))
+    ids = sorted(texts)
+    want = dict(zip(ids, model.score(features([texts[d] for d in ids])), strict=True))
+    for r in quality_scores(docs, labels).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
