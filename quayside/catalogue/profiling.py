@@ -256,3 +256,28 @@ b AS (SELECT src, col, count(*) AS d FROM said GROUP BY src, col)
 SELECT src, col, {big("pos")} AS pos, inferred_type, non_null, null_count, CASE WHEN n_rows = 0 THEN 0.0 ELSE round_even(100.0 * null_count / CAST(n_rows AS DOUBLE), 1) END AS null_pct, {big("coalesce(d, 0)")} AS distinct_count,
 CASE WHEN coalesce(d, 0) = 0 THEN 0.0 ELSE round_even(100.0 * d / CAST(non_null AS DOUBLE), 1) END AS unique_pct, whitespace, max_length FROM types JOIN a USING (src, col) LEFT JOIN b USING (src, col)""")
 
+_BAD = r"""CASE WHEN inferred_type IN ('integer', 'decimal') THEN tag NOT IN ('integer', 'decimal', 'numeric_text') OR number IS NULL WHEN inferred_type IN ('date', 'datetime') THEN fmt IS NULL
+WHEN inferred_type = 'email' THEN tag <> 'email' WHEN inferred_type = 'url' THEN tag NOT IN ('url', 'url_no_scheme') WHEN inferred_type = 'phone' THEN k IS NULL OR k < 10 WHEN inferred_type = 'identifier' THEN tag NOT IN ('identifier', 'integer', 'code') END"""
+add("p22_malformed_examples", per_source(p.malformed_examples, "messy_organizations", "messy_contacts"), f"""WITH {types_sql("messy_organizations", "messy_contacts")}, {_DATES},
+x AS (SELECT num.src, num.col, num.v, num.first, num.tag, num.number, dates.fmt, {_DIG.replace("v", "num.v")} AS k, inferred_type FROM num JOIN dates USING (src, col, v) JOIN types ON types.src = num.src AND types.col = num.col)
+SELECT src, col, rank, {_CUT.format("v")} AS v FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src, col ORDER BY first) AS INTEGER) AS rank FROM x WHERE {_BAD}) WHERE rank <= 5""")
+_RECORD = """CASE o_orderkey % 4 WHEN 0 THEN '{"a": 1, "b": "x", "c": true}' WHEN 1 THEN '{"a": "1", "b": null}' WHEN 2 THEN '{"a": 2.5, "c": [1, 2]}' ELSE '{"a": null, "d": {"e": 1}}' END"""
+
+
+def _json_records(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "orders").select(F.expr(_RECORD).alias("record"))
+
+
+_JSON_N = lambda *rest: f"count(*) FILTER (WHERE o_orderkey % 4 IN ({', '.join(map(str, rest))}))"
+_JSON_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS col, '{t}' AS raw_type, {_JSON_N(r)} AS n FROM orders" for c, t, r in (("a", "integer", 0), ("a", "text", 1), ("a", "decimal", 2), ("b", "text", 0), ("c", "boolean", 0), ("c", "list", 2), ("d", "object", 3))) + ") WHERE n > 0"
+add("p23_json_types", lambda spark, d: p.json_types(_json_records(spark, d)), _JSON_SQL)
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    types = p.json_types(_json_records(spark, d))
+    return p.type_issues(types, types.groupBy("col").agg(F.sum("n").alias("non_null")))
+
+
+add("p24_mixed_json_types", _typed, f"""SELECT col AS "column", 'mixed_json_types' AS code, 'warning' AS severity, CAST(sum(n) - max(n) AS BIGINT) AS count FROM ({_JSON_SQL}) GROUP BY col HAVING count(*) > 1""")
+add("p25_orphan_references", lambda spark, d: p.reference_issues(_references(spark, d).select(F.col("child").alias("column"), "orphans")),
+    f"""SELECT child AS "column", 'orphan_references' AS code, 'error' AS severity, orphans AS count FROM ({SQL["p19_references"]}) WHERE orphans > 0""")

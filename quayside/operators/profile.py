@@ -148,6 +148,45 @@ def boolean_stats(values: DataFrame) -> DataFrame:
     return value_facts(values).select("col", F.col("distinct_count").alias("spellings"), "variants", "not_boolean")
 
 
+def malformed_examples(values: DataFrame, keep: int = EXAMPLES) -> DataFrame:
+    """The first values, by row, that a column's inferred type cannot read."""
+    own = with_dates(present(values)).withColumns({"number": cells.parse_number(F.col("v")), "digits": cells.phone_digits(F.col("v"))})
+    own = own.join(column_types(values).select("col", "inferred_type"), "col")
+    kind, tag = F.col("inferred_type"), F.col("tag")
+    bad = (
+        F.when(kind.isin("integer", "decimal"), ~tag.isin("integer", "decimal", "numeric_text") | F.col("number").isNull())
+        .when(kind.isin("date", "datetime"), F.col("fmt").isNull())
+        .when(kind == "email", tag != "email")
+        .when(kind == "url", ~tag.isin("url", "url_no_scheme"))
+        .when(kind == "phone", F.col("digits").isNull() | (F.length("digits") < 10))
+        .when(kind == "identifier", ~tag.isin("identifier", "integer", "code"))
+    )
+    return _ranked(own.where(bad), keep, F.asc("first")).select("col", "rank", cells.truncate(F.col("v")).alias("v"))
+
+
+def json_types(records: DataFrame) -> DataFrame:
+    """(col, raw_type, n) of the values in JSON records (record), as the export has them; nulls are none."""
+    v = F.try_parse_json("record")
+    each = records.select(v.alias("v"), F.explode(F.json_object_keys("record")).alias("col"))
+    kind = F.schema_of_variant(F.try_variant_get("v", F.concat(F.lit("$['"), "col", F.lit("']")), "variant"))
+    names = [("STRING", "text"), ("BOOLEAN", "boolean"), ("BIGINT", "integer"), ("DECIMAL", "decimal"), ("DOUBLE", "decimal"), ("ARRAY", "list"), ("OBJECT", "object")]
+    raw = F.lit(None).cast("string")
+    for start, name in names:
+        raw = F.when(F.startswith(kind, F.lit(start)), name).otherwise(raw)
+    return each.select("col", raw.alias("raw_type")).where("raw_type is not null").groupBy("col", "raw_type").agg(F.count("*").alias("n"))
+
+
+def type_issues(types: DataFrame, facts: DataFrame) -> DataFrame:
+    """mixed_json_types: columns with values of several JSON types, and how many are not of the commonest. facts: col, non_null."""
+    mixed = types.groupBy("col").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1").join(facts.select("col", "non_null"), "col")
+    return mixed.select(F.col("col").alias("column"), F.lit("mixed_json_types").alias("code"), F.lit("warning").alias("severity"), (F.col("non_null") - F.col("most")).alias("count")).where("count > 0")
+
+
+def reference_issues(references: DataFrame) -> DataFrame:
+    """orphan_references of references (column, orphans): values that point at nothing."""
+    return references.where("orphans > 0").select("column", F.lit("orphan_references").alias("code"), F.lit("error").alias("severity"), F.col("orphans").cast("long").alias("count"))
+
+
 def normalized_duplicates(values: DataFrame) -> DataFrame:
     own = present(values).groupBy("col", cells.norm_key(F.col("v")).alias("k")).agg(F.sum("n").alias("n"))
     return own.groupBy("col").agg((F.sum("n") - F.count("*")).alias("duplicates"))

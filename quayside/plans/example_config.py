@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quayside.plans.config import Config, ValueMap
 
+# Names of states and provinces, and the words of the example exports.
 _STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "district of columbia": "DC", "florida": "FL",
     "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME",
@@ -13,7 +14,6 @@ _STATES = {
     "wyoming": "WY", "alberta": "AB", "british columbia": "BC", "manitoba": "MB", "new brunswick": "NB", "newfoundland and labrador": "NL", "nova scotia": "NS", "ontario": "ON", "prince edward island": "PE", "quebec": "QC", "saskatchewan": "SK",
 }
 
-# The words of the example exports.
 VALUE_MAPS = {
     "organization.lifecycle_status": ValueMap({"active": "active", "inactive": "inactive", "prospect": "prospect", "churned": "churned", "on hold": "active", "closed": "churned"}, "error", 6),
     "organization.industry": ValueMap({"automobile": "manufacturing", "building": "construction", "furniture": "other", "household": "other", "machinery": "manufacturing"}, "default"),
