@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayside.catalogue import records as rec
 from quayside.catalogue.converting import SQL as CONVERTED
 from quayside.catalogue.views import view
-from quayside.operators import compare, readiness, reconcile, write
+from quayside.operators import compare, evaluation, readiness, reconcile, write
 from quayside.plans.contract import CONTRACT, catalog
 from quayside.sources.synthetic import organizations
 
@@ -328,4 +328,65 @@ SQL["g08_all_gates"] = f"""WITH g AS (SELECT 'mappings_decided' AS gate, CASE WH
 UNION ALL SELECT 'rehearsal', CASE WHEN partial THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT 'rehearsal_current', CASE WHEN plan = 'p1' AND config = 'c2' THEN 'PASS' ELSE 'BLOCKER' END FROM ({_LATEST})
 UNION ALL SELECT 'target_accepted', CASE WHEN rejected + failed > 0 THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT * FROM ({SQL["g02_gates"]}) WHERE gate <> 'verdict')
 SELECT gate, state FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_or(state = 'BLOCKER') THEN 'BLOCKED' WHEN bool_or(state = 'CONDITION') THEN 'READY WITH CONDITIONS' ELSE 'READY' END FROM g"""
+_KNOWN_FIELDS = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 't' || CAST(p_size % 3 AS STRING) END AS expected, p_partkey % 7 = 0 AS clarify, p_partkey % 3 = 0 AS clarify_ok FROM part"""
+_RUNS = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, r AS run, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 't' || CAST((p_size + CASE WHEN p_partkey % 11 = r THEN 1 ELSE 0 END) % 3 AS STRING) END AS target,
+p_partkey % 6 = 0 AS asks, (p_partkey % 10) / 10.0D AS confidence FROM part"""
+
+
+def _golden(s: SparkSession, d: str) -> DataFrame:
+    return _from("part", _KNOWN_FIELDS)(s, d).withColumn("accept", F.array(F.lit("t2")))
+
+
+def _proposed(s: SparkSession, d: str, run: int) -> DataFrame:
+    return _from("part", _RUNS.replace("r AS run", f"{run} AS run").replace("= r THEN", f"= {run} THEN"))(s, d).where("cast(source_field as int) % 13 <> 0")
+
+
+def _judged_runs(s: SparkSession, d: str) -> DataFrame:
+    out = None
+    for run in range(3):
+        own = evaluation.judge(_golden(s, d), _proposed(s, d, run)).withColumn("run", F.lit(run))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _judge_sql(run: int) -> str:
+    proposed = _RUNS.replace("r AS run", f"{run} AS run").replace("= r THEN", f"= {run} THEN").replace("10.0D", "CAST(10 AS DOUBLE)")
+    return f"""SELECT g.dataset, g.source_field, expected, target AS proposed, coalesce(asks, false) AS asks, confidence, {run} AS run,
+CASE WHEN clarify THEN CASE WHEN coalesce(asks, false) AND (target IS NULL OR target = 't2') THEN 'correct' WHEN target = 't2' THEN 'overconfident' ELSE 'wrong' END
+WHEN expected IS NULL THEN CASE WHEN target IS NULL OR target = 't2' THEN 'correct' ELSE 'wrong' END
+WHEN target = expected OR target = 't2' THEN 'correct' WHEN target IS NULL THEN CASE WHEN coalesce(asks, false) AND clarify_ok THEN 'correct' WHEN coalesce(asks, false) THEN 'deferred' ELSE 'unresolved' END ELSE 'wrong' END AS outcome
+FROM ({_KNOWN_FIELDS}) AS g LEFT JOIN (SELECT * FROM ({proposed}) WHERE CAST(source_field AS INT) % 13 <> 0) AS p ON p.dataset = g.dataset AND p.source_field = g.source_field"""
+
+
+_JUDGED_RUNS = " UNION ALL ".join(_judge_sql(r) for r in range(3))
+_METRICS = f"""count(*) AS fields, {", ".join(f"{_N(f"outcome = '{o}'")} AS {o}" for o in evaluation.OUTCOMES)}, round_even({_N("outcome = 'correct'")} / CAST(count(*) AS DOUBLE), 4) AS accuracy,
+round_even(avg(confidence) FILTER (WHERE outcome = 'correct'), 3) AS confidence_correct, round_even(avg(confidence) FILTER (WHERE outcome <> 'correct'), 3) AS confidence_incorrect, {_N("outcome <> 'correct' AND confidence >= 0.9")} AS sure_but_wrong"""
+Q["e01_judge"] = lambda s, d: evaluation.judge(_golden(s, d), _proposed(s, d, 0)).withColumn("run", F.lit(0))
+SQL["e01_judge"] = _judge_sql(0)
+Q["e02_metrics"] = lambda s, d: evaluation.metrics(_judged_runs(s, d), "run")
+SQL["e02_metrics"] = f"SELECT run, {_METRICS} FROM ({_JUDGED_RUNS}) GROUP BY run"
+Q["e03_series"] = lambda s, d: evaluation.series(_judged_runs(s, d))
+SQL["e03_series"] = f"""SELECT metric, min(value) AS least, max(value) AS most, round_even(avg(value), 3) AS mean FROM (UNPIVOT (SELECT run, CAST(COLUMNS(* EXCLUDE run) AS DOUBLE) FROM (SELECT run, {_METRICS} FROM ({_JUDGED_RUNS}) GROUP BY run))
+ON COLUMNS(* EXCLUDE run) INTO NAME metric VALUE value) GROUP BY metric"""
+Q["e04_unstable_fields"] = lambda s, d: evaluation.unstable_fields(_judged_runs(s, d))
+SQL["e04_unstable_fields"] = f"SELECT dataset, source_field, string_agg(outcome, ',' ORDER BY outcome) AS outcomes FROM (SELECT DISTINCT dataset, source_field, outcome FROM ({_JUDGED_RUNS})) GROUP BY ALL HAVING count(*) > 1"
+Q["g09_next_steps"] = lambda s, d: readiness.next_steps(_all_gates(s, d), readiness.work_items(readiness.issue_groups(_issues(s, d))), 2)
+SQL["g09_next_steps"] = f"""WITH g AS ({SQL["g08_all_gates"]}), w AS ({SQL["g03_work_items"]}), b AS (SELECT gate FROM g WHERE state = 'BLOCKER'), v AS (SELECT state FROM g WHERE gate = 'verdict')
+SELECT 0 AS place, 'decide the open fields and questions' AS step, CAST(NULL AS BIGINT) AS records WHERE 'mappings_decided' IN (FROM b)
+UNION ALL SELECT 1, 'rehearse the whole current plan', NULL WHERE 'rehearsal' IN (FROM b) OR 'rehearsal_current' IN (FROM b) UNION ALL SELECT 2, 'explain what does not reconcile', NULL WHERE 'reconciliation' IN (FROM b)
+UNION ALL SELECT 3, 'look into what the target refused', NULL WHERE 'target_accepted' IN (FROM b) UNION ALL SELECT 4, 'ask the customer', {_N("kind = 'decision'")} + 2 FROM w
+UNION ALL SELECT 5, 'have data corrected', CAST(sum(records) AS BIGINT) FROM w WHERE kind = 'data_fix' HAVING count(*) > 0 UNION ALL SELECT 6, 'expect dependent records after that', CAST(sum(records) AS BIGINT) FROM w WHERE kind = 'dependent' HAVING sum(records) > 0
+UNION ALL SELECT 7, 'rehearse the corrected export', NULL FROM w WHERE kind IN ('decision', 'data_fix') HAVING count(*) > 0
+UNION ALL SELECT 8, 'get the sign-off on what stays behind', NULL WHERE (SELECT state FROM v) <> 'BLOCKED' UNION ALL SELECT 9, 'agree on a date', NULL WHERE (SELECT state FROM v) <> 'BLOCKED'"""
+_SAYINGS = "SELECT CAST(p_partkey AS STRING) AS part, 'kept ' || CAST(p_size AS STRING) || ' of 1,000 and ' || CAST(p_partkey AS STRING) || '.' AS text FROM part"
+_FACTS_SAID = "SELECT 'size ' || CAST(p_size AS STRING) || ', 1000 in all' AS text FROM part WHERE p_partkey % 2 = 0"
+Q["g10_unfounded_numbers"] = lambda s, d: readiness.unfounded_numbers(_from("part", _SAYINGS)(s, d), _from("part", _FACTS_SAID)(s, d))
+SQL["g10_unfounded_numbers"] = f"""WITH k AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS n FROM part WHERE p_partkey % 2 = 0 UNION SELECT '1000')
+SELECT DISTINCT part, number FROM (SELECT CAST(p_partkey AS VARCHAR) AS part, unnest([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)]) AS number FROM part) WHERE number NOT IN (FROM k)"""
+_HISTORY = """SELECT o_orderkey AS id, o_orderpriority AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'running' ELSE 'completed' END AS status, CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY END AS heartbeat_at FROM orders"""
+_NOW = "1996-01-01 00:00:00"
+Q["g11_latest_runs"] = lambda s, d: readiness.latest(_from("orders", _HISTORY)(s, d), "kind").select("kind", "id", "status")
+SQL["g11_latest_runs"] = f"SELECT kind, id, status FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY started_at DESC, id DESC) AS n FROM ({_HISTORY})) WHERE n = 1"
+Q["g12_stalled_runs"] = lambda s, d: readiness.stalled(_from("orders", _HISTORY)(s, d), _NOW).select("id")
+SQL["g12_stalled_runs"] = f"SELECT id FROM ({_HISTORY}) WHERE status = 'running' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{_NOW}' - INTERVAL 600 SECONDS"
 Q["s04_synthetic"] = lambda s, d: organizations(s, 1000, seed=3)[0]

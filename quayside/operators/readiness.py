@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.texts import numbers_in
+
 # What each kind of issue asks for; anything else is for review.
 ACTIONS = {
     "unmapped_value": "decision", "undecidable_plan": "decision", "business_rule_violation": "decision", "plan_conflicts_with_tier": "decision", "ambiguous_country": "decision",
@@ -107,3 +109,49 @@ def normalization_counts(drafts: DataFrame, keep: int = 25) -> DataFrame:
     notes = drafts.select(F.explode("notes").alias("note")).select(F.explode(F.split("note", "; ")).alias("note"))
     masked = notes.select(F.regexp_replace("note", r"'[^']*'", "'...'").alias("note")).groupBy("note").agg(F.count("*").alias("n"))
     return masked.orderBy(F.desc("n"), "note").limit(keep)
+
+
+def unfounded_numbers(texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(part, number): numbers in texts (part, text) that no fact (text) has, as when a summary makes one up."""
+    said = texts.select("part", F.explode(numbers_in(F.col("text"))).alias("number")).distinct()
+    known = facts.select(F.explode(numbers_in(F.col("text"))).alias("number")).distinct()
+    return said.join(known, "number", "left_anti").select("part", "number")
+
+
+def next_steps(states: DataFrame, work: DataFrame, open_questions: int) -> DataFrame:
+    """(place, step, records): what to do next, from gates (gate, state) and work items (kind, records)."""
+    blocked = states.where("state = 'BLOCKER'").select("gate")
+    one = states.agg(F.max(F.when(F.col("gate") == "verdict", F.col("state"))).alias("verdict"), F.max(F.when(F.col("state") == "CONDITION", 1).otherwise(0)).alias("conditions"))
+    kinds = work.agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("decision", "data_fix", "review")], *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("records"))), F.lit(0)).alias(f"{k}_records") for k in ("data_fix", "dependent")]
+    )
+    gates_ = blocked.agg(F.collect_set("gate").alias("gates"))  # a handful of gates
+    f = one.crossJoin(kinds).crossJoin(gates_)
+    has = lambda *names: F.arrays_overlap("gates", F.array(*map(F.lit, names)))
+    asks = F.col("decision") + F.lit(open_questions)
+    steps = [
+        ("decide the open fields and questions", has("mappings_decided"), None),
+        ("rehearse the whole current plan", has("rehearsal", "rehearsal_current"), None),
+        ("explain what does not reconcile", has("reconciliation"), None),
+        ("look into what the target refused", has("target_accepted"), None),
+        ("ask the customer", asks > 0, asks),
+        ("have data corrected", F.col("data_fix") > 0, F.col("data_fix_records")),
+        ("expect dependent records after that", F.col("dependent_records") > 0, F.col("dependent_records")),
+        ("rehearse the corrected export", (F.col("decision") > 0) | (F.col("data_fix") > 0), None),
+        ("get the sign-off on what stays behind", (F.col("verdict") != "BLOCKED") & ((F.col("review") > 0) | (F.col("conditions") > 0)), None),
+        ("agree on a date", F.col("verdict") != "BLOCKED", None),
+    ]
+    rows = [F.when(when, F.struct(F.lit(i).alias("place"), F.lit(text).alias("step"), (F.lit(None) if n is None else n).cast("long").alias("records"))) for i, (text, when, n) in enumerate(steps)]
+    return f.select(F.explode(F.array_compact(F.array(*rows))).alias("s")).select("s.*")
+
+
+def latest(runs: DataFrame, *by: str) -> DataFrame:
+    """The newest run of each kind, by started_at, ties by id: one row a group, without sorting any."""
+    names = [c for c in runs.columns if c not in by]
+    return runs.groupBy(*by).agg(F.max_by(F.struct(*names), F.struct("started_at", "id")).alias("r")).select(*by, "r.*")
+
+
+def stalled(runs: DataFrame, now: str, seconds: int = 600) -> DataFrame:
+    """Running ones that gave no sign of life for so long."""
+    last = F.coalesce("heartbeat_at", "started_at")
+    return runs.where((F.col("status") == "running") & (last < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {seconds} SECONDS")))
