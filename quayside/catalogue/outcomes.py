@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from quayside.catalogue.converting import SQL as CONVERTED
 from quayside.catalogue.views import view
 from quayside.operators import compare, evaluation, readiness, reconcile, write
 from quayside.plans.contract import CONTRACT, catalog
+from quayside.plans.shared import shared_folder
+from quayside.sources import files
 from quayside.sources.synthetic import organizations
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,3 +393,35 @@ SQL["g11_latest_runs"] = f"SELECT kind, id, status FROM (SELECT *, row_number()
 Q["g12_stalled_runs"] = lambda s, d: readiness.stalled(_from("orders", _HISTORY)(s, d), _NOW).select("id")
 SQL["g12_stalled_runs"] = f"SELECT id FROM ({_HISTORY}) WHERE status = 'running' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{_NOW}' - INTERVAL 600 SECONDS"
 Q["s04_synthetic"] = lambda s, d: organizations(s, 1000, seed=3)[0]
+
+
+def _exported(s: SparkSession, d: str, kind: str) -> str:
+    """The nations (a table of fixed size) as an export of one file, in a folder of its own."""
+    rows = view(s, d, "nation").orderBy("n_nationkey").coalesce(1)
+    folder = f"{shared_folder(s)}/export-{uuid.uuid4().hex}"
+    if kind == "csv":
+        rows.select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey")).write.csv(folder, header=True)
+    else:
+        record = F.struct("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey"))
+        rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("data")), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    return folder
+
+
+_EXPORTED = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, {} AS n_regionkey FROM nation"
+Q["s01_csv_scan"] = lambda s, d: files.read_csv(s, _exported(s, d, "csv"))
+SQL["s01_csv_scan"] = _EXPORTED.format("CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END")
+Q["s02_json_scan"] = lambda s, d: files.read_json(s, _exported(s, d, "json"))
+SQL["s02_json_scan"] = _EXPORTED.format("CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) END")
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """What a namespace holds after a write and a repeated, partly changed one."""
+    store = write.TargetStore(s, f"{shared_folder(s)}/target-{uuid.uuid4().hex}")
+    rows = _from("customer", "SELECT CAST(c_custkey AS STRING) AS record_id, c_custkey AS source_row, c_mktsegment AS segment FROM customer")(s, d)
+    store.write("organization", "rehearsal", rows.where("source_row % 2 = 0").select("record_id", "source_row", F.struct("segment").alias("payload")))
+    store.write("organization", "rehearsal", rows.select("record_id", "source_row", F.struct(F.when(F.col("source_row") % 3 > 0, F.col("segment")).alias("segment")).alias("payload")))
+    return store.read("organization", "rehearsal").select("id", F.get_json_object("payload", "$.segment").alias("segment"))
+
+
+Q["s03_target_read_back"] = _stored
+SQL["s03_target_read_back"] = "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer"

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.functions import cells
+from quayside.functions import cells, texts
 from quayside.functions.converters import Context, apply_chain
-from quayside.operators import compare, readiness, reconcile, write
+from quayside.operators import compare, evaluation, readiness, reconcile, write
 from quayside.operators.profile import quality_issues
 from quayside.plans.config import ValueMap, config_from
 from quayside.plans.contract import catalog
@@ -155,3 +155,20 @@ def test_paged_feed():
     assert waits == [3.0, 0.5]
     now = datetime(2024, 1, 1, tzinfo=UTC)
     assert paged.retry_after("Mon, 01 Jan 2024 00:00:10 GMT", now) == 10.0 and paged.retry_after("Sun, 31 Dec 2023 00:00:00 GMT", now) == 0.0 and paged.retry_after("soon") is None
+
+
+def test_texts_and_opaque_names(spark):
+    df = spark.createDataFrame([(1234567, 1, 8, "2026-10-02T07:38:31+00:00", [("a", 1), ("b", 2000), ("c", 3), ("d", 4), ("e", 5)], "1,200 of 7. and 3.5")], "n long, part long, whole long, at string, v array<struct<v:string,n:long>>, t string")
+    r = df.select(texts.thousands(F.col("n")), texts.share(F.col("part"), F.col("whole")), texts.share(F.col("part"), F.lit(0)), texts.moment(F.col("at")), texts.counted_values(F.col("v")), texts.numbers_in(F.col("t"))).first()
+    assert list(r) == ["1,234,567", "12.5%", "n/a", "2026-10-02 07:38 UTC", "'a' (1), 'b' (2,000), 'c' (3), 'd' (4) and 1 more", ["1200", "7", "3.5"]]
+    a, b = spark.createDataFrame([(1, 2)], "key int, x int"), spark.createDataFrame([(1, 2)], "y int, key int")
+    out, codes = evaluation.opaque({"a": a, "b": b})
+    assert codes == {"key": "c01", "x": "c02", "y": "c03"} and out["a"].columns == ["c01", "c02"] and out["b"].columns == ["c03", "c01"]
+
+
+def test_listing_and_missing_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id\n1\n")
+    (tmp_path / "b.txt").write_text("x")
+    assert [(r.location, r.kind) for r in files.listing(spark, str(tmp_path)).collect()] == [("a.csv", "csv")]
+    with pytest.raises(files.SourceUnavailable):
+        files.read(spark, "csv", "none.csv", str(tmp_path))
