@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from quayside.functions import cells, texts
 from quayside.functions.converters import Context, apply_chain
 from quayside.operators import compare, evaluation, readiness, reconcile, write
-from quayside.operators.profile import quality_issues
+from quayside.operators.profile import check_reference, quality_issues
 from quayside.plans.config import ValueMap, config_from
 from quayside.plans.contract import catalog
 from quayside.plans.drafts import UndecidedFields, build_plan
 from quayside.plans.example_config import EXAMPLE
 from quayside.sources import files, paged
-from quayside.sources.synthetic import organizations
+from quayside.sources.synthetic import exports, organizations
 
 
 def column(spark, values, fn):
@@ -172,3 +172,17 @@ def test_listing_and_missing_files(spark, tmp_path):
     assert [(r.location, r.kind) for r in files.listing(spark, str(tmp_path)).collect()] == [("a.csv", "csv")]
     with pytest.raises(files.SourceUnavailable):
         files.read(spark, "csv", "none.csv", str(tmp_path))
+
+
+def test_related_exports(spark):
+    """What the manifest says is planted is what profiles and references find."""
+    out, manifest = exports(spark, 300, seed=4)
+    assert {k: df.count() for k, df in out.items()} == {"organizations": 300, "contacts": 600, "subscriptions": 300, "activities": 1200}
+    parents = spark.range(300).select((F.col("id") + 10000).cast("string").alias("acct_num"))
+    for name in ("contacts", "subscriptions", "activities"):
+        found = check_reference(out[name], parents, "acct_num").first()
+        assert found.orphans == manifest[name]["orphan"] and found.checked == out[name].count()
+    issues = {(r.column, r.code): r["count"] for r in quality_issues(out["contacts"], "2024-12-31").collect()}
+    assert issues[("contact_mail", "malformed_email")] == manifest["contacts"]["malformed_mail"] and issues[("phone_number", "malformed_phone")] == manifest["contacts"]["short_phone"]
+    issues = {(r.column, r.code): r["count"] for r in quality_issues(out["activities"], "2024-12-31").collect()}
+    assert issues[("occurred_at", "future_dates")] == manifest["activities"]["future"]
