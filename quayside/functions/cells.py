@@ -128,16 +128,21 @@ def phone_digits(v: Column) -> Column:
     return F.when(v.rlike(PHONE) & F.length(digits).between(7, 15), digits)
 
 
-def tag(raw: Column) -> Column:
-    """What a cell looks like, one of sixteen labels; a label is tried only on what no label before it takes."""
+def tag(raw: Column, fmt: Column | None = None) -> Column:
+    """What a cell looks like, one of sixteen labels; a label is tried only on what no label before it takes.
+
+    fmt: the format that reads the stripped cell, times first where there is a colon, if it is known already.
+    """
     v = strip(raw)
-    date, _ = first_format(v, DATE_FORMATS)
-    time, _ = first_format(v, DATETIME_FORMATS)
+    if fmt is None:
+        is_time, is_date = first_format(v, DATETIME_FORMATS)[0].isNotNull(), first_format(v, DATE_FORMATS)[0].isNotNull()
+    else:
+        is_time, is_date = fmt.isin(DATETIME_FORMATS), fmt.isin(DATE_FORMATS)
     digits = phone_digits(v)
     # Dates are parsed only where a digit and a separator leave them possible.
     dated = (
-        F.when(v.contains(":") & time.isNotNull(), "datetime")
-        .when(date.isNotNull(), "date")
+        F.when(v.contains(":") & is_time, "datetime")
+        .when(is_date, "date")
         .when(digits.isNotNull(), F.when(F.length(digits) >= 10, "phone").otherwise("phone_short"))
         .when(v.rlike(PHONE), "phone_short")
     )

@@ -15,21 +15,23 @@ TOP_VALUES, FULL_COUNTS, SAMPLES, TOP_SHAPES, VARIANTS, EXAMPLES = 10, 50, 5, 5,
 
 
 def value_table(df: DataFrame, row_idx: str = "row_idx") -> DataFrame:
-    """(col, pos, raw, v, tag, n, first): each distinct raw value of each column, its rows and its first row.
+    """(col, pos, raw, v, tag, n, first, at, fmt): each distinct raw value of each column, its rows and its first row.
 
-    One scan and one shuffle on (col, raw), with partial sums before it; a value that fills a column is one row.
+    at and fmt are the time in it and the format that reads it, found once for the tag and for all facts of dates. One scan and one shuffle on (col, raw), with partial sums before it; a value that fills a column is one row.
     """
     columns = [c for c in df.columns if c != row_idx]
     text = df.select(F.col(row_idx).cast("long").alias("_row"), *[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot(["_row"], columns, "col", "raw")
     pos = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)]), F.col("col")) if columns else F.lit(0)
     out = long.groupBy("col", "raw").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    return out.select("col", pos.alias("pos"), "raw", cells.strip(F.col("raw")).alias("v"), cells.tag(F.col("raw")).alias("tag"), "n", "first")
+    out = with_dates(out.withColumn("v", cells.strip(F.col("raw"))))
+    return out.select("col", pos.alias("pos"), "raw", "v", cells.tag(F.col("raw"), F.col("fmt")).alias("tag"), "n", "first", "at", "fmt")
 
 
 def present(values: DataFrame) -> DataFrame:
-    """Values that say something, by trimmed text: (col, v, tag, n, first)."""
-    return values.where("tag not in ('blank', 'placeholder')").groupBy("col", "v").agg(F.any_value("tag").alias("tag"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    """Values that say something, by trimmed text: (col, v, tag, n, first, at, fmt)."""
+    same = [F.any_value(c).alias(c) for c in ("tag", "at", "fmt")]
+    return values.where("tag not in ('blank', 'placeholder')").groupBy("col", "v").agg(*same, F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def tag_counts(values: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def value_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
     """Per column, all that its values tell, in one aggregate; what a caller leaves out is not computed."""
     truth = F.when(F.lower("v").isin(cells.TRUE_WORDS), True).when(F.lower("v").isin(cells.FALSE_WORDS), False)
     number = F.when(F.col("tag").isin("integer", "decimal", "numeric_text"), cells.parse_number(F.col("v")))
-    own = with_dates(present(values)).withColumns({"number": number, "digits": cells.phone_digits(F.col("v")), "truth": truth, "folded": F.lower("v")})
+    own = present(values).withColumns({"number": number, "digits": cells.phone_digits(F.col("v")), "truth": truth, "folded": F.lower("v")})
     c, n, is_, numbers = F.col, F.col("n"), lambda *tags: F.col("tag").isin(*tags), F.col("number").isNotNull()
     short = c("digits").isNull() | (F.length("digits") < 10)
     commonest = lambda truth: F.coalesce(F.max(F.when(truth, n)), F.lit(0))
@@ -124,7 +126,7 @@ def with_dates(df: DataFrame) -> DataFrame:
 
 
 def date_formats(values: DataFrame) -> DataFrame:
-    return with_dates(present(values)).where("fmt is not null").groupBy("col", "fmt").agg(F.sum("n").alias("n"))
+    return present(values).where("fmt is not null").groupBy("col", "fmt").agg(F.sum("n").alias("n"))
 
 
 def date_stats(values: DataFrame, as_of: str) -> DataFrame:
@@ -150,7 +152,7 @@ def boolean_stats(values: DataFrame) -> DataFrame:
 
 def malformed_examples(values: DataFrame, keep: int = EXAMPLES) -> DataFrame:
     """The first values, by row, that a column's inferred type cannot read."""
-    own = with_dates(present(values)).withColumns({"number": cells.parse_number(F.col("v")), "digits": cells.phone_digits(F.col("v"))})
+    own = present(values).withColumns({"number": cells.parse_number(F.col("v")), "digits": cells.phone_digits(F.col("v"))})
     own = own.join(column_types(values).select("col", "inferred_type"), "col")
     kind, tag = F.col("inferred_type"), F.col("tag")
     bad = (
