@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated_documents
+from .exact_topk import largest_products
 from .language_id import predict_languages
 from .line_dedup import drop_frequent_lines
 from .mixing import Targets, mix
@@ -17,6 +18,8 @@ from .quality import quality_scores
 from .span_dedup import drop_repeated_spans
 from .token_counts import line_sections, section_tokens
 from .token_files import token_output
+from .vector_codes import code_digests
+from .whitening import whiten
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,6 +100,75 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_span_dedup, op5_decontaminate, op6_quality, op7_nearest, op8_minhash_near_dedup, op9_token_output, op10_language_id)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL}
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def _round(r: int) -> str:
+    """Assignment by the codebooks of round r, and the codebooks that follow from it."""
+    return f"""
+a{r} AS MATERIALIZED (
+  SELECT p.r, p.part, any_value(y) AS y, min(list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + entry) AS best
+  FROM p JOIN c{r} ON c{r}.part = p.part GROUP BY p.r, p.part),
+m{r} AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS e
+  FROM (SELECT part, entry, i, sum(v) AS s, count(*) AS n
+        FROM (SELECT part, best % 16 AS entry, unnest(y) AS v, unnest(range(len(y))) AS i FROM a{r}) GROUP BY part, entry, i)
+  GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.part, c{r}.entry, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} ON m{r}.part = c{r}.part AND m{r}.entry = c{r}.entry)"""
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT r, vec_id, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS y FROM (SELECT r, vec_id, x, unnest(range(8)) AS part FROM v)),
+c0 AS MATERIALIZED (SELECT part, entry, y AS e FROM (SELECT part, y, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 16),
+{",".join(_round(r) for r in range(7))},
+t AS (SELECT r, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a6 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN t ON t.r = v.r CROSS JOIN h
+"""
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_products(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_token_counts,
+        op3_line_dedup,
+        op4_span_dedup,
+        op5_decontaminate,
+        op6_quality,
+        op7_nearest,
+        op8_minhash_near_dedup,
+        op9_token_output,
+        op10_language_id,
+        op11_whitening,
+        op12_vector_codes,
+        op13_exact_topk,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op12_vector_codes": OP12_SQL, "op13_exact_topk": OP13_SQL}
