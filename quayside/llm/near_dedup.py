@@ -313,19 +313,45 @@ def _contested_links(named: DataFrame, sets: DataFrame, percent: int, scratch: S
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The documents with one of each near-duplicate group, the smallest doc_id, in their own columns.
 
-    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay, as do null and empty texts. Texts of any
-    length are compared whole; an empty table stays empty; other columns may have any name.
+    A doc_id with several texts is several documents, each judged by its own text; beside equal texts under other ids they
+    come last, by the hash of their text. Of rows with one doc_id and one text one stays, that of the smallest hash of all
+    its columns (maps aside). Rows with a null doc_id stay, as do null and empty texts, which are one text here. Texts of
+    any length are compared whole; an empty table stays empty; other columns may have any name.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.write(near_duplicates(docs, percent, width, scratch=scratch).select("doc_id", "kept"), "found")
+    key = next(n for n in (f"_key{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = _keyed(docs, key, scratch)
+    inner = Scratch(docs.sparkSession, "near-dedup")
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent, width, scratch=inner)
+    found = scratch.write(found.select("doc_id", "kept"), "found")
+    inner.drop()
     # Usually far fewer than the documents, so that texts need not move.
-    out = scratch.write(found.where("not kept").select(F.col("doc_id").alias("out_id")).distinct(), "out")
-    left = docs.join(sized_broadcast(out, out.count(), 16), F.col("doc_id") == F.col("out_id"), "left_anti")
-    again = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
-    scratch.drop_but("out", "again")
+    out = scratch.write(found.where("not kept").select("doc_id").distinct(), "out")
+    left = rows.join(sized_broadcast(out, out.count(), 16), rows[key] == out["doc_id"], "left_anti")
+    again = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    scratch.drop_but("out", "again", "several", "placed")
     n = again.count()
     if not n:
-        return left
+        return left.drop(key)
     again = sized_broadcast(again, n, 16)
-    same = F.col("doc_id") == F.col("again_id")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    same = left[key] == again["doc_id"]
+    hashed = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    one = left.join(again, same, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
+    return left.join(again, same, "left_anti").drop(key).unionByName(one)
+
+
+def _keyed(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """docs with a number for each (doc_id, text): the doc_id itself, but beyond all of them where an id has several texts."""
+    own, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(own.alias("id"), text.alias("hash")).where("id is not null")
+    several = scratch.write(texts.groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo < hi").select("id"), "several")
+    n = several.count()
+    if not n:
+        return docs.withColumn(key, own)
+    top = texts.agg(F.max("id")).first()[0]
+    # In the order of (doc_id, hash), so that a run that repeats gives the same numbers.
+    placed = texts.join(sized_broadcast(several, n, 24), "id", "left_semi").distinct().orderBy("id", "hash")
+    placed = scratch.write(placed.withColumn("number", F.monotonically_increasing_id() + F.lit(top + 1)), "placed")
+    same = (docs["doc_id"].cast("long") == placed["id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == placed["hash"])
+    both = docs.join(sized_broadcast(placed, placed.count(), 32), same, "left")
+    return both.select(*[docs[c] for c in docs.columns], F.coalesce(placed["number"], docs["doc_id"].cast("long")).alias(key))

@@ -83,6 +83,20 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
 
 
+def test_keep_one_of_ids_with_several_texts(spark):
+    """No text goes that has no near copy, whatever its id; of equal rows one stays, the same one in each run."""
+    a, b, c = "a b c d e f g", "totally different words than all the others here", "the third text is unlike these two as well"
+    rows = [(1, a, True), (1, b, False), (2, a, True), (3, c, True), (3, c, False), (3, c, True), (4, None, True), (4, "", False), (4, b, None), (None, a, True), (None, a, True)]
+    for df in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)):
+        out = keep_one(df.withColumnRenamed("kept", "_key0").withColumn("id", F.lit(1)))
+        assert out.columns == ["doc_id", "text", "_key0", "id"]
+        got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr)
+        # The second id's text is nowhere else under a single text, so it stays; the first id's copy of it goes.
+        assert got == sorted([(1, b), (2, a), (3, c), (4, ""), (None, a), (None, a)], key=repr)
+    same = [{r._key0 for r in keep_one(spark.createDataFrame(x, SCHEMA).withColumnRenamed("kept", "_key0")).where("doc_id = 3").collect()} for x in (rows, rows[::-1])]
+    assert same[0] == same[1] and len(same[0]) == 1
+
+
 def test_one_text_under_many_ids_stays_linear(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words again and again").alias("text"))
     assert near_duplicates(df).agg(F.sum(F.col("kept").cast("int"))).first()[0] == 1
