@@ -147,7 +147,7 @@ Q["k06_first_errors"] = lambda s, d: reconcile.first_errors(_run(s, d))
 SQL["k06_first_errors"] = f"SELECT entity, first_error, count(*) AS n FROM ({_RUN}) WHERE NOT skipped AND first_error IS NOT NULL GROUP BY ALL"
 Q["k07_discrepancies"] = lambda s, d: reconcile.discrepancies(Q["k02_checks"](s, d), _difference(s, d))
 SQL["k07_discrepancies"] = f"""WITH d AS ({SQL["k03_id_difference"]}), o AS (SELECT *, row_number() OVER (PARTITION BY entity, kind ORDER BY id) AS n FROM d WHERE kind <> 'refused_but_present')
-SELECT entity, kind, count(*) AS count, string_agg(id, ',' ORDER BY id) FILTER (WHERE n <= 5) AS sample_ids FROM o GROUP BY entity, kind
+SELECT entity, kind, count(*) AS count, string_agg(id, ',' ORDER BY id) FILTER (WHERE n <= 10) AS sample_ids FROM o GROUP BY entity, kind
 UNION ALL SELECT entity, "check", abs(expected - actual), '' FROM ({SQL["k02_checks"]}) WHERE NOT ok AND "check" NOT LIKE 'target_%'"""
 Q["k08_status"] = lambda s, d: reconcile.status(Q["k02_checks"](s, d))
 SQL["k08_status"] = f"SELECT count(*) AS checks, {_N('ok')} AS passed, CASE WHEN bool_and(ok) THEN 'balanced' ELSE 'discrepancies' END AS status FROM ({SQL['k02_checks']})"
@@ -299,8 +299,9 @@ _issues = _from("orders", _ISSUES)
 Q["g01_issue_groups"] = lambda s, d: readiness.issue_groups(_issues(s, d))
 SQL["g01_issue_groups"] = _GROUPS
 Q["g02_gates"] = lambda s, d: readiness.gates(Q["k05_coverage"](s, d), Q["k02_checks"](s, d), 1)
-SQL["g02_gates"] = f"""WITH g AS (SELECT 'coverage:' || entity AS gate, CASE WHEN coverage < 0.95 THEN 'BLOCKER' WHEN coverage < 1 THEN 'CONDITION' ELSE 'PASS' END AS state FROM ({SQL["k05_coverage"]})
-UNION ALL SELECT 'reconciliation', CASE WHEN (SELECT bool_and(ok) FROM ({SQL["k02_checks"]})) THEN 'PASS' ELSE 'BLOCKER' END UNION ALL SELECT 'warnings', 'CONDITION')
+SQL["g02_gates"] = f"""WITH g AS (SELECT 'coverage:' || entity AS gate,
+  CASE WHEN CASE WHEN built = skipped THEN 1.0 ELSE CAST(accepted AS DOUBLE) / (built - skipped) END < 0.95 THEN 'BLOCKER' WHEN built - skipped - accepted > 0 THEN 'CONDITION' ELSE 'PASS' END AS state FROM ({_LEDGER})
+UNION ALL SELECT 'reconciliation', CASE WHEN (SELECT count(*) > 0 AND bool_and(ok) FROM ({SQL["k02_checks"]})) THEN 'PASS' ELSE 'BLOCKER' END UNION ALL SELECT 'warnings', 'CONDITION')
 SELECT gate, state FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_or(state = 'BLOCKER') THEN 'BLOCKED' WHEN bool_or(state = 'CONDITION') THEN 'READY WITH CONDITIONS' ELSE 'READY' END FROM g"""
 Q["g03_work_items"] = lambda s, d: readiness.work_items(readiness.issue_groups(_issues(s, d)))
 SQL["g03_work_items"] = f"""SELECT entity, error_type, CASE error_type WHEN 'unmapped_value' THEN 'decision' WHEN 'business_rule_violation' THEN 'decision' WHEN 'missing_required' THEN 'data_fix' WHEN 'parent_record_rejected' THEN 'dependent' ELSE 'review' END AS kind,
@@ -331,9 +332,10 @@ SQL["g08_all_gates"] = f"""WITH g AS (SELECT 'mappings_decided' AS gate, CASE WH
 UNION ALL SELECT 'rehearsal', CASE WHEN partial THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT 'rehearsal_current', CASE WHEN plan = 'p1' AND config = 'c2' THEN 'PASS' ELSE 'BLOCKER' END FROM ({_LATEST})
 UNION ALL SELECT 'target_accepted', CASE WHEN rejected + failed > 0 THEN 'BLOCKER' ELSE 'PASS' END FROM ({_LATEST}) UNION ALL SELECT * FROM ({SQL["g02_gates"]}) WHERE gate <> 'verdict')
 SELECT gate, state FROM g UNION ALL SELECT 'verdict', CASE WHEN bool_or(state = 'BLOCKER') THEN 'BLOCKED' WHEN bool_or(state = 'CONDITION') THEN 'READY WITH CONDITIONS' ELSE 'READY' END FROM g"""
-_KNOWN_FIELDS = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 't' || CAST(p_size % 3 AS STRING) END AS expected, p_partkey % 7 = 0 AS clarify, p_partkey % 3 = 0 AS clarify_ok FROM part"""
+_KNOWN_FIELDS = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 't' || CAST(p_size % 3 AS STRING) END AS expected,
+p_partkey % 7 = 0 AS clarify, p_partkey % 3 = 0 AS clarify_ok, p_partkey % 8 < 3 AS transformation FROM part"""
 _RUNS = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, r AS run, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 't' || CAST((p_size + CASE WHEN p_partkey % 11 = r THEN 1 ELSE 0 END) % 3 AS STRING) END AS target,
-p_partkey % 6 = 0 AS asks, (p_partkey % 10) / 10.0D AS confidence FROM part"""
+p_partkey % 6 = 0 AS asks, (p_partkey % 10) / 10.0D AS confidence, p_partkey % 9 < 5 AS transforms FROM part"""
 
 
 def _golden(s: SparkSession, d: str) -> DataFrame:
@@ -354,22 +356,35 @@ def _judged_runs(s: SparkSession, d: str) -> DataFrame:
 
 def _judge_sql(run: int) -> str:
     proposed = _RUNS.replace("r AS run", f"{run} AS run").replace("= r THEN", f"= {run} THEN").replace("10.0D", "CAST(10 AS DOUBLE)")
-    return f"""SELECT g.dataset, g.source_field, expected, target AS proposed, coalesce(asks, false) AS asks, confidence, {run} AS run,
-CASE WHEN clarify THEN CASE WHEN coalesce(asks, false) AND (target IS NULL OR target = 't2') THEN 'correct' WHEN target = 't2' THEN 'overconfident' ELSE 'wrong' END
-WHEN expected IS NULL THEN CASE WHEN target IS NULL OR target = 't2' THEN 'correct' ELSE 'wrong' END
-WHEN target = expected OR target = 't2' THEN 'correct' WHEN target IS NULL THEN CASE WHEN coalesce(asks, false) AND clarify_ok THEN 'correct' WHEN coalesce(asks, false) THEN 'deferred' ELSE 'unresolved' END ELSE 'wrong' END AS outcome
+    return f"""SELECT g.dataset, g.source_field, expected, clarify, clarify_ok, transformation, target AS proposed, coalesce(asks, false) AS asks, coalesce(transforms, false) AS transforms, coalesce(confidence, 0) AS confidence, {run} AS run,
+CASE WHEN p.source_field IS NULL THEN 'unresolved'
+WHEN clarify THEN CASE WHEN asks AND coalesce(target, 't2') = 't2' THEN 'correct' WHEN target = 't2' THEN 'overconfident' ELSE 'wrong' END
+WHEN expected IS NULL THEN CASE WHEN coalesce(target, 't2') = 't2' THEN 'correct' ELSE 'wrong' END
+WHEN target = expected OR target = 't2' THEN 'correct' WHEN target IS NOT NULL THEN 'wrong' WHEN asks AND clarify_ok THEN 'correct' WHEN asks THEN 'deferred' ELSE 'unresolved' END AS outcome
 FROM ({_KNOWN_FIELDS}) AS g LEFT JOIN (SELECT * FROM ({proposed}) WHERE CAST(source_field AS INT) % 13 <> 0) AS p ON p.dataset = g.dataset AND p.source_field = g.source_field"""
 
 
 _JUDGED_RUNS = " UNION ALL ".join(_judge_sql(r) for r in range(3))
-_METRICS = f"""count(*) AS fields, {", ".join(f"{_N(f"outcome = '{o}'")} AS {o}" for o in evaluation.OUTCOMES)}, round_even({_N("outcome = 'correct'")} / CAST(count(*) AS DOUBLE), 4) AS accuracy,
-round_even(avg(confidence) FILTER (WHERE outcome = 'correct'), 3) AS confidence_correct, round_even(avg(confidence) FILTER (WHERE outcome <> 'correct'), 3) AS confidence_incorrect, {_N("outcome <> 'correct' AND confidence >= 0.9")} AS sure_but_wrong"""
+_RIGHT, _TARGETED, _CHANGED = "outcome = 'correct'", "expected IS NOT NULL", "transformation AND outcome = 'correct' AND proposed IS NOT NULL"
+
+
+def _part(some: str, of: str) -> str:
+    return f"round_even({_N(f'({some}) AND ({of})')} / CAST(nullif({_N(of)}, 0) AS DOUBLE), 3)"
+
+
+_METRICS = f"""count(*) AS fields, {", ".join(f"{_N(f"outcome = '{o}'")} AS {o}" for o in evaluation.OUTCOMES)}, {_part(_RIGHT, "true")} AS accuracy,
+{_N(_TARGETED)} AS target_fields, {_N(f"{_TARGETED} AND {_RIGHT}")} AS target_correct, {_part(_RIGHT, _TARGETED)} AS target_accuracy,
+{_N("clarify")} AS clarify_expected, {_N("clarify AND asks")} AS clarify_flagged, {_part("asks", "clarify")} AS clarification_recall,
+{_N("asks AND NOT clarify AND NOT clarify_ok")} AS clarification_false_positives, {_part("transforms", _CHANGED)} AS transformation_flag_recall,
+{_N("outcome IN ('wrong', 'overconfident') AND confidence >= 0.9")} AS incorrect_high_confidence,
+round_even(avg(confidence) FILTER (WHERE {_RIGHT}), 3) AS mean_confidence_correct, round_even(avg(confidence) FILTER (WHERE outcome IN ('wrong', 'overconfident')), 3) AS mean_confidence_incorrect"""
 Q["e01_judge"] = lambda s, d: evaluation.judge(_golden(s, d), _proposed(s, d, 0)).withColumn("run", F.lit(0))
 SQL["e01_judge"] = _judge_sql(0)
 Q["e02_metrics"] = lambda s, d: evaluation.metrics(_judged_runs(s, d), "run")
 SQL["e02_metrics"] = f"SELECT run, {_METRICS} FROM ({_JUDGED_RUNS}) GROUP BY run"
 Q["e03_series"] = lambda s, d: evaluation.series(_judged_runs(s, d))
-SQL["e03_series"] = f"""SELECT metric, min(value) AS least, max(value) AS most, round_even(avg(value), 3) AS mean FROM (UNPIVOT (SELECT run, CAST(COLUMNS(* EXCLUDE run) AS DOUBLE) FROM (SELECT run, {_METRICS} FROM ({_JUDGED_RUNS}) GROUP BY run))
+SQL["e03_series"] = f"""SELECT metric, min(value) AS least, max(value) AS most, round_even(avg(value), 3) AS mean
+FROM (UNPIVOT (SELECT run, {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in evaluation.SERIES)} FROM (SELECT run, {_METRICS} FROM ({_JUDGED_RUNS}) GROUP BY run))
 ON COLUMNS(* EXCLUDE run) INTO NAME metric VALUE value) GROUP BY metric"""
 Q["e04_unstable_fields"] = lambda s, d: evaluation.unstable_fields(_judged_runs(s, d))
 SQL["e04_unstable_fields"] = f"SELECT dataset, source_field, string_agg(outcome, ',' ORDER BY outcome) AS outcomes FROM (SELECT DISTINCT dataset, source_field, outcome FROM ({_JUDGED_RUNS})) GROUP BY ALL HAVING count(*) > 1"

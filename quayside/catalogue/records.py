@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from quayside.catalogue.views import VIEWS, view
 from quayside.functions.converters import IDENTIFIER
 from quayside.operators import rules, validate
 from quayside.plans.contract import entity_fields
-from quayside.plans.drafts import build_plan, compile_drafts
+from quayside.plans.drafts import DATASET_BITS, build_plan, compile_drafts
 from quayside.plans.shared import barrier
 from quayside.plans.example_config import EXAMPLE
 
@@ -43,7 +44,11 @@ def drafts(spark: SparkSession, d: str, entity: str) -> DataFrame:
 
 def ruled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Drafts of all entities after record rules and the cross-dataset rule."""
-    out = {e: barrier(drafts(spark, d, e), f"drafts-{e}") for e in DATASETS}
+    return _after_rules({e: drafts(spark, d, e) for e in DATASETS})
+
+
+def _after_rules(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    out = {e: barrier(df, f"drafts-{e}") for e, df in made.items()}
     out["organization"] = barrier(rules.dormant_account_inactive(rules.ca_country_from_region(out["organization"], EXAMPLE), EXAMPLE), "ruled-organization")
     out["subscription"] = barrier(rules.drop_dead_trials(rules.legacy_gold_seat_split(out["subscription"], EXAMPLE), EXAMPLE), "ruled-subscription")
     out["contact"], out["organization"] = rules.primary_from_account_email(out["contact"], out["organization"])
@@ -266,3 +271,40 @@ SQL["v09_counts"] = f"WITH {VALIDATED} " + " UNION ALL ".join(
     f"SELECT '{e}' AS entity, count(*) AS built, count(*) FILTER (WHERE {s}) AS skipped, count(*) FILTER (WHERE len(errs) = 0 AND NOT {s}) AS valid, count(*) FILTER (WHERE len(errs) > 0 AND NOT {s}) AS invalid FROM {t}"
     for e, t, s in (("organization", "n_organization", "false"), ("contact", "y_contact", "false"), ("subscription", "y_subscription", "skipped"), ("activity", "q_activity", "false"))
 )
+
+
+# The same over two exports per entity, whose names sort against the order of their plans and whose row numbers overlap.
+_EXPORTS = ("west", "east")
+
+
+def two_exports(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Drafts of all entities, each from two exports, after the rules."""
+    made: dict[str, DataFrame] = {}
+    for e, (source, _, _) in DATASETS.items():
+        for rank, name in enumerate(_EXPORTS):
+            rows = view(spark, d, source).where(F.col("row_idx") % 2 != rank).withColumn("row_idx", F.floor(F.col("row_idx") / 2))
+            own = compile_drafts(rows, dataclasses.replace(plan_of(e), dataset=name), e, EXAMPLE, rank=rank)
+            made[e] = own if rank == 0 else made[e].unionByName(own)
+    return _after_rules(made)
+
+
+def _two_exports(spark: SparkSession, d: str) -> DataFrame:
+    after = two_exports(spark, d)
+    picked = after["contact"].where(F.array_contains("applied_rules", "primary_from_account_email"))
+    out = picked.select("entity", "dataset", "source_row", F.lit("primary_from_account_email").alias("what"))
+    for df in validate.validate(after, AS_OF).values():
+        out = out.unionByName(validate.issues_of(df).where("severity = 'error' or error_type like '%primary_contact%'").select("entity", "dataset", "source_row", F.col("error_type").alias("what")))
+    return out
+
+
+Q["v10_two_exports"] = _two_exports
+_TWICE = VALIDATED
+for _source, _, _ in DATASETS.values():
+    _own = VIEWS[_source].strip()
+    _TWICE = _TWICE.replace(f"({_own})", f"(SELECT * REPLACE (CASE WHEN row_idx % 2 = 1 THEN 0 ELSE {1 << DATASET_BITS} END + row_idx // 2 AS row_idx) FROM ({_own}))")
+_FOUND = " UNION ALL ".join(f"SELECT '{e}' AS entity, source_row, unnest(errs) AS what FROM {t}" for e, t in (("organization", "n_organization"), ("contact", "y_contact"), ("subscription", "y_subscription"), ("activity", "q_activity")))
+SQL["v10_two_exports"] = f"""WITH {_TWICE}
+SELECT entity, CASE WHEN source_row >= {1 << DATASET_BITS} THEN 'east' ELSE 'west' END AS dataset, source_row % {1 << DATASET_BITS} AS source_row, what FROM ({_FOUND}
+UNION ALL SELECT 'contact', source_row, 'no_primary_contact' FROM x_contact WHERE none
+UNION ALL SELECT 'organization', source_row, kind FROM verdict WHERE kind IS NOT NULL
+UNION ALL SELECT 'contact', pick, 'primary_from_account_email' FROM (SELECT DISTINCT pick FROM chosen))"""

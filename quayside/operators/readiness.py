@@ -26,9 +26,16 @@ def issue_groups(issues: DataFrame, fields: int = 4) -> DataFrame:
 
 
 def gates(coverage: DataFrame, checks: DataFrame, warnings: int, floor: float = 0.95) -> DataFrame:
-    """(gate, state): BLOCKER, CONDITION or PASS, and the verdict they make."""
-    rows = coverage.select(F.concat(F.lit("coverage:"), F.col("entity")).alias("gate"), F.when(F.coalesce("coverage", F.lit(1.0)) < floor, "BLOCKER").when(F.coalesce("coverage", F.lit(1.0)) < 1, "CONDITION").otherwise("PASS").alias("state"))
-    balanced = checks.agg(F.coalesce(F.min(F.col("ok").cast("int")), F.lit(1)).alias("ok")).select(F.lit("reconciliation").alias("gate"), F.when(F.col("ok") == 1, "PASS").otherwise("BLOCKER").alias("state"))
+    """(gate, state): BLOCKER, CONDITION or PASS, and the verdict they make.
+
+    Coverage is judged by its counts, never by a rounded share: a single record that stays behind is a condition. Without
+    any check nothing is reconciled, which blocks.
+    """
+    share = F.when(F.col("in_scope") > 0, F.col("accepted") / F.col("in_scope")).otherwise(1.0)
+    landed = F.when(share < floor, "BLOCKER").when(F.col("in_scope") > F.col("accepted"), "CONDITION").otherwise("PASS")
+    rows = coverage.select(F.concat(F.lit("coverage:"), F.col("entity")).alias("gate"), landed.alias("state"))
+    balanced = checks.agg(F.coalesce(F.min(F.col("ok").cast("int")), F.lit(0)).alias("ok"))
+    balanced = balanced.select(F.lit("reconciliation").alias("gate"), F.when(F.col("ok") == 1, "PASS").otherwise("BLOCKER").alias("state"))
     warned = checks.sparkSession.range(1).select(F.lit("warnings").alias("gate"), F.lit("CONDITION" if warnings else "PASS").alias("state"))
     return verdict(rows.union(balanced).union(warned))
 

@@ -64,7 +64,7 @@ def checks(ledgers: DataFrame, held: DataFrame, difference: DataFrame, unreadabl
     return out.where(~(lost & F.col("check").isin("target_count", "target_ids"))).unionByName(unread)
 
 
-SAMPLE_IDS = 5
+SAMPLE_IDS = 10
 
 
 def discrepancies(found: DataFrame, difference: DataFrame) -> DataFrame:
@@ -100,5 +100,6 @@ def totals(ledgers: DataFrame) -> DataFrame:
 
 
 def coverage(ledgers: DataFrame) -> DataFrame:
+    """(entity, in_scope, accepted, coverage): the counts that gates are judged by, and their quotient for a reader."""
     scope = F.col("built") - F.col("skipped")
     return ledgers.select("entity", scope.alias("in_scope"), "accepted", F.when(scope > 0, F.bround(F.col("accepted") / scope, 4)).alias("coverage"))

@@ -90,18 +90,18 @@ def primary_from_account_email(contacts: DataFrame, organizations: DataFrame) ->
     gets a warning. One aggregate over contacts and two joins on the organization id.
     """
     email = F.lower(F.col("context.contact_email"))
-    asked = organizations.where(~F.col("skipped") & F.col("record_id").isNotNull() & email.isNotNull()).select(F.col("record_id").alias("org"), email.alias("email"), F.col("source_row").alias("org_row"))
-    own = contacts.where(~F.col("skipped")).select(F.col("payload.organization_id").alias("org"), F.lower("payload.email").alias("mail"), "dataset", "source_row", (F.col("payload.is_primary") == "true").alias("is_primary")).where("org is not null")
+    asked = organizations.where(~F.col("skipped") & F.col("record_id").isNotNull() & email.isNotNull()).select(F.col("record_id").alias("org"), email.alias("email"), F.col("ord").alias("org_ord"))
+    own = contacts.where(~F.col("skipped")).select(F.col("payload.organization_id").alias("org"), F.lower("payload.email").alias("mail"), "ord", (F.col("payload.is_primary") == "true").alias("is_primary")).where("org is not null")
     per_org = own.groupBy("org").agg(F.max(F.coalesce("is_primary", F.lit(False)).cast("int")).alias("has_primary"))
     state = asked.join(per_org, "org", "left")
     wanted = state.where("has_primary = 0").join(own, "org").where(F.col("mail") == F.col("email"))
-    chosen = wanted.groupBy("org", "org_row").agg(F.min(F.struct("source_row", "dataset")).alias("c"))
-    picked = chosen.select(F.col("c.dataset").alias("dataset"), F.col("c.source_row").alias("source_row")).distinct().withColumn("_pick", F.lit(True))
-    new_contacts = contacts.join(picked, ["dataset", "source_row"], "left").withColumn("_pick", F.coalesce("_pick", F.lit(False)))
+    chosen = wanted.groupBy("org", "org_ord").agg(F.min("ord").alias("ord"))
+    picked = chosen.select("ord").distinct().withColumn("_pick", F.lit(True))
+    new_contacts = contacts.join(picked, "ord", "left").withColumn("_pick", F.coalesce("_pick", F.lit(False)))
     new_contacts = _set(new_contacts, "is_primary", F.col("_pick"), "true", "primary_from_account_email").drop("_pick").select(contacts.columns)
-    verdict = state.join(chosen.select("org", "org_row", F.lit(True).alias("found")), ["org", "org_row"], "left")
+    verdict = state.join(chosen.select("org", "org_ord", F.lit(True).alias("found")), ["org", "org_ord"], "left")
     kind = F.when(F.col("has_primary").isNull(), "primary_contact_missing").when((F.col("has_primary") == 0) & F.col("found").isNull(), "primary_contact_not_found")
-    verdict = verdict.select(F.col("org_row").alias("source_row"), kind.alias("_kind")).where("_kind is not null")
-    new_orgs = organizations.join(verdict, "source_row", "left")
+    verdict = verdict.select(F.col("org_ord").alias("ord"), kind.alias("_kind")).where("_kind is not null")
+    new_orgs = organizations.join(verdict, "ord", "left")
     new_orgs = with_issue(new_orgs, F.col("_kind").isNotNull(), issue(F.col("_kind"), "warning", "primary_contact", email, "no contact for the account's own address")).select(organizations.columns)
     return new_contacts, new_orgs

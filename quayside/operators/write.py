@@ -48,6 +48,8 @@ def blocked_children(children: DataFrame, accepted: DataFrame, key: str = "organ
 def _cut(rows: DataFrame, limit: int) -> DataFrame:
     """(entity, cut): the place of the `limit`-th row of each entity that has so many. Each task sends `limit` rows of an entity at most."""
     nth = F.row_number().over(Window.partitionBy("entity").orderBy("ord"))
+    if limit <= 0:  # before the first
+        return rows.groupBy("entity").agg((F.min("ord") - 1).alias("cut"))
     first = rows.select("entity", "ord").withColumn("nth", nth).where(F.col("nth") <= limit)
     return first.groupBy("entity").agg(F.max("ord").alias("cut"), F.count("*").alias("n")).where(F.col("n") == limit).drop("n")
 

@@ -71,11 +71,16 @@ def live() -> Column:
     return ~F.col("skipped") & ~has_errors()
 
 
-def compile_drafts(df: DataFrame, plan: DatasetPlan, entity: str, config: Config, row_idx: str = "row_idx") -> DataFrame:
-    """(entity, dataset, source_row, record_id, payload, raw, context, notes, applied_rules, issues, skipped, skip_reason, skip_rule).
+#: Rows of one export come before those of the next.
+DATASET_BITS = 40
+
+
+def compile_drafts(df: DataFrame, plan: DatasetPlan, entity: str, config: Config, row_idx: str = "row_idx", rank: int = 0) -> DataFrame:
+    """(entity, dataset, source_row, ord, record_id, payload, raw, context, notes, applied_rules, issues, skipped, skip_reason, skip_rule).
 
     Where two columns have one target, the later one that says something wins. Notes and issues keep the order of the
-    columns; the first error is the first of them.
+    columns; the first error is the first of them. rank is the export's place among the plans: ord, by rank and then by
+    row, is the order in which drafts of an entity count everywhere.
     """
     own, context = plan.split(entity)
     rules = [*own, *context]
@@ -99,7 +104,7 @@ def compile_drafts(df: DataFrame, plan: DatasetPlan, entity: str, config: Config
     raw = F.struct(*[F.col(c).cast("string").alias(c) for c in plan.keep_raw]) if plan.keep_raw else F.lit(None).cast("struct<none:string>")
     notes = F.filter(F.array(*[at[r]["note"] for r in own]), lambda x: x.isNotNull())
     errors = F.filter(F.array(*[F.when(at[r]["error_type"].isNotNull(), issue(at[r]["error_type"], "error", r.target.split(".", 1)[1], F.col(r.source).cast("string"), F.concat(F.lit(f"{r.source}: "), at[r]["error"]))) for r in own]), lambda x: x.isNotNull())
-    out = staged.select(F.lit(entity).alias("entity"), F.lit(plan.dataset).alias("dataset"), F.col(row_idx).cast("long").alias("source_row"), payload.alias("payload"), raw.alias("raw"), contexts.alias("context"), notes.alias("notes"), F.array().cast("array<string>").alias("applied_rules"), errors.cast(f"array<{ISSUE}>").alias("issues"))
+    out = staged.select(F.lit(entity).alias("entity"), F.lit(plan.dataset).alias("dataset"), F.col(row_idx).cast("long").alias("source_row"), (F.lit(rank << DATASET_BITS) + F.col(row_idx).cast("long")).alias("ord"), payload.alias("payload"), raw.alias("raw"), contexts.alias("context"), notes.alias("notes"), F.array().cast("array<string>").alias("applied_rules"), errors.cast(f"array<{ISSUE}>").alias("issues"))
     record_id = F.col(f"payload.{id_field(entity)}")
     out = out.withColumn("record_id", record_id).withColumns({"skipped": F.lit(False), "skip_reason": F.lit(None).cast("string"), "skip_rule": F.lit(None).cast("string")})
     return with_issue(out, record_id.isNull(), issue("missing_identifier", "error", id_field(entity), None, f"{id_field(entity)} is empty"))

@@ -13,9 +13,6 @@ from quayside.plans.contract import catalog
 from quayside.plans.drafts import DatasetPlan, compile_drafts, live
 from quayside.plans.shared import barrier
 
-#: Rows of one dataset come before those of the next.
-_DATASET_BITS = 40
-
 
 @dataclass(frozen=True)
 class Rehearsal:
@@ -50,10 +47,10 @@ class Project:
     def drafts(self) -> dict[str, DataFrame]:
         """Drafts by entity, from all exports that emit it, after the project's rules."""
         out: dict[str, DataFrame] = {}
-        for name, plan in self.plans.items():
+        for rank, (name, plan) in enumerate(self.plans.items()):
             for entity in plan.emits():
                 # Raw and context columns differ between exports of one entity.
-                own = compile_drafts(self.exports[name], plan, entity, self.config, self.row_idx)
+                own = compile_drafts(self.exports[name], plan, entity, self.config, self.row_idx, rank)
                 out[entity] = own if entity not in out else out[entity].unionByName(own, allowMissingColumns=True)
         out = {e: barrier(d, f"drafts-{e}") for e, d in out.items()}
         for rule in self.rules:
@@ -74,7 +71,7 @@ class Project:
         every = None
         for entity, d in validated.items():
             first = F.get(F.filter("issues", lambda x: x["severity"] == "error"), F.lit(0))["error_type"]
-            rows = d.select(F.lit(entity).alias("entity"), F.col("record_id").alias("id"), "skipped", F.when(~F.col("skipped"), first).alias("first_error"), place_of(d).alias("ord"))
+            rows = d.select(F.lit(entity).alias("entity"), F.col("record_id").alias("id"), "skipped", F.when(~F.col("skipped"), first).alias("first_error"), "ord")
             every = rows if every is None else every.unionByName(rows)
         told = outcomes.select("entity", "ord", F.when(F.col("outcome").isin("created", "unchanged"), "accepted").otherwise(F.col("outcome")).alias("outcome"))
         return Rehearsal(outcomes, barrier(every.join(told, ["entity", "ord"], "left").drop("ord"), "records"))
@@ -100,13 +97,6 @@ class Project:
         return report.render(title, gates, covered, readiness.work_items(readiness.issue_groups(issues)), checks, readiness.normalization_counts(notes))
 
 
-def place_of(drafts: DataFrame):
-    """Where a draft stands among the writes of its entity: by dataset, then by row."""
-    names = sorted(r["dataset"] for r in drafts.select("dataset").distinct().collect())  # as many as there are exports
-    rank = F.coalesce(*[F.when(F.col("dataset") == n, i) for i, n in enumerate(names)], F.lit(0)).cast("long")
-    return F.shiftleft(rank, _DATASET_BITS) + F.col("source_row")
-
-
 def writes_of(drafts: DataFrame, entity: str, fault=None) -> DataFrame:
     """The valid drafts as `write.dry_run` takes them."""
     p = lambda name: F.col(f"payload.{name}")
@@ -119,4 +109,4 @@ def writes_of(drafts: DataFrame, entity: str, fault=None) -> DataFrame:
     more = {name: p(source) == "true" if name == "is_primary" else p(source) for name, source in read.items()}
     down = F.lit(False) if fault is None else F.coalesce(fault, F.lit(False))
     named = [c.alias(n) for n, c in more.items()]
-    return drafts.where(live()).select(F.col("record_id").alias("id"), place_of(drafts).alias("ord"), write.content_hash().alias("content_hash"), down.alias("fault"), *named)
+    return drafts.where(live()).select(F.col("record_id").alias("id"), "ord", write.content_hash().alias("content_hash"), down.alias("fault"), *named)
