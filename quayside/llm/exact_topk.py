@@ -19,7 +19,8 @@ SHARD_COMPONENTS, MOST_SHARD_COMPONENTS = 1 << 18, 1 << 22
 #: Queries in a cell, about, in the same way.
 CELL_QUERIES, MOST_CELL_QUERIES = 128, 4096
 
-_PARTS = ("order", "dims", "first", "last", "low", "high")
+#: The index's arrays and their types; the values have that of the vectors.
+_PARTS = {"order": np.int32, "values": None, "dims": np.int64, "first": np.int64, "last": np.int64, "high": np.int64, "lengths": np.int64}
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -39,9 +40,10 @@ def _build(batches):
 
     def built(dim: int, shard: int, parts: list) -> pa.RecordBatch:
         ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-        index = impact_index.build(x) if dim else {}
+        index = impact_index.build(x)
         narrow = _narrow(x)
-        arrays = [ids.tobytes(), narrow.tobytes(), narrow.dtype.str, *[index[k].tobytes() if index else b"" for k in _PARTS]]
+        index["values"] = index["values"].astype(narrow.dtype)
+        arrays = [ids.tobytes(), narrow.tobytes(), narrow.dtype.str, *[index[k].tobytes() for k in _PARTS]]
         kinds = [pa.binary(), pa.binary(), pa.string(), *[pa.binary()] * len(_PARTS)]
         return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([shard]), *[pa.array([a], type=t) for a, t in zip(arrays, kinds, strict=True)]], names=["dim", "shard", "ids", "x", "kind", *_PARTS])
 
@@ -59,7 +61,7 @@ def _build(batches):
         yield built(*held[0], held[1])
 
 
-INDEX = "dim long, shard long, ids binary, x binary, kind string, order binary, dims binary, first binary, last binary, low binary, high binary"
+INDEX = ", ".join(["dim long, shard long, ids binary, x binary, kind string", *[f"{p} binary" for p in _PARTS]])
 
 
 def _search(k: int):
@@ -74,7 +76,7 @@ def _search(k: int):
                 if (a := row["arrays"]) is not None:
                     key, ids = own, np.frombuffer(a["ids"], np.int64)
                     x = np.frombuffer(a["x"], np.dtype(a["kind"])).reshape(len(ids), row["dim"])
-                    index = {p: np.frombuffer(a[p], np.int32 if p == "order" else np.int64) for p in _PARTS}
+                    index = {p: np.frombuffer(a[p], kind or x.dtype) for p, kind in _PARTS.items()}
                 elif key == own:  # else no vector of this length fell into this shard
                     found, scores = impact_index.search(index, ids, x, row["query_id"], np.array(row["q"], dtype=np.int64), k)
                     out.append((np.full(len(found), row["query_id"]), found, scores))
