@@ -155,14 +155,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return (column if pa.types.is_binary(column.type) else column.cast(kind)).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cuts batches into runs of rows with about `size` bytes of text; one longer text makes a run by itself."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cuts batches into runs of at most `rows` rows with about `size` bytes of text; one longer text makes a run by itself."""
     for batch in batches:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
         begin, held = 0, 0
         for i, t in enumerate(texts):
             held += len(t or b"")
-            if held >= size or i == len(texts) - 1:
+            if held >= size or i + 1 - begin >= rows or i == len(texts) - 1:
                 yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
                 begin, held = i + 1, 0
 

@@ -15,14 +15,33 @@ BATCH = 512
 TOP = 48  # size from which a layer is not thinned any further
 
 
+#: Components that are gathered at a time.
+GATHERED = 1 << 21
+
+
 def _near(x: np.ndarray, a: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances of q[i] to x[a[i, j]]; infinite where a is -1."""
-    d = x[a] - q[:, None, :]
-    out = np.einsum("ijk,ijk->ij", d, d)
+    """Squared distances of q[i] to x[a[i, j]]; infinite where a is -1. Some rows at a time, so that memory stays bounded."""
+    out = np.empty(a.shape, dtype=x.dtype)
+    rows = max(1, GATHERED // max(1, a.shape[1] * x.shape[1]))
+    for i in range(0, len(a), rows):
+        d = x[a[i : i + rows]] - q[i : i + rows, None, :]
+        np.einsum("ijk,ijk->ij", d, d, out=out[i : i + rows])
     out[a < 0] = np.inf
     return out
 
 
+def _within(x: np.ndarray, new: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a batch the `keep` nearest others of the batch, by a matrix product of the batch, then measured."""
+    q = x[new] - x[new].mean(axis=0)
+    lengths = np.einsum("ij,ij->i", q, q)
+    about = lengths[:, None] + lengths[None, :] - 2 * (q @ q.T)
+    np.fill_diagonal(about, np.inf)
+    keep = min(keep, len(new))
+    near = np.argpartition(about, keep - 1, axis=1)[:, :keep]
+    ids = np.where(near == np.arange(len(new))[:, None], -1, new[near])
+    return _sorted_candidates(x, ids, x[new])
+
+
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: none) and squared distances of the ef nearest found for each query, nearest first. entry: [queries, any]."""
     n, width = len(q), max(ef, entry.shape[1])
@@ -115,10 +134,7 @@ def build(x: np.ndarray) -> list[np.ndarray]:
             new = np.arange(at, min(size, at + min(BATCH, max(at, 64))))
             q = own[new]
             # Within the batch: all against all, earlier ones and later ones alike.
-            inner = np.broadcast_to(new, (len(new), len(new))).copy()
-            np.fill_diagonal(inner, -1)
-            ids, dist = _sorted_candidates(own, inner, q)
-            ids, dist = ids[:, :EF_BUILD], dist[:, :EF_BUILD]
+            ids, dist = _within(own, new, EF_BUILD)
             if at:
                 found, d = beam(own, links, q, entries(x, layers, q, at), EF_BUILD)
                 order = np.argsort(np.concatenate([d, dist], axis=1), axis=1, kind="stable")[:, :EF_BUILD]

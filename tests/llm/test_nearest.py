@@ -100,3 +100,20 @@ def test_double_columns_and_several_lengths(spark):
 def test_shards_grow():
     n = [shard_count(x) for x in (0, 1, 12_500, 50_000, 5_000_000, 1_000_000_000)]
     assert n == [1, 1, 1, 2, 20, 4000]
+
+
+def test_memory_of_many_dimensions():
+    """What is gathered at a time does not grow with the batch; the nearest of a batch are right."""
+    import tracemalloc
+
+    x = np.random.default_rng(4).normal(size=(1200, 768)).astype(np.float32)
+    tracemalloc.start()
+    graph_index.build(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    ids, dist = graph_index._within(x, np.arange(300, 500), 7)
+    d = ((x[300:500, None, :64] - x[None, 300:500, :64]) ** 2).sum(-1) + ((x[300:500, None, 64:] - x[None, 300:500, 64:]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :7]
+    assert (ids == want + 300).mean() > 0.99 and np.allclose(dist, np.take_along_axis(d, want, axis=1), rtol=1e-3)
