@@ -407,26 +407,30 @@ Q["g11_latest_runs"] = lambda s, d: readiness.latest(_from("orders", _HISTORY)(s
 SQL["g11_latest_runs"] = f"SELECT kind, id, status FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY started_at DESC, id DESC) AS n FROM ({_HISTORY})) WHERE n = 1"
 Q["g12_stalled_runs"] = lambda s, d: readiness.stalled(_from("orders", _HISTORY)(s, d), _NOW).select("id")
 SQL["g12_stalled_runs"] = f"SELECT id FROM ({_HISTORY}) WHERE status = 'running' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{_NOW}' - INTERVAL 600 SECONDS"
-Q["s04_synthetic"] = lambda s, d: organizations(s, 1000, seed=3)[0]
+Q["s04_synthetic"] = lambda s, d: organizations(s, view(s, d, "customer").count(), seed=3)[0]
+
+_NOTES = """SELECT o_orderkey, CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'said "' || o_orderpriority || '",' || chr(10) || 'then ' || chr(125) || chr(123) || ' "' || CAST(o_custkey AS STRING) || '"'
+WHEN o_orderkey % 5 = 0 THEN o_orderstatus || ', ' || o_orderpriority ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS STRING) END AS customer FROM orders"""
 
 
 def _exported(s: SparkSession, d: str, kind: str) -> str:
-    """The nations (a table of fixed size) as an export of one file, in a folder of its own."""
-    rows = view(s, d, "nation").orderBy("n_nationkey").coalesce(1)
+    """The orders as an export of one file, in a folder of its own. Only this export passes one task, as one file has one writer."""
+    rows = _from("orders", _NOTES)(s, d)
     folder = f"{shared_folder(s)}/export-{uuid.uuid4().hex}"
     if kind == "csv":
-        rows.select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey")).write.csv(folder, header=True)
-    else:
-        record = F.struct("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey"))
-        rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("data")), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+        rows.repartition(1).sortWithinPartitions("o_orderkey").drop("o_orderkey").write.csv(folder, header=True, escape='"', emptyValue="", lineSep="\n")
+        return folder
+    listed = rows.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") > F.lit(rows.agg(F.min("o_orderkey")).first()[0]), ", ").otherwise(""), F.to_json(F.struct("id", "note", "customer"))).alias("value"))
+    ends = s.createDataFrame([(-1, '{"page": {"size": 1}, "data": ['), (1 << 60, '], "has_more": false}')], "o_orderkey long, value string")
+    listed.unionByName(ends).repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(folder)
     return folder
 
 
-_EXPORTED = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, {} AS n_regionkey FROM nation"
+_EXPORTED = f"SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx, * EXCLUDE (o_orderkey) FROM ({_NOTES})"
 Q["s01_csv_scan"] = lambda s, d: files.read_csv(s, _exported(s, d, "csv"))
-SQL["s01_csv_scan"] = _EXPORTED.format("CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END")
+SQL["s01_csv_scan"] = f"SELECT * REPLACE (coalesce(customer, '') AS customer) FROM ({_EXPORTED})"
 Q["s02_json_scan"] = lambda s, d: files.read_json(s, _exported(s, d, "json"))
-SQL["s02_json_scan"] = _EXPORTED.format("CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS VARCHAR) END")
+SQL["s02_json_scan"] = _EXPORTED
 
 
 def _stored(s: SparkSession, d: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.sources import ranges
+
 
 class SourceUnavailable(ValueError):
     pass
@@ -20,35 +22,32 @@ def resolve(location: str, root: str) -> str:
     return f"{root.rstrip('/')}/{location}"
 
 
-_PLACES = 33  # bits of a row's place in its partition, in monotonically_increasing_id
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """row_idx by place in the source: a row's place in its partition and the sizes of the partitions before, a row for each of them."""
-    at = F.monotonically_increasing_id()
-    placed = df.withColumns({"_part": F.shiftright(at, _PLACES), "_at": at.bitwiseAND(F.lit((1 << _PLACES) - 1))})
-    sizes = placed.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias("row_idx"))
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """All cells as text, empty ones as '', and row_idx, a row's place in the source. Rows that are short end in empty cells.
 
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text, empty ones as ''."""
-    df = spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"', mode="FAILFAST").csv(path)
-    return _numbered(df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]))
+    A file is read in ranges by as many tasks, quoted line ends included; Spark's own reader reads each record.
+    """
+    options = {"sep": delimiter, "escape": '"', "multiLine": True}
+    names = spark.read.options(header=True, inferSchema=False, **options).csv(path).columns
+    if not names:
+        raise SourceUnavailable(f"{path} has no header")
+    cells = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*cells, "more"])
+    records = ranges.delimited_records(spark, path, delimiter)
+    rows = records.select(F.col("record").alias("row_idx"), F.from_csv("value", schema, options).alias("r"))
+    # More cells than names are an error of the file, as fewer are not.
+    rows = rows.where(F.when(F.col("r.more").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("more cells than columns in row "), F.col("row_idx"))).cast("boolean")))
+    return rows.select(*[F.coalesce(f"r.{c}", F.lit("")).alias(n.removeprefix("\ufeff")) for c, n in zip(cells, names, strict=True)], "row_idx")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, bare or under "data". Columns are the keys in the order in which they are first seen."""
-    text = spark.read.text(path, wholetext=True)
-    body = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.data"))
-    records = text.select(F.posexplode(F.from_json(body, "array<string>")).alias("row_idx", "record"))
-    keys = records.select("row_idx", F.posexplode(F.json_object_keys("record")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("row_idx", "at")).alias("first"))
+    records = ranges.json_records(spark, path)
+    keys = records.select("record", "value", F.json_object_keys("value").alias("keys"))
+    broken = F.when(F.col("keys").isNull(), F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 60))).cast("array<string>"))
+    keys = keys.select("record", F.posexplode(F.coalesce("keys", broken)).alias("at", "key")).groupBy("key").agg(F.min(F.struct("record", "at")).alias("first"))
     names = [r["key"] for r in keys.orderBy("first").collect()]  # as many as there are columns
-    if not names:
-        raise SourceUnavailable(f"{path} holds no list of objects")
-    return records.select(F.col("row_idx").cast("long").alias("row_idx"), *[F.get_json_object("record", f"$['{k}']").alias(k) for k in names])
+    return records.select(F.col("record").alias("row_idx"), *[F.get_json_object("value", f"$['{k}']").alias(k) for k in names])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
