@@ -7,7 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.sources import ranges
+from quayside.plans.shared import barrier
+from quayside.sources import paged, ranges
 
 
 class SourceUnavailable(ValueError):
@@ -42,7 +43,18 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, bare or under "data". Columns are the keys in the order in which they are first seen."""
-    records = ranges.json_records(spark, path)
+    return _columns(ranges.json_records(spark, path))
+
+
+def read_feed(spark: SparkSession, url: str, **options) -> DataFrame:
+    """All records of a paged feed, read once into the shared folder. options: token, page_size, pages, pages_per_task."""
+    spark.dataSource.register(paged.PagedSource)
+    pages = spark.read.format("paged").options(url=url, **options).schema("row_idx long, record string").load()
+    return _columns(barrier(pages.toDF("record", "value"), "feed"))
+
+
+def _columns(records: DataFrame) -> DataFrame:
+    """records (record, value) with a column for each key."""
     keys = records.select("record", "value", F.json_object_keys("value").alias("keys"))
     broken = F.when(F.col("keys").isNull(), F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 60))).cast("array<string>"))
     keys = keys.select("record", F.posexplode(F.coalesce("keys", broken)).alias("at", "key")).groupBy("key").agg(F.min(F.struct("record", "at")).alias("first"))
@@ -58,13 +70,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 READERS = {"csv": read_csv, "json": read_json}
 
 
-def read(spark: SparkSession, kind: str, location: str, root: str) -> DataFrame:
+def read(spark: SparkSession, kind: str, location: str, root: str | list[str], **options) -> DataFrame:
+    """A source by kind: csv or json under one of the roots, or api, whose location is a URL. options as the reader takes them."""
+    if kind == "api":
+        return read_feed(spark, location, **options)
     if kind not in READERS:
         raise SourceUnavailable(f"unknown kind {kind!r}")
-    path = resolve(location, root)
-    if not exists(spark, path):
+    paths = [resolve(location, r) for r in ([root] if isinstance(root, str) else root)]
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
         raise SourceUnavailable(f"{location} is not there")
-    return READERS[kind](spark, path)
+    return READERS[kind](spark, there[0], **options)
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
