@@ -165,6 +165,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20, ro
             if held >= size or i + 1 - begin >= rows or i == len(texts) - 1:
                 yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
                 begin, held = i + 1, 0
+        # Workers live on from stage to stage, and Arrow would keep what the largest batch took.
+        del batch, texts
+        pa.default_memory_pool().release_unused()
 
 
 def int_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
