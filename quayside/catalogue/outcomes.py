@@ -14,6 +14,7 @@ from quayside.catalogue.views import view
 from quayside.operators import compare, evaluation, readiness, reconcile, write
 from quayside.plans.contract import CONTRACT, catalog
 from quayside.plans.shared import shared_folder
+from quayside.plans.stores import Store
 from quayside.sources import files
 from quayside.sources.synthetic import organizations
 
@@ -314,8 +315,42 @@ Q["g06_issue_breakdown"] = lambda s, d: readiness.issue_breakdown(_issues(s, d))
 SQL["g06_issue_breakdown"] = f"""WITH i AS ({_ISSUES}), p AS (SELECT *, row_number() OVER (PARTITION BY entity, error_type, field ORDER BY source_row, dataset) AS n FROM (SELECT DISTINCT entity, error_type, field, source_row, dataset FROM i))
 SELECT * FROM (SELECT entity, error_type, field, count(*) AS issues, count(DISTINCT (dataset, source_row)) AS records FROM i GROUP BY ALL)
 JOIN (SELECT entity, error_type, field, string_agg(dataset || ':' || CAST(source_row AS VARCHAR), ',' ORDER BY source_row, dataset) AS examples FROM p WHERE n <= 3 GROUP BY ALL) USING (entity, error_type, field)"""
-Q["g07_issue_page"] = lambda s, d: readiness.issue_page(_issues(s, d), entity="contact", severity="error", limit=50, offset=100)
+
+
+def _store(s: SparkSession, name: str) -> Store:
+    return Store(s, f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}")
+
+
+def _page(found: tuple[DataFrame, int]) -> DataFrame:
+    return found[0].withColumn("total", F.lit(found[1]).cast("long"))
+
+
+def _issue_page(s: SparkSession, d: str) -> DataFrame:
+    store = _store(s, "issues")
+    readiness.store_issues(store, _issues(s, d), 0)
+    return _page(store.page(50, 100, entity="contact", severity="error"))
+
+
+def _failure_page(s: SparkSession, d: str) -> DataFrame:
+    store = _store(s, "failures")
+    readiness.store_failures(store, _from("orders", _FAILED)(s, d), 0)
+    return _page(store.page(200, 400, entity="O"))
+
+
+def _mapping_list(s: SparkSession, d: str) -> DataFrame:
+    store = _store(s, "mappings")
+    readiness.store_mappings(store, _from("part", _MAPPED)(s, d), 0)
+    return _page(store.page(60, 30, status="approved"))
+
+
+Q["g07_issue_page"] = _issue_page
 SQL["g07_issue_page"] = f"SELECT *, count(*) OVER () AS total FROM ({_ISSUES}) WHERE entity = 'contact' AND severity = 'error' ORDER BY entity, dataset, source_row, error_type, field LIMIT 50 OFFSET 100"
+_FAILED = "SELECT o_orderstatus AS entity, CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'target_unavailable' END AS error_type FROM orders WHERE o_orderkey % 4 = 0"
+Q["g13_failure_page"] = _failure_page
+SQL["g13_failure_page"] = f"SELECT *, count(*) OVER () AS total FROM ({_FAILED}) WHERE entity = 'O' ORDER BY entity, id LIMIT 200 OFFSET 400"
+_MAPPED = "SELECT p_brand AS dataset, p_partkey AS position, 'f' || CAST(p_partkey AS STRING) AS source_field, CASE p_partkey % 5 WHEN 0 THEN 'suggested' ELSE 'approved' END AS status FROM part"
+Q["g14_mapping_list"] = _mapping_list
+SQL["g14_mapping_list"] = f"SELECT *, count(*) OVER () AS total FROM ({_MAPPED}) WHERE status = 'approved' ORDER BY dataset, position, source_field LIMIT 60 OFFSET 30"
 _DECIDED = "SELECT CAST(p_partkey AS STRING) AS source_field, CASE p_partkey % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'ignored' ELSE 'approved' END AS status FROM part"
 _OPEN = "SELECT s_suppkey AS question, s_suppkey < 0 AS open FROM supplier"
 _LATEST = f"SELECT false AS partial, 'p1' AS plan, 'c1' AS config, {_N("o_orderkey % 7 = 0")} AS rejected, {_N("o_orderkey < 0")} AS failed FROM orders"
@@ -442,5 +477,15 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
     return store.read("organization", "rehearsal").select("id", F.get_json_object("payload", "$.segment").alias("segment"))
 
 
+def _record_page(s: SparkSession, d: str) -> DataFrame:
+    """A page of what a target holds, by id, of those with one status."""
+    store = _store(s, "records")
+    store.replace(_from("orders", _HELD_RECORDS)(s, d), 0, ["id"], ("status",))
+    return _page(store.page(100, 250, status="F"))
+
+
+_HELD_RECORDS = "SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS organization_id, o_orderstatus AS status FROM orders"
+Q["s05_record_page"] = _record_page
+SQL["s05_record_page"] = f"SELECT *, count(*) OVER () AS total FROM ({_HELD_RECORDS}) WHERE status = 'F' ORDER BY id LIMIT 100 OFFSET 250"
 Q["s03_target_read_back"] = _stored
 SQL["s03_target_read_back"] = "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.texts import numbers_in
+from quayside.plans.stores import Store, Version
 
 # What each kind of issue asks for; anything else is for review.
 ACTIONS = {
@@ -84,20 +85,26 @@ def issue_breakdown(issues: DataFrame, examples: int = 3) -> DataFrame:
     return n.join(few, same).select(*[n[k] for k in key], "issues", "records", "examples")
 
 
-def issue_page(issues: DataFrame, entity: str | None = None, severity: str | None = None, error_type: str | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
-    """A page of the issues asked for, in order, each with their `total`; a page is what a reader asks for, nothing else is cut."""
-    asked = {"entity": entity, "severity": severity, "error_type": error_type}
-    for name, value in asked.items():
-        issues = issues if value is None else issues.where(F.col(name) == value)
-    total = issues.agg(F.count("*").alias("total"))
-    page = issues.orderBy("entity", "dataset", "source_row", "error_type", "field").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))  # one row
+#: Characters that a stored issue keeps of its texts.
+KEPT_TEXT = {"message": 2000, "value": 300, "rule": 200}
+_ISSUE_ORDER = ["entity", "dataset", "source_row", "error_type", "field"]
 
 
-def keep_first(rows: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, bool]:
-    """What a run stores of its issues or failures: the first `limit` in order, and whether there are more."""
-    kept = rows.orderBy(*order).limit(limit + 1)
-    return rows.orderBy(*order).limit(limit), kept.count() > limit
+def store_issues(store: Store, issues: DataFrame, base: int, limit: int | None = None, **note) -> Version:
+    """A version of a run's issues, errors first, then warnings; where a limit cuts them, the version says so."""
+    texts = {c: F.substring(c, 1, n) for c, n in KEPT_TEXT.items() if c in issues.columns}
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return store.replace(issues.withColumns(texts), base, [rank, *_ISSUE_ORDER], ("entity", "severity", "error_type"), limit, **note)
+
+
+def store_failures(store: Store, failures: DataFrame, base: int, limit: int | None = None, **note) -> Version:
+    """A version of what a run could not write (entity, id, error_type and more), by entity and id."""
+    return store.replace(failures, base, ["entity", "id"], ("entity", "error_type"), limit, **note)
+
+
+def store_mappings(store: Store, mappings: DataFrame, base: int, **note) -> Version:
+    """A version of mappings (dataset, position, source_field, status and more), as the exports have their columns."""
+    return store.replace(mappings, base, ["dataset", "position", "source_field"], ("dataset", "status"), **note)
 
 
 def rule_counts(drafts: DataFrame) -> DataFrame:

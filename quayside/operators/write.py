@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.plans.contract import ENTITIES
 from quayside.plans.shared import barrier
+from quayside.plans.stores import Store
 
 LIVE_NAMESPACE = "00000000-0000-0000-0000-000000000000"
 
@@ -213,32 +214,34 @@ def draw_faults(records: DataFrame, seed: int, rate: float, max_attempts: int =
 
 
 class TargetStore:
-    """Records by entity and namespace as partitioned Parquet, appended and never changed. A namespace has one writer at a time."""
+    """Records by entity and namespace, each a table with versions: appended, never changed, one writer's batch at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, entity: str) -> str:
-        return f"{self.root}/{entity}"
+    def table(self, entity: str, namespace: str) -> Store:
+        return Store(self.spark, f"{self.root}/{entity}/{namespace}")
 
     def read(self, entity: str, namespace: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(entity))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], "id string, content_hash string, payload string, namespace string")
-        return self.spark.read.schema("id string, content_hash string, payload string, namespace string").parquet(self._path(entity)).where(F.col("namespace") == namespace)
+        return self.table(entity, namespace).read(schema="id string, content_hash string, payload string").withColumn("namespace", F.lit(namespace))
 
     def write(self, entity: str, namespace: str, drafts: DataFrame) -> DataFrame:
-        """Appends what is new and returns every record's outcome."""
-        rows = drafts.select(F.col("record_id").alias("id"), content_hash().alias("content_hash"), F.to_json("payload").alias("payload"), F.col("source_row").alias("ord"))
+        """Appends what is new and returns every record's outcome. Refused with a Conflict if others have written meanwhile."""
+        table = self.table(entity, namespace)
+        base = table.version().number
+        place = F.col("ord" if "ord" in drafts.columns else "source_row").alias("ord")
+        rows = drafts.select(F.col("record_id").alias("id"), content_hash().alias("content_hash"), F.to_json("payload").alias("payload"), place)
         found = barrier(classify_writes(rows, self.read(entity, namespace)), f"write-{entity}")
-        found.where("outcome = 'created'").select("id", "content_hash", "payload", F.lit(namespace).alias("namespace")).write.mode("append").partitionBy("namespace").parquet(self._path(entity))
+        table.append(found.where("outcome = 'created'").select("id", "content_hash", "payload"), base)
         return found
 
     def purge(self, entity: str, namespace: str) -> int:
         """Removes a rehearsal's namespace; the live one is refused."""
         if namespace == LIVE_NAMESPACE:
             raise ValueError("the live namespace is never purged")
-        n = self.read(entity, namespace).count()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(entity)}/namespace={namespace}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return n
+        table = self.table(entity, namespace)
+        version = table.version()
+        if version.number:
+            table.clear(version.number)
+            table.vacuum()
+        return version.rows
