@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quayside.catalogue.views import VIEWS, view
 from quayside.functions import cells
 from quayside.operators import profile as p
+from quayside.plans.shared import barrier
 
 AS_OF = "2001-06-01"
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,20 +100,19 @@ def values_sql(*sources: str) -> str:
     ])
 
 
-def values(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    row, columns = SOURCES[source]
-    return p.value_table(view(spark, sf_dir, source).select(F.col(row).alias("row_idx"), *[c for c in columns if c != row]))
+def values(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    """The values of all these tables, written once."""
+    frames = {}
+    for s in sources:
+        row, columns = SOURCES[s]
+        frames[s] = view(spark, sf_dir, s).select(F.col(row).alias("row_idx"), *[c for c in columns if c != row])
+    return barrier(p.value_tables(frames), "values")
 
 
 def per_source(fn: Callable[[DataFrame], DataFrame], *sources: str, columns: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = None
-        for s in sources:
-            own = values(spark, sf_dir, s)
-            own = own.where(F.col("col").isin(columns)) if columns else own
-            part = fn(own).withColumn("src", F.lit(s))
-            out = part if out is None else out.unionByName(part)
-        return out
+        own = values(spark, sf_dir, *sources)
+        return fn(own.where(F.col("col").isin(columns)) if columns else own)
 
     return query
 
@@ -148,11 +148,11 @@ _DATED = ["start_dt", "renew_dt"]
 _DATES = f"""d AS (SELECT *, {sql_first("v", cells.DATETIME_FORMATS)} AS t, {sql_first("v", cells.DATETIME_FORMATS, True)} AS tf, {sql_first("v", cells.DATE_FORMATS)} AS dt, {sql_first("v", cells.DATE_FORMATS, True)} AS df FROM said),
 dates AS (SELECT *, CASE WHEN t IS NOT NULL AND (contains(v, ':') OR dt IS NULL) THEN t ELSE dt END AS moment, CASE WHEN t IS NOT NULL AND (contains(v, ':') OR dt IS NULL) THEN tf ELSE df END AS fmt FROM d)"""
 _ISO = "fmt IN ({})"
-add("p10_date_stats", lambda spark, d: p.date_stats(values(spark, d, "messy_subscriptions").where(F.col("col").isin(_DATED)), AS_OF).drop("min_at", "max_at").unionByName(p.date_stats(values(spark, d, "messy_organizations").where("col = 'created_on'"), AS_OF).drop("min_at", "max_at")),
+add("p10_date_stats", lambda spark, d: p.date_stats(values(spark, d, "messy_subscriptions").drop("src").where(F.col("col").isin(_DATED)), AS_OF).drop("min_at", "max_at").unionByName(p.date_stats(values(spark, d, "messy_organizations").drop("src").where("col = 'created_on'"), AS_OF).drop("min_at", "max_at")),
     f"""WITH {values_sql("messy_subscriptions", "messy_organizations")}, {_DATES}
 SELECT col, {n_if("fmt IS NOT NULL")} AS parsed, {n_if("fmt IS NULL")} AS malformed, {big("count(DISTINCT fmt)")} AS n_formats, {n_if(_ISO.format(quoted(cells.ISO_DATE)))} AS iso_dates, {n_if(_ISO.format(quoted(cells.ISO_DATETIME)))} AS iso_datetimes,
 {n_if(f"CAST(moment AS DATE) > DATE '{AS_OF}'")} AS future FROM dates WHERE {only([*_DATED, "created_on"])} GROUP BY col""")
-add("p10b_date_formats", lambda spark, d: p.date_formats(values(spark, d, "messy_organizations").where("col = 'created_on'")).unionByName(p.date_formats(values(spark, d, "messy_activity").where("col = 'occurred_at'"))),
+add("p10b_date_formats", lambda spark, d: p.date_formats(values(spark, d, "messy_organizations").drop("src").where("col = 'created_on'")).unionByName(p.date_formats(values(spark, d, "messy_activity").drop("src").where("col = 'occurred_at'"))),
     f"WITH {values_sql('messy_organizations', 'messy_activity')}, {_DATES} SELECT col, fmt, {big('sum(n)')} AS n FROM dates WHERE {only(['created_on', 'occurred_at'])} AND fmt IS NOT NULL GROUP BY col, fmt")
 add("p11_email_stats", per_source(p.email_stats, "messy_contacts", "messy_organizations"), f"WITH {values_sql('messy_contacts', 'messy_organizations')} SELECT src, col, {n_if("tag <> 'email'")} AS malformed, {n_if("tag = 'email' AND v <> lower(v)")} AS uppercase FROM said GROUP BY src, col")
 _DIG = rf"CASE WHEN {sql_re('v', cells.PHONE)} AND length(regexp_replace(v, '\D', '', 'g')) BETWEEN 7 AND 15 THEN length(regexp_replace(v, '\D', '', 'g')) END"
@@ -198,11 +198,11 @@ SELECT src, col, {big("n_rows - filled")} AS missing, {big("filled - d")} AS dup
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    orders = view(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), F.col("o_custkey").alias("k"))
-    customer = view(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    events = view(spark, d, "events").select(F.col("event_id").alias("row_idx"), F.col("user_id").alias("k"))
-    supplier = view(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    return p.check_reference(orders, customer, "k").withColumn("child", F.lit("orders")).unionByName(p.check_reference(events, supplier, "k").withColumn("child", F.lit("events")))
+    """Of all four tables at once; what refers to what is told by the names of their columns."""
+    named = lambda table, row, key, name: view(spark, d, table).select(F.col(row).alias("row_idx"), F.col(key).alias(name))
+    frames = {"orders": named("orders", "o_orderkey", "o_custkey", "customer"), "customer": named("customer", "c_custkey", "c_custkey", "customer")}
+    frames |= {"events": named("events", "event_id", "user_id", "supplier"), "supplier": named("supplier", "s_suppkey", "s_suppkey", "supplier")}
+    return p.references(frames, {"customer": "customer", "supplier": "supplier"}).drop("column", "references")
 
 
 def _reference_sql(child: str, row: str, key: str, parent: str, parent_key: str) -> str:

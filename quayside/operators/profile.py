@@ -8,34 +8,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import cells
-from quayside.plans.shared import barrier
+from quayside.plans.shared import Stages, barrier
 
 TAGS = ["blank", "placeholder", "integer", "decimal", "numeric_text", "date", "datetime", "email", "email_malformed", "url", "url_no_scheme", "phone", "phone_short", "identifier", "code", "text"]
 TOP_VALUES, FULL_COUNTS, SAMPLES, TOP_SHAPES, VARIANTS, EXAMPLES = 10, 50, 5, 5, 10, 5
 
 
-def value_table(df: DataFrame, row_idx: str = "row_idx") -> DataFrame:
-    """(col, pos, raw, v, tag, n, first, at, fmt): each distinct raw value of each column, its rows and its first row.
+def key(df: DataFrame) -> list[str]:
+    """What a column is known by: its name, and that of its table where the values are of several."""
+    return [c for c in ("src", "col") if c in df.columns]
 
-    at and fmt are the time in it and the format that reads it, found once for the tag and for all facts of dates. One scan and one shuffle on (col, raw), with partial sums before it; a value that fills a column is one row.
-    """
+
+def _cells(df: DataFrame, row_idx: str) -> DataFrame:
     columns = [c for c in df.columns if c != row_idx]
     text = df.select(F.col(row_idx).cast("long").alias("_row"), *[F.col(c).cast("string").alias(c) for c in columns])
-    long = text.unpivot(["_row"], columns, "col", "raw")
     pos = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)]), F.col("col")) if columns else F.lit(0)
-    out = long.groupBy("col", "raw").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    return text.unpivot(["_row"], columns, "col", "raw").withColumn("pos", pos)
+
+
+def _valued(cells_: DataFrame) -> DataFrame:
+    by = key(cells_)
+    out = cells_.groupBy(*by, "pos", "raw").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
     out = with_dates(out.withColumn("v", cells.strip(F.col("raw"))))
-    return out.select("col", pos.alias("pos"), "raw", "v", cells.tag(F.col("raw"), F.col("fmt")).alias("tag"), "n", "first", "at", "fmt")
+    return out.select(*by, "pos", "raw", "v", cells.tag(F.col("raw"), F.col("fmt")).alias("tag"), "n", "first", "at", "fmt")
+
+
+def value_table(df: DataFrame, row_idx: str = "row_idx") -> DataFrame:
+    """(col, pos, raw, v, tag, n, first, at, fmt): each distinct raw value of each column, its rows and its first row.
+
+    at and fmt are the time in it and the format that reads it, found once for the tag and for all facts of dates. One scan and one shuffle on (col, raw), with partial sums before it; a value that fills a column is one row.
+    """
+    return _valued(_cells(df, row_idx))
+
+
+def value_tables(frames: dict[str, DataFrame], row_idx: str = "row_idx") -> DataFrame:
+    """The value tables of several tables as one, by src, their names: one shuffle and one plan, however many they are."""
+    out = None
+    for name, df in frames.items():
+        own = _cells(df, row_idx).withColumn("src", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return _valued(out)
 
 
 def present(values: DataFrame) -> DataFrame:
     """Values that say something, by trimmed text: (col, v, tag, n, first, at, fmt)."""
     same = [F.any_value(c).alias(c) for c in ("tag", "at", "fmt")]
-    return values.where("tag not in ('blank', 'placeholder')").groupBy("col", "v").agg(*same, F.sum("n").alias("n"), F.min("first").alias("first"))
+    return values.where("tag not in ('blank', 'placeholder')").groupBy(*key(values), "v").agg(*same, F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def tag_counts(values: DataFrame) -> DataFrame:
-    return values.groupBy("col", "tag").agg(F.sum("n").alias("n"))
+    return values.groupBy(*key(values), "tag").agg(F.sum("n").alias("n"))
 
 
 def _n(condition: Column) -> Column:
@@ -46,7 +68,7 @@ def null_facts(values: DataFrame) -> DataFrame:
     """Per column: rows, non-null, blank and placeholder cells, stray white space, longest trimmed text."""
     said = ~F.col("tag").isin("blank", "placeholder")
     stray = said & ((F.col("raw") != F.col("v")) | F.col("raw").contains("  "))
-    return values.groupBy("col").agg(
+    return values.groupBy(*key(values)).agg(
         F.any_value("pos").alias("pos"), F.sum("n").alias("n_rows"), _n(said).alias("non_null"), _n(F.col("tag") == "blank").alias("blank"), _n(F.col("tag") == "placeholder").alias("placeholder"),
         _n(stray).alias("whitespace"), F.coalesce(F.max(F.when(said, F.length("v"))), F.lit(0)).cast("long").alias("max_length"),
     )
@@ -61,7 +83,7 @@ def value_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
     short = c("digits").isNull() | (F.length("digits") < 10)
     commonest = lambda truth: F.coalesce(F.max(F.when(truth, n)), F.lit(0))
     ever = lambda condition: F.max(F.coalesce(condition, F.lit(False)).cast("int"))
-    return own.groupBy("col").agg(
+    return own.groupBy(*key(own)).agg(
         F.sum("n").alias("said"), F.count("*").alias("distinct_count"), cells.percent(F.count("*"), F.sum("n")).alias("unique_pct"),
         F.min("number").alias("min"), F.max("number").alias("max"), F.bround(F.sum(c("number") * n) / F.sum(F.when(numbers, n)), 2).alias("mean"), _n(numbers).alias("numbers"), _n(~numbers).alias("bad_number"),
         _n(is_("numeric_text")).alias("numeric_text"), _n(is_("decimal")).alias("decimals"), _n(c("number") != F.floor("number")).alias("fractional"),
@@ -76,43 +98,43 @@ def value_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
 
 
 def distinct_facts(values: DataFrame) -> DataFrame:
-    return value_facts(values).select("col", "distinct_count", "unique_pct")
+    return value_facts(values).select(*key(values), "distinct_count", "unique_pct")
 
 
 def _ranked(df: DataFrame, keep: int, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(*order))).where(F.col("rank") <= keep)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key(df)).orderBy(*order))).where(F.col("rank") <= keep)
 
 
 def top_values(values: DataFrame, keep: int = TOP_VALUES) -> DataFrame:
     """The most common values; equal counts by first appearance."""
-    return _ranked(present(values), keep, F.desc("n"), F.asc("first")).select("col", "rank", "v", "n")
+    return _ranked(present(values), keep, F.desc("n"), F.asc("first")).select(*key(values), "rank", "v", "n")
 
 
 def value_counts(values: DataFrame, up_to: int = FULL_COUNTS) -> DataFrame:
     """All values of the columns with no more than `up_to` of them."""
     own = present(values)
-    small = own.groupBy("col").count().where(F.col("count") <= up_to).select("col")
-    return own.join(small, "col", "left_semi").select("col", "v", "n")
+    small = own.groupBy(*key(own)).count().where(F.col("count") <= up_to).drop("count")
+    return own.join(small, key(own), "left_semi").select(*key(own), "v", "n")
 
 
 def first_distinct(values: DataFrame, keep: int = SAMPLES) -> DataFrame:
-    return _ranked(present(values), keep, F.asc("first")).select("col", "rank", cells.truncate(F.col("v")).alias("v"))
+    return _ranked(present(values), keep, F.asc("first")).select(*key(values), "rank", cells.truncate(F.col("v")).alias("v"))
 
 
 def shapes(values: DataFrame, keep: int = TOP_SHAPES) -> DataFrame:
     """The most common shapes with their first example."""
-    own = present(values).groupBy("col", cells.shape(F.col("v")).alias("shape")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by("v", "first").alias("example"))
-    return _ranked(own, keep, F.desc("n"), F.asc("first")).select("col", "rank", "shape", "n", cells.truncate(F.col("example")).alias("example"))
+    own = present(values).groupBy(*key(values), cells.shape(F.col("v")).alias("shape")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by("v", "first").alias("example"))
+    return _ranked(own, keep, F.desc("n"), F.asc("first")).select(*key(values), "rank", "shape", "n", cells.truncate(F.col("example")).alias("example"))
 
 
 def case_variants(values: DataFrame) -> DataFrame:
     """Groups of values that differ only in case."""
-    spellings = present(values).groupBy("col", F.lower("v").alias("folded")).agg(F.count("*").alias("n_spellings"), F.sort_array(F.collect_set("v")).alias("spellings"))
-    return spellings.where("n_spellings > 1").select("col", "folded", "n_spellings", F.array_join("spellings", " / ").alias("spellings"))
+    spellings = present(values).groupBy(*key(values), F.lower("v").alias("folded")).agg(F.count("*").alias("n_spellings"), F.sort_array(F.collect_set("v")).alias("spellings"))
+    return spellings.where("n_spellings > 1").select(*key(values), "folded", "n_spellings", F.array_join("spellings", " / ").alias("spellings"))
 
 
 def number_stats(values: DataFrame) -> DataFrame:
-    return value_facts(values).select("col", "min", "max", "mean", F.col("numbers").alias("parsed"), F.col("bad_number").alias("malformed"), "numeric_text", "decimals", "fractional")
+    return value_facts(values).select(*key(values), "min", "max", "mean", F.col("numbers").alias("parsed"), F.col("bad_number").alias("malformed"), "numeric_text", "decimals", "fractional")
 
 
 def with_dates(df: DataFrame) -> DataFrame:
@@ -126,34 +148,34 @@ def with_dates(df: DataFrame) -> DataFrame:
 
 
 def date_formats(values: DataFrame) -> DataFrame:
-    return present(values).where("fmt is not null").groupBy("col", "fmt").agg(F.sum("n").alias("n"))
+    return present(values).where("fmt is not null").groupBy(*key(values), "fmt").agg(F.sum("n").alias("n"))
 
 
 def date_stats(values: DataFrame, as_of: str) -> DataFrame:
-    return value_facts(values, as_of).select("col", F.col("dates").alias("parsed"), F.col("bad_date").alias("malformed"), "n_formats", "iso_dates", "iso_datetimes", "future", "min_at", "max_at")
+    return value_facts(values, as_of).select(*key(values), F.col("dates").alias("parsed"), F.col("bad_date").alias("malformed"), "n_formats", "iso_dates", "iso_datetimes", "future", "min_at", "max_at")
 
 
 def email_stats(values: DataFrame) -> DataFrame:
-    return value_facts(values).select("col", F.col("bad_email").alias("malformed"), "uppercase")
+    return value_facts(values).select(*key(values), F.col("bad_email").alias("malformed"), "uppercase")
 
 
 def url_stats(values: DataFrame) -> DataFrame:
-    return value_facts(values).select("col", "no_scheme", F.col("bad_url").alias("malformed"))
+    return value_facts(values).select(*key(values), "no_scheme", F.col("bad_url").alias("malformed"))
 
 
 def phone_stats(values: DataFrame) -> DataFrame:
-    return value_facts(values).select("col", F.col("bad_phone").alias("malformed"), "e164")
+    return value_facts(values).select(*key(values), F.col("bad_phone").alias("malformed"), "e164")
 
 
 def boolean_stats(values: DataFrame) -> DataFrame:
     """Spellings, and cells that use neither the commonest spelling of true nor that of false."""
-    return value_facts(values).select("col", F.col("distinct_count").alias("spellings"), "variants", "not_boolean")
+    return value_facts(values).select(*key(values), F.col("distinct_count").alias("spellings"), "variants", "not_boolean")
 
 
 def malformed_examples(values: DataFrame, keep: int = EXAMPLES) -> DataFrame:
     """The first values, by row, that a column's inferred type cannot read."""
     own = present(values).withColumns({"number": cells.parse_number(F.col("v")), "digits": cells.phone_digits(F.col("v"))})
-    own = own.join(column_types(values).select("col", "inferred_type"), "col")
+    own = own.join(column_types(values).drop("pos"), key(values))
     kind, tag = F.col("inferred_type"), F.col("tag")
     bad = (
         F.when(kind.isin("integer", "decimal"), ~tag.isin("integer", "decimal", "numeric_text") | F.col("number").isNull())
@@ -163,7 +185,7 @@ def malformed_examples(values: DataFrame, keep: int = EXAMPLES) -> DataFrame:
         .when(kind == "phone", F.col("digits").isNull() | (F.length("digits") < 10))
         .when(kind == "identifier", ~tag.isin("identifier", "integer", "code"))
     )
-    return _ranked(own.where(bad), keep, F.asc("first")).select("col", "rank", cells.truncate(F.col("v")).alias("v"))
+    return _ranked(own.where(bad), keep, F.asc("first")).select(*key(values), "rank", cells.truncate(F.col("v")).alias("v"))
 
 
 def json_types(records: DataFrame) -> DataFrame:
@@ -190,8 +212,8 @@ def reference_issues(references: DataFrame) -> DataFrame:
 
 
 def normalized_duplicates(values: DataFrame) -> DataFrame:
-    own = present(values).groupBy("col", cells.norm_key(F.col("v")).alias("k")).agg(F.sum("n").alias("n"))
-    return own.groupBy("col").agg((F.sum("n") - F.count("*")).alias("duplicates"))
+    own = present(values).groupBy(*key(values), cells.norm_key(F.col("v")).alias("k")).agg(F.sum("n").alias("n"))
+    return own.groupBy(*key(own)).agg((F.sum("n") - F.count("*")).alias("duplicates"))
 
 
 def exact_duplicates(df: DataFrame, *ignored: str) -> DataFrame:
@@ -224,60 +246,79 @@ def inferred_type() -> Column:
 
 def column_facts(values: DataFrame, as_of: str = "9999-12-31") -> DataFrame:
     """One row per column: null facts, value facts and the inferred type, from two aggregates over one table."""
-    f = null_facts(values).join(value_facts(values, as_of), "col", "left")
+    f = null_facts(values).join(value_facts(values, as_of), key(values), "left")
     return f.withColumn("inferred_type", inferred_type()).fillna({"distinct_count": 0, "unique_pct": 0.0})
 
 
 def column_types(values: DataFrame) -> DataFrame:
     """(col, pos, inferred_type); one row for each column."""
-    return column_facts(values).select("col", "pos", "inferred_type")
+    return column_facts(values).select(*key(values), "pos", "inferred_type")
 
 
 def with_key(facts: DataFrame) -> DataFrame:
     """column_facts with missing (null-like) and duplicate values, and whether the column is the key of the table."""
     fits = F.col("col").rlike(cells.KEY_HINT) & F.col("inferred_type").isin("identifier", "integer", "code", "text") & (F.col("unique_pct") >= 90) & (cells.percent(F.col("n_rows") - F.col("non_null"), F.col("n_rows")) <= 20)
     # One row per column of the table meets here.
-    best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(fits), F.desc("unique_pct"), "pos"))
+    best = F.row_number().over(Window.partitionBy(*([c for c in key(facts) if c == "src"] or [F.lit(1)])).orderBy(F.desc(fits), F.desc("unique_pct"), "pos"))
     return facts.withColumns({"is_key": fits & (best == 1), "missing": F.col("n_rows") - F.col("non_null"), "key_duplicates": F.col("non_null") - F.col("distinct_count")})
 
 
 def key_facts(values: DataFrame) -> DataFrame:
-    return with_key(column_facts(values)).select("col", "missing", F.col("key_duplicates").alias("duplicates"), "is_key")
+    return with_key(column_facts(values)).select(*key(values), "missing", F.col("key_duplicates").alias("duplicates"), "is_key")
 
 
-def key_column(values: DataFrame) -> str | None:
-    row = key_facts(values).where("is_key").first()
-    return row["col"] if row else None
+def references(frames: dict[str, DataFrame], keys: dict[str, str], row_idx: str = "row_idx") -> DataFrame:
+    """Each table's key looked up in every other table that has a column of that name, unless that is its own key.
+
+    (child, column, references, checked, resolved, orphans, orphan_pct, examples): cells by row, and the first orphans by
+    row. One inverted index holds, for each value, the columns that have it; all pairs are counted from that in one
+    aggregate, however many there are. keys: the key column by table.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    pairs = [(child, parent, key) for child, df in frames.items() for parent, key in keys.items() if parent != child and key in df.columns and keys.get(child) != key]
+    asked = spark.createDataFrame(pairs, "child string, parent string, column string")
+    held = None
+    for name, df in frames.items():
+        columns = sorted({c for c in df.columns if c in keys.values() and c != row_idx})
+        if not columns or name not in {x for child, parent, _ in pairs for x in (child, parent)}:
+            continue
+        row = F.col(row_idx).cast("long") if row_idx in df.columns else F.lit(0).cast("long")
+        cells_ = df.select(row.alias("_row"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["_row"], columns, "column", "raw")
+        own = cells_.where(~cells.null_like(F.col("raw"))).groupBy("column", cells.strip(F.col("raw")).alias("v")).agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+        own = own.select(F.lit(name).alias("table"), "column", "v", "n", "first")
+        held = own if held is None else held.unionByName(own)
+    if held is None:
+        held = spark.createDataFrame([], "table string, column string, v string, n long, first long")
+    stages = Stages(spark, "references")
+    index = held.groupBy("v").agg(F.collect_list(F.struct("table", "column", "n", "first")).alias("held"))  # as many as there are columns
+    each = index.select("v", "held", F.explode("held").alias("h")).join(F.broadcast(asked), (F.col("h.table") == F.col("child")) & (F.col("h.column") == F.col("column")))
+    there = F.exists("held", lambda x: (x["table"] == F.col("parent")) & (x["column"] == F.col("column")))
+    pair = ["child", "column", "parent"]
+    each = stages.write(each.select(*pair, "v", "h.n", "h.first", there.alias("there")), "looked-up")
+    counts = each.groupBy(*pair).agg(F.sum("n").alias("checked"), F.sum(F.when(F.col("there"), F.col("n")).otherwise(0)).alias("resolved"))
+    nth = F.row_number().over(Window.partitionBy(*pair).orderBy("first", "v"))
+    firsts = each.where("not there").withColumn("nth", nth).where(F.col("nth") <= EXAMPLES)
+    firsts = firsts.groupBy(*pair).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]), ", ").alias("examples"))
+    out = asked.join(counts, pair, "left").join(firsts, pair, "left").fillna(0, ["checked", "resolved"]).fillna("", ["examples"])
+    orphans = F.col("checked") - F.col("resolved")
+    return out.select("child", "column", F.concat_ws(".", "parent", "column").alias("references"), "checked", "resolved", orphans.alias("orphans"), cells.percent(orphans, F.col("checked")).alias("orphan_pct"), "examples")
 
 
 def check_reference(child: DataFrame, parent: DataFrame, key: str, row_idx: str = "row_idx") -> DataFrame:
-    """One row: checked, resolved and orphaned cells of child's `key`, by row, and the first orphans by row."""
-    own = child.select(F.col(row_idx).cast("long").alias("row"), cells.strip(F.col(key).cast("string")).alias("v")).where(~cells.null_like(F.col("v")))
-    own = own.groupBy("v").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    held = parent.select(cells.strip(F.col(key).cast("string")).alias("v")).where(~cells.null_like(F.col("v"))).distinct().withColumn("held", F.lit(True))
-    both = own.join(held, "v", "left")
-    lost = F.col("held").isNull()
-    firsts = both.where(lost).orderBy("first").limit(EXAMPLES).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "v"))), lambda x: x["v"]), ", ").alias("examples"))
-    counts = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(~lost, F.col("n"))), F.lit(0)).alias("resolved"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("orphans"))
-    return counts.crossJoin(firsts).withColumn("orphan_pct", cells.percent(F.col("orphans"), F.col("checked")))
-
-
-def infer_references(frames: dict[str, DataFrame], row_idx: str = "row_idx") -> DataFrame | None:
-    """Every table's key looked up in the other tables that have a column of that name."""
-    keys = {name: key_column(value_table(df, row_idx)) for name, df in frames.items()}
-    out = None
-    for child, df in frames.items():
-        for parent, key in keys.items():
-            if key and parent != child and key in df.columns and keys[child] != key:
-                row = check_reference(df, frames[parent], key, row_idx).select(F.lit(child).alias("child"), F.lit(f"{parent}.{key}").alias("references"), "*")
-                out = row if out is None else out.unionByName(row)
-    return out
+    """One row: the references of child's `key` to that of parent."""
+    return references({"child": child, "parent": parent}, {"parent": key}, row_idx).drop("child", "column", "references")
+
+
+def infer_references(frames: dict[str, DataFrame], row_idx: str = "row_idx") -> DataFrame:
+    """`references` with the key that each table's profile finds; one job for the keys of all tables."""
+    found = key_facts(barrier(value_tables(frames, row_idx), "values")).where("is_key").select("src", "col")
+    return references(frames, {r["src"]: r["col"] for r in found.collect()}, row_idx)
 
 
 def profile_table(values: DataFrame) -> DataFrame:
     """One row per column: type, null and distinct facts."""
     null_count = F.col("blank") + F.col("placeholder")
-    return column_facts(values).select("col", F.col("pos").cast("long").alias("pos"), "inferred_type", "non_null", null_count.alias("null_count"), cells.percent(null_count, F.col("n_rows")).alias("null_pct"), "distinct_count", "unique_pct", "whitespace", "max_length")
+    return column_facts(values).select(*key(values), F.col("pos").cast("long").alias("pos"), "inferred_type", "non_null", null_count.alias("null_count"), cells.percent(null_count, F.col("n_rows")).alias("null_pct"), "distinct_count", "unique_pct", "whitespace", "max_length")
 
 
 def quality_issues(df: DataFrame, as_of: str, row_idx: str = "row_idx") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quayside.functions import cells, texts
 from quayside.functions.converters import Context, apply_chain
 from quayside.operators import compare, evaluation, readiness, reconcile, write
-from quayside.operators.profile import check_reference, quality_issues
+from quayside.operators.profile import check_reference, infer_references, quality_issues, references
 from quayside.plans.config import ValueMap, config_from
 from quayside.plans.contract import catalog
 from quayside.plans.drafts import UndecidedFields, build_plan
@@ -157,6 +157,29 @@ def test_paged_feed():
     assert paged.retry_after("Mon, 01 Jan 2024 00:00:10 GMT", now) == 10.0 and paged.retry_after("Sun, 31 Dec 2023 00:00:00 GMT", now) == 0.0 and paged.retry_after("soon") is None
 
 
+def test_references_between_all_tables(spark):
+    """Every pair from one index: a key in two parents, a table with its own key of that name, blanks, ties and no values."""
+    frames = {
+        "orgs": spark.createDataFrame([(i, f"A{i}") for i in range(40)], "row_idx long, acct string"),
+        "more": spark.createDataFrame([(i, f"A{i + 30}") for i in range(40)], "row_idx long, acct string"),
+        "contacts": spark.createDataFrame([(0, "c0", " A1 "), (1, "c1", "Z9"), (2, "c2", None), (3, "c3", "n/a"), (4, "c4", "Z9"), (5, "c5", "Y1"), (6, "c6", "A35"), (7, "c7", "A60")], "row_idx long, contact string, acct string"),
+        "notes": spark.createDataFrame([(0, None, "c1"), (1, "", "c9")], "row_idx long, acct string, contact string"),
+    }
+    keys = {"orgs": "acct", "more": "acct", "contacts": "contact"}
+    got = {(r.child, r.references): (r.checked, r.resolved, r.orphans, r.orphan_pct, r.examples) for r in references(frames, keys).collect()}
+    assert got == {
+        ("contacts", "orgs.acct"): (6, 2, 4, 66.7, "Z9, Y1, A60"),
+        ("contacts", "more.acct"): (6, 2, 4, 66.7, "A1, Z9, Y1"),
+        ("notes", "orgs.acct"): (0, 0, 0, 0.0, ""),
+        ("notes", "more.acct"): (0, 0, 0, 0.0, ""),
+        ("notes", "contacts.contact"): (2, 1, 1, 50.0, "c9"),
+    }
+    rows = {n: spark.createDataFrame([(i, f"{p}-{1000 + i}", f"A-{2000 + i % 9}") for i in range(30)], f"row_idx long, {n}_id string, acct_id string") for n, p in (("ticket", "T"), ("call", "C"))}
+    rows["accounts"] = spark.createDataFrame([(i, f"A-{2000 + i}", f"name {i}") for i in range(8)], "row_idx long, acct_id string, name string")
+    found = {(r.child, r.references): (r.checked, r.orphans, r.examples) for r in infer_references(rows).collect()}
+    assert found == {("ticket", "accounts.acct_id"): (30, 3, "A-2008"), ("call", "accounts.acct_id"): (30, 3, "A-2008")}
+
+
 def test_texts_and_opaque_names(spark):
     df = spark.createDataFrame([(1234567, 1, 8, "2026-10-02T07:38:31+00:00", [("a", 1), ("b", 2000), ("c", 3), ("d", 4), ("e", 5)], "1,200 of 7. and 3.5")], "n long, part long, whole long, at string, v array<struct<v:string,n:long>>, t string")
     r = df.select(texts.thousands(F.col("n")), texts.share(F.col("part"), F.col("whole")), texts.share(F.col("part"), F.lit(0)), texts.moment(F.col("at")), texts.counted_values(F.col("v")), texts.numbers_in(F.col("t"))).first()
