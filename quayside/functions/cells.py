@@ -98,13 +98,14 @@ def parse_as(v: Column, fmt: str) -> Column:
 
 
 def first_format(v: Column, formats: list[str]) -> tuple[Column, Column]:
-    """(time, format) of the first format that reads v. One pattern for all of them keeps other texts from being tried."""
+    """(time, format) of the first format that reads v. One pattern for all of them keeps other texts from being tried.
+
+    What each format reads is one array that both results look into, so that no text is parsed twice.
+    """
     likely = v.rlike("|".join(format_pattern(f) for f in formats))
-    each = [parse_as(v, f) for f in formats]
-    label = F.lit(None).cast("string")
-    for f, ts in reversed(list(zip(formats, each, strict=True))):
-        label = F.when(ts.isNotNull(), f).otherwise(label)
-    return F.when(likely, F.coalesce(*each)), F.when(likely, label)
+    read = F.when(likely, F.array(*[parse_as(v, f) for f in formats]))
+    each = [F.get(read, F.lit(k)) for k in range(len(formats))]
+    return F.coalesce(*each), F.coalesce(*[F.when(ts.isNotNull(), F.lit(f)) for f, ts in zip(formats, each, strict=True)])
 
 
 def zone_offset_minutes(v: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quayside.functions.converters import ADDRESS
 from quayside.plans.contract import ENTITIES, entity_fields, id_field
 from quayside.plans.drafts import has_errors, issue, live, with_issue
-from quayside.plans.shared import barrier
+from quayside.plans.shared import Stages
 
 
 def _field_issue(name: str, spec) -> Column:
@@ -162,12 +162,17 @@ def check_tier(subscriptions: DataFrame, organizations: DataFrame, column: str =
 
 
 def validate(drafts: dict[str, DataFrame], as_of: dict[str, str] | str) -> dict[str, DataFrame]:
-    """All checks in order. as_of may differ by entity."""
+    """All checks in order. as_of may differ by entity. Stages that no result reads are dropped."""
+    if not drafts:
+        return {}
+    stages = Stages(next(iter(drafts.values())).sparkSession, "validate")
     days = {e: as_of if isinstance(as_of, str) else as_of.get(e) for e in ENTITIES}
-    out = {e: barrier(check_unique_ids(barrier(check_contract(d, e), f"contract-{e}"), e), f"unique-{e}") for e, d in drafts.items()}
+    out = {e: check_unique_ids(stages.write(check_contract(d, e), f"contract-{e}"), e) for e, d in drafts.items()}
     if "organization" in out:
-        state = barrier(organization_state(out["organization"]), "organization-state")
-        out = {e: d if e == "organization" else barrier(check_parents(d, state), f"parents-{e}") for e, d in out.items()}
+        out["organization"] = stages.write(out["organization"], "unique-organization")
+        state = stages.write(organization_state(out["organization"]), "organization-state")
+        out = {e: d if e == "organization" else stages.write(check_parents(d, state), f"parents-{e}") for e, d in out.items()}
+        stages.drop(*[f"contract-{e}" for e in out])
         if "contact" in out:
             out["contact"] = check_contacts(out["contact"])
         if "subscription" in out:

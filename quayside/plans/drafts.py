@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quayside.functions.converters import names_of, stage_chains
 from quayside.plans.config import Config
 from quayside.plans.contract import CONTRACT, ENTITIES, entity_fields, id_field
+from quayside.plans.shared import spread
 
 ISSUE = "struct<error_type:string,severity:string,field:string,value:string,message:string,rule:string>"
 
@@ -84,7 +85,7 @@ def compile_drafts(df: DataFrame, plan: DatasetPlan, entity: str, config: Config
     """
     own, context = plan.split(entity)
     rules = [*own, *context]
-    staged = stage_chains(df, {f"_r{i}": (r.source, config.chain(r.target), config.context(r.target)) for i, r in enumerate(rules)})
+    staged = stage_chains(spread(df), {f"_r{i}": (r.source, config.chain(r.target), config.context(r.target)) for i, r in enumerate(rules)})
     at = {r: F.col(f"_r{i}") for i, r in enumerate(rules)}
 
     def of(target: str, among: list[FieldRule]) -> Column:

@@ -48,3 +48,15 @@ class Stages:
 def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Hints a broadcast where the rows, counted, stay under the limit; else Spark shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is far dearer than reading: rows dealt to all cores where the input is too small to be read by all.
+
+    By the optimizer's estimate; a larger input has a partition for every core by itself and is not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    whole = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    piece = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if whole < cores * piece else df
