@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quayside.catalogue import records as rec
 from quayside.catalogue.converting import SQL as CONVERTED
 from quayside.catalogue.views import view
-from quayside.operators import compare, evaluation, readiness, reconcile, write
+from quayside.operators import compare, evaluation, readiness, reconcile, review, write
 from quayside.plans.contract import CONTRACT, catalog
 from quayside.plans.shared import shared_folder
 from quayside.plans.stores import Store
@@ -287,6 +287,43 @@ SQL["m05_check_proposal"] = f"""SELECT 'missing_field' AS problem, source_field
 UNION ALL SELECT DISTINCT 'unknown_field', source_field FROM {_P} WHERE source_field NOT IN (SELECT source_field FROM {_G})
 UNION ALL SELECT 'duplicate_field', source_field FROM {_P} GROUP BY source_field HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'unknown_target', target FROM {_P} WHERE target = 'contact.nowhere'"""
+_BEFORE = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, 't' || CAST(p_size AS STRING) AS target, CASE p_partkey % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'ignored' WHEN 2 THEN 'needs_clarification' ELSE 'suggested' END AS status,
+'names' AS origin, 0.5D AS confidence, CASE WHEN p_partkey % 5 < 2 THEN 'ann' END AS decided_by FROM part WHERE p_partkey % 3 > 0"""
+_OFFERED = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 7 > 0 THEN 'n' || CAST(p_size AS STRING) END AS target, 'model' AS origin, (p_partkey % 10) / 10.0D AS confidence, p_partkey % 8 = 0 AS asks,
+CASE WHEN p_partkey % 16 = 0 THEN 'which one' END AS question FROM part WHERE p_partkey % 4 > 0 OR p_partkey % 16 < 8"""
+_PROFILED = "SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field FROM part WHERE p_partkey % 11 > 0"
+_QUESTIONS = "SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 2 = 0 THEN 'open' ELSE 'answered' END AS status, 'old' AS question FROM part WHERE p_partkey % 5 = 2"
+
+
+def _upserted(s: SparkSession, d: str, force: bool) -> DataFrame:
+    """Mappings and questions as one table of rows."""
+    frames = [_from("part", sql)(s, d) for sql in (_BEFORE, _OFFERED, _PROFILED, _QUESTIONS)]
+    mappings, questions = review.upsert(*frames, force=force)
+    rows = mappings.select(F.lit("mapping").alias("what"), "dataset", "source_field", "target", "status", "origin", "confidence", "decided_by", "written", "kept")
+    asked = questions.select(F.lit("question").alias("what"), "dataset", "source_field", F.col("question").alias("target"), "status")
+    return rows.unionByName(asked, allowMissingColumns=True)
+
+
+def _upsert_sql(force: bool) -> str:
+    b, o, q = (x.replace("0.5D", "CAST(0.5 AS DOUBLE)").replace("10.0D", "CAST(10 AS DOUBLE)") for x in (_BEFORE, _OFFERED, _QUESTIONS))
+    settled = f"coalesce(b.status IN ('approved', 'rejected', 'ignored') OR (b.status = 'needs_clarification' AND EXISTS (SELECT 1 FROM q WHERE q.dataset = b.dataset AND q.source_field = b.source_field AND q.status = 'open')), false) AND NOT {str(force).lower()}"
+    again = f"{str(force).lower()} AND q.status = 'open' AND EXISTS (SELECT 1 FROM j WHERE j.written AND j.had AND j.dataset = q.dataset AND j.source_field = q.source_field)"
+    return f"""WITH b AS ({b}), o AS (SELECT * FROM ({o}) WHERE (dataset, source_field) IN ({_PROFILED})), q AS ({q}),
+j AS (SELECT coalesce(b.dataset, o.dataset) AS dataset, coalesce(b.source_field, o.source_field) AS source_field, b.dataset IS NOT NULL AS had, o.dataset IS NOT NULL AND NOT ({settled}) AS written, o.dataset IS NOT NULL AND {settled} AS kept,
+  b.target AS bt, b.status AS bs, b.origin AS bo, b.confidence AS bc, b.decided_by AS bd, o.target AS nt, o.origin AS no, o.confidence AS nc, o.asks, o.question FROM b FULL JOIN o ON o.dataset = b.dataset AND o.source_field = b.source_field)
+SELECT 'mapping' AS what, dataset, source_field, CASE WHEN written THEN nt ELSE bt END AS target, CASE WHEN NOT written THEN bs WHEN asks THEN 'needs_clarification' ELSE 'suggested' END AS status,
+  CASE WHEN written THEN no ELSE bo END AS origin, CASE WHEN written THEN nc ELSE bc END AS confidence, CASE WHEN NOT written THEN bd END AS decided_by, written, kept FROM j
+UNION ALL SELECT 'question', dataset, source_field, question, CASE WHEN {again} THEN 'withdrawn' ELSE status END, NULL, NULL, NULL, NULL, NULL FROM q
+UNION ALL SELECT 'question', dataset, source_field, coalesce(question, 'What is ' || source_field || '?'), 'open', NULL, NULL, NULL, NULL, NULL FROM j WHERE written AND asks"""
+
+
+for _force in (False, True):
+    Q[f"m08_upsert{'_by_force' if _force else ''}"] = lambda s, d, force=_force: _upserted(s, d, force)
+    SQL[f"m08_upsert{'_by_force' if _force else ''}"] = _upsert_sql(_force)
+_SURE = "SELECT o.dataset, o.source_field, o.target, CASE WHEN CAST(o.source_field AS INT) % 6 = 0 THEN 'approved' ELSE 'suggested' END AS status, o.confidence, o.asks, CAST(NULL AS STRING) AS decided_by FROM (" + _OFFERED + ") o"
+Q["m09_bulk_approve"] = lambda s, d: review.bulk_approve(_from("part", _SURE)(s, d), "ann", 0.5, floor=0.7)
+SQL["m09_bulk_approve"] = f"""SELECT dataset, source_field, target, confidence, asks, CASE WHEN bulk = 'approved' THEN 'approved' ELSE status END AS status, CASE WHEN bulk = 'approved' THEN 'ann' END AS decided_by, bulk
+FROM (SELECT *, CASE WHEN status = 'suggested' AND target IS NOT NULL THEN CASE WHEN confidence >= 0.7::DOUBLE AND NOT asks THEN 'approved' ELSE 'skipped' END END AS bulk FROM ({_SURE.replace("10.0D", "CAST(10 AS DOUBLE)")}))"""
 Q["m06_eval_score"] = lambda s, d: compare.score_mappings(_frame(s, _GOLDEN, "source_field, expected"), _frame(s, _PROPOSED, "source_field, target"))
 SQL["m06_eval_score"] = f"""SELECT count(*) AS fields, {_N("target = expected")} AS correct, {_N("target IS NULL")} AS unresolved, {_N("target <> expected")} AS wrong, round_even({_N("target = expected")} / CAST(count(*) AS DOUBLE), 4) AS accuracy
 FROM {_G} AS g LEFT JOIN {_P} AS p ON p.source_field = g.source_field"""

@@ -33,3 +33,8 @@ def numbers_in(text: Column) -> Column:
     """The numbers of a text, without separators and final points, each once."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", ""))
     return F.array_distinct(found)
+
+
+def canonical(text: Column) -> Column:
+    """JSON text with the names of every object in order and no blanks; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(text))

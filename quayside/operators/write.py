@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quayside.functions.texts import canonical
 from quayside.plans.contract import ENTITIES
 from quayside.plans.shared import barrier
 from quayside.plans.stores import Store
@@ -13,8 +14,8 @@ LIVE_NAMESPACE = "00000000-0000-0000-0000-000000000000"
 
 
 def content_hash(payload: str = "payload") -> Column:
-    """sha256 of the payload as JSON, nulls included; only equality matters."""
-    return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
+    """sha256 of the payload as JSON, nulls included, its names in order at every depth; only equality matters."""
+    return F.sha2(canonical(F.to_json(payload, {"ignoreNullFields": "false"})), 256)
 
 
 def classify_writes(records: DataFrame, existing: DataFrame) -> DataFrame:

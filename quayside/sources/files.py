@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.plans.shared import barrier
@@ -59,7 +59,17 @@ def _columns(records: DataFrame) -> DataFrame:
     broken = F.when(F.col("keys").isNull(), F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 60))).cast("array<string>"))
     keys = keys.select("record", F.posexplode(F.coalesce("keys", broken)).alias("at", "key")).groupBy("key").agg(F.min(F.struct("record", "at")).alias("first"))
     names = [r["key"] for r in keys.orderBy("first").collect()]  # as many as there are columns
-    return records.select(F.col("record").alias("row_idx"), *[F.get_json_object("value", f"$['{k}']").alias(k) for k in names])
+    return records.select(F.col("record").alias("row_idx"), *[_cell(k).alias(k) for k in names])
+
+
+def _cell(name: str) -> Column:
+    """A value as text; lists and objects in one form, whatever the order of their names."""
+    path = f"$['{name}']"
+    text = F.get_json_object("value", path)
+    nested = F.try_variant_get(F.try_parse_json(F.col("value")), F.lit(path), "variant")
+    # A text may look like a list or an object; the type tells.
+    is_nested = F.schema_of_variant(nested).rlike("^(ARRAY|OBJECT)")
+    return F.when(text.rlike(r"^\s*[\[{]"), F.when(is_nested, F.to_json(nested)).otherwise(text)).otherwise(text)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -121,7 +121,7 @@ def test_json_edges(spark, tmp_path):
 
 
 def test_json_columns(spark, tmp_path):
-    (tmp_path / "x.json").write_text('{"data": [{"b": "x"}, {"a": 1, "b": null}, {"c": [1, {"d": 2}]}]}')
+    (tmp_path / "x.json").write_text('{"data": [{"b": "x"}, {"a": 1, "b": null}, {"c": [1, {"d": 2, "b": [ ]}]}, {"c": "{\\"z\\":1, \\"a\\":2}"}]}')
     df = files.read_json(spark, str(tmp_path / "x.json"))
     assert df.columns == ["row_idx", "b", "a", "c"]
-    assert sorted(tuple(r) for r in df.collect()) == [(0, "x", None, None), (1, None, "1", None), (2, None, None, '[1,{"d":2}]')]
+    assert sorted(tuple(r) for r in df.collect()) == [(0, "x", None, None), (1, None, "1", None), (2, None, None, '[1,{"b":[],"d":2}]'), (3, None, None, '{"z":1, "a":2}')]

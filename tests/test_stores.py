@@ -90,3 +90,13 @@ def test_target_store_has_one_writer_at_a_time(spark, tmp_path, monkeypatch):
     assert store.read("organization", "n1").count() == 4 and store.read("organization", "n2").count() == 0
     assert json.loads(store.read("organization", "n1").where("id = 'a'").first().payload) == {"name": "x"}
     assert store.purge("organization", "n1") == 4 and store.read("organization", "n1").count() == 0
+
+
+def test_order_of_names_is_no_change(spark, tmp_path):
+    """A payload whose fields come in another order, at any depth, is the one that is held."""
+    store = TargetStore(spark, str(tmp_path))
+    a = spark.createDataFrame([("a", 1, ("x", (1, [(2, "y")])))], "record_id string, source_row long, payload struct<name:string,more:struct<k:int,list:array<struct<n:int,t:string>>>>")
+    b = spark.createDataFrame([("a", 1, (([("y", 2)], 1), "x"))], "record_id string, source_row long, payload struct<more:struct<list:array<struct<t:string,n:int>>,k:int>,name:string>")
+    assert store.write("organization", "n", a).first().outcome == "created"
+    assert store.write("organization", "n", b).first().outcome == "unchanged"
+    assert store.write("organization", "n", b.withColumn("payload", F.col("payload").withField("name", F.lit("z")))).first().outcome == "conflict"
