@@ -172,9 +172,24 @@ SQL["k10_recheck"] = f"""WITH n AS (SELECT entity, {_N("outcome = 'accepted'")}
 now AS (SELECT entity, 'target_count' AS "check", held AS actual_now, accepted = held AS ok_now FROM n UNION ALL SELECT entity, 'target_ids', held, accepted = held FROM n)
 SELECT entity, "check", actual AS actual_then, actual_now, ok AS ok_then, ok_now FROM ({SQL["k02_checks"]}) JOIN now USING (entity, "check") WHERE actual <> actual_now OR ok <> ok_now"""
 
-_FIELDS = [(src, col) for src, pairs, _ in rec.DATASETS.values() for col, _ in pairs]
-_GOLDEN = [(f"{src}.{col}", t) for src, pairs, _ in rec.DATASETS.values() for col, t in pairs]
-_PROPOSED = [*[(n, t if i % 5 else None if i % 2 else "organization.name") for i, (n, t) in enumerate(_GOLDEN) if i % 9], ("stray", "contact.email"), ("stray", "contact.nowhere")]
+
+
+def _pick(at: str, words: list[str]) -> str:
+    return f"CASE CAST({at} AS INT) " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words[:-1])) + f" ELSE '{words[-1]}' END"
+
+
+_FIRST = ["acct", "company", "contact", "billing", "start", "renew", "annual", "customer", "seat", "phone", "role", "subscription", "industry", "email", "foo"]
+_SECOND = ["_num", "Name", "_mail", "_country", "_dt", "Status", "_revenue", "s", "_count", "_number", "", "_id", "Date", "_title"]
+_NAME = f"{_pick('floor(p_partkey / 6) % 15', _FIRST)} || {_pick('p_size % 14', _SECOND)}"
+#: Columns of exports, named by the parts; two of the exports tell of no entity.
+_NAMED = f"SELECT p_partkey, p_size, {_pick('p_partkey % 6', ['accounts.csv', 'people.csv', 'subs_export.csv', 'activity_log.csv', 'misc.csv', 'extra.csv'])} AS dataset, {_NAME} AS source_field FROM part"
+_FIELDS = f"SELECT DISTINCT dataset, source_field FROM ({_NAMED}) AS named"
+_KINDS = ["text", "email", "date", "integer", "datetime", "phone", "empty", "decimal", "url", "boolean", "identifier"]
+#: What is known of the values of most of them.
+_FACTS = f"""SELECT dataset, source_field, {_pick('min(p_partkey) % 11', _KINDS)} AS inferred_type, CAST(sum(CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS malformed, CAST(sum(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS uppercase,
+CAST(count(DISTINCT p_partkey % 2) AS BIGINT) AS date_formats, CAST(CASE WHEN min(p_partkey) % 3 = 0 THEN 50 ELSE 100 END AS DOUBLE) AS iso_pct, CAST(count(*) AS BIGINT) AS non_null, CAST(max(p_size) * 60 AS BIGINT) AS max_length, CAST(min(p_size) % 3 AS BIGINT) AS whitespace
+FROM ({_NAMED}) AS named GROUP BY dataset, source_field HAVING min(p_partkey) % 5 > 0"""
+_FACT_NAMES = ["inferred_type", "malformed", "uppercase", "date_formats", "iso_pct", "non_null", "max_length", "whitespace"]
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -182,37 +197,20 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names}))"
 
 
-def _frame(s: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return s.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split(", ")))
-
-
-#: Names from any system, with what is known of their values; the last two datasets tell of no entity.
-_NAMES = [
-    *_FIELDS, ("accounts.csv", "acctName"), ("accounts.csv", "industries"), ("accounts.csv", "status"), ("people.csv", "contactMail"), ("people.csv", "mobile_no"), ("subs_export.csv", "renewDts"),
-    ("misc.csv", "status"), ("misc.csv", "email"), ("misc.csv", "foo"), ("extra.csv", "billing_country"), ("extra.csv", "seats"),
-]
-_NAMES = list(dict.fromkeys(_NAMES))
-#: inferred_type, malformed, uppercase, date_formats, iso_pct, non_null, max_length, whitespace: by the place of a name.
-_KNOWN = [
-    ("text", 0, 0, 0, 100.0, 90, 40, 3), ("email", 2, 5, 0, 100.0, 80, 30, 0), ("date", 0, 0, 2, 50.0, 70, 10, 0), ("integer", 0, 0, 0, 100.0, 60, 5, 0), ("datetime", 1, 0, 1, 100.0, 55, 20, 0), ("phone", 3, 0, 0, 100.0, 50, 15, 0), ("empty", 0, 0, 0, 100.0, 0, 0, 0), ("text", 0, 0, 0, 100.0, 40, 3000, 0),
-]
-_FACT_NAMES = ["inferred_type", "malformed", "uppercase", "date_formats", "iso_pct", "non_null", "max_length", "whitespace"]
-_FACTS = [(*name, *_KNOWN[i % len(_KNOWN)]) for i, name in enumerate(_NAMES) if i % 5]
+_fields = _from("part", _FIELDS)
 
 
-def _facts(s: SparkSession) -> DataFrame:
-    df = s.createDataFrame(_FACTS, "dataset string, source_field string, inferred_type string, malformed long, uppercase long, date_formats long, iso_pct double, non_null long, max_length long, whitespace long")
-    known = {"inferred_type", *_FACT_NAMES}
+def _facts(s: SparkSession, d: str) -> DataFrame:
     more = [x.rsplit(" ", 1) if "<" not in x else x.split(" ", 1) for x in compare.FACTS.replace("string, bigint", "string,bigint").split(", ")]
-    return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in more if name not in known])
+    return _from("part", _FACTS)(s, d).select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in more if name not in _FACT_NAMES])
 
 
-def _candidates(s: SparkSession) -> DataFrame:
-    return compare.judged(compare.candidates(_frame(s, _NAMES, "dataset, source_field"), catalog(s)), _facts(s), catalog(s))
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return compare.judged(compare.candidates(_fields(s, d), catalog(s)), _facts(s, d), catalog(s))
 
 
-def _classes(s: SparkSession) -> DataFrame:
-    return compare.classify(_candidates(s), _frame(s, _NAMES, "dataset, source_field"))
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    return compare.classify(_candidates(s, d), _fields(s, d))
 
 
 def _list(words) -> str:
@@ -245,18 +243,18 @@ def _score(a: str, b: str) -> str:
     return f"CASE WHEN len({both}) = 0 THEN 0.0::DOUBLE WHEN len({both}) = len({a}) AND len({both}) = len({b}) THEN 1.0::DOUBLE ELSE round_even(({mean}) * 100, 0) / 100 END"
 
 
-_PAIRS = [("acct_num", "account_number"), ("contact_mail", "email"), ("start_dt", "start_date"), ("name", "first_name"), ("foo", "email"), ("", "email"), ("hqState", "billing_region"), ("companies", "organization"), ("status", "bus status")]
-Q["m01_name_score"] = lambda s, d: _frame(s, _PAIRS, "a, b").select("a", "b", compare.name_score(compare.words(F.col("a")), compare.words(F.col("b"))).alias("score"))
-SQL["m01_name_score"] = f"SELECT a, b, {_score('x', 'y')} AS score FROM (SELECT a, b, {_words('a')} AS x, {_words('b')} AS y FROM {_values(_PAIRS, 'a, b')})"
+_PAIRS = f"SELECT DISTINCT {_NAME} AS a, {_pick('p_partkey % 9', ['account_number', 'email', 'start_date', 'first_name', '', 'billing_region', 'organization', 'bus status', 'companyNames'])} AS b FROM part"
+Q["m01_name_score"] = lambda s, d: _from("part", _PAIRS)(s, d).select("a", "b", compare.name_score(compare.words(F.col("a")), compare.words(F.col("b"))).alias("score"))
+SQL["m01_name_score"] = f"SELECT a, b, {_score('x', 'y')} AS score FROM (SELECT a, b, {_words('a')} AS x, {_words('b')} AS y FROM ({_PAIRS}))"
 _CATALOG = _values([(k, *k.split(".", 1), f.kind, "yes" if f.required else "no", f.pattern, None if f.max_length is None else str(f.max_length)) for k, f in CONTRACT.items()], "target, entity, field, kind, required, pattern, longest")
 _ENTITY = lambda name: f"list_filter(list_transform({_words(rf"regexp_replace({name}, '\.[^.]*$', '')")}, lambda w: {_map(compare.ENTITY_WORDS)}[w]), lambda w: w IS NOT NULL)[1]"
 _PARTS = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 _CANDIDATES = f"""SELECT *, row_number() OVER (PARTITION BY dataset, source_field ORDER BY in_entity DESC, score DESC, target) AS place FROM
 (SELECT dataset, source_field, own_entity, target, entity, field, own_entity IS NULL OR own_entity = entity AS in_entity, greatest({_score('mine', 'bare_b')}, {_score('mine', 'b')}) AS score FROM
 (SELECT *, {_bare('a', 'own_entity')} AS mine, {_bare('b', 'entity')} AS bare_b FROM
-(SELECT dataset, source_field, {_ENTITY('dataset')} AS own_entity, {_words('source_field')} AS a FROM {_values(_NAMES, 'dataset, source_field')}) AS f,
+(SELECT dataset, source_field, {_ENTITY('dataset')} AS own_entity, {_words('source_field')} AS a FROM ({_FIELDS})) AS f,
 (SELECT target, entity, field, {_words('field')} AS b FROM {_CATALOG}) AS t WHERE len(list_intersect(a, b)) > 0)) WHERE score >= CASE WHEN in_entity THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END"""
-_FACT_SQL = _values([tuple(None if v is None else str(v) for v in r) for r in _FACTS], ", ".join(["dataset", "source_field", *_FACT_NAMES]))
+_FACT_SQL = f"({_FACTS})"
 _FIT = """CASE WHEN inferred_type IS NULL THEN 'ok' WHEN inferred_type = 'empty' OR kind = 'enum' THEN 'incompatible'
 WHEN kind IN ('date', 'datetime') THEN CASE WHEN inferred_type NOT IN ('date', 'datetime') THEN 'incompatible' WHEN CAST(date_formats AS INT) > 1 OR CAST(iso_pct AS DOUBLE) < 100 OR CAST(malformed AS INT) > 0 OR inferred_type <> kind THEN 'transform' ELSE 'ok' END
 WHEN kind IN ('integer', 'decimal') THEN CASE WHEN inferred_type NOT IN ('integer', 'decimal') THEN 'incompatible' WHEN inferred_type = 'decimal' AND kind = 'integer' THEN 'transform' ELSE 'ok' END
@@ -266,27 +264,29 @@ WHEN inferred_type = 'phone' THEN CASE WHEN CAST(non_null AS INT) > 0 OR CAST(ma
 WHEN CAST(max_length AS INT) > CAST(longest AS INT) THEN 'transform' ELSE 'ok' END"""
 _JUDGED = f"SELECT c.*, {_FIT} AS fit FROM ({_CANDIDATES}) AS c JOIN (SELECT target, kind, longest FROM {_CATALOG}) AS k USING (target) LEFT JOIN {_FACT_SQL} AS f ON f.dataset = c.dataset AND f.source_field = c.source_field"
 _CLASSES = f"""SELECT dataset, source_field, CASE WHEN settled THEN CASE fit WHEN 'incompatible' THEN 'incompatible' WHEN 'transform' THEN 'transformation_required' ELSE 'matched' END WHEN n > 0 THEN 'ambiguous' ELSE 'unmapped' END AS class, CASE WHEN settled THEN best_target END AS target FROM
-(SELECT *, coalesce(best >= 0.7::DOUBLE AND (second < 0.7::DOUBLE OR best - second >= 0.25::DOUBLE) AND (own_entity IS NOT NULL OR strong = 1), false) AS settled FROM {_values(_NAMES, 'dataset, source_field')} AS f LEFT JOIN
+(SELECT *, coalesce(best >= 0.7::DOUBLE AND (second < 0.7::DOUBLE OR best - second >= 0.25::DOUBLE) AND (own_entity IS NOT NULL OR strong = 1), false) AS settled FROM ({_FIELDS}) AS f LEFT JOIN
 (SELECT dataset, source_field, count(*) AS n, max(own_entity) AS own_entity, max(target) FILTER (WHERE in_entity AND place = 1) AS best_target, max(score) FILTER (WHERE in_entity AND place = 1) AS best, max(fit) FILTER (WHERE in_entity AND place = 1) AS fit,
 coalesce(max(score) FILTER (WHERE in_entity AND place = 2), 0) AS second, count(DISTINCT entity) FILTER (WHERE in_entity AND score >= 0.7::DOUBLE) AS strong FROM ({_JUDGED}) GROUP BY dataset, source_field) AS b USING (dataset, source_field))"""
-Q["m02_candidates"] = lambda s, d: _candidates(s).select("dataset", "source_field", "own_entity", "target", "in_entity", "score", "match", "place", "compatibility")
+Q["m02_candidates"] = lambda s, d: _candidates(s, d).select("dataset", "source_field", "own_entity", "target", "in_entity", "score", "match", "place", "compatibility")
 SQL["m02_candidates"] = f"SELECT dataset, source_field, own_entity, target, in_entity, score, CASE WHEN score < 1 THEN 'partial' WHEN {_PARTS('source_field')} = {_PARTS('field')} THEN 'exact' ELSE 'synonym' END AS match, place, fit AS compatibility FROM ({_JUDGED})"
-Q["m03_classify"] = lambda s, d: _classes(s)
+Q["m03_classify"] = lambda s, d: _classes(s, d)
 SQL["m03_classify"] = _CLASSES
-Q["m04_coverage"] = lambda s, d: compare.coverage(_classes(s), _candidates(s), catalog(s))
+Q["m04_coverage"] = lambda s, d: compare.coverage(_classes(s, d), _candidates(s, d), catalog(s))
 _LISTED = lambda k: f"coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE held = {k}), '')"
 SQL["m04_coverage"] = f"""WITH c AS MATERIALIZED ({_CLASSES}), j AS ({_CANDIDATES}),
 h AS (SELECT target, max(held) AS held FROM (SELECT target, 2 AS held FROM c WHERE class IN ('matched', 'transformation_required') UNION ALL SELECT j.target, 1 FROM j JOIN c ON c.dataset = j.dataset AND c.source_field = j.source_field WHERE c.class = 'ambiguous' AND in_entity AND place <= 5) GROUP BY target)
 SELECT entity, count(*) AS required, {_N("held = 2")} AS covered, {_LISTED(1)} AS candidate_only, {_LISTED(0)} AS missing FROM
 (SELECT k.entity, field, coalesce(held, 0) AS held FROM {_CATALOG} AS k LEFT JOIN h ON h.target = k.target WHERE required = 'yes' AND k.entity IN (SELECT {_ENTITY('dataset')} FROM c)) GROUP BY entity"""
-Q["m07_class_counts"] = lambda s, d: compare.class_counts(_classes(s))
+Q["m07_class_counts"] = lambda s, d: compare.class_counts(_classes(s, d))
 SQL["m07_class_counts"] = f"SELECT class, count(*) AS n FROM ({_CLASSES}) GROUP BY class"
-Q["m05_check_proposal"] = lambda s, d: compare.check_proposal(_frame(s, _PROPOSED, "source_field, target"), _frame(s, [(n,) for n, _ in _GOLDEN], "source_field"), catalog(s))
-_P, _G = _values(_PROPOSED, "source_field, target"), _values(_GOLDEN, "source_field, expected")
-SQL["m05_check_proposal"] = f"""SELECT 'missing_field' AS problem, source_field AS name FROM {_G} WHERE source_field NOT IN (SELECT source_field FROM {_P})
-UNION ALL SELECT DISTINCT 'unknown_field', source_field FROM {_P} WHERE source_field NOT IN (SELECT source_field FROM {_G})
-UNION ALL SELECT 'duplicate_field', source_field FROM {_P} GROUP BY source_field HAVING count(*) > 1
-UNION ALL SELECT DISTINCT 'unknown_target', target FROM {_P} WHERE target = 'contact.nowhere'"""
+_GOLDEN_M = "SELECT 'f' || CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 4 > 0 THEN 'contact.email' END AS expected FROM part"
+_PROPOSED_M = """SELECT 'f' || CAST(p_partkey + CASE WHEN p_partkey % 13 = 0 THEN 10000000 WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS STRING) AS source_field,
+CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'organization.name' WHEN 2 THEN 'contact.nowhere' ELSE 'contact.email' END AS target FROM part WHERE p_partkey % 9 > 0"""
+Q["m05_check_proposal"] = lambda s, d: compare.check_proposal(_from("part", _PROPOSED_M)(s, d), _from("part", _GOLDEN_M)(s, d), catalog(s))
+SQL["m05_check_proposal"] = f"""SELECT 'missing_field' AS problem, source_field AS name FROM ({_GOLDEN_M}) WHERE source_field NOT IN (SELECT source_field FROM ({_PROPOSED_M}))
+UNION ALL SELECT DISTINCT 'unknown_field', source_field FROM ({_PROPOSED_M}) WHERE source_field NOT IN (SELECT source_field FROM ({_GOLDEN_M}))
+UNION ALL SELECT 'duplicate_field', source_field FROM ({_PROPOSED_M}) GROUP BY source_field HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'unknown_target', target FROM ({_PROPOSED_M}) WHERE target = 'contact.nowhere'"""
 _BEFORE = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, 't' || CAST(p_size AS STRING) AS target, CASE p_partkey % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'ignored' WHEN 2 THEN 'needs_clarification' ELSE 'suggested' END AS status,
 'names' AS origin, 0.5D AS confidence, CASE WHEN p_partkey % 5 < 2 THEN 'ann' END AS decided_by FROM part WHERE p_partkey % 3 > 0"""
 _OFFERED = """SELECT p_brand AS dataset, CAST(p_partkey AS STRING) AS source_field, CASE WHEN p_partkey % 7 > 0 THEN 'n' || CAST(p_size AS STRING) END AS target, 'model' AS origin, (p_partkey % 10) / 10.0D AS confidence, p_partkey % 8 = 0 AS asks,
@@ -324,9 +324,10 @@ _SURE = "SELECT o.dataset, o.source_field, o.target, CASE WHEN CAST(o.source_fie
 Q["m09_bulk_approve"] = lambda s, d: review.bulk_approve(_from("part", _SURE)(s, d), "ann", 0.5, floor=0.7)
 SQL["m09_bulk_approve"] = f"""SELECT dataset, source_field, target, confidence, asks, CASE WHEN bulk = 'approved' THEN 'approved' ELSE status END AS status, CASE WHEN bulk = 'approved' THEN 'ann' END AS decided_by, bulk
 FROM (SELECT *, CASE WHEN status = 'suggested' AND target IS NOT NULL THEN CASE WHEN confidence >= 0.7::DOUBLE AND NOT asks THEN 'approved' ELSE 'skipped' END END AS bulk FROM ({_SURE.replace("10.0D", "CAST(10 AS DOUBLE)")}))"""
-Q["m06_eval_score"] = lambda s, d: compare.score_mappings(_frame(s, _GOLDEN, "source_field, expected"), _frame(s, _PROPOSED, "source_field, target"))
-SQL["m06_eval_score"] = f"""SELECT count(*) AS fields, {_N("target = expected")} AS correct, {_N("target IS NULL")} AS unresolved, {_N("target <> expected")} AS wrong, round_even({_N("target = expected")} / CAST(count(*) AS DOUBLE), 4) AS accuracy
-FROM {_G} AS g LEFT JOIN {_P} AS p ON p.source_field = g.source_field"""
+_PROPOSED_ONCE = f"SELECT source_field, max(target) AS target FROM ({_PROPOSED_M}) AS p GROUP BY source_field"
+Q["m06_eval_score"] = lambda s, d: compare.score_mappings(_from("part", _GOLDEN_M)(s, d), _from("part", _PROPOSED_ONCE)(s, d))
+SQL["m06_eval_score"] = f"""SELECT count(*) AS fields, {_N("target IS NOT DISTINCT FROM expected")} AS correct, {_N("target IS NULL AND expected IS NOT NULL")} AS unresolved, {_N("target IS NOT NULL AND target IS DISTINCT FROM expected")} AS wrong,
+round_even({_N("target IS NOT DISTINCT FROM expected")} / CAST(count(*) AS DOUBLE), 4) AS accuracy FROM ({_GOLDEN_M}) AS g LEFT JOIN ({_PROPOSED_ONCE}) AS p ON p.source_field = g.source_field"""
 
 _ISSUES = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'contact' ELSE 'subscription' END AS entity, o_orderstatus AS dataset, o_custkey AS source_row, CASE WHEN o_orderkey % 4 = 0 THEN 'warning' ELSE 'error' END AS severity,
 CASE o_orderkey % 5 WHEN 0 THEN 'unmapped_value' WHEN 1 THEN 'missing_required' WHEN 2 THEN 'parent_record_rejected' WHEN 3 THEN 'date_in_future' ELSE 'business_rule_violation' END AS error_type, o_orderpriority AS field FROM orders"""

@@ -14,7 +14,7 @@ from quayside.catalogue.views import VIEWS, view
 from quayside.functions.converters import IDENTIFIER
 from quayside.operators import rules, validate
 from quayside.plans.contract import entity_fields
-from quayside.plans.drafts import DATASET_BITS, build_plan, compile_drafts
+from quayside.plans.drafts import DATASET_BITS, build_plan, compile_drafts, emissions
 from quayside.plans.shared import barrier
 from quayside.plans.example_config import EXAMPLE
 
@@ -116,13 +116,10 @@ Q["d02_context_fields"] = lambda spark, d: drafts(spark, d, "organization").sele
 SQL["d02_context_fields"] = f"WITH {draft_sql('organization')} SELECT source_row, contact_email, raw_customer_tier AS customer_tier FROM d_organization"
 
 
-def _emission(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(e, x) for e in DATASETS for x in plan_of(e).emits()]
-    return spark.createDataFrame([(DATASETS[e][0], x) for e, x in rows], "dataset string, entity string")
-
-
-Q["d03_entity_emission"] = _emission
-SQL["d03_entity_emission"] = "SELECT * FROM (VALUES " + ", ".join(f"('{DATASETS[e][0]}', '{e}')" for e in DATASETS) + ") AS t(dataset, entity)"
+_APPROVED = """SELECT p_brand || CAST(p_size AS STRING) AS dataset, CASE p_partkey % 6 WHEN 0 THEN 'organization.organization_id' WHEN 1 THEN 'contact.contact_id' WHEN 2 THEN 'contact.organization_id' WHEN 3 THEN 'subscription.subscription_id' WHEN 4 THEN 'activity.activity_id' END AS target,
+CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'approved' END AS status FROM part"""
+Q["d03_entity_emission"] = lambda spark, d: emissions(spark.sql(_APPROVED.replace("FROM part", "FROM {part}"), part=view(spark, d, "part")))
+SQL["d03_entity_emission"] = f"SELECT DISTINCT dataset, split_part(target, '.', 1) AS entity FROM ({_APPROVED}) WHERE status = 'approved' AND target <> 'contact.organization_id'"
 
 # Rules over d_organization and d_subscription.
 _CA = f"lower({sql_strip("raw_country")}) = 'ca'"

@@ -39,6 +39,13 @@ class DatasetPlan:
         return own, [r for r in self.rules if r not in own]
 
 
+def emissions(mappings: DataFrame) -> DataFrame:
+    """(dataset, entity) from mappings (dataset, target, status): a dataset emits an entity whose id is among its approved targets."""
+    entity = F.create_map(*[F.lit(x) for e in ENTITIES for x in (f"{e}.{id_field(e)}", e)])
+    named = mappings.where("status = 'approved'").select("dataset", F.element_at(entity, F.col("target")).alias("entity"))
+    return named.where("entity is not null").distinct()
+
+
 class UndecidedFields(ValueError):
     pass
 
