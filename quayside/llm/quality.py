@@ -230,7 +230,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
 
     Fitted on rows of `labels` with quality 0 or 1 whose crc32(doc_id as text) mod 3 is not 1, at most
     `train_rows` of them, those with the smallest hash of doc_id; labels that contradict each other count by
-    their majority. held_out marks the remainder 1. Features come from whole texts of any length; a null text counts
+    their majority, as many of each as 1. held_out marks the remainder 1. Features come from whole texts of any length; a null text counts
     as empty. With no labels at all every score is 0.5; without documents there are no rows. Repeated rows get equal
     scores. A null doc_id is scored, never learned from. Other columns, clashing names included, are not read.
     """

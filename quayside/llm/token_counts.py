@@ -130,7 +130,9 @@ def section_tokens(docs: DataFrame, path: str, rule: str = "most", sectioner: Ca
     Sections are spans of characters, given by `sectioner` or in an array column `spans` (see with_spans). Spans may
     repeat, overlap or reach beyond the text: a character belongs to the span that begins first. What no span covers
     is `(outside)`. Each document's n_tokens sum to its number of tokens, under every rule. A null or empty text has
-    one row, `(outside)` with 0 tokens. Repeated rows give repeated results. Other columns are not read.
+    one row, `(outside)` with 0 tokens. Repeated rows give repeated results; an empty table gives no rows; a text of any
+    length is one row's work. Where a token's bytes fall on two sections alike, it goes to the one that begins first. Other
+    columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -130,13 +130,14 @@ def test_against_bytes(rule, library):
 
 
 def test_sections_of_documents(spark, library):
-    docs = spark.read.parquet(DOCUMENTS).limit(60)
+    docs = spark.read.parquet(DOCUMENTS)
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {}
     for r in section_tokens(docs, PATH, "most", line_sections).collect():
         got.setdefault(r.doc_id, {})[r.section] = r.n_tokens
     for d, t in texts.items():
-        assert {k: v for k, v in got[d].items() if v} == brute(t, line_sections(t), "most", library)
+        assert {k: v for k, v in got[d].items() if v} == brute(t or "", line_sections(t or ""), "most", library)
+    assert section_tokens(docs.where("false"), PATH, "most", line_sections).count() == 0
 
 
 def test_given_spans(spark):
