@@ -381,6 +381,10 @@ def _mapping_list(s: SparkSession, d: str) -> DataFrame:
     return _page(store.page(60, 30, status="approved"))
 
 
+_UNNAMED = f"SELECT * REPLACE (CASE WHEN source_row % 9 = 0 THEN NULL ELSE field END AS field) FROM ({_ISSUES})"
+Q["g15_issue_overview"] = lambda s, d: readiness.issue_overview(_issues(s, d).withColumn("field", F.when(F.col("source_row") % 9 != 0, F.col("field"))))
+SQL["g15_issue_overview"] = f"""SELECT entity, severity, error_type, n AS count, coalesce(fields, '') AS fields FROM (SELECT {_KEY}, count(*) AS n FROM ({_UNNAMED}) GROUP BY ALL)
+LEFT JOIN (SELECT {_KEY}, string_agg(field, ',' ORDER BY r) AS fields FROM (SELECT {_KEY}, field, row_number() OVER (PARTITION BY {_KEY} ORDER BY count(*) DESC, field) AS r FROM ({_UNNAMED}) WHERE field IS NOT NULL GROUP BY {_KEY}, field) WHERE r <= 5 GROUP BY {_KEY}) USING ({_KEY})"""
 Q["g07_issue_page"] = _issue_page
 SQL["g07_issue_page"] = f"SELECT *, count(*) OVER () AS total FROM ({_ISSUES}) WHERE entity = 'contact' AND severity = 'error' ORDER BY entity, dataset, source_row, error_type, field LIMIT 50 OFFSET 100"
 _FAILED = "SELECT o_orderstatus AS entity, CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'target_unavailable' END AS error_type FROM orders WHERE o_orderkey % 4 = 0"

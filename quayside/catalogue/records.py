@@ -12,7 +12,7 @@ from quayside.catalogue import converting as c
 from quayside.catalogue.profiling import quoted, sql_re, sql_strip
 from quayside.catalogue.views import VIEWS, view
 from quayside.functions.converters import IDENTIFIER
-from quayside.operators import rules, validate
+from quayside.operators import readiness, rules, validate
 from quayside.plans.contract import entity_fields
 from quayside.plans.drafts import DATASET_BITS, build_plan, compile_drafts, emissions
 from quayside.plans.shared import barrier
@@ -305,3 +305,22 @@ SELECT entity, CASE WHEN source_row >= {1 << DATASET_BITS} THEN 'east' ELSE 'wes
 UNION ALL SELECT 'contact', source_row, 'no_primary_contact' FROM x_contact WHERE none
 UNION ALL SELECT 'organization', source_row, kind FROM verdict WHERE kind IS NOT NULL
 UNION ALL SELECT 'contact', pick, 'primary_from_account_email' FROM (SELECT DISTINCT pick FROM chosen))"""
+
+
+def _rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for df in ruled(spark, d).values():
+        own = df.select("applied_rules", "skipped", "skip_rule")
+        out = own if out is None else out.unionByName(own)
+    return readiness.rule_counts(out)
+
+
+_APPLIED = {
+    "ca_country_from_region": f"SELECT count(*) AS n FROM ro WHERE {_CA} AND billing_region IS NOT NULL",
+    "dormant_account_inactive": "SELECT count(*) FROM ro WHERE by_rule",
+    "legacy_gold_seat_split": "SELECT count(*) FROM rs WHERE gold AND CAST(seats AS BIGINT) < 10",
+    "primary_from_account_email": "SELECT count(DISTINCT pick) FROM chosen",
+    "drop_dead_trials: records not migrated": "SELECT count(*) FROM rs WHERE skipped",
+}
+Q["r06_rule_counts"] = _rule_counts
+SQL["r06_rule_counts"] = f"WITH {RULED} SELECT rule, n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, ({v}) AS n" for k, v in _APPLIED.items()) + ") WHERE n > 0"

@@ -108,8 +108,23 @@ def store_mappings(store: Store, mappings: DataFrame, base: int, **note) -> Vers
 
 
 def rule_counts(drafts: DataFrame) -> DataFrame:
-    """(rule, n): how often each rule was applied; what follows a colon tells of a single draft."""
-    return drafts.select(F.explode("applied_rules").alias("rule")).groupBy(F.split_part("rule", F.lit(":"), F.lit(1)).alias("rule")).agg(F.count("*").alias("n"))
+    """(rule, n): how often each rule was applied, and how many records it keeps back; what follows a colon in an applied rule tells of a single draft."""
+    applied = drafts.select(F.explode("applied_rules").alias("rule")).select(F.split_part("rule", F.lit(":"), F.lit(1)).alias("rule"))
+    if "skip_rule" in drafts.columns:
+        kept_back = drafts.where(F.col("skipped") & F.col("skip_rule").isNotNull())
+        applied = applied.unionByName(kept_back.select(F.concat("skip_rule", F.lit(": records not migrated")).alias("rule")))
+    return applied.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def issue_overview(issues: DataFrame, fields: int = 5) -> DataFrame:
+    """(entity, severity, error_type, count, fields): counts and the commonest fields that are named, most issues first."""
+    key = ["entity", "severity", "error_type"]
+    by_field = issues.where("field is not null").groupBy(*key, "field").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "field"))
+    top = by_field.withColumn("r", rank).where(F.col("r") <= fields).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "field"))), lambda x: x["field"]), ",").alias("fields"))
+    n = issues.groupBy(*key).agg(F.count("*").alias("count"))
+    same = [n[k].eqNullSafe(top[k]) for k in key]
+    return n.join(top, same, "left").select(*[n[k] for k in key], "count", F.coalesce("fields", F.lit("")).alias("fields")).orderBy(F.desc("count"), *key)
 
 
 def work_items(groups: DataFrame) -> DataFrame:
