@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _LONG_WORD = 256
+#: Only some C libraries have it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -155,6 +158,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return (column if pa.types.is_binary(column.type) else column.cast(kind)).to_pylist()
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library hold and nothing uses."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cuts batches into runs of at most `rows` rows with about `size` bytes of text; one longer text makes a run by itself."""
     for batch in batches:
@@ -165,9 +175,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20, ro
             if held >= size or i + 1 - begin >= rows or i == len(texts) - 1:
                 yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
                 begin, held = i + 1, 0
-        # Workers live on from stage to stage, and Arrow would keep what the largest batch took.
+        # Workers live on from stage to stage, and would keep what the largest batch of any of them took.
         del batch, texts
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def int_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
