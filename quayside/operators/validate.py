@@ -89,12 +89,15 @@ def check_unique_ids(drafts: DataFrame, entity: str) -> DataFrame:
 
 
 def organization_state(organizations: DataFrame) -> DataFrame:
-    """One row per id: whether a draft of it migrates, why the last refused one does not, and the last status."""
+    """One row per id: whether a draft of it migrates, why the last refused one does not, and the last status stated.
+
+    A draft whose status is empty or was refused states none; the draft before it in the order then counts.
+    """
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("issues", lambda x: x["severity"] == "error"), lambda x: x["error_type"]))), ", ")
     reason = F.when(kinds == "", "skipped").otherwise(kinds)
     rows = organizations.where(F.col("record_id").isNotNull()).select(F.col("record_id").alias("org"), "ord", live().alias("fine"), reason.alias("reason"), "skipped", F.col("payload.lifecycle_status").alias("status"), F.exists("applied_rules", lambda x: x.startswith("dormant_account_inactive")).alias("by_rule"))
     last = F.when(~F.col("fine"), F.col("ord"))
-    kept = F.when(~F.col("skipped"), F.col("ord"))
+    kept = F.when(~F.col("skipped") & F.col("status").isNotNull(), F.col("ord"))
     return rows.groupBy("org").agg(F.max(F.col("fine").cast("int")).alias("migrating"), F.max_by("reason", last).alias("reason"), F.max_by("status", kept).alias("status"), F.max_by("by_rule", kept).alias("by_rule"))
 
 

@@ -24,6 +24,15 @@ def test_the_first_export_comes_first(spark):
     assert [k for k, _ in found[("a.csv", 1)]] == ["duplicate_identifier"] and "z.csv row 5" in found[("a.csv", 1)][0][1]
 
 
+def test_the_last_status_stated_counts(spark):
+    """Of two drafts of an id, the later one without a status: the earlier one's still refuses a live subscription."""
+    orgs = drafts(spark, "organization", ["organization.organization_id", "organization.lifecycle_status"], ("o.csv", [(1, "A1", "Closed"), (2, "A1", "")]))
+    subs = drafts(spark, "subscription", ["subscription.subscription_id", "subscription.organization_id", "subscription.status"], ("s.csv", [(1, "S1", "A1", "active")]))
+    state = validate.organization_state(orgs)
+    assert [r.status for r in state.collect()] == ["churned"]
+    assert [[i.error_type for i in r.issues] for r in validate.check_lifecycle(subs, state).collect()] == [["business_rule_violation"]]
+
+
 def test_rules_over_two_exports_keep_the_number_of_drafts(spark):
     """Organizations of two exports at the same row: each has its own warning, none is there twice."""
     orgs = drafts(spark, "organization", ["organization.organization_id", "contact.email"], ("a.csv", [(1, "A1", "x@example.com")]), ("b.csv", [(1, "B1", "y@example.com")]))
