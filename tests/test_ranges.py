@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import os
 import random
 
 import pytest
@@ -125,3 +126,20 @@ def test_json_columns(spark, tmp_path):
     df = files.read_json(spark, str(tmp_path / "x.json"))
     assert df.columns == ["row_idx", "b", "a", "c"]
     assert sorted(tuple(r) for r in df.collect()) == [(0, "x", None, None), (1, None, "1", None), (2, None, None, '[1,{"b":[],"d":2}]'), (3, None, None, '{"z":1, "a":2}')]
+
+
+def test_exports_of_many_tasks_are_one(spark, monkeypatch):
+    """Exports that several tasks write, each its own file, read as one in the orders' order."""
+    from quayside.catalogue import outcomes
+
+    rows = spark.range(1000).selectExpr("id as o_orderkey", "cast(id as string) as id", "'a \"b\",\n}' as note", "cast(id as string) as customer").repartition(4)
+    monkeypatch.setattr(outcomes, "_from", lambda *_: lambda *_: rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kind, read in (("csv", files.read_csv), ("json", files.read_json)):
+            path = outcomes._exported(spark, "", kind)
+            assert len([x for x in os.listdir(path) if x.startswith("part-")]) > 1
+            found = sorted((r.row_idx, r.id, r.note) for r in read(spark, path).collect())
+            assert found == [(i, str(i), 'a "b",\n}') for i in range(1000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
