@@ -82,3 +82,16 @@ def test_breaker_over_stretches(spark, monkeypatch):
         trip = next((i for i, r in enumerate(want) if r >= 4), len(want))
         got = {r.ord: (r.run, r.not_attempted) for r in write.breaker(df, 4).collect()}
         assert got == {i: (r, i > trip) for i, r in enumerate(want)}
+
+
+def test_no_more_stages_than_needed(spark, monkeypatch):
+    """Each entity's answers are written once, and nothing is put into one order where failures are too few for a run."""
+    names, own = [], write.barrier
+    monkeypatch.setattr(write, "barrier", lambda df, name: names.append(name) or own(df, name))
+    rows = [(str(i), i, "h", "active", i < 4) for i in range(9)]
+    records = {"organization": spark.createDataFrame(rows, SCHEMAS["organization"])}
+    few = {r.ord: r.outcome for r in write.dry_run(records, threshold=5).collect()}
+    assert few == {i: "failed" if i < 4 else "created" for i in range(9)}
+    assert not {"answers-organization", "stretches", "tried"} & set(names)
+    enough = {r.ord: r.outcome for r in write.dry_run(records, threshold=4).collect()}
+    assert enough == {i: "failed" if i < 4 else "not_attempted" for i in range(9)} and "stretches" in names
