@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quayside.functions import cells, texts
 from quayside.functions.converters import Context, apply_chain
 from quayside.operators import compare, evaluation, readiness, reconcile, write
-from quayside.operators.profile import check_reference, infer_references, quality_issues, references
+from quayside.operators.profile import check_reference, column_facts, infer_references, quality_issues, references, value_table, value_tables
 from quayside.plans.config import ValueMap, config_from
 from quayside.plans.contract import catalog
 from quayside.plans.drafts import UndecidedFields, build_plan
@@ -42,6 +42,30 @@ def test_numbers_shapes_dates(spark):
     assert [str(x)[:10] if x else None for x in column(spark, ["3/4/85", "3/4/12", "2/30/2020"], lambda v: cells.first_format(v, cells.DATE_FORMATS)[0])] == ["1985-03-04", "2012-03-04", None]
 
 
+def test_values_are_trimmed_once(spark):
+    """A value is one row whatever white space is around it, and facts of columns without rows, or of none that say anything, are whole."""
+    df = spark.createDataFrame([(1, " a", None), (2, "a", "7"), (3, "a\u00a0", "-"), (4, "b  c", " 7.5"), (5, " ", "$7"), (6, None, "n/a ")], "row_idx int, x string, y string")
+    got = {(r.col, r.pos, r.v): (r.tag, r.n, r.first, r.stray) for r in value_table(df).collect()}
+    assert got == {
+        ("x", 0, "a"): ("text", 3, 1, 2), ("x", 0, "b  c"): ("text", 1, 4, 1), ("x", 0, ""): ("blank", 1, 5, 1), ("x", 0, None): ("blank", 1, 6, 0), ("y", 1, None): ("blank", 1, 1, 0),
+        ("y", 1, "7"): ("integer", 1, 2, 0), ("y", 1, "-"): ("placeholder", 1, 3, 0), ("y", 1, "7.5"): ("decimal", 1, 4, 1), ("y", 1, "$7"): ("numeric_text", 1, 5, 0), ("y", 1, "n/a"): ("placeholder", 1, 6, 1),
+    }
+    facts = column_facts(value_tables({"t": df, "none": df.limit(0)}))
+    got = {(r.src, r.col): (r.pos, r.n_rows, r.non_null, r.blank, r.placeholder, r.whitespace, r.distinct_count, r.min, r.max, r.numbers, r.bad_number, r.inferred_type) for r in facts.collect()}
+    assert got == {("t", "x"): (0, 6, 4, 2, 0, 3, 2, None, None, 0, 4, "text"), ("t", "y"): (1, 6, 3, 1, 2, 1, 3, 7.0, 7.5, 3, 0, "decimal")}
+
+
+def test_stripping_is_that_of_all_white_space(spark):
+    texts = [f"{a}x{b}y{a}" for a in map(chr, [*range(1, 0x30), 0x7F, 0x80, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x1F600]) for b in (" ", "")] + ["", " ", "\t\n ", None, " \u3000é ", "a\n", "\r\na"]
+    want = column(spark, texts, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    assert column(spark, texts, cells.strip) == want and column(spark, texts, cells.strip_plain) == want
+
+
+def test_numbers_by_tag(spark):
+    texts = ["12", "-3", "1.5", ".5", "$7,050,000", "38.60M", "USD 60", "ABC123", "12%", "2B", "x", "a@1", "https://1", "2024-01-31", "-", "", "1 2", "+1 415 555 2671", None]
+    assert column(spark, texts, lambda v: cells.tagged_number(v, cells.tag(v))) == column(spark, texts, cells.parse_number)
+
+
 def test_converters(spark):
     ctx = Context("t", date_formats=EXAMPLE.date_formats, datetime_formats=EXAMPLE.datetime_formats, placeholders=EXAMPLE.placeholders)
     value = lambda name, vs: column(spark, vs, lambda v: apply_chain(v, [name], ctx).value)
