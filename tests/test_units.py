@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.catalogue import profiling
 from quayside.functions import cells, texts
 from quayside.functions.converters import Context, apply_chain
 from quayside.operators import compare, evaluation, readiness, reconcile, write
@@ -55,6 +56,12 @@ def test_values_are_trimmed_once(spark):
     assert got == {("t", "x"): (0, 6, 4, 2, 0, 3, 2, None, None, 0, 4, "text"), ("t", "y"): (1, 6, 3, 1, 2, 1, 3, 7.0, 7.5, 3, 0, "decimal")}
 
 
+def test_types_are_found_without_writing_the_values(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "barrier", lambda df, name: pytest.fail("the values were written"))
+    for name in ("p17_key_facts", "p18_type_decision"):
+        assert profiling.Q[name](spark, "/root/testdata/sf0.001").columns[:2] == ["src", "col"]
+
+
 def test_stripping_is_that_of_all_white_space(spark):
     texts = [f"{a}x{b}y{a}" for a in map(chr, [*range(1, 0x30), 0x7F, 0x80, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x1F600]) for b in (" ", "")] + ["", " ", "\t\n ", None, " \u3000é ", "a\n", "\r\na"]
     want = column(spark, texts, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
