@@ -47,6 +47,24 @@ def test_new_letters_and_equal_hashes(pair, monkeypatch):
     same((own, pair[1]), ["one two six", "ten"])
 
 
+def test_new_pieces_are_joined(monkeypatch):
+    """Pieces that begin with a blank reach the library many at a time; if ids do not end with them, one by one."""
+    rnd, asked = random.Random(5), []
+    words = ["".join(rnd.choices("abcdeéhijklmß日", k=rnd.randrange(1, 9))) + rnd.choice(["", "", "", "'s", "."]) for _ in range(3000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 3000, 50)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    direct = own._direct
+    monkeypatch.setattr(own, "_direct", lambda texts: asked.append(len(texts)) or direct(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in (0, 20, 40, 0):  # kept pieces grow, and are then known
+        same((own, library), texts[at : at + 20])
+    assert own.kept == len(own.keys) > 2000 and sum(asked) < own.kept * 2 // 3
+    own._clear()
+    own.id_bytes = own.id_bytes + 1
+    assert own.lengths([t.encode() for t in texts]).tolist() == [len(x) for x in want]
+
+
 def test_pieces_cover_the_text():
     packed = Packed(["ab  c\n".encode(), b"", "é".encode()], None)
     starts, ends, first = pre_tokens(packed)
