@@ -70,3 +70,17 @@ def test_pieces_cover_the_text():
     starts, ends, first = pre_tokens(packed)
     assert [packed.bytes[a:b] for a, b in zip(starts, ends)] == [b"ab", b" ", b" c", b"\n", "é".encode()]
     assert first.tolist() == [0, 4, 4, 5]
+
+
+def test_pieces_whose_hashes_share_a_place(pair, monkeypatch):
+    """Numbers of pieces are found where many hashes end alike, while the table grows, and after it was cleared."""
+    hashes = Packed.hashes
+    monkeypatch.setattr(Packed, "hashes", lambda self, starts, ends, seed=0: hashes(self, starts, ends, seed) << np.uint64(8))
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for at in (0, 3000, 0):
+        same((own, pair[1]), [" ".join(f"w{i}" for i in range(at + k, at + k + 100)) for k in range(0, 3000, 100)])
+    assert own.keys.tolist() == own.hashes[: own.kept].tolist() and len(own.table) > own.kept > 6000
+    assert (own._numbers(own.keys) == np.arange(own.kept)).all() and (own._numbers(own.keys + np.uint64(1)) == -1).all()
+    monkeypatch.setattr("quayside.llm.encode.KEPT_PIECES", own.kept + 5)
+    same((own, pair[1]), [" ".join("v" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(50)), "w1 w2"])
+    assert own.kept < 100
