@@ -29,6 +29,8 @@ MAGIC = b"QDAC0001"
 SEGMENT_TOKENS = 1_000_000
 _BLOCK = 8  # words in a block of the rank directory
 
+#: Bytes of text that a worker encodes at a time.
+ENCODED_BYTES = 1 << 19
 #: Bytes of text in a partition of the range shuffle, about.
 TASK_BYTES = 64 << 20
 #: Characters of a text that order rows of one doc_id among partitions; inside a partition whole texts do.
@@ -43,16 +45,16 @@ def _fill(raw: bytes) -> bytes:
 
 
 def pack(has_id: np.ndarray, doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> bytes:
-    levels, left = [], ids.astype(np.uint64)
+    levels, left = [], ids.astype(np.uint32)
     while True:
         goes_on = left >= 256
         bits = np.packbits(goes_on, bitorder="little").tobytes()
         words = np.frombuffer(_fill(bits), "<u8")
         before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1][::_BLOCK] if len(words) else np.empty(0)
-        levels.append(np.array([len(left), len(words)], "<u8").tobytes() + _fill((left & np.uint64(255)).astype(np.uint8).tobytes()) + words.tobytes() + before.astype("<u8").tobytes())
+        levels.append(np.array([len(left), len(words)], "<u8").tobytes() + _fill(left.astype(np.uint8).tobytes()) + words.tobytes() + before.astype("<u8").tobytes())
         if not goes_on.any():
             break
-        left = left[goes_on] >> np.uint64(8)
+        left = left[goes_on] >> np.uint32(8)
     head = np.array([len(doc_ids), len(ids), len(levels)], "<u8").tobytes()
     return b"".join([MAGIC, head, has_id.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), bounds.astype("<u8").tobytes(), *levels])
 
@@ -178,7 +180,7 @@ def _segments(path: str, end_id: int, segment_tokens: int, folder: str):
                 out.write(image)
             return batch_of(_FILES_ARROW, [part], [segment], [len(n)], [len(ids)], [f"{folder}/{file}"], [len(image)])
 
-        for batch, texts in pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text", ENCODED_BYTES):
             flat, bounds = own.encode(texts)
             n = np.diff(bounds) + 1
             ids = np.insert(flat, bounds[1:], end_id)

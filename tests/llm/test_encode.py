@@ -84,3 +84,13 @@ def test_pieces_whose_hashes_share_a_place(pair, monkeypatch):
     monkeypatch.setattr("quayside.llm.encode.KEPT_PIECES", own.kept + 5)
     same((own, pair[1]), [" ".join("v" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(50)), "w1 w2"])
     assert own.kept < 100
+
+
+def test_kept_pieces_are_small(pair):
+    """A worker that lives on keeps few bytes a piece; ids of large vocabularies are kept whole."""
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    same((own, pair[1]), ["the first few words"])
+    assert own.flat.itemsize == 2 and sum(a.itemsize for a in (own.hashes, own.at, own.raw_at, own.n, own.raw_n)) <= 32
+    own._direct = lambda texts: [[70_000 + len(t)] for t in texts]
+    assert own.encode([b"zqx"])[0].tolist() == [70_003] and own.flat.itemsize == 4
+    assert own.encode(["the first few words".encode()])[0].tolist() == pair[1].encode("the first few words", add_special_tokens=False).ids
